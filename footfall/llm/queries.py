@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from footfall.llm import chat, mixing
+from footfall.llm import chat, mixing, quality
 
 QUERIES = {
     "op7_chat_formatting": chat.chat_query,
+    "op9_quality_rules": quality.quality_query,
     "op10_mixing": mixing.mix_query,
 }
 
