@@ -81,3 +81,15 @@ def byte_buffer(column):
     low = int(offsets[0]) if len(offsets) else 0
     high = int(offsets[-1]) if len(offsets) else 0
     return raw[low:high], starts - low, ends - low
+
+
+def join_groups(rows, groups, on: list[str], salt, parts: int = 16):
+    """rows left join groups (few columns, one row for each key), safe for keys that a third of all rows hold.
+
+    The rows of a key are dealt to ``parts`` parts by the expression ``salt``; each group is there once for each part.
+    """
+    from pyspark.sql import functions as F
+
+    left = rows.withColumn("_part", F.pmod(F.xxhash64(salt), F.lit(parts)).cast("int"))
+    right = groups.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    return left.join(right, [*on, "_part"], "left").drop("_part")

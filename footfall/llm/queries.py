@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from footfall.llm import chat, mixing, quality
+from footfall.llm import chat, minhash, mixing, quality
 
 QUERIES = {
+    "op6_minhash_near_dedup": minhash.minhash_query,
     "op7_chat_formatting": chat.chat_query,
     "op9_quality_rules": quality.quality_query,
     "op10_mixing": mixing.mix_query,
