@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from footfall.llm import chat, minhash, mixing, quality
+from footfall.llm import chat, minhash, mixing, quality, token_files, warc
 
 QUERIES = {
+    "op1_warc_chunks": warc.warc_query,
+    "op2_token_files": token_files.tokens_query,
     "op6_minhash_near_dedup": minhash.minhash_query,
     "op7_chat_formatting": chat.chat_query,
     "op9_quality_rules": quality.quality_query,
@@ -12,6 +14,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_warc_chunks": warc.WARC_SQL,
     "op7_chat_formatting": chat.CHAT_SQL,
     "op10_mixing": mixing.MIX_SQL,
 }
