@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from footfall.llm import chat, minhash, mixing, quality, token_files, warc
+from footfall.llm import chat, edit_embed, minhash, mixing, quality, token_files, warc
 
 QUERIES = {
     "op1_warc_chunks": warc.warc_query,
     "op2_token_files": token_files.tokens_query,
     "op6_minhash_near_dedup": minhash.minhash_query,
     "op7_chat_formatting": chat.chat_query,
+    "op8_edit_fingerprints": edit_embed.fingerprint_query,
     "op9_quality_rules": quality.quality_query,
     "op10_mixing": mixing.mix_query,
 }
