@@ -117,6 +117,11 @@ def mix_query(spark, sf_dir: str) -> DataFrame:
     )
 
 
+def mix_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage: the documents, each as often as its source's rate says."""
+    return emit_copies(docs)
+
+
 MIX_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size

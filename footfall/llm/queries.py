@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from footfall.llm import chat, edit_embed, langid, minhash, mixing, quality, spiece, token_files, warc
+from footfall.llm import chat, edit_embed, langid, minhash, mixing, quality, spiece, suffix_dedup, token_files, warc
 
 QUERIES = {
     "op1_warc_chunks": warc.warc_query,
     "op2_token_files": token_files.tokens_query,
     "op3_sentencepiece": spiece.pieces_query,
     "op4_language_id": langid.langid_query,
+    "op5_suffix_dedup": suffix_dedup.suffix_query,
     "op6_minhash_near_dedup": minhash.minhash_query,
     "op7_chat_formatting": chat.chat_query,
     "op8_edit_fingerprints": edit_embed.fingerprint_query,
