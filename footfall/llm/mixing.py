@@ -42,7 +42,7 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, max_rate:
         ((F.row_number().over(by_name) - 1) % len(weights) + 1).cast("int"),
     )
     weighed = total.withColumn("w", weight.cast("bigint")).withColumn("cap", F.col("source_size") * max_rate)
-    # Capped sources come first in the order of cap / weight.
+    # Capped sources come first in the order of cap / weight. From the first that fits on, levels only fall.
     order = Window.orderBy((F.col("cap") / F.col("w")), F.col("source").asc_nulls_last())
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     rest = order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
@@ -56,7 +56,7 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, max_rate:
             (F.sum("source_size").over(whole) - F.coalesce(F.sum("cap").over(before), F.lit(0))) / F.sum("w").over(rest)
         ).alias("level"),
     ).withColumn("fits", F.col("level") * F.col("w") <= F.col("cap"))
-    fitting = levels.withColumn("at", F.min(F.when(F.col("fits"), F.col("level"))).over(whole)).withColumn(
+    fitting = levels.withColumn("at", F.max(F.when(F.col("fits"), F.col("level"))).over(whole)).withColumn(
         "at", F.coalesce("at", F.lit(0.0))
     )
     target = F.least(F.col("cap").cast("double"), F.col("at") * F.col("w"))
@@ -141,7 +141,7 @@ l AS (
 ), t AS (
   SELECT source, source_size,
     least(CAST(cap AS DOUBLE),
-      coalesce((SELECT min(level) FROM l WHERE level * w <= cap), 0) * w) AS target
+      coalesce((SELECT max(level) FROM l WHERE level * w <= cap), 0) * w) AS target
   FROM l
 ), r AS (
   SELECT d.doc_id, d.size, t.source_size, t.target,
