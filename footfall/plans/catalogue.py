@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from footfall.plans import flows, functions, network, series
+from footfall.plans import documents, flows, functions, network, series
 
-_PARTS = (series, flows, functions, network)
+_PARTS = (series, flows, functions, network, documents)
 
 QUERIES = {name: f for part in _PARTS for name, f in part.QUERIES.items()}
 SQL = {name: text for part in _PARTS for name, text in part.SQL.items()}
