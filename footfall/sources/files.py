@@ -109,7 +109,7 @@ def barriers(spark: SparkSession, path: str, allowed: DataFrame | None = None) -
 
 def polygons(spark: SparkSession, path: str, bbox: Sequence[float] | None = None) -> DataFrame:
     """uid, ring (array of x, y) of GeoJSON polygons; of several rings or parts the first is the outline."""
-    raw = spark.read.option("multiLine", True).option("wholetext", True).text(path)
+    raw = spark.read.text(path, wholetext=True)
     shape = "features array<struct<properties:map<string,string>,geometry:struct<type:string,coordinates:string>>>"
     parsed = raw.select(F.explode(F.from_json("value", shape)["features"]).alias("f"))
     coords = F.when(
