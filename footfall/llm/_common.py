@@ -93,3 +93,13 @@ def join_groups(rows, groups, on: list[str], salt, parts: int = 16):
     left = rows.withColumn("_part", F.pmod(F.xxhash64(salt), F.lit(parts)).cast("int"))
     right = groups.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     return left.join(right, [*on, "_part"], "left").drop("_part")
+
+
+def shielded(docs, used=("doc_id", "text")):
+    """docs with every column outside ``used`` under a name that clashes with nothing, and the way back to the old ones."""
+    from pyspark.sql import functions as F
+
+    names = docs.columns
+    inner = {c: c if c in used else f"_extra{i}" for i, c in enumerate(names)}
+    renamed = docs.select(*(F.col(f"`{c}`").alias(inner[c]) for c in names))
+    return renamed, lambda df: df.select(*(F.col(inner[c]).alias(c) for c in names))

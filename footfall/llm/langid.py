@@ -27,6 +27,7 @@ DIMENSIONS = 1 << 15
 ORDERS = (1, 2, 3)
 MAX_PER_LANG = 1500
 EPOCHS = 3
+MOST_BROADCAST = 10_000
 ALPHA, BETA, L1, L2 = 0.8, 1.0, 0.02, 0.05
 BATCH = 4 << 20
 
@@ -208,6 +209,8 @@ def fit(labelled: DataFrame, max_per_lang: int = MAX_PER_LANG) -> Model:
     share = labelled.sparkSession.createDataFrame(
         [(x, min(1.0, max_per_lang / n)) for x, n in counts.items()], "lang string, share double"
     )
+    # A row for each language: broadcast while they are few, so that the texts stay where they are.
+    share = F.broadcast(share) if len(langs) <= MOST_BROADCAST else share
     place = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(11)), F.lit(1 << 31))
     sample = (
         labelled.select("doc_id", "text", "lang", place.alias("at"))

@@ -21,7 +21,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from footfall.llm._common import documents, written
+from footfall.llm._common import documents, shielded, written
 
 WEIGHTS = (5, 2, 1)
 MAX_RATE = 3
@@ -94,6 +94,7 @@ def emit_copies(docs: DataFrame, **options) -> DataFrame:
     when the table of sources is small enough for Spark to broadcast.
     """
     weights, max_rate, seed = options.get("weights", WEIGHTS), options.get("max_rate", MAX_RATE), options.get("seed", SEED)
+    docs, restored = shielded(docs, ("doc_id", "source", "text"))
     sizes = docs.select("source", word_count(F.col("text")).alias("size"))
     rates = written(source_targets(sizes, weights, max_rate), "mix-rates").select(
         F.col("source").alias("_source"),
@@ -102,11 +103,10 @@ def emit_copies(docs: DataFrame, **options) -> DataFrame:
     joined = docs.join(rates, F.col("source").eqNullSafe(F.col("_source")))
     whole = F.floor("_rate")
     copies = (whole + (chance(F.col("doc_id"), seed) < F.col("_rate") - whole).cast("bigint")).cast("int")
-    return (
+    return restored(
         joined.withColumn("_copies", copies)
         .filter(F.col("_copies") > 0)
         .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-        .select(*docs.columns)
     )
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from footfall.llm import bytewords as bw
-from footfall.llm._common import byte_buffer, documents, text_batches
+from footfall.llm._common import byte_buffer, documents, shielded, text_batches
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -206,6 +206,6 @@ def quality_query(spark, sf_dir: str) -> DataFrame:
 
 def quality_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents that the rules keep, with all their columns."""
-    names = docs.columns
-    judged = quality_rules(docs, keep_columns=tuple(names))
-    return judged.filter(F.col("kept")).select(*names)
+    inner, restored = shielded(docs)
+    judged = quality_rules(inner, keep_columns=tuple(inner.columns))
+    return restored(judged.filter(F.col("kept")))

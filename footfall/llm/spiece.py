@@ -73,7 +73,13 @@ class PieceModel:
             self.spelt[i] = p.replace(MARK, " ").encode("utf-8")
         for b, i in enumerate(self.bytes):
             self.spelt[i] = bytes([b])
-        self.fits: dict[tuple[str, str], bool] = {}
+        self.heads = {p[:n] for p in self.ids for n in range(1, len(p) + 1)}
+        #: For each piece the pieces, or nothing, before it: do the two stand together?
+        self.fits: dict[str, dict[str, bool]] = {}
+        self.pairs = 0
+        #: What a walk over characters is in the middle of (the longest end of the text that begins a piece), by the
+        #: walk before and a character; with it, the pieces that end here, longest first.
+        self.steps: dict[str, dict[str, tuple]] = {}
 
     def marked(self, text: str) -> str:
         if not text:
@@ -95,53 +101,95 @@ class PieceModel:
         return parts
 
     def compatible(self, before: str, piece: str) -> bool:
-        key = (before, piece)
-        found = self.fits.get(key)
-        if found is None:
-            if len(self.fits) >= KNOWN_PAIRS:
-                self.fits.clear()
-            found = self.merged(before + piece) == ([before, piece] if before else [piece])
-            self.fits[key] = found
+        """Does merging the joint text leave the two pieces? Nothing before means: is the piece its own encoding?"""
+        if self.pairs >= KNOWN_PAIRS:
+            self.fits.clear()
+            self.pairs = 0
+        found = self.merged(before + piece) == ([before, piece] if before else [piece])
+        self.fits.setdefault(piece, {})[before] = found
+        self.pairs += 1
         return found
 
-    def cell(self, word: str, end: int, table: list) -> tuple:
-        """The forward cell of word[:end]: where its last piece begins, that piece, and the score so far."""
-        if self.kind == "bpe":
-            for start in range(max(0, end - self.longest), end - 1):
-                piece = word[start:end]
-                if piece in self.ids and self.compatible(table[start][1], piece):
-                    return start, piece, 0.0
-            return end - 1, word[end - 1], 0.0
-        best = None
-        for start in range(max(0, end - self.longest), end):
-            piece = word[start:end]
-            score = self.scores.get(piece, -1e6 if start == end - 1 else None)
-            if score is not None and (best is None or table[start][2] + score > best[2]):
-                best = (start, piece, table[start][2] + score)
-        return best
-
-    def encode_words(self, words) -> dict[str, list[int]]:
-        """The ids of each distinct word."""
-        out, before, table = {}, "", [(0, "", 0.0)]
+    def step(self, walk: str, char: str) -> tuple:
+        """The walk after one more character and the pieces that end there: (walk, ((piece, length, ids), ...))."""
+        if len(self.steps) >= KNOWN_PAIRS:
+            self.steps.clear()
+        text = walk + char
+        ends = []
+        for at in range(len(text)):
+            piece = text[at:]
+            if piece in self.ids:
+                ends.append((piece, len(piece), np.array([self.ids[piece]], "<i4").tobytes()))
+        if char not in self.ids:
+            spelt = [self.bytes[b] for b in char.encode("utf-8", "surrogatepass")]
+            ends.append(("", 1, np.array(spelt, "<i4").tobytes()))
+        while text and text not in self.heads:
+            text = text[1:]
+        found = (text, tuple(ends))
+        self.steps.setdefault(walk, {})[char] = found
+        return found
+
+    def encode_words(self, words) -> dict[str, bytes]:
+        """The ids of each distinct word, as little-endian int32.
+
+        The words are taken in order. For each prefix of the current word the table holds the walk over its characters,
+        its last piece, its ids and its score; the rows of the prefix in common with the word before stay.
+        """
+        if self.kind == "unigram":
+            return self._encode_unigram(words)
+        out, before = {}, ""
+        walks, lasts, done = [""], [""], [b""]
+        steps, fits = self.steps, self.fits
+        for word in sorted(words):
+            common = 0
+            for x, y in zip(before, word, strict=False):
+                if x != y:
+                    break
+                common += 1
+            del walks[common + 1 :], lasts[common + 1 :], done[common + 1 :]
+            walk, end = walks[-1], common
+            for char in word[common:]:
+                end += 1
+                known = steps.get(walk)
+                walk, ends = (known and known.get(char)) or self.step(walk, char)
+                for piece, size, ids in ends:
+                    last = lasts[end - size]
+                    if size == 1:
+                        break
+                    held = fits.get(piece)
+                    fit = held.get(last) if held is not None else None
+                    if fit is None:
+                        fit = self.compatible(last, piece)
+                    if fit:
+                        break
+                walks.append(walk)
+                lasts.append(piece)
+                done.append(done[end - size] + ids)
+            out[word], before = done[-1], word
+        return out
+
+    def _encode_unigram(self, words) -> dict[str, bytes]:
+        out, before = {}, ""
+        best, done = [0.0], [b""]
         for word in sorted(words):
             common = 0
             for x, y in zip(before, word, strict=False):
                 if x != y:
                     break
                 common += 1
-            del table[common + 1 :]
-            for end in range(common + 1, len(word) + 1):
-                table.append(self.cell(word, end, table))
-            pieces, end = [], len(word)
-            while end:
-                start, piece, _ = table[end]
-                pieces.append(piece)
-                end = start
-            ids = []
-            for piece in reversed(pieces):
-                i = self.ids.get(piece)
-                ids += [i] if i is not None else [self.bytes[b] for b in piece.encode("utf-8", "surrogatepass")]
-            out[word], before = ids, word
+            del best[common + 1 :], done[common + 1 :]
+            walk = ""
+            for end, char in enumerate(word, 1):
+                known = self.steps.get(walk)
+                walk, ends = (known and known.get(char)) or self.step(walk, char)
+                if end <= common:
+                    continue
+                score, size, ids = max(
+                    (best[end - size] + self.scores.get(piece, -1e6), -size, ids) for piece, size, ids in ends
+                )
+                best.append(score)
+                done.append(done[end + size] + ids)
+            out[word], before = done[-1], word
         return out
 
     def decode(self, ids) -> str:
@@ -169,8 +217,7 @@ class TextEncoder:
         if len(self.known) + len(fresh) > KNOWN_WORDS:
             self.known.clear()
             fresh = set().union(*words)
-        for word, ids in self.model.encode_words(fresh).items():
-            self.known[word] = np.array(ids, "<i4").tobytes()
+        self.known |= self.model.encode_words(fresh)
         get = self.known.__getitem__
         return [b"".join(map(get, w)) for w in words]
 

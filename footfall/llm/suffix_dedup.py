@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from footfall.llm import bwt_merge
 from footfall.llm import bytewords as bw
-from footfall.llm._common import byte_buffer, documents, join_groups, text_batches, written
+from footfall.llm._common import byte_buffer, documents, join_groups, shielded, text_batches, written
 
 LENGTH = 400
 #: Different contexts of one anchor that one task compares at most.
@@ -420,11 +420,14 @@ STAGE_LENGTH = 200
 
 def suffix_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents without their repeated passages; those of which nothing but blanks is left go."""
-    names = docs.columns
-    cut = removed(docs, STAGE_LENGTH, keep_columns=tuple(names), whole_characters=True)
-    text = F.when(F.col("text").isNull() | (F.col("n_removed") == 0), F.col("text")).otherwise(
-        F.decode("kept", "UTF-8")
+    inner, restored = shielded(docs, ("doc_id", "text", "n_chars"))
+    cut = removed(inner, STAGE_LENGTH, keep_columns=tuple(inner.columns), whole_characters=True)
+    changed = F.col("n_removed") > 0
+    rest = F.decode("kept", "UTF-8")
+    left = cut.filter(~changed | rest.rlike(r"[^\x20\x09-\x0D]"))
+    text = F.when(changed, rest).otherwise(F.col("text"))
+    return restored(
+        left.withColumn("text", text).withColumn(
+            "n_chars", F.when(changed, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))
+        )
     )
-    left = cut.filter((F.col("n_removed") == 0) | F.decode("kept", "UTF-8").rlike(r"[^\x20\x09-\x0D]"))
-    n_chars = F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.length("text").cast("bigint"))
-    return left.withColumn("text", text).withColumn("n_chars", n_chars).select(*names)

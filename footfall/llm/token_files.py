@@ -7,8 +7,8 @@ a memory-mapped file gives any sequence without a copy. A second Arrow file besi
 Ids are unsigned 16-bit where the vocabulary allows, else 32-bit.
 
 Encoding: white space separates the words of this tokenizer and is dropped, so a text's ids are those of its pieces
-between blanks in turn. Each distinct piece of a batch goes through the tokenizers library once; a bounded table keeps
-the ids of pieces seen before.
+between blanks in turn. Each distinct piece goes through the tokenizers library once; bounded tables keep the ids of
+pieces and words seen before.
 
 Tasks write files of their own name and report them, and only reported files are read: see ``warc``.
 
@@ -18,6 +18,7 @@ texts; a null doc_id comes first; an empty table gives no files and no rows; oth
 
 from __future__ import annotations
 
+import functools
 import uuid
 import zlib
 
@@ -41,15 +42,57 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+#: How this tokenizer cuts lower-case text into words, as its own file says. Fixed values.
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Up to here, characters have one case mapping and one composed form in every version of Unicode.
+PLAIN = 0x250
+
+
+def _byte_letters() -> list[str]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself if it prints, else the next from 256 on."""
+    prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in set(prints)]
+    return [chr(b) if b in set(prints) else chr(256 + others.index(b)) for b in range(256)]
+
+
 class WordEncoder:
-    """Ids of whole texts as little-endian bytes, for tokenizers that drop white space between words."""
+    """Ids of whole texts as little-endian bytes, for tokenizers that drop white space between words.
+
+    A piece between blanks that was not seen before is cut into words by the tokenizer's own pattern and its model
+    encodes each new word; a piece with characters beyond the plain ones, or that may hold a special token, goes through
+    the whole tokenizer instead.
+    """
 
     def __init__(self, path: str):
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
         self.known: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        self.find = regex.compile(WORD_PATTERN).findall
+        self.letters = dict(enumerate(_byte_letters()))
+
+    def word(self, word: str) -> bytes:
+        spelt = word.encode("utf-8").decode("latin-1").translate(self.letters)
+        ids = np.array([t.id for t in self.tokenizer.model.tokenize(spelt)], self.dtype).tobytes()
+        if len(self.words) >= KNOWN_PIECES:
+            self.words.clear()
+        self.words[word] = ids
+        return ids
+
+    def learn(self, fresh: set[str]) -> None:
+        known, words, find, hard = self.known, self.words, self.find, []
+        for piece in fresh:
+            if (piece.isascii() or max(piece) < chr(PLAIN)) and "<|" not in piece:
+                known[piece] = b"".join([words.get(w) or self.word(w) for w in find(piece.lower())])
+            else:
+                hard.append(piece)
+        for at in range(0, len(hard), 4096):
+            part = hard[at : at + 4096]
+            for piece, found in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
+                known[piece] = np.array(found.ids, self.dtype).tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         pieces = [(t or "").replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
@@ -57,15 +100,17 @@ class WordEncoder:
         if len(self.known) + len(fresh) > KNOWN_PIECES:
             self.known.clear()
             fresh = set().union(*pieces)
-        todo = list(fresh)
-        for at in range(0, len(todo), 4096):
-            part = todo[at : at + 4096]
-            for piece, found in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                self.known[piece] = np.array(found.ids, self.dtype).tobytes()
+        self.learn(fresh)
         get = self.known.__getitem__
         return [b"".join(map(get, p)) for p in pieces]
 
 
+@functools.cache
+def encoder_of(path: str) -> WordEncoder:
+    """One for each Python worker, which serves many tasks."""
+    return WordEncoder(path)
+
+
 def _file_system(folder: str):
     from pyarrow import fs
 
@@ -82,7 +127,7 @@ def write_token_files(
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder = WordEncoder(tokenizer_path)
+        encoder = encoder_of(tokenizer_path)
         kind = pa.from_numpy_dtype(encoder.dtype)
         schema = pa.schema([("ids", pa.list_(kind, length)), ("mask", pa.list_(pa.bool_(), length))])
         end = np.array([end_id], encoder.dtype).tobytes()
