@@ -26,7 +26,8 @@ def local_anomaly(counts: DataFrame, box: int = 5, low: float = 0.2, high: float
     """Each bin with its squared and plain difference to the profile, both smoothed, and a level 1 (low) to 3 (high).
 
     Thresholds are taken per station over the whole range: mean plus population deviation for the squared difference,
-    interpolated quantiles for the plain one.
+    interpolated quantiles for the plain one. Differences are compared to nine places, so that the order in which means are
+    summed decides no tie.
     """
     base = smooth_profile(counts, box)
     tiled = counts.withColumn("wday", series.weekday_name("bin")).withColumn("tod", series.second_of_day("bin"))
@@ -34,11 +35,11 @@ def local_anomaly(counts: DataFrame, box: int = 5, low: float = 0.2, high: float
     smooth = series.box_smooth(joined, ["station_name"], "bin", "cnt", box, "cnt_smooth")
     squared = smooth.withColumn("l2", F.pow(F.col("cnt") - F.col("base"), 2))
     squared = series.box_smooth(squared, ["station_name"], "bin", "l2", box, "l2_smooth")
-    diff = squared.withColumn("diff", F.col("cnt_smooth") - F.col("base"))
+    diff = squared.withColumn("diff", F.round(F.col("cnt_smooth") - F.col("base"), 9))
     limits = diff.groupBy("station_name").agg(
         (F.avg("l2_smooth") + F.stddev_pop("l2_smooth")).alias("l2_limit"),
-        F.percentile("diff", F.lit(low)).alias("low"),
-        F.percentile("diff", F.lit(high)).alias("high"),
+        F.round(F.percentile("diff", F.lit(low)), 9).alias("low"),
+        F.round(F.percentile("diff", F.lit(high)), 9).alias("high"),
     )
     judged = diff.join(limits, "station_name")
     level = F.when(F.col("diff") > F.col("high"), 3).when(F.col("diff") > F.col("low"), 2).otherwise(1)

@@ -207,9 +207,9 @@ whole AS (SELECT station_name, wday, tod, CAST(trunc(mean) AS INTEGER) AS mean F
 {_smooth('b', 'whole', 'station_name, wday', 'tod', 'mean', 5, -1, 'base')},
 tiled AS (SELECT f.station_name, f.bin, f.cnt, b.base FROM filled f JOIN b ON b.station_name = f.station_name AND b.wday = {_WD.format('f.bin')} AND b.tod = {_TOD.format('f.bin')}),
 {_smooth('s1', 'tiled', 'station_name', 'bin', 'cnt', 5, -1, 'cnt_smooth')},
-l2 AS (SELECT *, pow(cnt - base, 2) AS l2, cnt_smooth - base AS diff FROM s1),
+l2 AS (SELECT *, pow(cnt - base, 2) AS l2, round(cnt_smooth - base, 9) AS diff FROM s1),
 {_smooth('s2', 'l2', 'station_name', 'bin', 'l2', 5, -1, 'l2_smooth')},
-lim AS (SELECT station_name, avg(l2_smooth) + stddev_pop(l2_smooth) AS t, quantile_cont(diff, 0.2) AS lo, quantile_cont(diff, 0.8) AS hi FROM s2 GROUP BY 1)
+lim AS (SELECT station_name, avg(l2_smooth) + stddev_pop(l2_smooth) AS t, round(quantile_cont(diff, 0.2), 9) AS lo, round(quantile_cont(diff, 0.8), 9) AS hi FROM s2 GROUP BY 1)
 SELECT s.station_name, s.bin, round(s.base, 4) AS base, round(s.diff, 4) AS diff, round(CASE WHEN s.l2_smooth >= lim.t THEN s.l2_smooth ELSE 0 END, 4) AS l2_cut,
   CASE WHEN s.diff > lim.hi THEN 3 WHEN s.diff > lim.lo THEN 2 ELSE 1 END AS kpi FROM s2 s JOIN lim USING (station_name)""",
     "daily_l2_anomaly": f"""WITH {_GRID}, {_INTERPOLATED}, {_FILLED_PROFILE},
