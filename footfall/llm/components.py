@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from footfall.llm._common import written
+from footfall.llm._common import join_groups, written
 
 
 def local_forest(edges: DataFrame) -> DataFrame:
@@ -56,9 +56,9 @@ def components(edges: DataFrame) -> DataFrame:
         both = tree.select("a", "b").unionByName(tree.select(F.col("b").alias("a"), F.col("a").alias("b")))
         # Large star: each node's larger neighbours link to the least of its neighbourhood.
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = (
-            both.filter(F.col("b") > F.col("a")).join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        )
+        # A hub's neighbours are dealt to several parts.
+        upward = join_groups(both.filter(F.col("b") > F.col("a")), least, ["a"], F.col("b"), parts=8)
+        large = upward.select(F.col("b").alias("a"), F.col("m").alias("b"))
         # Small star: each node's smaller neighbours and itself link to the least of them.
         large = large.filter(F.col("a") != F.col("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
