@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from footfall.llm import bwt_merge
 from footfall.llm import bytewords as bw
-from footfall.llm._common import byte_buffer, documents, join_groups, shielded, text_batches, written
+from footfall.llm._common import byte_buffer, documents, join_groups, keep_counted, shielded, text_batches, written
 
 LENGTH = 400
 #: Different contexts of one anchor that one task compares at most.
@@ -278,8 +278,8 @@ def repeated_spans(texts: DataFrame, length: int, group: int = GROUP) -> DataFra
     """doc_id, tkey, begin, end: spans of bytes whose windows all repeat; they overlap."""
     found = written(anchors(texts, length), "anchors")
     # Anchors that are there twice or more; the rest is unique.
-    again = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("anchor")
-    common = written(found.join(again, "anchor"), "common-anchors")
+    again = written(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("times")).filter("times > 1"), "anchor-counts")
+    common = written(keep_counted(found, again, "anchor", found.count()), "common-anchors")
     contexts = written(
         common.groupBy("anchor", "context").agg(
             F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "tkey", "at", "lo", "hi")).alias("rep")
