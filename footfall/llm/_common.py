@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
 import tempfile
 import uuid
 
@@ -43,6 +46,23 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def tidy(function):
+    """A function for mapInArrow that gives freed memory back when its task ends, since workers live on for other tasks."""
+
+    @functools.wraps(function)
+    def run(batches):
+        import pyarrow as pa
+
+        try:
+            yield from function(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
 def text_batches(batches, column: str = "text", limit: int = BATCH_BYTES):
     """Slices of Arrow batches whose texts together have about ``limit`` bytes at most (one longer text stands alone)."""
     import numpy as np

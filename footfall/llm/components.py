@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from footfall.llm._common import join_groups, written
+from footfall.llm._common import join_groups, tidy, written
 
 
 def local_forest(edges: DataFrame) -> DataFrame:
@@ -40,7 +40,7 @@ def local_forest(edges: DataFrame) -> DataFrame:
                 names=["a", "b"],
             )
 
-    return edges.select("a", "b").mapInArrow(unite, "a bigint, b bigint")
+    return edges.select("a", "b").mapInArrow(tidy(unite), "a bigint, b bigint")
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from footfall.llm import bytewords as bw
-from footfall.llm._common import documents, join_groups, written
+from footfall.llm._common import documents, join_groups, tidy, written
 from footfall.llm.components import components
 
 #: Random bits repeat after this many steps.
@@ -129,7 +129,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                 names=["doc_id", "n_chars", "fingerprint"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(go, "doc_id bigint, n_chars bigint, fingerprint string")
+    return docs.select("doc_id", "text").mapInArrow(tidy(go), "doc_id bigint, n_chars bigint, fingerprint string")
 
 
 def in_order_with_next(docs: DataFrame) -> DataFrame:
@@ -230,7 +230,7 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
         "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, "
         "near_edited double, near_next double"
     )
-    return in_order_with_next(docs).mapInArrow(go, schema)
+    return in_order_with_next(docs).mapInArrow(tidy(go), schema)
 
 
 def near_classes(prints: DataFrame, near: float = NEAR) -> DataFrame:
@@ -263,7 +263,7 @@ def near_classes(prints: DataFrame, near: float = NEAR) -> DataFrame:
                 [pa.array(ids, pa.int64()), pa.array(np.frombuffer(b"".join(keys), np.int64))], names=["id", "key"]
             )
 
-    bucket = same.select("rep", "fingerprint").mapInArrow(bands, "id bigint, key bigint")
+    bucket = same.select("rep", "fingerprint").mapInArrow(tidy(bands), "id bigint, key bigint")
     least = bucket.groupBy("key").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     pairs = bucket.join(least, "key").filter("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b"))
     pairs = pairs.distinct()
@@ -278,7 +278,7 @@ def near_classes(prints: DataFrame, near: float = NEAR) -> DataFrame:
             ]
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    links = written(pairs.join(left, "a").join(right, "b").mapInArrow(judge, "a bigint, b bigint"), "print-links")
+    links = written(pairs.join(left, "a").join(right, "b").mapInArrow(tidy(judge), "a bigint, b bigint"), "print-links")
     degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
     found = components(links).select(F.col("node").alias("rep"), "component")
     classes = same.join(found, "rep", "left").join(degree, "rep", "left").select(

@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from footfall.llm._common import documents, text_batches
+from footfall.llm._common import documents, text_batches, tidy
 
 DIMENSIONS = 1 << 15
 ORDERS = (1, 2, 3)
@@ -29,7 +29,7 @@ MAX_PER_LANG = 1500
 EPOCHS = 3
 MOST_BROADCAST = 10_000
 ALPHA, BETA, L1, L2 = 0.8, 1.0, 0.02, 0.05
-BATCH = 4 << 20
+BATCH = 2 << 20
 
 
 @functools.cache
@@ -88,7 +88,7 @@ def document_frequencies(labelled: DataFrame) -> DataFrame:
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], names=["feature", "documents"])
 
-    counted = labelled.select("text").mapInArrow(count, "feature bigint, documents bigint")
+    counted = labelled.select("text").mapInArrow(tidy(count), "feature bigint, documents bigint")
     return counted.groupBy("feature").agg(F.sum("documents").alias("documents"))
 
 
@@ -175,7 +175,7 @@ def train(sample: DataFrame, langs: list[str], idf: np.ndarray) -> DataFrame:
             names=["feature", "class", "weight"],
         )
 
-    return sample.repartition(1).mapInArrow(fit, "feature bigint, class bigint, weight double")
+    return sample.repartition(1).mapInArrow(tidy(fit), "feature bigint, class bigint, weight double")
 
 
 class Model:
@@ -246,7 +246,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                 names=["doc_id", "lang_pred", "score"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(go, "doc_id bigint, lang_pred string, score double")
+    return docs.select("doc_id", "text").mapInArrow(tidy(go), "doc_id bigint, lang_pred string, score double")
 
 
 def held_out(doc_id: Column) -> Column:

@@ -26,12 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from footfall.llm import bytewords as bw
-from footfall.llm._common import byte_buffer, documents, join_groups, text_batches, written
+from footfall.llm._common import byte_buffer, documents, join_groups, text_batches, tidy, written
 from footfall.llm.components import components
 
 #: 28 bands of 4 values: a pair of likeness 0.8 shares no band with probability 4e-7.
 BANDS, ROWS = 28, 4
-BATCH = 2 << 20
+BATCH = 1 << 20
 SMALL_BUCKET = 64
 BLOCK = 512
 MIN_AGREE = 0.6
@@ -129,7 +129,7 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
             )
 
     return docs.select("doc_id", "text").mapInArrow(
-        sign, "doc_id bigint, n_shingles bigint, key1 bigint, key2 bigint, sig binary, bands array<bigint>"
+        tidy(sign), "doc_id bigint, n_shingles bigint, key1 bigint, key2 bigint, sig binary, bands array<bigint>"
     )
 
 
@@ -167,7 +167,7 @@ def _small_bucket_links(members: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(ids[good]), pa.array(ids[good + gap])], names=["a", "b"])
 
     dealt = members.select("bucket", "id", "sig").repartition("bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(link, "a bigint, b bigint")
+    return dealt.mapInArrow(tidy(link), "a bigint, b bigint")
 
 
 def candidate_clusters(reps: DataFrame) -> DataFrame:
@@ -178,7 +178,8 @@ def candidate_clusters(reps: DataFrame) -> DataFrame:
     large = shared.filter(F.col("n") > SMALL_BUCKET).select(F.col("id").alias("a"), F.col("least").alias("b"))
     small = shared.filter(F.col("n") <= SMALL_BUCKET).select("bucket", "id")
     small = small.join(reps.select(F.col("doc_id").alias("id"), "sig"), "id")
-    return components(large.filter("a <> b").unionByName(_small_bucket_links(small)))
+    # Written first: two Python functions in one stage would hold two workers for each core.
+    return components(written(large.filter("a <> b").unionByName(_small_bucket_links(small)), "candidate-links"))
 
 
 def _confirm(sets: list[np.ndarray], sig: np.ndarray | None, percent: int, left: np.ndarray, same: np.ndarray):
@@ -272,7 +273,7 @@ def _verify(members: DataFrame, k: int, percent: int) -> DataFrame:
         )
 
     dealt = members.select("bucket", "id", "text", "known", "left").repartition("bucket").sortWithinPartitions("bucket", "id")
-    return dealt.mapInArrow(check, "a bigint, b bigint")
+    return dealt.mapInArrow(tidy(check), "a bigint, b bigint")
 
 
 def verify_clusters(docs: DataFrame, clusters: DataFrame, k: int, percent: int) -> DataFrame:

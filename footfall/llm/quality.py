@@ -19,14 +19,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from footfall.llm import bytewords as bw
-from footfall.llm._common import byte_buffer, documents, shielded, text_batches
+from footfall.llm._common import byte_buffer, documents, shielded, text_batches, tidy
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 MIN_REPEAT = 10
 MAX_COVERED = 0.3
 MAX_LONGEST = 100
-BATCH = 2 << 20
+BATCH = 1 << 20
 
 FIELDS = (
     "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, "
@@ -197,7 +197,7 @@ def quality_rules(
             arrays += [pa.array(found[f.name]) for f in schema.fields[len(keep_columns) :]]
             yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in schema.fields])
 
-    return chosen.mapInArrow(judge, schema)
+    return chosen.mapInArrow(tidy(judge), schema)
 
 
 def quality_query(spark, sf_dir: str) -> DataFrame:

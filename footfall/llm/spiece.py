@@ -29,12 +29,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from footfall.llm._common import documents, text_batches
+from footfall.llm._common import documents, text_batches, tidy
 
 MARK = "▁"
-BATCH = 2 << 20
-KNOWN_WORDS = 300_000
-KNOWN_PAIRS = 1_000_000
+BATCH = 1 << 20
+KNOWN_WORDS = 100_000
+KNOWN_PAIRS = 200_000
 _WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
@@ -274,7 +274,7 @@ def encode_column(
                 names=names,
             )
 
-    return chosen.mapInArrow(go, schema)
+    return chosen.mapInArrow(tidy(go), schema)
 
 
 def decode_column(encoded: DataFrame, path: str | None = None, kind: str = "bpe") -> DataFrame:
@@ -290,7 +290,7 @@ def decode_column(encoded: DataFrame, path: str | None = None, kind: str = "bpe"
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
     kind_of_id = dict(encoded.dtypes)["doc_id"]
-    return encoded.select("doc_id", "ids").mapInArrow(go, f"doc_id {kind_of_id}, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(tidy(go), f"doc_id {kind_of_id}, text string")
 
 
 def pieces_query(spark, sf_dir: str) -> DataFrame:

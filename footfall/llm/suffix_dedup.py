@@ -33,14 +33,14 @@ from pyspark.sql import functions as F
 
 from footfall.llm import bwt_merge
 from footfall.llm import bytewords as bw
-from footfall.llm._common import byte_buffer, documents, join_groups, keep_counted, shielded, text_batches, written
+from footfall.llm._common import byte_buffer, documents, join_groups, keep_counted, shielded, text_batches, tidy, written
 
 LENGTH = 400
 #: Different contexts of one anchor that one task compares at most.
 GROUP = 2048
 #: Contexts in a shard, and in the shards that are merged at a time.
 SHARD, BLOCK = 4096, 16384
-BATCH = 2 << 20
+BATCH = 1 << 20
 _PLACE = 24
 
 
@@ -127,7 +127,7 @@ def anchors(texts: DataFrame, length: int) -> DataFrame:
                 )
 
     return texts.select("doc_id", "tkey", "text").mapInArrow(
-        go, "doc_id bigint, tkey bigint, at bigint, lo int, hi int, anchor bigint, context bigint"
+        tidy(go), "doc_id bigint, tkey bigint, at bigint, lo int, hi int, anchor bigint, context bigint"
     )
 
 
@@ -164,7 +164,7 @@ def with_contexts(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame
             )
 
     return joined.mapInArrow(
-        go,
+        tidy(go),
         "doc_id bigint, tkey bigint, at bigint, lo int, hi int, anchor bigint, context bigint, n bigint, bytes binary",
     )
 
@@ -244,7 +244,7 @@ def compare(rows: DataFrame, length: int) -> DataFrame:
         )
 
     dealt = rows.select("key", "doc_id", "tkey", "at", "lo", "hi", "n", "bytes").repartition("key").sortWithinPartitions("key")
-    return dealt.mapInArrow(go, "doc_id bigint, tkey bigint, begin bigint, end bigint")
+    return dealt.mapInArrow(tidy(go), "doc_id bigint, tkey bigint, begin bigint, end bigint")
 
 
 def _halved(rows: DataFrame, length: int) -> DataFrame:
@@ -407,7 +407,7 @@ def removed(
             b -= 1
         return a, b
 
-    return joined.mapInArrow(go, schema)
+    return joined.mapInArrow(tidy(go), schema)
 
 
 def suffix_query(spark, sf_dir: str) -> DataFrame:

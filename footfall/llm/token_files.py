@@ -26,12 +26,12 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from footfall.llm._common import documents, new_path, text_batches, written
+from footfall.llm._common import documents, new_path, text_batches, tidy, written
 
 SEQUENCE = 2048
 END_ID = 2
-BATCH = 4 << 20
-KNOWN_PIECES = 400_000
+BATCH = 2 << 20
+KNOWN_PIECES = 200_000
 #: Sequences in a record batch.
 BATCH_ROWS = 256
 
@@ -199,7 +199,7 @@ def write_token_files(
     ordered = docs.select(F.col("doc_id").cast("bigint"), "text")
     parts = docs.sparkSession.conf.get("spark.sql.shuffle.partitions")
     ordered = ordered.repartitionByRange(int(parts), "doc_id").sortWithinPartitions("doc_id", "text")
-    return ordered.mapInArrow(write, "path string, first_doc bigint, documents bigint, ids bigint")
+    return ordered.mapInArrow(tidy(write), "path string, first_doc bigint, documents bigint, ids bigint")
 
 
 def open_sequences(path: str):
@@ -258,7 +258,7 @@ def read_documents(files: DataFrame) -> DataFrame:
 
     n = max(1, files.count())
     return placed.repartition(n, "path").mapInArrow(
-        read, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
+        tidy(read), "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
     )
 
 

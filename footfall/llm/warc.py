@@ -24,7 +24,7 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from footfall.llm._common import join_groups, new_path, written
+from footfall.llm._common import join_groups, new_path, tidy, written
 
 CHUNK = 256 << 10
 ARCHIVE_BYTES = 256 << 20
@@ -131,7 +131,7 @@ def write_archives(rows: DataFrame, folder: str, chunk: int = CHUNK, archive_byt
             names=["path", "bytes", "records"],
         )
 
-    return rows.mapInArrow(write, "path string, bytes bigint, records bigint")
+    return rows.mapInArrow(tidy(write), "path string, bytes bigint, records bigint")
 
 
 class _Members:
@@ -247,7 +247,7 @@ def read_chunks(files: DataFrame, chunk: int = CHUNK, with_data: bool = True) ->
     spark = files.sparkSession
     n = max(1, files.count())
     dealt = files.select("path").repartition(min(n, 4 * spark.sparkContext.defaultParallelism * 64), "path")
-    return dealt.mapInArrow(read, schema)
+    return dealt.mapInArrow(tidy(read), schema)
 
 
 def archive_pages(spark: SparkSession, pages: DataFrame) -> DataFrame:
