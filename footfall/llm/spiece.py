@@ -33,8 +33,8 @@ from footfall.llm._common import documents, text_batches, tidy
 
 MARK = "▁"
 BATCH = 1 << 20
-KNOWN_WORDS = 100_000
-KNOWN_PAIRS = 200_000
+KNOWN_WORDS = 300_000
+KNOWN_PAIRS = 500_000
 _WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
