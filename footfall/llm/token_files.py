@@ -30,8 +30,8 @@ from footfall.llm._common import documents, new_path, text_batches, tidy, writte
 
 SEQUENCE = 2048
 END_ID = 2
-BATCH = 2 << 20
-KNOWN_PIECES = 200_000
+BATCH = 4 << 20
+KNOWN_PIECES = 500_000
 #: Sequences in a record batch.
 BATCH_ROWS = 256
 
