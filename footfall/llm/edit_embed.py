@@ -164,7 +164,7 @@ def in_order_with_next(docs: DataFrame) -> DataFrame:
         ),
     ).otherwise(F.array(F.struct(F.col("part").alias("part"), F.lit(False).alias("extra"))))
     placed = rows.withColumn("at", F.explode(twice)).select("at.part", "at.extra", "doc_id", "text")
-    return placed.repartition(parts, "part").sortWithinPartitions("part", "extra", F.col("doc_id").asc_nulls_first(), "text")
+    return placed.repartitionById(parts, F.col("part")).sortWithinPartitions("part", "extra", F.col("doc_id").asc_nulls_first(), "text")
 
 
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
