@@ -375,6 +375,14 @@ def test_quality_counts_equal_brute_force(spark):
     assert quality.quality_rules(documents(spark).limit(0)).count() == 0
 
 
+def test_quality_verdict_needs_the_suffix_array(spark):
+    word = lambda a, b: [f"w{i}" for i in range(a, b)]
+    texts = {1: word(0, 140) + word(100, 140), 2: word(0, 400) + word(0, 101), 3: word(0, 400) + word(0, 100), 4: word(0, 200)}
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "doc_id bigint, text string")
+    got = {r["doc_id"]: (r["base_failed"], r["covered_words"], r["longest_repeat"], r["kept"]) for r in quality.quality_rules(docs).collect()}
+    assert got == {1: (False, 80, 40, False), 2: (False, 202, 101, False), 3: (False, 200, 100, False), 4: (False, 0, 0, True)}
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.lists(st.sampled_from("abc"), max_size=25), min_size=1, max_size=5))
 def test_suffix_repeats_equal_brute_force(texts):
