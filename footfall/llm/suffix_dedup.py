@@ -94,17 +94,16 @@ def find_anchors(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, length:
     return row, at - starts[row], lo, hi, bw.mix(grams[at]).view(np.int64), context.view(np.int64)
 
 
-def anchors(texts: DataFrame, length: int) -> DataFrame:
-    """doc_id, tkey, at, lo, hi, anchor, context of texts (doc_id, tkey, text)."""
+def anchors(texts: DataFrame, length: int, most: int = (1 << _PLACE) - 1) -> DataFrame:
+    """doc_id, tkey, at, lo, hi, anchor, context of texts (doc_id, tkey, text); a part of a long text has ``most`` bytes."""
     import pyarrow as pa
 
     def pieces(raw, starts, ends):
-        """The batch as it is, or one very long text in parts that overlap by a window."""
-        most = (1 << _PLACE) - 1
+        """The batch as it is, or one very long text in parts; each window starts in one part only."""
         if len(raw) <= most:
             yield raw, starts, ends, 0
             return
-        for low in range(0, len(raw) - length + 1, most - length):
+        for low in range(0, len(raw) - length + 1, most - length + 1):
             part = raw[low : low + most]
             yield part, np.array([0]), np.array([len(part)]), low
 

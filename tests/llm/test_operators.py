@@ -196,6 +196,19 @@ def test_repeats_equal_brute_force(spark, monkeypatch, length, group):
     assert collected(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == want
 
 
+@pytest.mark.parametrize("repeat", [False, True])
+def test_repeats_in_parts_of_a_long_text(spark, monkeypatch, repeat):
+    """A text of several parts: windows at their borders start once, and repeats over borders are found."""
+    real = suffix_dedup.anchors
+    monkeypatch.setattr(suffix_dedup, "anchors", lambda t, n: real(t, n, 1000))
+    text = "".join(map(chr, np.random.default_rng(5).integers(33, 127, 4500)))
+    text += text[800:1300] * repeat
+    got = suffix_dedup.removed(spark.createDataFrame([(1, text)], "doc_id bigint, text string"), 100)
+    want = [(1, *brute_removed([text], 100)[0])]
+    assert want[0][2] == 1000 * repeat
+    assert collected(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == want
+
+
 def test_repeats_empty(spark):
     assert suffix_dedup.removed(documents(spark).limit(0)).count() == 0
 
