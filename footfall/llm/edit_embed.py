@@ -10,7 +10,7 @@ Likeness weighs octaves by the steps they stand for: it estimates one minus the
 embedding. Characters are code points; the walk uses 256 classes of them, the samples the code points themselves.
 
 ``near_classes`` finds near texts: keys over some sampled places (bit-sampled bands) bring texts together, and the
-likeness of the fingerprints verifies.
+likeness of the fingerprints verifies all pairs of a bucket.
 
 Defined results: a null text counts as empty; an empty text has an empty fingerprint and is like another empty text
 only; the next document follows by (doc_id, text), null ids first; the last is followed by the first; a table of one row
@@ -19,6 +19,7 @@ is its own next document; repeated rows follow each other; an empty table gives
 
 from __future__ import annotations
 
+import functools
 import hashlib
 
 import numpy as np
@@ -34,6 +35,8 @@ PERIOD = 4096
 FIRST = 64
 SAMPLES = 32
 BANDS, BAND_PLACES = 24, 6
+#: Members of a bucket that are in one block; a task compares two blocks at a time.
+BLOCK = 512
 NEAR = 0.8
 
 
@@ -233,59 +236,153 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     return in_order_with_next(docs).mapInArrow(tidy(go), schema)
 
 
-def near_classes(prints: DataFrame, near: float = NEAR) -> DataFrame:
+@functools.cache
+def _band_places(octave: int, band: int) -> np.ndarray:
+    return np.random.default_rng([octave, band]).choice(SAMPLES, BAND_PLACES, replace=False)
+
+
+def band_words(prints: np.ndarray, tops: np.ndarray) -> np.ndarray:
+    """One row of 2 * BANDS words for each fingerprint: octave and sampled bytes of each band, 0 where there is no band.
+
+    The two upper octaves have a place each by whether they are odd, so texts share a bucket where their words are equal.
+    """
+    out = np.zeros((len(prints), 2, BANDS), np.uint64)
+    lines = prints.reshape(len(prints), -1, SAMPLES)
+    for octave in range(lines.shape[1]):
+        rows = np.flatnonzero((tops - 1 == octave) | (tops - 2 == octave))
+        part = lines[rows, octave]
+        for b in range(BANDS if len(rows) else 0):
+            got = part[:, _band_places(octave, b)].astype(np.uint64)
+            word = np.full(len(rows), np.uint64(octave + 1))
+            for p in range(BAND_PLACES):
+                word = (word << np.uint64(8)) | got[:, p]
+            out[rows, octave % 2, b] = np.where((got != 0).all(axis=1), word, np.uint64(0))
+    return out.reshape(len(prints), 2 * BANDS)
+
+
+def _matrix(column) -> tuple[np.ndarray, np.ndarray]:
+    """Fingerprints of an Arrow binary column, filled up with 0 to one length, and the number of octaves of each."""
+    raw = column.to_pylist()
+    width = max(map(len, raw), default=0)
+    prints = np.frombuffer(b"".join(x.ljust(width, b"\0") for x in raw), np.uint8).reshape(len(raw), width)
+    return prints, np.array([len(x) // SAMPLES for x in raw], np.int64)
+
+
+def _cell_links(block, two: bool, slot: int, prints, words, near: float):
+    """Links of the pairs of one cell: a spanning forest of member numbers, and how many links each member has.
+
+    A cell of two blocks pairs their members with each other, a cell of one block its members. A pair that shares several
+    buckets is taken in the first only, so each link counts once.
+    """
+    n = len(block)
+    lines = prints.reshape(n, -1, SAMPLES)
+    weight = np.array([FIRST if k == 0 else FIRST << (k - 1) for k in range(lines.shape[1])], float)
+    degree, parent, forest = np.zeros(n, np.int64), list(range(n)), []
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for i in range(n - 1):
+        j = np.arange(i + 1, n)
+        if two:
+            j = j[block[j] != block[i]]
+        before = (words[j, :slot] == words[i, :slot]) & (words[i, :slot] != 0)
+        j = j[~before.any(axis=1)]
+        if not len(j):
+            continue
+        used = (lines[j] != 0) | (lines[i] != 0)
+        same = ((lines[j] == lines[i]) & used).sum(axis=2) @ weight
+        j = j[same / (used.sum(axis=2) @ weight) >= near]
+        degree[i] += len(j)
+        degree[j] += 1
+        for k in j.tolist():
+            if (x := find(i)) != (y := find(k)):
+                parent[max(x, y)] = min(x, y)
+                forest.append((i, k))
+    return forest, degree
+
+
+def near_classes(prints: DataFrame, near: float = NEAR, block: int = BLOCK) -> DataFrame:
     """doc_id, component_id, n_links of fingerprints (doc_id, fingerprint): classes of texts of likeness ``near`` or more.
 
-    Equal fingerprints are one class. Each of BANDS keys takes BAND_PLACES sampled places of the two upper octaves; the
-    least member of a bucket is compared with every other one, so no bucket is paired within itself.
+    Equal fingerprints are one class; n_links counts the other fingerprints that are near and share a bucket. Each of
+    BANDS keys takes BAND_PLACES sampled places of the two upper octaves. All pairs of a bucket are compared: its members
+    are dealt to blocks of about ``block``, and each pair of blocks is a cell that one task handles alone. A cell gives
+    counts and a spanning forest, so no list of pairs is written; the comparisons grow with the square of a bucket.
     """
     import pyarrow as pa
 
-    same = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    same = written(same.filter(F.col("fingerprint") != ""), "prints")
+    same = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("rep"))
+    same = written(same.filter(F.col("fingerprint") != "").select("fingerprint", "rep", F.monotonically_increasing_id().alias("id")), "prints")
 
     def bands(batches):
         for batch in batches:
-            ids, keys = [], []
-            for rep, text in zip(batch.column("rep").to_pylist(), batch.column("fingerprint").to_pylist(), strict=True):
-                raw = bytes.fromhex(text)
-                for octave in range(max(0, len(raw) // SAMPLES - 2), len(raw) // SAMPLES):
-                    part = raw[octave * SAMPLES : (octave + 1) * SAMPLES]
-                    for b in range(BANDS):
-                        rng = np.random.default_rng([octave, b])
-                        places = rng.choice(SAMPLES, BAND_PLACES, replace=False)
-                        got = bytes(part[p] for p in places)
-                        if 0 in got:
-                            continue
-                        ids.append(rep)
-                        keys.append(hashlib.blake2b(bytes([octave, b]) + got, digest_size=8).digest())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(np.frombuffer(b"".join(keys), np.int64))], names=["id", "key"]
-            )
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                words = band_words(*_matrix(part.column("raw")))
+                row, slot = np.nonzero(words)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("id").take(pa.array(row)), pa.array(slot.astype(np.int32)), pa.array(words[row, slot].view(np.int64))],
+                    names=["id", "slot", "word"],
+                )
 
-    bucket = same.select("rep", "fingerprint").mapInArrow(tidy(bands), "id bigint, key bigint")
-    least = bucket.groupBy("key").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    pairs = bucket.join(least, "key").filter("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b"))
-    pairs = pairs.distinct()
-    left = same.select(F.col("rep").alias("a"), F.col("fingerprint").alias("fa"))
-    right = same.select(F.col("rep").alias("b"), F.col("fingerprint").alias("fb"))
+    raw = same.select("id", F.unhex("fingerprint").alias("raw"))
+    bucket = written(raw.mapInArrow(tidy(bands), "id bigint, slot int, word bigint"), "print-bands")
+    sizes = bucket.groupBy("slot", "word").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    placed = join_groups(bucket, sizes, ["slot", "word"], F.col("id")).filter("n > 1")
+    blocks = F.ceil(F.col("n") / block)
+    placed = placed.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    other = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))
+    cells = placed.withColumn("other", other).select(
+        "id", "slot", "block", (F.col("block") != F.col("other")).alias("two"), F.xxhash64("slot", "word", F.least("block", "other"), F.greatest("block", "other")).alias("cell")
+    )
+    cells = cells.join(raw, "id")
 
     def judge(batches):
+        held = None
         for batch in batches:
-            good = [
-                likeness(bytes.fromhex(x), bytes.fromhex(y)) >= near
-                for x, y in zip(batch.column("fa").to_pylist(), batch.column("fb").to_pylist(), strict=True)
-            ]
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-    links = written(pairs.join(left, "a").join(right, "b").mapInArrow(tidy(judge), "a bigint, b bigint"), "print-links")
-    degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
-    found = components(links).select(F.col("node").alias("rep"), "component")
-    classes = same.join(found, "rep", "left").join(degree, "rep", "left").select(
-        "fingerprint",
-        F.coalesce("component", "rep").alias("component"),
-        F.coalesce("n_links", F.lit(0)).alias("links"),
-    )
+            table = pa.Table.from_batches([batch])
+            if held is not None:
+                table = pa.concat_tables([held, table])
+            cell = table.column("cell").to_numpy()
+            cut = int(np.searchsorted(cell, cell[-1], side="left")) if len(cell) else 0
+            held = table.slice(cut)
+            if cut:
+                yield groups(table.slice(0, cut))
+        if held is not None and held.num_rows:
+            yield groups(held)
+
+    def groups(table):
+        cell, slot = table.column("cell").to_numpy(), table.column("slot").to_numpy()
+        ids, part = table.column("id").to_numpy(), table.column("block").to_numpy()
+        two, (matrix, tops) = np.array(table.column("two").to_pylist(), bool), _matrix(table.column("raw"))
+        words = band_words(matrix, tops)
+        starts = np.concatenate([[0], np.flatnonzero(cell[1:] != cell[:-1]) + 1, [len(cell)]])
+        a, b, count = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for lo, hi in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+            if hi - lo < 2:
+                continue
+            wide = int(tops[lo:hi].max()) * SAMPLES
+            forest, degree = _cell_links(part[lo:hi], bool(two[lo]), int(slot[lo]), matrix[lo:hi, :wide], words[lo:hi], near)
+            ends = np.array(forest, np.int64).reshape(-1, 2) + lo
+            some = np.flatnonzero(degree)
+            # A count is a row from a member to itself.
+            a += [ids[ends[:, 0]], ids[some + lo]]
+            b += [ids[ends[:, 1]], ids[some + lo]]
+            count += [np.zeros(len(ends), np.int64), degree[some]]
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (a, b, count)], names=["a", "b", "n"])
+
+    dealt = cells.repartition("cell").sortWithinPartitions("cell", "block")
+    links = written(dealt.mapInArrow(tidy(judge), "a bigint, b bigint, n bigint"), "print-links")
+    degree = links.groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n_links"))
+    found = components(links.select("a", "b")).select(F.col("node").alias("id"), F.col("component").alias("root"))
+    known = same.join(found, "id", "left").join(degree, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    known = written(known.select("fingerprint", "rep", "root", F.coalesce("n_links", F.lit(0)).alias("links")), "print-classes")
+    least = known.groupBy("root").agg(F.min("rep").alias("component"))
+    classes = known.join(least, "root").select("fingerprint", "component", "links")
     joined = join_groups(prints.select("doc_id", "fingerprint"), classes, ["fingerprint"], F.col("doc_id"))
     return joined.select(
         "doc_id", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("links", F.lit(0)).alias("n_links")
@@ -294,3 +391,8 @@ def near_classes(prints: DataFrame, near: float = NEAR) -> DataFrame:
 
 def fingerprint_query(spark, sf_dir: str) -> DataFrame:
     return edited_fingerprints(documents(spark, sf_dir))
+
+
+def near_query(spark, sf_dir: str) -> DataFrame:
+    prints = written(fingerprints(documents(spark, sf_dir)).select("doc_id", "fingerprint"), "fingerprints")
+    return near_classes(prints)

@@ -352,6 +352,51 @@ def test_near_classes(spark):
     assert all(len({got[i] for i in ids}) == 1 for ids in by_text.values())
 
 
+@pytest.mark.parametrize("block", [512, 3])
+def test_near_classes_equal_brute_force(spark, block):
+    """Texts a few edits apart, and a bucket of texts that share an octave of samples but are not near its least member."""
+    rng = np.random.default_rng(3)
+    data = {}
+    for group in range(8):
+        base = bytes(rng.integers(1, 256, 5 * edit_embed.SAMPLES, dtype=np.uint8))
+        for _ in range(4):
+            copy = bytearray(base)
+            for p in rng.integers(0, len(base), 9):
+                copy[p] = rng.integers(1, 256)
+            data[len(data)] = bytes(copy)
+    shared = bytes(rng.integers(1, 256, edit_embed.SAMPLES, dtype=np.uint8))
+    for _ in range(30):
+        # The upper octave but one is the same for all, the last is not, but for pairs.
+        low, last = (bytes(rng.integers(1, 256, n * edit_embed.SAMPLES, dtype=np.uint8)) for n in (3, 1))
+        for end in (last, bytes([last[0] % 255 + 1]) + last[1:]):
+            data[len(data)] = low + shared + end
+    data[len(data)] = data[3]
+    prints = spark.createDataFrame([(i, x.hex()) for i, x in data.items()], "doc_id bigint, fingerprint string")
+
+    def words(x):
+        return edit_embed.band_words(np.frombuffer(x, np.uint8)[None, :], np.array([len(x) // edit_embed.SAMPLES]))[0]
+
+    texts = sorted(set(data.values()))
+    keys = [words(x) for x in texts]
+    links = defaultdict(set)
+    for i in range(len(texts)):
+        for j in range(i):
+            if ((keys[i] == keys[j]) & (keys[i] != 0)).any() and edit_embed.likeness(texts[i], texts[j]) >= edit_embed.NEAR:
+                links[texts[i]].add(texts[j])
+                links[texts[j]].add(texts[i])
+    label = {}
+    for i, x in sorted(data.items()):
+        todo = [x]
+        while todo:
+            if (at := todo.pop()) not in label:
+                label[at] = i
+                todo += links[at]
+    want = {i: (label[x], len(links[x])) for i, x in data.items()}
+    assert sum(n > 0 for _, n in want.values()) > 60
+    got = edit_embed.near_classes(prints, block=block).collect()
+    assert len(got) == len(data) and {r["doc_id"]: (r["component_id"], r["n_links"]) for r in got} == want
+
+
 # --- 9: quality -------------------------------------------------------------------------------------------------
 
 
