@@ -73,6 +73,11 @@ def test_no_row_is_left_out(spark, sf):
     assert {x for x in network.SQL if "whole_" + x in catalogue.QUERIES} >= {"node_degrees", "shortest_paths", "degree2_chains", "edge_density_speed"}
 
 
+def test_line_features_have_every_order(spark, sf):
+    orders = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey").distinct().count()
+    assert catalogue.QUERIES["whole_line_features"](spark, sf).count() == orders
+
+
 def test_components(spark, small, edges):
     label = groups(edges)
     assert len(set(label.values())) == 4
