@@ -315,8 +315,8 @@ def near_classes(prints: DataFrame, near: float = NEAR, block: int = BLOCK) -> D
     """
     import pyarrow as pa
 
-    same = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("rep"))
-    same = written(same.filter(F.col("fingerprint") != "").select("fingerprint", "rep", F.monotonically_increasing_id().alias("id")), "prints")
+    same = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
+    same = written(same.filter(F.col("fingerprint") != "").select("fingerprint", "rep", "copies", F.monotonically_increasing_id().alias("id")), "prints")
 
     def bands(batches):
         for batch in batches:
@@ -380,10 +380,12 @@ def near_classes(prints: DataFrame, near: float = NEAR, block: int = BLOCK) -> D
     degree = links.groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n_links"))
     found = components(links.select("a", "b")).select(F.col("node").alias("id"), F.col("component").alias("root"))
     known = same.join(found, "id", "left").join(degree, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    known = written(known.select("fingerprint", "rep", "root", F.coalesce("n_links", F.lit(0)).alias("links")), "print-classes")
+    # Only classes of several texts, or linked ones, change anything; they meet by 128 bits of their fingerprints.
+    known = known.filter((F.col("copies") > 1) | F.col("n_links").isNotNull())
+    known = written(known.select(F.unhex(F.md5("fingerprint")).alias("key"), "rep", "root", F.coalesce("n_links", F.lit(0)).alias("links")), "print-classes")
     least = known.groupBy("root").agg(F.min("rep").alias("component"))
-    classes = known.join(least, "root").select("fingerprint", "component", "links")
-    joined = join_groups(prints.select("doc_id", "fingerprint"), classes, ["fingerprint"], F.col("doc_id"))
+    classes = known.join(least, "root").select("key", "component", "links")
+    joined = join_groups(prints.select("doc_id", F.unhex(F.md5("fingerprint")).alias("key")), classes, ["key"], F.col("doc_id"))
     return joined.select(
         "doc_id", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("links", F.lit(0)).alias("n_links")
     )
