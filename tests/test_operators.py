@@ -124,6 +124,28 @@ def test_patch_rolls_back(spark):
     assert spark.range(1).select(documents.patched(doc, F.slice(ops, 1, 1))).first()[0] == {"a": "1", "b": "2"}
 
 
+@pytest.mark.parametrize("n", [4, 5, 6, 40])
+def test_spline_equals_the_dense_system(n):
+    x = np.random.default_rng(n).normal(size=n)
+    a, b = np.zeros((n, n)), np.zeros(n)
+    for i in range(1, n - 1):
+        a[i, i - 1 : i + 2], b[i] = (1, 4, 1), 6 * (x[i - 1] - 2 * x[i] + x[i + 1])
+    a[0, :3] = a[-1, -3:] = 1, -2, 1
+    m = np.linalg.solve(a, b)
+    middle = (x[:-1] + x[1:]) / 2 - (m[:-1] + m[1:]) / 16
+    assert np.allclose(learning.cubic_spline(None, x, 2)["value"][1::2], middle)
+
+
+def test_spline_of_five_years_of_hours():
+    import tracemalloc
+
+    tracemalloc.start()
+    out = learning.cubic_spline(None, np.sin(np.arange(43_800) / 50), 4)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.allclose(out["value"], np.sin(out["place"] / 50), atol=1e-6) and peak < 100e6
+
+
 def test_spline_and_smoothing_keep_cubics():
     t = np.arange(12)
     x = 0.5 * t**3 - t
