@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from footfall.llm._common import join_groups, tidy, written
+from footfall.llm._common import discard, join_groups, tidy, written
 
 
 def local_forest(edges: DataFrame) -> DataFrame:
@@ -69,7 +69,8 @@ def components(edges: DataFrame) -> DataFrame:
             .filter(F.col("a") != F.col("b"))
             .distinct()
         )
-        tree = written(small, "links")
+        before, tree = tree, written(small, "links")
+        discard(before)
         # A forest of depth one: no node is both a child and a parent, and each child has one parent.
         stats = tree.groupBy("a").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n")).first()
         if not stats["n"] or (stats["n"] == 1 and tree.join(tree.select(F.col("b").alias("a")), "a", "left_semi").isEmpty()):

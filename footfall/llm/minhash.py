@@ -3,16 +3,21 @@
 1. ``signatures``: each text's distinct word shingles, a key of the whole set, its SuperMinHash signature and bands.
 2. Texts with equal sets are one class from here on; its least doc_id stands for it.
 3. Bands group the classes. Within buckets of up to ``SMALL_BUCKET`` classes, pairs whose signatures agree in
-   ``MIN_AGREE`` of the slots or more are united; larger buckets are united whole. The components of these candidate
-   links are clusters: every pair that could be near lies inside one.
-4. ``verify_clusters``: the texts of a cluster meet once, and pairs are confirmed on their full sets, most alike first,
-   skipping pairs that are connected already. A cluster of over ``BLOCK`` classes is split into blocks: first each block
-   alone, then the classes outside the cluster's main component against all blocks. So no task holds more than two
-   blocks, no pair list is ever written, and no link that matters for connectivity is lost.
+   ``MIN_AGREE`` of the slots or more are united; larger buckets are united whole, which only makes more work for the
+   next step. The components of these candidate links are clusters: every pair that could be near lies inside one.
+4. ``verify_clusters``: pairs of a cluster are confirmed on their full sets, most alike first, skipping pairs that are
+   connected already. A cluster of over ``BLOCK`` classes is split into blocks. First each block is confirmed alone, so
+   that each text goes to one task. Then one class of each group found so meets those of the other blocks, again and again, which
+   unites the parts of a large group of true copies. What is still outside the cluster's main component meets all of it, but by
+   signatures of ``WIDE`` slots only: cells of two wide blocks name the texts that agree with one outside their component
+   in ``WIDE_AGREE`` of the slots, and only those texts meet in the cells of their two blocks. So no task holds more than
+   two blocks, no pair list is ever written, a family of texts that share half of their words costs signatures and not
+   texts, and no link that matters for connectivity is lost.
 5. Components of the confirmed links; copies follow their class.
 
-A pair of likeness 0.8 shares none of the bands with probability 4e-7, and its signatures agree in less than MIN_AGREE
-of the slots with about 1e-6.
+A pair of likeness 0.8 shares none of the bands with probability 4e-7, its signatures agree in less than MIN_AGREE of the
+slots with about 1e-6, and in less than WIDE_AGREE of the wide slots with about 1e-7. The same tests hold for groups of any
+size.
 
 Defined results: null, empty and blank texts have no shingles, are linked with nothing and are kept; rows with a null
 doc_id have a null component and are kept; repeated rows share their doc_id and are kept or not together; an empty table
@@ -26,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from footfall.llm import bytewords as bw
-from footfall.llm._common import byte_buffer, documents, join_groups, text_batches, tidy, written
+from footfall.llm._common import byte_buffer, discard, documents, join_groups, text_batches, tidy, written
 from footfall.llm.components import components
 
 #: 28 bands of 4 values: a pair of likeness 0.8 shares no band with probability 4e-7.
@@ -35,6 +40,9 @@ BATCH = 1 << 20
 SMALL_BUCKET = 64
 BLOCK = 512
 MIN_AGREE = 0.6
+#: Slots of the signatures that blocks of a large cluster are compared by, the share that has to agree, and the
+#: blocks of texts in a block of signatures.
+WIDE, WIDE_AGREE, WIDE_BLOCKS = 256, 0.66, 8
 
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -141,18 +149,8 @@ def _small_bucket_links(members: DataFrame) -> DataFrame:
     need = MIN_AGREE * slots
 
     def link(batches):
-        held = None
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            if held is not None:
-                table = pa.concat_tables([held, table])
-            bucket = table.column("bucket").to_numpy()
-            cut = int(np.searchsorted(bucket, bucket[-1], side="left")) if len(bucket) else 0
-            held = table.slice(cut)
-            if cut:
-                yield from pairs(table.slice(0, cut))
-        if held is not None and held.num_rows:
-            yield from pairs(held)
+        for table in _by_bucket(batches):
+            yield from pairs(table)
 
     def pairs(table):
         bucket, ids = table.column("bucket").to_numpy(), table.column("id").to_numpy()
@@ -179,10 +177,14 @@ def candidate_clusters(reps: DataFrame) -> DataFrame:
     small = shared.filter(F.col("n") <= SMALL_BUCKET).select("bucket", "id")
     small = small.join(reps.select(F.col("doc_id").alias("id"), "sig"), "id")
     # Written first: two Python functions in one stage would hold two workers for each core.
-    return components(written(large.filter("a <> b").unionByName(_small_bucket_links(small)), "candidate-links"))
+    links = written(large.filter("a <> b").unionByName(_small_bucket_links(small)), "candidate-links")
+    discard(shared)
+    out = written(components(links), "clusters")
+    discard(links)
+    return out
 
 
-def _confirm(sets: list[np.ndarray], sig: np.ndarray | None, percent: int, left: np.ndarray, same: np.ndarray):
+def _confirm(sets: list[np.ndarray], sig: np.ndarray, percent: int, left: np.ndarray, same: np.ndarray):
     """Pairs (i, j) of a spanning forest of the confirmed links between the sets.
 
     Only pairs with one end in ``left`` and, as known so far, in different components ``same`` are tried.
@@ -205,12 +207,9 @@ def _confirm(sets: list[np.ndarray], sig: np.ndarray | None, percent: int, left:
         low, high = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
         ok = (100 * low >= percent * high) & (left[i] | left[j]) & (same[i] != same[j])
         j = j[ok]
-        if sig is not None and len(j):
-            match = (sig[j] == sig[i]).mean(axis=1)
-            j, match = j[match >= MIN_AGREE], match[match >= MIN_AGREE]
-            agree.append(match)
-        else:
-            agree.append(np.ones(len(j)))
+        match = (sig[j] == sig[i]).mean(axis=1)
+        j, match = j[match >= MIN_AGREE], match[match >= MIN_AGREE]
+        agree.append(match)
         ends_a.append(np.full(len(j), i))
         ends_b.append(j)
     if not ends_a:
@@ -236,36 +235,22 @@ def _verify(members: DataFrame, k: int, percent: int) -> DataFrame:
     import pyarrow as pa
 
     def check(batches):
-        held = None
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            if held is not None:
-                table = pa.concat_tables([held, table])
-            bucket = table.column("bucket").to_numpy()
-            cut = int(np.searchsorted(bucket, bucket[-1], side="left")) if len(bucket) else 0
-            held = table.slice(cut)
-            if cut:
-                yield from groups(table.slice(0, cut))
-        if held is not None and held.num_rows:
-            yield from groups(held)
+        for table in _by_bucket(batches):
+            yield from groups(table)
 
     def groups(table):
-        bucket = table.column("bucket").to_numpy()
-        starts = np.concatenate([[0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(bucket)]])
-        ids = table.column("id").to_numpy()
+        bucket, ids = table.column("bucket").to_numpy(), table.column("id").to_numpy()
         known, left = table.column("known").to_numpy(), np.array(table.column("left").to_pylist(), bool)
         found_a, found_b = [], []
-        for lo, hi in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+        for lo, hi in _runs(bucket):
             if hi - lo < 2:
                 continue
             sets, sigs = [], []
             for part in text_batches(table.slice(lo, hi - lo).select(["text"]).combine_chunks().to_batches(), limit=BATCH):
                 row, element, ends = text_sets(part.column("text"), k)
                 sets += np.split(element, ends[:-1])
-                if hi - lo > 8:
-                    sigs.append(bw.mix(super_minhash(row, element, part.num_rows)).astype(np.uint8))
-            sig = np.concatenate(sigs) if sigs else None
-            for i, j in _confirm(sets, sig, percent, left[lo:hi], known[lo:hi]):
+                sigs.append(bw.mix(super_minhash(row, element, part.num_rows)).astype(np.uint8))
+            for i, j in _confirm(sets, np.concatenate(sigs), percent, left[lo:hi], known[lo:hi]):
                 found_a.append(ids[lo + i])
                 found_b.append(ids[lo + j])
         yield pa.RecordBatch.from_arrays(
@@ -276,6 +261,82 @@ def _verify(members: DataFrame, k: int, percent: int) -> DataFrame:
     return dealt.mapInArrow(tidy(check), "a bigint, b bigint")
 
 
+def _by_bucket(batches):
+    """Tables of whole buckets from batches that are sorted by bucket."""
+    import pyarrow as pa
+
+    held = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        if held is not None:
+            table = pa.concat_tables([held, table])
+        bucket = table.column("bucket").to_numpy()
+        cut = int(np.searchsorted(bucket, bucket[-1], side="left")) if len(bucket) else 0
+        held = table.slice(cut)
+        if cut:
+            yield table.slice(0, cut)
+    if held is not None and held.num_rows:
+        yield held
+
+
+def _runs(bucket: np.ndarray):
+    starts = np.concatenate([[0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(bucket)]])
+    return zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)
+
+
+def _wide_signatures(texts: DataFrame, k: int) -> DataFrame:
+    """node and wide (a byte for each of WIDE slots) of texts (node, text)."""
+    import pyarrow as pa
+
+    def sign(batches):
+        for batch in text_batches(batches, limit=BATCH):
+            row, element, _ = text_sets(batch.column("text"), k)
+            sig = bw.mix(super_minhash(row, element, batch.num_rows, WIDE)).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([x.tobytes() for x in sig], pa.binary())], names=["node", "wide"])
+
+    return texts.select("node", "text").mapInArrow(tidy(sign), "node bigint, wide binary")
+
+
+def _wanted(cells: DataFrame) -> DataFrame:
+    """component, lo, hi, id: the texts that two blocks have to compare, from cells of wide signatures.
+
+    cells: bucket, component, id, block, known, left, wide. Two members are a candidate if one is left, they are in
+    different components as known so far, and their signatures agree.
+    """
+    import pyarrow as pa
+
+    def find(batches):
+        for table in _by_bucket(batches):
+            bucket, ids, block, known = (table.column(c).to_numpy() for c in ("bucket", "id", "block", "known"))
+            left = np.array(table.column("left").to_pylist(), bool)
+            raw, _, _ = byte_buffer(table.column("wide"))
+            sig, component = raw.reshape(len(ids), WIDE), table.column("component").to_numpy()
+            for a, b in _runs(bucket):
+                found = [np.zeros((0, 3), np.int64)]
+                for i in range(a, b - 1):
+                    j = np.arange(i + 1, b)
+                    j = j[(left[j] | left[i]) & (known[j] != known[i])]
+                    j = j[(sig[j] == sig[i]).sum(axis=1) >= WIDE_AGREE * WIDE]
+                    if len(j):
+                        lo, hi = np.minimum(block[j], block[i]), np.maximum(block[j], block[i])
+                        found.append(np.stack([lo, hi, ids[j]], axis=1))
+                        found.append(np.unique(np.stack([lo, hi, np.full(len(j), ids[i])], axis=1), axis=0))
+                    if len(found) > 256:
+                        found = [np.unique(np.concatenate(found), axis=0)]
+                rows = np.unique(np.concatenate(found), axis=0)
+                columns = [np.full(len(rows), component[a]), *rows.T]
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], names=["component", "lo", "hi", "id"])
+
+    dealt = cells.repartition("bucket").sortWithinPartitions("bucket", "id")
+    return dealt.mapInArrow(tidy(find), "component bigint, lo bigint, hi bigint, id bigint").distinct()
+
+
+def _joined_known(held: DataFrame, links: DataFrame) -> DataFrame:
+    """held with ``known``, the least node that the links reach."""
+    now = components(links).withColumnRenamed("component", "known")
+    return held.join(now, "node", "left").withColumn("known", F.coalesce("known", "node"))
+
+
 def verify_clusters(docs: DataFrame, clusters: DataFrame, k: int, percent: int) -> DataFrame:
     """Links (a, b) confirmed on full sets, enough to connect all that is connected inside each cluster."""
     sizes = clusters.groupBy("component").agg(F.count(F.lit(1)).alias("members"))
@@ -283,57 +344,60 @@ def verify_clusters(docs: DataFrame, clusters: DataFrame, k: int, percent: int)
     texts = docs.select(F.col("doc_id").alias("node"), "text").join(placed, "node")
     # Repeated rows of one doc_id need no second look.
     held = written(texts.dropDuplicates(["node"]), "cluster-texts")
-    blocks = F.ceil(F.col("members") / BLOCK)
-    held = held.withColumn("blocks", blocks).withColumn(
-        "block", F.pmod(F.xxhash64("node"), F.col("blocks"))
-    )
-    alone = held.select(
-        F.xxhash64("component", "block").alias("bucket"),
-        F.col("node").alias("id"),
-        "text",
-        F.col("node").alias("known"),
-        F.lit(True).alias("left"),
-    )
+    held = held.withColumn("blocks", F.ceil(F.col("members") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    fresh = (F.col("node").alias("known"), F.lit(True).alias("left"))
+    alone = held.select(F.xxhash64("component", "block").alias("bucket"), F.col("node").alias("id"), "text", *fresh)
     links = written(_verify(alone, k, percent), "near-links")
     large = held.filter(F.col("blocks") > 1)
     if large.isEmpty():
         return links
-    # Clusters of several blocks: what is not in the main component meets every block.
-    now = components(links)
-    known = (
-        large.join(now.withColumnRenamed("component", "known"), "node", "left")
-        .withColumn("known", F.coalesce("known", "node"))
-    )
-    count = known.groupBy("component", "known").agg(F.count(F.lit(1)).alias("n"))
-    main = count.groupBy("component").agg(F.max_by("known", F.struct("n", -F.col("known"))).alias("main"))
-    known = written(known.join(main, "component").withColumn("left", F.col("known") != F.col("main")), "blocks")
+    ids = large.select("node", "component", "blocks", "block")
+    before = None
+    while True:
+        # The groups found so far send one class each; blocks of these meet, until they no longer become half as many.
+        groups = _joined_known(ids, links).groupBy("component", "known").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+        heads = written(groups.select("component", F.col("known").alias("node")), "heads")
+        count = heads.groupBy("component").agg(F.count(F.lit(1)).alias("heads"))
+        found = count.agg(F.sum("heads").alias("all"), F.max("heads").alias("most")).first()
+        if not found["all"] or found["most"] < 2 or (before is not None and 2 * found["all"] > before):
+            break
+        before = found["all"]
+        meet = join_groups(heads, count, ["component"], F.col("node")).filter("heads > 1")
+        part = F.pmod(F.xxhash64("node", F.lit(before)), F.ceil(F.col("heads") / BLOCK))
+        meet = large.select("node", "text").join(meet.select("node", F.xxhash64("component", part).alias("bucket")), "node")
+        links = links.unionByName(written(_verify(meet.select("bucket", F.col("node").alias("id"), "text", *fresh), k, percent), "near-links"))
+        if found["most"] <= BLOCK:
+            break
+    # What is not in a cluster's main component meets the whole of it, first by signatures.
+    known = written(_joined_known(ids, links), "known")
+    main = known.groupBy("component", "known").agg(F.count(F.lit(1)).alias("n"))
+    main = main.groupBy("component").agg(F.max_by("known", F.struct("n", -F.col("known"))).alias("main"))
+    known = join_groups(known, main, ["component"], F.col("node")).withColumn("left", F.col("known") != F.col("main"))
     rest = known.filter("left").groupBy("component").agg(F.count(F.lit(1)).alias("rest"))
-    known = known.join(rest, "component").withColumn("rest_blocks", F.ceil(F.col("rest") / BLOCK))
-    sides = known.withColumn(
-        "cells",
-        F.when(
-            F.col("left"),
-            F.transform(
-                F.sequence(F.lit(0), F.col("blocks") - 1),
-                lambda m: F.struct(F.pmod(F.xxhash64("node", F.lit(1)), F.col("rest_blocks")).alias("r"), m.alias("m")),
-            ),
-        ).otherwise(F.array().cast("array<struct<r:bigint,m:bigint>>")),
-    ).withColumn(
-        "cells",
-        F.array_distinct(
-            F.concat(
-                "cells",
-                F.transform(
-                    F.sequence(F.lit(0), F.col("rest_blocks") - 1),
-                    lambda r: F.struct(r.alias("r"), F.col("block").alias("m")),
-                ),
-            )
-        ),
+    known = join_groups(known, rest, ["component"], F.col("node")).filter("rest IS NOT NULL").drop("main")
+    known = written(known, "blocks")
+    if known.isEmpty():
+        return links
+    wide = _wide_signatures(large.join(known.select("node"), "node", "left_semi"), k)
+    rows, columns = F.ceil(F.col("rest") / (BLOCK * WIDE_BLOCKS)), F.ceil(F.col("blocks") / WIDE_BLOCKS)
+    own = F.floor(F.col("block") / WIDE_BLOCKS)
+    as_left = F.transform(
+        F.sequence(F.lit(0), F.col("columns") - 1),
+        lambda m: F.struct(F.pmod(F.xxhash64("node", F.lit(1)), F.col("rows")).alias("r"), m.alias("m")),
     )
-    cells = sides.withColumn("cell", F.explode("cells")).select(
-        F.xxhash64("component", "cell.r", "cell.m").alias("bucket"), F.col("node").alias("id"), "text", "known", "left"
+    as_any = F.transform(F.sequence(F.lit(0), F.col("rows") - 1), lambda r: F.struct(r.alias("r"), F.col("own").alias("m")))
+    cells = (
+        known.join(wide, "node")
+        .withColumn("rows", rows)
+        .withColumn("columns", columns)
+        .withColumn("own", own)
+        .withColumn("cell", F.explode(F.when(F.col("left"), F.array_distinct(F.concat(as_left, as_any))).otherwise(as_any)))
+        .select(F.xxhash64("component", "cell.r", "cell.m").alias("bucket"), "component", F.col("node").alias("id"), "block", "known", "left", "wide")
     )
-    return links.unionByName(written(_verify(cells, k, percent), "near-links"))
+    wanted = written(_wanted(cells), "wanted-texts")
+    asked = wanted.join(known.select(F.col("node").alias("id"), "known", "left"), "id").join(held.select(F.col("node").alias("id"), "text"), "id")
+    asked = asked.select(F.xxhash64("component", "lo", "hi").alias("bucket"), "id", "text", "known", "left")
+    return links.unionByName(written(_verify(asked, k, percent), "near-links"))
 
 
 def near_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -345,7 +409,7 @@ def near_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
         "classes",
     )
     reps = full.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    clusters = written(candidate_clusters(reps), "clusters")
+    clusters = candidate_clusters(reps)
     links = verify_clusters(docs, clusters, k, percent)
     linked = components(links).select(F.col("node").alias("rep"), "component")
     groups = classes.join(linked, "rep", "left").select(

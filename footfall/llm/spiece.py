@@ -15,8 +15,8 @@ Characters that no piece has are spelt as byte pieces. ``decode`` joins pieces a
 
 Defined results: a null or empty text has no ids; decoding gives the normalised text (U+2581 itself becomes a blank);
 repeated rows give repeated results; an empty table gives no rows; other columns pass through ``encode_column``'s
-``keep_columns`` and are ignored by the query. Text of any length is one word list; a single word of any length is
-encoded in time in proportion to it.
+``keep_columns`` and are ignored by the query. Text of any length is one word list; a single word of any length, such as
+text without blanks, is encoded in time and memory in proportion to it.
 """
 
 from __future__ import annotations
@@ -34,6 +34,8 @@ from footfall.llm._common import documents, text_batches, tidy
 MARK = "▁"
 BATCH = 1 << 20
 KNOWN_WORDS = 300_000
+#: Longer words are not kept for other batches, which bounds the bytes of the words seen before.
+KNOWN_LENGTH = 64
 KNOWN_PAIRS = 500_000
 _WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
@@ -80,6 +82,8 @@ class PieceModel:
         #: What a walk over characters is in the middle of (the longest end of the text that begins a piece), by the
         #: walk before and a character; with it, the pieces that end here, longest first.
         self.steps: dict[str, dict[str, tuple]] = {}
+        self.walked = 0
+        self.coded = {p: np.array([i], "<i4").tobytes() for p, i in self.ids.items()}
 
     def marked(self, text: str) -> str:
         if not text:
@@ -111,86 +115,89 @@ class PieceModel:
         return found
 
     def step(self, walk: str, char: str) -> tuple:
-        """The walk after one more character and the pieces that end there: (walk, ((piece, length, ids), ...))."""
-        if len(self.steps) >= KNOWN_PAIRS:
+        """The walk after one more character and the pieces that end there, longest first; "" stands for spelt bytes."""
+        if self.walked >= KNOWN_PAIRS:
             self.steps.clear()
+            self.walked = 0
         text = walk + char
-        ends = []
-        for at in range(len(text)):
-            piece = text[at:]
-            if piece in self.ids:
-                ends.append((piece, len(piece), np.array([self.ids[piece]], "<i4").tobytes()))
+        ends = [text[at:] for at in range(len(text)) if text[at:] in self.ids]
         if char not in self.ids:
-            spelt = [self.bytes[b] for b in char.encode("utf-8", "surrogatepass")]
-            ends.append(("", 1, np.array(spelt, "<i4").tobytes()))
+            ends.append("")
         while text and text not in self.heads:
             text = text[1:]
         found = (text, tuple(ends))
         self.steps.setdefault(walk, {})[char] = found
+        self.walked += 1
         return found
 
     def encode_words(self, words) -> dict[str, bytes]:
         """The ids of each distinct word, as little-endian int32.
 
-        The words are taken in order. For each prefix of the current word the table holds the walk over its characters,
-        its last piece, its ids and its score; the rows of the prefix in common with the word before stay.
+        The words are taken in order. For each prefix of the current word the table holds the walk over its characters
+        and its last piece, which is the pointer back to the prefix before it, and for a unigram model its best score;
+        the rows of the prefix in common with the word before stay. The pieces are read off backwards once a word ends,
+        so a word takes memory in proportion to its length.
         """
-        if self.kind == "unigram":
-            return self._encode_unigram(words)
+        extend = self._extend_unigram if self.kind == "unigram" else self._extend
         out, before = {}, ""
-        walks, lasts, done = [""], [""], [b""]
-        steps, fits = self.steps, self.fits
+        walks, lasts, best = [""], [""], [0.0]
         for word in sorted(words):
             common = 0
             for x, y in zip(before, word, strict=False):
                 if x != y:
                     break
                 common += 1
-            del walks[common + 1 :], lasts[common + 1 :], done[common + 1 :]
-            walk, end = walks[-1], common
-            for char in word[common:]:
-                end += 1
-                known = steps.get(walk)
-                walk, ends = (known and known.get(char)) or self.step(walk, char)
-                for piece, size, ids in ends:
-                    last = lasts[end - size]
-                    if size == 1:
-                        break
-                    held = fits.get(piece)
-                    fit = held.get(last) if held is not None else None
-                    if fit is None:
-                        fit = self.compatible(last, piece)
-                    if fit:
-                        break
-                walks.append(walk)
-                lasts.append(piece)
-                done.append(done[end - size] + ids)
-            out[word], before = done[-1], word
+            del walks[common + 1 :], lasts[common + 1 :], best[common + 1 :]
+            extend(word, common, walks, lasts, best)
+            out[word], before = self._spelling(word, lasts), word
         return out
 
-    def _encode_unigram(self, words) -> dict[str, bytes]:
-        out, before = {}, ""
-        best, done = [0.0], [b""]
-        for word in sorted(words):
-            common = 0
-            for x, y in zip(before, word, strict=False):
-                if x != y:
+    def _extend(self, word: str, common: int, walks: list[str], lasts: list[str], best: list[float]) -> None:
+        steps, fits = self.steps, self.fits
+        walk, end = walks[-1], common
+        for char in word[common:]:
+            end += 1
+            known = steps.get(walk)
+            walk, ends = (known and known.get(char)) or self.step(walk, char)
+            for piece in ends:
+                size = len(piece)
+                if size < 2:
                     break
-                common += 1
-            del best[common + 1 :], done[common + 1 :]
-            walk = ""
-            for end, char in enumerate(word, 1):
-                known = self.steps.get(walk)
-                walk, ends = (known and known.get(char)) or self.step(walk, char)
-                if end <= common:
-                    continue
-                score, size, ids = max(
-                    (best[end - size] + self.scores.get(piece, -1e6), -size, ids) for piece, size, ids in ends
-                )
-                best.append(score)
-                done.append(done[end + size] + ids)
-            out[word], before = done[-1], word
-        return out
+                last = lasts[end - size]
+                held = fits.get(piece)
+                fit = held.get(last) if held is not None else None
+                if fit is None:
+                    fit = self.compatible(last, piece)
+                if fit:
+                    break
+            walks.append(walk)
+            lasts.append(piece)
+
+    def _extend_unigram(self, word: str, common: int, walks: list[str], lasts: list[str], best: list[float]) -> None:
+        walk = walks[-1]
+        for end in range(common + 1, len(word) + 1):
+            char = word[end - 1]
+            known = self.steps.get(walk)
+            walk, ends = (known and known.get(char)) or self.step(walk, char)
+            score, _, piece = max((best[end - (len(p) or 1)] + self.scores.get(p, -1e6), -len(p), p) for p in ends)
+            walks.append(walk)
+            best.append(score)
+            lasts.append(piece)
+
+    def _spelling(self, word: str, lasts: list[str]) -> bytes:
+        """The ids of a word whose table is complete."""
+        at, out, coded = len(word), [], self.coded
+        while at:
+            piece = lasts[at]
+            if piece:
+                out.append(coded[piece])
+                at -= len(piece)
+            else:
+                at -= 1
+                spelt = [self.bytes[b] for b in word[at].encode("utf-8", "surrogatepass")]
+                out.append(np.array(spelt, "<i4").tobytes())
+        out.reverse()
+        return b"".join(out)
 
     def decode(self, ids) -> str:
         text = b"".join(map(self.spelt.__getitem__, ids)).decode("utf-8", "replace")
@@ -219,7 +226,11 @@ class TextEncoder:
             fresh = set().union(*words)
         self.known |= self.model.encode_words(fresh)
         get = self.known.__getitem__
-        return [b"".join(map(get, w)) for w in words]
+        out = [b"".join(map(get, w)) for w in words]
+        for word in fresh:
+            if len(word) > KNOWN_LENGTH:
+                del self.known[word]
+        return out
 
 
 @functools.cache

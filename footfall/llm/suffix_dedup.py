@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from footfall.llm import bwt_merge
 from footfall.llm import bytewords as bw
-from footfall.llm._common import byte_buffer, documents, join_groups, keep_counted, shielded, text_batches, tidy, written
+from footfall.llm._common import byte_buffer, discard, documents, join_groups, keep_counted, shielded, text_batches, tidy, written
 
 LENGTH = 400
 #: Different contexts of one anchor that one task compares at most.
@@ -274,17 +274,20 @@ def _halved(rows: DataFrame, length: int) -> DataFrame:
 
 
 def repeated_spans(texts: DataFrame, length: int, group: int = GROUP) -> DataFrame:
-    """doc_id, tkey, begin, end: spans of bytes whose windows all repeat; they overlap."""
+    """doc_id, tkey, begin, end: spans of bytes whose windows all repeat; they overlap. A written table."""
     found = written(anchors(texts, length), "anchors")
     # Anchors that are there twice or more; the rest is unique.
     again = written(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("times")).filter("times > 1"), "anchor-counts")
     common = written(keep_counted(found, again, "anchor", found.count()), "common-anchors")
+    discard(found, again)
+    used = [common]
     contexts = written(
         common.groupBy("anchor", "context").agg(
             F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "tkey", "at", "lo", "hi")).alias("rep")
         ),
         "contexts",
     )
+    used.append(contexts)
     whole = contexts.filter("n > 1").select("anchor", "context", F.lit(True).alias("whole"))
     full = join_groups(common, whole, ["anchor", "context"], F.struct("doc_id", "at")).filter("whole")
     spans = full.select(
@@ -309,11 +312,15 @@ def repeated_spans(texts: DataFrame, length: int, group: int = GROUP) -> DataFra
         .withColumn("c1", F.lit(window)),
         "open-contexts",
     )
+    used.append(rows)
     while True:
         sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > group)
         sizes = written(sizes, "large-groups")
+        used.append(sizes)
         if sizes.isEmpty():
-            return spans.unionByName(compare(rows, length))
+            out = written(spans.unionByName(compare(rows, length)), "spans")
+            discard(*used)
+            return out
         spans = spans.unionByName(compare(rows.join(sizes, "key", "left_anti"), length))
         halves = written(
             _halved(join_groups(rows, sizes, ["key"], F.struct("doc_id", "at")).filter(F.col("size").isNotNull()), length),
@@ -327,6 +334,8 @@ def repeated_spans(texts: DataFrame, length: int, group: int = GROUP) -> DataFra
         tallied = written(
             join_groups(halves, same, ["key", "context"], F.struct("doc_id", "at")), "tallied"
         )
+        discard(halves)
+        used.append(tallied)
         # Settled: what is there twice or more. Each text that holds it alone so far gets its span.
         spans = spans.unionByName(
             tallied.filter("times > 1 AND n = 1").select(
@@ -364,7 +373,7 @@ def removed(
     base = docs.select(*keep_columns, *(["text"] if "text" not in keep_columns else []))
     texts = base.withColumn("tkey", F.xxhash64(F.coalesce("text", F.lit(""))))
     ids = texts.select(F.col("doc_id").cast("bigint").alias("doc_id"), "tkey", "text")
-    spans = written(repeated_spans(ids, length), "spans")
+    spans = repeated_spans(ids, length)
     merged = spans.groupBy("doc_id", "tkey").agg(F.collect_set(F.struct("begin", "end")).alias("spans"))
     joined = _join_by_text(texts, merged, "left").select(*base.columns, "spans")
     schema = StructType([f for f in base.schema.fields if f.name in keep_columns])
@@ -410,7 +419,9 @@ def removed(
 
 
 def suffix_query(spark, sf_dir: str) -> DataFrame:
-    return removed(documents(spark, sf_dir)).drop("kept")
+    """The contract's columns, and what is left as ``text``: a character cut in two is U+FFFD there, kept_sha256 is of the bytes."""
+    cut = removed(documents(spark, sf_dir))
+    return cut.withColumn("text", F.make_valid_utf8(F.col("kept").cast("string"))).drop("kept")
 
 
 #: Passages of over 50 words are meant to go; words of this length on average make them this many bytes.

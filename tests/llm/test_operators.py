@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from footfall.llm import bwt_merge, chat, components, edit_embed, langid, minhash, mixing, quality, spiece, suffix_dedup, token_files, warc
 from footfall.llm import queries as registered
-from tests.llm.fixtures import clashing, documents, rows
+from tests.llm.fixtures import clashing, documents, rows, words
 from tests.oracle import connect, same
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -115,6 +116,20 @@ def test_piece_ids_equal_the_library(spark):
     assert back == {(r[0], r[1] or "") for r in rows()}
 
 
+def test_a_very_long_word_in_bounded_memory():
+    import tracemalloc
+
+    rnd = random.Random(1)
+    word = "".join(rnd.choice("abcdeéingthe中文😀") for _ in range(1_000_000))
+    encoder = spiece.TextEncoder(spiece.PieceModel(spiece.vocabulary()))
+    tracemalloc.start()
+    ids = encoder.encode([word])[0]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.frombuffer(ids, "<i4").tolist() == library().encode(word)
+    assert peak < 200e6 and not any(len(w) > spiece.KNOWN_LENGTH for w in encoder.known)
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet=" ab\nthe  ing012é中.,!AZ▁<>s😀", max_size=60))
 def test_any_text_equals_the_library(text):
@@ -263,10 +278,61 @@ def brute_groups(data, k):
 def test_groups_equal_brute_force(spark, monkeypatch, k, block):
     monkeypatch.setattr(minhash, "BLOCK", block)
     monkeypatch.setattr(minhash, "SMALL_BUCKET", 64 if block > 2 else 3)
+    monkeypatch.setattr(minhash, "WIDE_BLOCKS", 8 if block > 2 else 2)
     got = minhash.near_groups(clashing(documents(spark)), k=k)
     assert collected(got, "doc_id", "n_shingles", "component_id", "kept") == brute_groups(rows(), k)
 
 
+def template_family(n, own, rnd, shared=90):
+    """n texts that share their first words; a likeness of shared / (shared + 2 own)."""
+    head = words(rnd, shared + 4, 10**9)
+    return [f"{head} {words(rnd, own, 10**9)}" for _ in range(n)]
+
+
+def counted_texts(monkeypatch):
+    """How many texts each call of the verification takes, from now on."""
+    taken, verify = [], minhash._verify
+
+    def counting(members, k, percent):
+        taken.append(members.count())
+        return verify(members, k, percent)
+
+    monkeypatch.setattr(minhash, "_verify", counting)
+    return taken
+
+
+def test_template_family_sends_each_text_once(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK", 16)
+    monkeypatch.setattr(minhash, "SMALL_BUCKET", 8)
+    rnd = random.Random(3)
+    texts = template_family(300, 45, rnd)
+    texts += [" ".join(["edit", *t.split(" ")[1:]]) for t in texts[:20]] + texts[40:45]
+    data = [(i, t) for i, t in enumerate(texts)]
+    taken = counted_texts(monkeypatch)
+    got = minhash.near_groups(spark.createDataFrame(data, "doc_id bigint, text string"), k=4)
+    assert collected(got, "doc_id", "n_shingles", "component_id", "kept") == brute_groups(data, 4)
+    assert taken[0] >= 300 and sum(taken) < 500
+
+
+@pytest.mark.parametrize("edits,most", [(1, 400), (5, 10**6)])
+def test_large_group_of_near_copies(spark, monkeypatch, edits, most):
+    monkeypatch.setattr(minhash, "BLOCK", 8)
+    monkeypatch.setattr(minhash, "SMALL_BUCKET", 8)
+    rnd = random.Random(4)
+    base = words(rnd, 120).split(" ")
+    texts = []
+    for i in range(120):
+        text = list(base if i % 3 else base[::-1])
+        for _ in range(rnd.randint(1, edits)):
+            text[rnd.randrange(len(text))] = words(rnd, 1)
+        texts.append(" ".join(text))
+    data = [(i, t) for i, t in enumerate(texts)]
+    taken = counted_texts(monkeypatch)
+    got = minhash.near_groups(spark.createDataFrame(data, "doc_id bigint, text string"), k=4)
+    assert collected(got, "doc_id", "n_shingles", "component_id", "kept") == brute_groups(data, 4)
+    assert sum(taken) < most
+
+
 def test_groups_empty(spark):
     assert minhash.near_groups(documents(spark).limit(0), k=4).count() == 0
 
