@@ -10,11 +10,14 @@ Likeness weighs octaves by the steps they stand for: it estimates one minus the
 embedding. Characters are code points; the walk uses 256 classes of them, the samples the code points themselves.
 
 ``near_classes`` finds near texts: keys over some sampled places (bit-sampled bands) bring texts together, and the
-likeness of the fingerprints verifies all pairs of a bucket.
+likeness of the fingerprints verifies what is in a bucket. The query returns the class of each text beside the
+fingerprints.
 
 Defined results: a null text counts as empty; an empty text has an empty fingerprint and is like another empty text
 only; the next document follows by (doc_id, text), null ids first; the last is followed by the first; a table of one row
-is its own next document; repeated rows follow each other; an empty table gives no rows; other columns are ignored.
+is its own next document; repeated rows follow each other; an empty table gives no rows; other columns are ignored. A text
+with an empty fingerprint, and one that is near no other, is a class alone; a class is named by its least doc_id, and a
+row with a null doc_id has the class of its text, which is null where no other id is in it.
 """
 
 from __future__ import annotations
@@ -23,20 +26,23 @@ import functools
 import hashlib
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from footfall.llm import blocks
 from footfall.llm import bytewords as bw
-from footfall.llm._common import documents, join_groups, tidy, written
+from footfall.llm._common import documents, discard, join_groups, text_batches, tidy, written
 from footfall.llm.components import components
 
 #: Random bits repeat after this many steps.
 PERIOD = 4096
 FIRST = 64
 SAMPLES = 32
-BANDS, BAND_PLACES = 24, 6
-#: Members of a bucket that are in one block; a task compares two blocks at a time.
-BLOCK = 512
+BANDS, BAND_PLACES = 16, 6
+#: Members of a bucket that are in one block, and the blocks on a side when a large bucket's rest meets the whole of it.
+BLOCK, WIDE_BLOCKS = 512, 4
+BATCH = 1 << 20
 NEAR = 0.8
 
 
@@ -121,7 +127,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     def go(batches):
         walker = Walker()
-        for batch in batches:
+        for batch in text_batches(batches, limit=BATCH):
             chars, prints = [], []
             for text in batch.column("text").to_pylist():
                 points = _points(text or "")
@@ -139,7 +145,8 @@ def in_order_with_next(docs: DataFrame) -> DataFrame:
     """Rows dealt to parts by ascending doc_id, with each part's successor as an extra row: part, extra, doc_id, text.
 
     A job over the ids alone finds where the parts begin; each part's first row is there twice, once more at the end of
-    the part before. The driver sees one id for each part.
+    the part before. The driver sees one id for each part, and a row's part is found among them by bisection. Rows of one
+    doc_id stay together, so ids are taken to be keys or nearly so.
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -153,12 +160,17 @@ def in_order_with_next(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), low.alias("k"))
     if not firsts:
         return rows.select(F.lit(0).alias("part"), F.lit(False).alias("extra"), "doc_id", "text")
-    n = len(firsts)
-    starts = F.array(*(F.lit(x) for x in firsts))
-    part = F.size(F.filter(starts, lambda s: s <= F.col("k"))) - 1
-    rows = rows.withColumn("part", part)
+    n, starts = len(firsts), np.array(firsts, np.int64)
+
+    @F.pandas_udf("int")
+    def placed_at(k: pd.Series) -> pd.Series:
+        """Twice the part, and 1 more for a row with the part's least id."""
+        part = np.searchsorted(starts, k.to_numpy(), side="right") - 1
+        return pd.Series(2 * part + (starts[part] == k.to_numpy()))
+
+    rows = rows.withColumn("place", placed_at("k")).withColumn("part", F.shiftright("place", 1))
     # Which of the rows with a part's least id is first, among repeated ids, is decided after they have met: all go along.
-    begins = F.array_contains(starts, F.col("k"))
+    begins = F.col("place") % 2 == 1
     twice = F.when(
         begins,
         F.array(
@@ -211,7 +223,7 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
             kinds = [pa.int64(), pa.int64(), *[pa.string()] * 3, pa.float64(), pa.float64()]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, kinds, strict=True)], names=names)
 
-        for batch in batches:
+        for batch in text_batches(batches, limit=BATCH):
             parts, extra, docs_, texts = (batch.column(c) for c in ("part", "extra", "doc_id", "text"))
             for i in range(batch.num_rows):
                 part, spare = parts[i].as_py(), extra[i].as_py()
@@ -268,55 +280,55 @@ def _matrix(column) -> tuple[np.ndarray, np.ndarray]:
     return prints, np.array([len(x) // SAMPLES for x in raw], np.int64)
 
 
-def _cell_links(block, two: bool, slot: int, prints, words, near: float):
-    """Links of the pairs of one cell: a spanning forest of member numbers, and how many links each member has.
+def _forest(prints: np.ndarray, near: float, left: np.ndarray, known: np.ndarray) -> list[tuple[int, int]]:
+    """A spanning forest of the links between fingerprints, given the components that are ``known``.
 
-    A cell of two blocks pairs their members with each other, a cell of one block its members. A pair that shares several
-    buckets is taken in the first only, so each link counts once.
+    Only pairs with one end in ``left`` are tried, and none whose ends are connected already.
     """
-    n = len(block)
+    n = len(prints)
     lines = prints.reshape(n, -1, SAMPLES)
     weight = np.array([FIRST if k == 0 else FIRST << (k - 1) for k in range(lines.shape[1])], float)
-    degree, parent, forest = np.zeros(n, np.int64), list(range(n)), []
-
-    def find(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
+    label, out = known.copy(), []
     for i in range(n - 1):
         j = np.arange(i + 1, n)
-        if two:
-            j = j[block[j] != block[i]]
-        before = (words[j, :slot] == words[i, :slot]) & (words[i, :slot] != 0)
-        j = j[~before.any(axis=1)]
-        if not len(j):
-            continue
-        used = (lines[j] != 0) | (lines[i] != 0)
-        same = ((lines[j] == lines[i]) & used).sum(axis=2) @ weight
-        j = j[same / (used.sum(axis=2) @ weight) >= near]
-        degree[i] += len(j)
-        degree[j] += 1
-        for k in j.tolist():
-            if (x := find(i)) != (y := find(k)):
-                parent[max(x, y)] = min(x, y)
-                forest.append((i, k))
-    return forest, degree
-
-
-def near_classes(prints: DataFrame, near: float = NEAR, block: int = BLOCK) -> DataFrame:
-    """doc_id, component_id, n_links of fingerprints (doc_id, fingerprint): classes of texts of likeness ``near`` or more.
-
-    Equal fingerprints are one class; n_links counts the other fingerprints that are near and share a bucket. Each of
-    BANDS keys takes BAND_PLACES sampled places of the two upper octaves. All pairs of a bucket are compared: its members
-    are dealt to blocks of about ``block``, and each pair of blocks is a cell that one task handles alone. A cell gives
-    counts and a spanning forest, so no list of pairs is written; the comparisons grow with the square of a bucket.
-    """
+        j = j[(label[j] != label[i]) & (left[j] | left[i])]
+        for part in np.array_split(j, 1 + len(j) // 1024):
+            used = (lines[part] != 0) | (lines[i] != 0)
+            same = ((lines[part] == lines[i]) & used).sum(axis=2) @ weight
+            for k in part[same >= near * (used.sum(axis=2) @ weight)].tolist():
+                if label[k] != label[i]:
+                    label[label == label[k]] = label[i]
+                    out.append((i, k))
+    return out
+
+
+def _confirmed(members: DataFrame, near: float) -> DataFrame:
+    """Links (a, b) of members (bucket, id, raw, known, left), which meet by bucket."""
     import pyarrow as pa
 
-    same = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    same = written(same.filter(F.col("fingerprint") != "").select("fingerprint", "rep", "copies", F.monotonically_increasing_id().alias("id")), "prints")
+    def judge(batches):
+        for table in blocks.whole_buckets(batches):
+            ids, known = table.column("id").to_numpy(), table.column("known").to_numpy()
+            left, found = np.array(table.column("left").to_pylist(), bool), [np.zeros((0, 2), np.int64)]
+            matrix, tops = _matrix(table.column("raw"))
+            for lo, hi in blocks.runs(table.column("bucket").to_numpy()):
+                if hi - lo > 1:
+                    prints = matrix[lo:hi, : int(tops[lo:hi].max()) * SAMPLES]
+                    found.append(np.array(_forest(prints, near, left[lo:hi], known[lo:hi]), np.int64).reshape(-1, 2) + lo)
+            ends = np.concatenate(found)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[ends[:, 0]]), pa.array(ids[ends[:, 1]])], names=["a", "b"])
+
+    dealt = members.select("bucket", "id", "raw", "known", "left").repartition("bucket").sortWithinPartitions("bucket", "id")
+    return dealt.mapInArrow(tidy(judge), "a bigint, b bigint")
+
+
+def shared_buckets(raw: DataFrame) -> DataFrame:
+    """group, node, members: the fingerprints (id, raw) that share a bucket, by bucket.
+
+    Each of BANDS keys takes BAND_PLACES sampled places of the two upper octaves. Of buckets that hold the same
+    fingerprints one is kept, so that close copies are looked at once and not once a band.
+    """
+    import pyarrow as pa
 
     def bands(batches):
         for batch in batches:
@@ -324,77 +336,54 @@ def near_classes(prints: DataFrame, near: float = NEAR, block: int = BLOCK) -> D
                 part = batch.slice(at, 4096)
                 words = band_words(*_matrix(part.column("raw")))
                 row, slot = np.nonzero(words)
+                key = bw.mix(words[row, slot] + (slot.astype(np.uint64) << np.uint64(58)) + slot.astype(np.uint64))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("id").take(pa.array(row)), pa.array(slot.astype(np.int32)), pa.array(words[row, slot].view(np.int64))],
-                    names=["id", "slot", "word"],
+                    [part.column("id").take(pa.array(row)), pa.array(key.view(np.int64))], names=["node", "group"]
                 )
 
-    raw = same.select("id", F.unhex("fingerprint").alias("raw"))
-    bucket = written(raw.mapInArrow(tidy(bands), "id bigint, slot int, word bigint"), "print-bands")
-    sizes = bucket.groupBy("slot", "word").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    placed = join_groups(bucket, sizes, ["slot", "word"], F.col("id")).filter("n > 1")
-    blocks = F.ceil(F.col("n") / block)
-    placed = placed.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
-    other = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))
-    cells = placed.withColumn("other", other).select(
-        "id", "slot", "block", (F.col("block") != F.col("other")).alias("two"), F.xxhash64("slot", "word", F.least("block", "other"), F.greatest("block", "other")).alias("cell")
-    )
-    cells = cells.join(raw, "id")
+    bucket = written(raw.mapInArrow(tidy(bands), "node bigint, group bigint"), "print-bands")
+    sizes = bucket.groupBy("group").agg(F.count(F.lit(1)).alias("members"), F.sum(F.xxhash64("node")).alias("sum")).filter("members > 1")
+    sizes = written(sizes.groupBy("members", "sum").agg(F.min("group").alias("group")).select("group", "members"), "print-buckets")
+    out = written(join_groups(bucket, sizes, ["group"], F.col("node")).filter("members IS NOT NULL"), "shared-buckets")
+    discard(bucket, sizes)
+    return out
 
-    def judge(batches):
-        held = None
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            if held is not None:
-                table = pa.concat_tables([held, table])
-            cell = table.column("cell").to_numpy()
-            cut = int(np.searchsorted(cell, cell[-1], side="left")) if len(cell) else 0
-            held = table.slice(cut)
-            if cut:
-                yield groups(table.slice(0, cut))
-        if held is not None and held.num_rows:
-            yield groups(held)
-
-    def groups(table):
-        cell, slot = table.column("cell").to_numpy(), table.column("slot").to_numpy()
-        ids, part = table.column("id").to_numpy(), table.column("block").to_numpy()
-        two, (matrix, tops) = np.array(table.column("two").to_pylist(), bool), _matrix(table.column("raw"))
-        words = band_words(matrix, tops)
-        starts = np.concatenate([[0], np.flatnonzero(cell[1:] != cell[:-1]) + 1, [len(cell)]])
-        a, b, count = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for lo, hi in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
-            if hi - lo < 2:
-                continue
-            wide = int(tops[lo:hi].max()) * SAMPLES
-            forest, degree = _cell_links(part[lo:hi], bool(two[lo]), int(slot[lo]), matrix[lo:hi, :wide], words[lo:hi], near)
-            ends = np.array(forest, np.int64).reshape(-1, 2) + lo
-            some = np.flatnonzero(degree)
-            # A count is a row from a member to itself.
-            a += [ids[ends[:, 0]], ids[some + lo]]
-            b += [ids[ends[:, 1]], ids[some + lo]]
-            count += [np.zeros(len(ends), np.int64), degree[some]]
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (a, b, count)], names=["a", "b", "n"])
-
-    dealt = cells.repartition("cell").sortWithinPartitions("cell", "block")
-    links = written(dealt.mapInArrow(tidy(judge), "a bigint, b bigint, n bigint"), "print-links")
-    degree = links.groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n_links"))
-    found = components(links.select("a", "b")).select(F.col("node").alias("id"), F.col("component").alias("root"))
-    known = same.join(found, "id", "left").join(degree, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    # Only classes of several texts, or linked ones, change anything; they meet by 128 bits of their fingerprints.
-    known = known.filter((F.col("copies") > 1) | F.col("n_links").isNotNull())
-    known = written(known.select(F.unhex(F.md5("fingerprint")).alias("key"), "rep", "root", F.coalesce("n_links", F.lit(0)).alias("links")), "print-classes")
-    least = known.groupBy("root").agg(F.min("rep").alias("component"))
-    classes = known.join(least, "root").select("key", "component", "links")
-    joined = join_groups(prints.select("doc_id", F.unhex(F.md5("fingerprint")).alias("key")), classes, ["key"], F.col("doc_id"))
-    return joined.select(
-        "doc_id", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("links", F.lit(0)).alias("n_links")
-    )
 
+def near_classes(prints: DataFrame, near: float = NEAR) -> DataFrame:
+    """The rows of prints (doc_id, fingerprint (hex), any others) with component_id: the class of near texts.
 
-def fingerprint_query(spark, sf_dir: str) -> DataFrame:
-    return edited_fingerprints(documents(spark, sf_dir))
+    Fingerprints that are equal, or share a bucket and have a likeness of ``near`` or more, are of one class, and so is
+    what these connect. A bucket is compared in blocks of about ``BLOCK``, each alone; then one member of each part found
+    meets the others' in turn, and what is left meets the whole bucket in cells of two wide blocks (see ``blocks``). Pairs
+    that are connected already are skipped, so a bucket of true copies costs its size, and no list of pairs is written.
+    """
+    same = prints.filter(F.col("fingerprint") != "").groupBy("fingerprint").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
+    same = written(same.select(F.unhex("fingerprint").alias("raw"), "rep", "copies", F.monotonically_increasing_id().alias("id")), "prints")
+    raw, shared = same.select("id", "raw"), shared_buckets(same.select("id", "raw"))
+    placed = shared.withColumn("blocks", F.ceil(F.col("members") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    alone = placed.select(F.xxhash64("group", "block").alias("bucket"), F.col("node").alias("id"))
+
+    def verify(meet):
+        members = meet.join(raw, "id").withColumn("known", F.col("id")).withColumn("left", F.lit(True))
+        return _confirmed(members, near)
+
+    links = written(verify(alone), "print-links")
+    ids = placed.filter("blocks > 1").drop("members")
+    if not ids.isEmpty():
+        links = blocks.meet_heads(ids, links, verify, BLOCK)
+        known = blocks.left_over(ids, links)
+        rest = blocks.cells(known, BLOCK, WIDE_BLOCKS).join(raw, "id")
+        links = links.unionByName(written(_confirmed(rest, near), "print-links"))
+    found = components(links).select(F.col("node").alias("id"), F.col("component").alias("root"))
+    discard(shared)
+    # Only classes of several texts, or linked ones, change anything; they meet by 128 bits of their fingerprints.
+    known = same.join(found, "id", "left").filter((F.col("copies") > 1) | F.col("root").isNotNull())
+    known = written(known.select(F.unhex(F.md5(F.lower(F.hex("raw")))).alias("_key"), "rep", F.coalesce("root", "id").alias("root")), "print-classes")
+    least = known.groupBy("root").agg(F.min("rep").alias("_class"))
+    classes = join_groups(known.select("_key", "root"), least, ["root"], F.col("_key")).select("_key", "_class")
+    joined = join_groups(prints.withColumn("_key", F.unhex(F.md5("fingerprint"))), classes, ["_key"], F.col("doc_id"))
+    return joined.select(*prints.columns, F.coalesce("_class", "doc_id").alias("component_id"))
 
 
-def near_query(spark, sf_dir: str) -> DataFrame:
-    prints = written(fingerprints(documents(spark, sf_dir)).select("doc_id", "fingerprint"), "fingerprints")
-    return near_classes(prints)
+def fingerprint_query(spark, sf_dir: str) -> DataFrame:
+    return near_classes(written(edited_fingerprints(documents(spark, sf_dir)), "fingerprints"))

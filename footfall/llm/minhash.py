@@ -30,6 +30,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from footfall.llm import blocks
 from footfall.llm import bytewords as bw
 from footfall.llm._common import byte_buffer, discard, documents, join_groups, text_batches, tidy, written
 from footfall.llm.components import components
@@ -149,7 +150,7 @@ def _small_bucket_links(members: DataFrame) -> DataFrame:
     need = MIN_AGREE * slots
 
     def link(batches):
-        for table in _by_bucket(batches):
+        for table in blocks.whole_buckets(batches):
             yield from pairs(table)
 
     def pairs(table):
@@ -235,14 +236,14 @@ def _verify(members: DataFrame, k: int, percent: int) -> DataFrame:
     import pyarrow as pa
 
     def check(batches):
-        for table in _by_bucket(batches):
+        for table in blocks.whole_buckets(batches):
             yield from groups(table)
 
     def groups(table):
         bucket, ids = table.column("bucket").to_numpy(), table.column("id").to_numpy()
         known, left = table.column("known").to_numpy(), np.array(table.column("left").to_pylist(), bool)
         found_a, found_b = [], []
-        for lo, hi in _runs(bucket):
+        for lo, hi in blocks.runs(bucket):
             if hi - lo < 2:
                 continue
             sets, sigs = [], []
@@ -261,29 +262,6 @@ def _verify(members: DataFrame, k: int, percent: int) -> DataFrame:
     return dealt.mapInArrow(tidy(check), "a bigint, b bigint")
 
 
-def _by_bucket(batches):
-    """Tables of whole buckets from batches that are sorted by bucket."""
-    import pyarrow as pa
-
-    held = None
-    for batch in batches:
-        table = pa.Table.from_batches([batch])
-        if held is not None:
-            table = pa.concat_tables([held, table])
-        bucket = table.column("bucket").to_numpy()
-        cut = int(np.searchsorted(bucket, bucket[-1], side="left")) if len(bucket) else 0
-        held = table.slice(cut)
-        if cut:
-            yield table.slice(0, cut)
-    if held is not None and held.num_rows:
-        yield held
-
-
-def _runs(bucket: np.ndarray):
-    starts = np.concatenate([[0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(bucket)]])
-    return zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)
-
-
 def _wide_signatures(texts: DataFrame, k: int) -> DataFrame:
     """node and wide (a byte for each of WIDE slots) of texts (node, text)."""
     import pyarrow as pa
@@ -298,20 +276,20 @@ def _wide_signatures(texts: DataFrame, k: int) -> DataFrame:
 
 
 def _wanted(cells: DataFrame) -> DataFrame:
-    """component, lo, hi, id: the texts that two blocks have to compare, from cells of wide signatures.
+    """group, lo, hi, id: the texts that two blocks have to compare, from cells of wide signatures.
 
-    cells: bucket, component, id, block, known, left, wide. Two members are a candidate if one is left, they are in
+    cells: bucket, group, id, block, known, left, wide. Two members are a candidate if one is left, they are in
     different components as known so far, and their signatures agree.
     """
     import pyarrow as pa
 
     def find(batches):
-        for table in _by_bucket(batches):
+        for table in blocks.whole_buckets(batches):
             bucket, ids, block, known = (table.column(c).to_numpy() for c in ("bucket", "id", "block", "known"))
             left = np.array(table.column("left").to_pylist(), bool)
             raw, _, _ = byte_buffer(table.column("wide"))
-            sig, component = raw.reshape(len(ids), WIDE), table.column("component").to_numpy()
-            for a, b in _runs(bucket):
+            sig, group = raw.reshape(len(ids), WIDE), table.column("group").to_numpy()
+            for a, b in blocks.runs(bucket):
                 found = [np.zeros((0, 3), np.int64)]
                 for i in range(a, b - 1):
                     j = np.arange(i + 1, b)
@@ -324,79 +302,37 @@ def _wanted(cells: DataFrame) -> DataFrame:
                     if len(found) > 256:
                         found = [np.unique(np.concatenate(found), axis=0)]
                 rows = np.unique(np.concatenate(found), axis=0)
-                columns = [np.full(len(rows), component[a]), *rows.T]
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], names=["component", "lo", "hi", "id"])
+                columns = [np.full(len(rows), group[a]), *rows.T]
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], names=["group", "lo", "hi", "id"])
 
     dealt = cells.repartition("bucket").sortWithinPartitions("bucket", "id")
-    return dealt.mapInArrow(tidy(find), "component bigint, lo bigint, hi bigint, id bigint").distinct()
-
-
-def _joined_known(held: DataFrame, links: DataFrame) -> DataFrame:
-    """held with ``known``, the least node that the links reach."""
-    now = components(links).withColumnRenamed("component", "known")
-    return held.join(now, "node", "left").withColumn("known", F.coalesce("known", "node"))
+    return dealt.mapInArrow(tidy(find), "group bigint, lo bigint, hi bigint, id bigint").distinct()
 
 
 def verify_clusters(docs: DataFrame, clusters: DataFrame, k: int, percent: int) -> DataFrame:
     """Links (a, b) confirmed on full sets, enough to connect all that is connected inside each cluster."""
     sizes = clusters.groupBy("component").agg(F.count(F.lit(1)).alias("members"))
-    placed = join_groups(clusters, sizes, ["component"], F.col("node"))
+    placed = join_groups(clusters, sizes, ["component"], F.col("node")).withColumnRenamed("component", "group")
     texts = docs.select(F.col("doc_id").alias("node"), "text").join(placed, "node")
     # Repeated rows of one doc_id need no second look.
     held = written(texts.dropDuplicates(["node"]), "cluster-texts")
     held = held.withColumn("blocks", F.ceil(F.col("members") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    fresh = (F.col("node").alias("known"), F.lit(True).alias("left"))
-    alone = held.select(F.xxhash64("component", "block").alias("bucket"), F.col("node").alias("id"), "text", *fresh)
-    links = written(_verify(alone, k, percent), "near-links")
+    fresh = (F.col("id").alias("known"), F.lit(True).alias("left"))
+    alone = held.select(F.xxhash64("group", "block").alias("bucket"), F.col("node").alias("id"), "text")
+    links = written(_verify(alone.select("*", *fresh), k, percent), "near-links")
     large = held.filter(F.col("blocks") > 1)
     if large.isEmpty():
         return links
-    ids = large.select("node", "component", "blocks", "block")
-    before = None
-    while True:
-        # The groups found so far send one class each; blocks of these meet, until they no longer become half as many.
-        groups = _joined_known(ids, links).groupBy("component", "known").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-        heads = written(groups.select("component", F.col("known").alias("node")), "heads")
-        count = heads.groupBy("component").agg(F.count(F.lit(1)).alias("heads"))
-        found = count.agg(F.sum("heads").alias("all"), F.max("heads").alias("most")).first()
-        if not found["all"] or found["most"] < 2 or (before is not None and 2 * found["all"] > before):
-            break
-        before = found["all"]
-        meet = join_groups(heads, count, ["component"], F.col("node")).filter("heads > 1")
-        part = F.pmod(F.xxhash64("node", F.lit(before)), F.ceil(F.col("heads") / BLOCK))
-        meet = large.select("node", "text").join(meet.select("node", F.xxhash64("component", part).alias("bucket")), "node")
-        links = links.unionByName(written(_verify(meet.select("bucket", F.col("node").alias("id"), "text", *fresh), k, percent), "near-links"))
-        if found["most"] <= BLOCK:
-            break
-    # What is not in a cluster's main component meets the whole of it, first by signatures.
-    known = written(_joined_known(ids, links), "known")
-    main = known.groupBy("component", "known").agg(F.count(F.lit(1)).alias("n"))
-    main = main.groupBy("component").agg(F.max_by("known", F.struct("n", -F.col("known"))).alias("main"))
-    known = join_groups(known, main, ["component"], F.col("node")).withColumn("left", F.col("known") != F.col("main"))
-    rest = known.filter("left").groupBy("component").agg(F.count(F.lit(1)).alias("rest"))
-    known = join_groups(known, rest, ["component"], F.col("node")).filter("rest IS NOT NULL").drop("main")
-    known = written(known, "blocks")
+    ids, text_of = large.select("node", "group", "blocks", "block"), held.select(F.col("node").alias("id"), "text")
+    links = blocks.meet_heads(ids, links, lambda meet: _verify(text_of.join(meet, "id").select("*", *fresh), k, percent), BLOCK)
+    known = blocks.left_over(ids, links)
     if known.isEmpty():
         return links
-    wide = _wide_signatures(large.join(known.select("node"), "node", "left_semi"), k)
-    rows, columns = F.ceil(F.col("rest") / (BLOCK * WIDE_BLOCKS)), F.ceil(F.col("blocks") / WIDE_BLOCKS)
-    own = F.floor(F.col("block") / WIDE_BLOCKS)
-    as_left = F.transform(
-        F.sequence(F.lit(0), F.col("columns") - 1),
-        lambda m: F.struct(F.pmod(F.xxhash64("node", F.lit(1)), F.col("rows")).alias("r"), m.alias("m")),
-    )
-    as_any = F.transform(F.sequence(F.lit(0), F.col("rows") - 1), lambda r: F.struct(r.alias("r"), F.col("own").alias("m")))
-    cells = (
-        known.join(wide, "node")
-        .withColumn("rows", rows)
-        .withColumn("columns", columns)
-        .withColumn("own", own)
-        .withColumn("cell", F.explode(F.when(F.col("left"), F.array_distinct(F.concat(as_left, as_any))).otherwise(as_any)))
-        .select(F.xxhash64("component", "cell.r", "cell.m").alias("bucket"), "component", F.col("node").alias("id"), "block", "known", "left", "wide")
-    )
-    wanted = written(_wanted(cells), "wanted-texts")
-    asked = wanted.join(known.select(F.col("node").alias("id"), "known", "left"), "id").join(held.select(F.col("node").alias("id"), "text"), "id")
-    asked = asked.select(F.xxhash64("component", "lo", "hi").alias("bucket"), "id", "text", "known", "left")
+    # What is not in a cluster's main component meets the whole of it, first by signatures.
+    wide = _wide_signatures(large.join(known.select("node"), "node", "left_semi"), k).withColumnRenamed("node", "id")
+    wanted = written(_wanted(blocks.cells(known, BLOCK, WIDE_BLOCKS).join(wide, "id")), "wanted-texts")
+    asked = wanted.join(known.select(F.col("node").alias("id"), "known", "left"), "id").join(text_of, "id")
+    asked = asked.select(F.xxhash64("group", "lo", "hi").alias("bucket"), "id", "text", "known", "left")
     return links.unionByName(written(_verify(asked, k, percent), "near-links"))
 
 

@@ -13,7 +13,6 @@ QUERIES = {
     "op6_minhash_near_dedup": minhash.minhash_query,
     "op7_chat_formatting": chat.chat_query,
     "op8_edit_fingerprints": edit_embed.fingerprint_query,
-    "op8_near_classes": edit_embed.near_query,
     "op9_quality_rules": quality.quality_query,
     "op10_mixing": mixing.mix_query,
 }

@@ -13,6 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from footfall.llm import bytewords as bw
 from footfall.llm import bwt_merge, chat, components, edit_embed, langid, minhash, mixing, quality, spiece, suffix_dedup, token_files, warc
 from footfall.llm import queries as registered
 from tests.llm.fixtures import clashing, documents, rows, words
@@ -419,8 +420,10 @@ def test_near_classes(spark):
 
 
 @pytest.mark.parametrize("block", [512, 3])
-def test_near_classes_equal_brute_force(spark, block):
+def test_near_classes_equal_brute_force(spark, monkeypatch, block):
     """Texts a few edits apart, and a bucket of texts that share an octave of samples but are not near its least member."""
+    monkeypatch.setattr(edit_embed, "BLOCK", block)
+    monkeypatch.setattr(edit_embed, "WIDE_BLOCKS", 2)
     rng = np.random.default_rng(3)
     data = {}
     for group in range(8):
@@ -457,10 +460,61 @@ def test_near_classes_equal_brute_force(spark, block):
             if (at := todo.pop()) not in label:
                 label[at] = i
                 todo += links[at]
-    want = {i: (label[x], len(links[x])) for i, x in data.items()}
-    assert sum(n > 0 for _, n in want.values()) > 60
-    got = edit_embed.near_classes(prints, block=block).collect()
-    assert len(got) == len(data) and {r["doc_id"]: (r["component_id"], r["n_links"]) for r in got} == want
+    assert sum(map(len, links.values())) > 60
+    got = edit_embed.near_classes(prints.withColumn("group", F.lit("clash")).withColumn("id", F.lit(1))).collect()
+    assert len(got) == len(data) and {r["doc_id"]: r["component_id"] for r in got} == {i: label[x] for i, x in data.items()}
+
+
+def test_fingerprints_equal_a_plain_walk():
+    walker = edit_embed.Walker()
+    rnd = random.Random(6)
+    for n in (0, 1, 2, 31, 40, 64, 200, 700):
+        text = "".join(rnd.choice("ab cdéß中😀\n") for _ in range(n))
+        written_, at, step = [], 0, 0
+        while at < len(text):
+            point = np.uint64(ord(text[at]))
+            kind = int(bw.mix(np.array([point]))[0]) & 255
+            written_.append(ord(text[at]))
+            at += int(bw.mix(np.array([kind * edit_embed.PERIOD + step % edit_embed.PERIOD], np.uint64) + np.uint64(0x8CB92BA72F3D8DD7))[0]) & 1
+            step += 1
+        want = []
+        for octave in range(edit_embed.octaves(len(written_))):
+            for place in edit_embed.sample_places(octave).tolist():
+                value = 0
+                if place < len(written_):
+                    value = int(bw.mix(np.array([written_[place] + 0x632BE59BD9B4E019], np.uint64))[0]) % 255 + 1
+                want.append(value)
+        points = edit_embed._points(text)
+        assert list(walker.fingerprint(points, walker.walk(points))) == want
+
+
+def test_near_classes_find_nine_of_ten_near_pairs(spark):
+    rnd = random.Random(8)
+    texts = []
+    for i in range(120):
+        text = words(rnd, rnd.choice([4, 8, 15, 40, 120, 400]))
+        texts.append(text)
+        for _ in range(rnd.randint(0, 3)):
+            at = rnd.randrange(len(text))
+            texts.append(text[:at] + rnd.choice(["", "x", "yz "]) + text[at + rnd.randint(0, 2) :])
+    prints = {r["doc_id"]: r["fingerprint"] for r in edit_embed.fingerprints(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    table = spark.createDataFrame(list(prints.items()), "doc_id bigint, fingerprint string")
+    got = {r["doc_id"]: r["component_id"] for r in edit_embed.near_classes(table).collect()}
+    raw = {i: bytes.fromhex(x) for i, x in prints.items()}
+    near = [(i, j) for i in raw for j in range(i) if edit_embed.likeness(raw[i], raw[j]) >= edit_embed.NEAR]
+    found = sum(got[i] == got[j] for i, j in near)
+    assert len(near) > 100 and found >= 0.9 * len(near)
+
+
+def test_edited_query_gives_classes(spark, tmp_path):
+    documents(spark).write.parquet(f"{tmp_path}/documents.parquet")
+    got = edit_embed.fingerprint_query(spark, str(tmp_path)).collect()
+    assert len(got) == len(rows())
+    assert {"doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "component_id"} == set(got[0].asDict())
+    of = {}
+    for r in got:
+        if r["fingerprint"] and r["doc_id"] is not None:
+            assert of.setdefault(r["fingerprint"], r["component_id"]) == r["component_id"] <= r["doc_id"]
 
 
 # --- 9: quality -------------------------------------------------------------------------------------------------
