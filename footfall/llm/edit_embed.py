@@ -342,8 +342,8 @@ def shared_buckets(raw: DataFrame) -> DataFrame:
                 )
 
     bucket = written(raw.mapInArrow(tidy(bands), "node bigint, group bigint"), "print-bands")
-    sizes = bucket.groupBy("group").agg(F.count(F.lit(1)).alias("members"), F.sum(F.xxhash64("node")).alias("sum")).filter("members > 1")
-    sizes = written(sizes.groupBy("members", "sum").agg(F.min("group").alias("group")).select("group", "members"), "print-buckets")
+    sizes = bucket.groupBy("group").agg(F.count(F.lit(1)).alias("members"), F.bit_xor(F.xxhash64("node")).alias("all")).filter("members > 1")
+    sizes = written(sizes.groupBy("members", "all").agg(F.min("group").alias("group")).select("group", "members"), "print-buckets")
     out = written(join_groups(bucket, sizes, ["group"], F.col("node")).filter("members IS NOT NULL"), "shared-buckets")
     discard(bucket, sizes)
     return out
