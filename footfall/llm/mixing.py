@@ -45,7 +45,6 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, max_rate:
     # Capped sources come first in the order of cap / weight. From the first that fits on, levels only fall.
     order = Window.orderBy((F.col("cap") / F.col("w")), F.col("source").asc_nulls_last())
     before = order.rowsBetween(Window.unboundedPreceding, -1)
-    rest = order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
     whole = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     levels = weighed.select(
         "source",
@@ -53,7 +52,8 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, max_rate:
         "w",
         "cap",
         (
-            (F.sum("source_size").over(whole) - F.coalesce(F.sum("cap").over(before), F.lit(0))) / F.sum("w").over(rest)
+            (F.sum("source_size").over(whole) - F.coalesce(F.sum("cap").over(before), F.lit(0)))
+            / (F.sum("w").over(whole) - F.coalesce(F.sum("w").over(before), F.lit(0)))
         ).alias("level"),
     ).withColumn("fits", F.col("level") * F.col("w") <= F.col("cap"))
     fitting = levels.withColumn("at", F.max(F.when(F.col("fits"), F.col("level"))).over(whole)).withColumn(
