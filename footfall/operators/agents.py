@@ -58,6 +58,6 @@ def created_from_weights(draws: DataFrame, shares: DataFrame) -> DataFrame:
     """
     a = draws.select("id", "bin", F.col("u").alias("at"), F.lit(1).alias("side"), F.lit(None).cast("array<string>").alias("route"))
     b = shares.select(F.lit(None).cast("bigint").alias("id"), "bin", F.col("share").alias("at"), F.lit(2).alias("side"), "route")
-    ahead = Window.partitionBy("bin").orderBy("at", "side").rowsBetween(0, Window.unboundedFollowing)
-    found = a.unionByName(b).withColumn("route", F.first(F.when(F.col("side") == 2, F.col("route")), ignorenulls=True).over(ahead))
+    ahead = Window.partitionBy("bin").orderBy(F.desc("at"), F.desc("side")).rowsBetween(Window.unboundedPreceding, 0)
+    found = a.unionByName(b).withColumn("route", F.last(F.when(F.col("side") == 2, F.col("route")), ignorenulls=True).over(ahead))
     return found.filter("side = 1").select("id", "bin", "route")

@@ -92,7 +92,9 @@ def components(edges: DataFrame) -> DataFrame:
             .agg(F.min("component").alias("m"))
         )
         near = labels.join(spread, "node").select("node", F.least("component", "m").alias("c"))
-        jump = near.select(F.col("node").alias("c"), F.col("c").alias("root"))
+        # Only nodes that are labels are looked up: few once components have grown, and then Spark broadcasts them.
+        labelled = near.select(F.col("c").alias("node")).distinct()
+        jump = near.join(labelled, "node", "left_semi").select(F.col("node").alias("c"), F.col("c").alias("root"))
         moved = _cut(near.join(jump, "c").select("node", F.least("c", "root").alias("component")))
         changed = moved.join(labels.withColumnRenamed("component", "old"), "node").filter("component <> old").isEmpty()
         labels = moved
@@ -162,6 +164,11 @@ def shortest(weights: DataFrame, sources: DataFrame, most: float = CLOSED) -> Da
         .agg(F.min("w").alias("w"))
     )
     best = _cut(sources.select(F.col("node").alias("source"), "node", F.lit(0.0).alias("dist"), F.lit(None).cast("bigint").alias("before")))
+    return _spread(arcs, best)
+
+
+def _spread(arcs: DataFrame, best: DataFrame) -> DataFrame:
+    """The least costs from best (source, node, dist, before) on over arcs (a, b, w)."""
     front = best
     while True:
         step = (
@@ -182,6 +189,39 @@ def shortest(weights: DataFrame, sources: DataFrame, most: float = CLOSED) -> Da
         best = _cut(best.join(stale, ["source", "node"], "left_anti").unionByName(front))
 
 
+def path_edges(found: DataFrame, wanted: DataFrame) -> DataFrame:
+    """source, target, step, a, b: the arcs of the best path of each wanted (source, target), step 0 at the target.
+
+    found is what ``shortest`` gave. All paths go one arc back in each round of joins; a target out of reach has no rows.
+    """
+    back = found.filter(F.col("before").isNotNull()).select("source", F.col("node").alias("b"), F.col("before").alias("a"))
+    at = wanted.select("source", "target", F.col("target").alias("b"))
+    out, step = None, 0
+    while True:
+        moved = _cut(at.join(back, ["source", "b"]).select("source", "target", F.lit(step).alias("step"), "a", "b"))
+        out = moved if out is None else out.unionByName(moved)
+        if moved.isEmpty():
+            return out
+        at, step = moved.select("source", "target", F.col("a").alias("b")), step + 1
+
+
+def shortest_with_turns(weights: DataFrame, forbidden: DataFrame, sources: DataFrame, most: float = CLOSED) -> DataFrame:
+    """source, node, dist over walks that take none of the forbidden turns (lid, next_lid).
+
+    The states are arcs and not nodes: an arc may follow another where that one ends, unless the turn is forbidden.
+    """
+    there = weights.select("lid", F.lit(1).alias("ft"), F.col("nf").alias("from"), F.col("nt").alias("to"), F.col("w_ft").alias("w"))
+    back = weights.select("lid", F.lit(0).alias("ft"), F.col("nt").alias("from"), F.col("nf").alias("to"), F.col("w_tf").alias("w"))
+    arcs = _cut(there.unionByName(back).filter(F.col("w") < most).withColumn("arc", F.col("lid") * 2 + F.col("ft")))
+    after = arcs.select(F.col("from").alias("to"), F.col("arc").alias("b"), F.col("lid").alias("next_lid"), "w")
+    turns = arcs.select("to", F.col("arc").alias("a"), "lid").join(after, "to").join(forbidden, ["lid", "next_lid"], "left_anti")
+    start = arcs.join(sources.select(F.col("node").alias("from")), "from")
+    start = start.select(F.col("from").alias("source"), F.col("arc").alias("node"), F.col("w").alias("dist"), F.lit(None).cast("bigint").alias("before"))
+    found = _spread(_cut(turns.select("a", "b", "w")), _cut(start))
+    ended = found.join(arcs.select(F.col("arc").alias("node"), "to"), "node").select("source", F.col("to").alias("node"), "dist")
+    return ended.unionByName(sources.select(F.col("node").alias("source"), "node", F.lit(0.0).alias("dist"))).groupBy("source", "node").agg(F.min("dist").alias("dist"))
+
+
 def next_hops(weights: DataFrame, destinations: DataFrame) -> DataFrame:
     """destination, node, next, dist: where to go from each node toward each destination."""
     turned = weights.select("lid", F.col("nt").alias("nf"), F.col("nf").alias("nt"), "w_ft", "w_tf")

@@ -50,14 +50,15 @@ def interpolate(df: DataFrame, keys: Sequence[str], order: str, value: str) -> D
     """Linear by position inside, flat at both ends, within each key; a key without a value stays null."""
     by = Window.partitionBy(*keys).orderBy(order)
     past = by.rowsBetween(Window.unboundedPreceding, 0)
-    future = by.rowsBetween(0, Window.unboundedFollowing)
+    # Backwards, so that this frame grows row by row as well.
+    future = Window.partitionBy(*keys).orderBy(F.desc("_i")).rowsBetween(Window.unboundedPreceding, 0)
     numbered = df.withColumn("_i", F.row_number().over(by))
     place = F.when(F.col(value).isNotNull(), F.col("_i"))
     known = (
         numbered.withColumn("_l", F.last(value, ignorenulls=True).over(past))
         .withColumn("_li", F.last(place, ignorenulls=True).over(past))
-        .withColumn("_r", F.first(value, ignorenulls=True).over(future))
-        .withColumn("_ri", F.first(place, ignorenulls=True).over(future))
+        .withColumn("_r", F.last(value, ignorenulls=True).over(future))
+        .withColumn("_ri", F.last(place, ignorenulls=True).over(future))
     )
     between = F.col("_l") + (F.col("_r") - F.col("_l")) * (F.col("_i") - F.col("_li")) / (F.col("_ri") - F.col("_li"))
     filled = F.when(F.col("_ri") > F.col("_li"), between).otherwise(F.coalesce("_l", "_r"))

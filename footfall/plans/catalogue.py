@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from footfall.plans import documents, flows, functions, network, roads, series
+from footfall.plans import demand, documents, flows, functions, network, roads, series, spatial
 
-_PARTS = (series, flows, functions, network, roads, documents)
+_PARTS = (series, flows, demand, functions, spatial, network, roads, documents)
 
 QUERIES = {name: f for part in _PARTS for name, f in part.QUERIES.items()}
 SQL = {name: text for part in _PARTS for name, text in part.SQL.items()}

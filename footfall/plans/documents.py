@@ -59,15 +59,6 @@ def csv_roundtrip(spark, d):
 
 
 def line_features(spark, d):
-    points = table(spark, d, "lineitem").filter("l_orderkey < 200").groupBy(F.col("l_orderkey").alias("lid"), F.col("l_linenumber").alias("seq")).agg(
-        F.min("l_quantity").alias("x"), F.min("l_tax").alias("y")
-    )
-    out = files.edge_features(points)
-    return out.select(F.get_json_object("value", "$.properties.lid").cast("bigint").alias("lid"), F.get_json_object("value", "$.geometry.coordinates[0][0]").cast("double").alias("x0"))
-
-
-def whole_line_features(spark, d):
-    """As line_features, of the whole table."""
     points = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("lid"), F.col("l_linenumber").alias("seq")).agg(
         F.min("l_quantity").alias("x"), F.min("l_tax").alias("y")
     )
@@ -146,8 +137,7 @@ SQL = {
     "json_patch": """SELECT n_nationkey, CASE n_nationkey % 3 WHEN 0 THEN 'name=' || n_name || ',region=' || n_regionkey || ',y=1' WHEN 1 THEN 'name=' || n_name || ',z=' || n_name
   ELSE CASE WHEN n_regionkey = 1 THEN 'name=q,region=1' END END AS patched, CAST(CASE n_nationkey % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE CASE WHEN n_regionkey = 1 THEN 1 END END AS INTEGER) AS changes FROM nation""",
     "csv_roundtrip": "SELECT n_nationkey AS k, n_name AS name, n_regionkey AS region FROM nation",
-    "line_features": "SELECT l_orderkey AS lid, arg_min(q, l_linenumber) AS x0 FROM (SELECT l_orderkey, l_linenumber, min(l_quantity) AS q FROM lineitem WHERE l_orderkey < 200 GROUP BY ALL) GROUP BY 1",
-    "whole_line_features": "SELECT l_orderkey AS lid, arg_min(q, l_linenumber) AS x0 FROM (SELECT l_orderkey, l_linenumber, min(l_quantity) AS q FROM lineitem GROUP BY ALL) GROUP BY 1",
+    "line_features": "SELECT l_orderkey AS lid, arg_min(q, l_linenumber) AS x0 FROM (SELECT l_orderkey, l_linenumber, min(l_quantity) AS q FROM lineitem GROUP BY ALL) GROUP BY 1",
     "cosine_nn": "SELECT q.vec_id AS id, round(max(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[]))), 5) AS likeness FROM embeddings q JOIN embeddings e ON q.vec_id <> e.vec_id WHERE q.vec_id % 100 = 0 GROUP BY 1",
     "pair_distance": "WITH s AS (SELECT event_type AS key, CAST(ts AS DATE) AS i, count(*) AS v FROM events GROUP BY ALL) SELECT a.key AS a, b.key AS b, round(sqrt(sum(pow(a.v - b.v, 2))), 6) AS l2, round(corr(a.v, b.v), 6) AS corr FROM s a JOIN s b ON a.i = b.i AND a.key < b.key GROUP BY ALL",
     "session_windows": """WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 2 HOUR THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),

@@ -1,4 +1,4 @@
-"""Queries over road graphs and agents. The road graph is made of parts and suppliers that share order lines."""
+"""Queries over polylines, routes and agents. ``roads`` has those over the road graph."""
 
 from __future__ import annotations
 
@@ -7,88 +7,6 @@ from pyspark.sql import functions as F
 from footfall.operators import agents, graph
 from footfall.sources.tables import table
 
-NODES = 40
-
-
-def road_edges(spark, d):
-    """A small graph, whatever the scale: at most NODES squared edges."""
-    a, b = F.col("l_partkey") % NODES, (F.col("l_suppkey") * 7 + F.col("l_linenumber")) % NODES
-    rows = table(spark, d, "lineitem").select(F.least(a, b).alias("nf"), F.greatest(a, b).alias("nt"), "l_quantity", "l_discount")
-    rows = rows.filter("nf < nt AND (nf * 3 + nt * 5) % 5 = 0 AND nf % 2 = nt % 2")
-    pairs = rows.groupBy("nf", "nt").agg(F.count(F.lit(1)).alias("cnt_ft"), F.count_if(F.col("l_discount") > 0.05).alias("cnt_tf"))
-    return pairs.select(
-        (F.col("nf") * NODES + F.col("nt")).alias("lid"), "nf", "nt", (50.0 + (F.col("nf") * 13 + F.col("nt") * 7) % 200).alias("length"),
-        (1.0 + (F.col("nf") + F.col("nt")) % 3).alias("speed"), F.greatest("cnt_ft", F.lit(1)).alias("cnt_ft"), F.greatest("cnt_tf", F.lit(1)).alias("cnt_tf"),
-        ((F.col("nf") + F.col("nt") * 2) % 13 % 4).cast("int").alias("oneway"), ((F.col("nf") * F.col("nt")) % 5).cast("double").alias("level"),
-    )
-
-
-def node_degrees(spark, d):
-    return graph.nodes(road_edges(spark, d))
-
-
-def edge_weights(spark, d):
-    out = graph.directed_weights(road_edges(spark, d), 0.6, 0.3)
-    return out.select("lid", "nf", "nt", F.round("w_ft", 6).alias("w_ft"), F.round("w_tf", 6).alias("w_tf"))
-
-
-def flood_weights(spark, d):
-    e = road_edges(spark, d)
-    return graph.flooded(graph.directed_weights(e), e, 0.5, 1.0)
-
-
-def transition_matrix(spark, d):
-    return graph.transitions(road_edges(spark, d)).select("node", "lid", "next_lid", F.round("share", 9).alias("share"))
-
-
-def connected_components(spark, d):
-    return graph.components(road_edges(spark, d))
-
-
-def small_subgraphs(spark, d):
-    return graph.drop_small(road_edges(spark, d), 0.4).select("lid", "nf", "nt")
-
-
-def shortest_paths(spark, d):
-    w = graph.directed_weights(road_edges(spark, d))
-    sources = spark.createDataFrame([(0,), (1,), (7,)], "node bigint")
-    return graph.shortest(w, sources).select("source", "node", "dist")
-
-
-def next_hop_costs(spark, d):
-    w = graph.directed_weights(road_edges(spark, d))
-    goals = spark.createDataFrame([(2,), (9,)], "node bigint")
-    return graph.next_hops(w, goals).select("destination", "node", "dist")
-
-
-def network_checks(spark, d):
-    e = road_edges(spark, d).select("lid", "nf", "nt", "length")
-    extra = e.filter("lid % 3 = 0").select((F.col("lid") + 10000).alias("lid"), F.col("nt").alias("nf"), F.col("nf").alias("nt"), "length")
-    loops = e.filter("lid % 5 = 0").select((F.col("lid") + 20000).alias("lid"), "nf", F.col("nf").alias("nt"), F.lit(0.0).alias("length"))
-    return graph.checked(e.unionByName(extra).unionByName(loops))
-
-
-def parallel_edges(spark, d):
-    e = road_edges(spark, d).select("lid", "nf", "nt", "length")
-    extra = e.filter("lid % 3 = 0").select((F.col("lid") + 10000).alias("lid"), F.col("nt").alias("nf"), F.col("nf").alias("nt"), (F.col("length") - 1).alias("length"))
-    return graph.without_parallel(e.unionByName(extra))
-
-
-def stub_removal(spark, d):
-    return graph.without_stubs(road_edges(spark, d), 150.0).select("lid", "length")
-
-
-def degree2_chains(spark, d):
-    e = road_edges(spark, d).filter("(nf + nt) % 4 = 0")
-    return graph.chains(e).groupBy("chain").agg(F.count(F.lit(1)).alias("edges"), F.sum("length").alias("length"))
-
-
-def no_turn_arms(spark, d):
-    e = road_edges(spark, d).filter("(nf + nt) % 6 <> 0")
-    points = graph.nodes(e).select("node", ((F.col("node") * 17) % 41).cast("double").alias("x"), ((F.col("node") * 29) % 37).cast("double").alias("y"))
-    return graph.no_turns(e, points)
-
-
 def polyline_arcs(spark, d):
     rows = table(spark, d, "lineitem").select(
         F.col("l_orderkey").alias("lid"), F.col("l_linenumber").alias("seq"), F.col("l_quantity").alias("x"), (F.col("l_discount") * 100).alias("y")
@@ -123,13 +41,6 @@ def population_by_type(spark, d):
     return agents.population(rows, ["locals", "tourist"])
 
 
-def edge_density_speed(spark, d):
-    e = road_edges(spark, d)
-    states = table(spark, d, "events").select((F.col("event_id") % NODES * NODES + F.col("user_id") % NODES).alias("lid"))
-    out = agents.occupancy(states, e)
-    return out.select("lid", "cnt", F.round(agents.congested_speed(F.col("cnt"), F.col("length") / 100, F.col("speed")), 6).alias("speed_t"))
-
-
 def fifo_admission(spark, d):
     q = table(spark, d, "events").select(F.col("event_type").alias("place"), F.date_trunc("hour", "ts").alias("hour"), F.col("event_id").alias("id"), F.col("ts").alias("t"))
     cap = q.select("place", "hour").distinct().withColumn("capacity", F.hour("hour") % 3 + 1)
@@ -149,58 +60,7 @@ def unique_on_edges(spark, d):
     return agents.unique_on_edges(rows, "6 hours")
 
 
-_E = f"""e AS (
-  SELECT nf * {NODES} + nt AS lid, nf, nt, CAST(50.0 + (nf * 13 + nt * 7) % 200 AS DOUBLE) AS length, CAST(1.0 + (nf + nt) % 3 AS DOUBLE) AS speed,
-    greatest(count(*), 1) AS cnt_ft, greatest(count(*) FILTER (WHERE l_discount > 0.05), 1) AS cnt_tf, CAST((nf + nt * 2) % 13 % 4 AS INTEGER) AS oneway, CAST((nf * nt) % 5 AS DOUBLE) AS level
-  FROM (SELECT least(l_partkey % {NODES}, (l_suppkey * 7 + l_linenumber) % {NODES}) AS nf, greatest(l_partkey % {NODES}, (l_suppkey * 7 + l_linenumber) % {NODES}) AS nt, l_discount FROM lineitem)
-  WHERE nf < nt AND (nf * 3 + nt * 5) % 5 = 0 AND nf % 2 = nt % 2 GROUP BY nf, nt
-)"""
-_ENDS = "ends AS (SELECT nf AS node, nt AS other, true AS forward, * FROM e UNION ALL SELECT nt AS node, nf AS other, false AS forward, * FROM e)"
-
-
-def _w(alpha: float, speed: float) -> str:
-    def one(c: str, ok: str) -> str:
-        return f"CASE WHEN oneway IN ({ok}) THEN length * ({alpha} + {speed} * (1 / speed) + ({1 - alpha - speed}) * (1.0::DOUBLE / {c} - 0.5) / 0.5) ELSE 1e8 END"
-
-    return f"w AS (SELECT lid, nf, nt, {one('cnt_ft', '0, 1')} AS w_ft, {one('cnt_tf', '0, 2')} AS w_tf, level FROM e)"
-
-
-_BOTH0 = "SELECT a, b, w FROM arcs UNION ALL SELECT a, a, 0.0::DOUBLE FROM arcs UNION ALL SELECT b, b, 0.0::DOUBLE FROM arcs"
-_PATHS = (
-    "arcs AS (SELECT a, b, min(w) AS w FROM (SELECT nf AS a, nt AS b, w_ft AS w FROM w UNION ALL SELECT nt, nf, w_tf FROM w) WHERE w < 1e8 GROUP BY ALL)"
-    f", d0 AS (SELECT a, b, min(w) AS w FROM ({_BOTH0}) GROUP BY ALL)"
-    + "".join(f", d{i} AS (SELECT x.a, y.b, min(x.w + y.w) AS w FROM d{i - 1} x JOIN d{i - 1} y ON x.b = y.a GROUP BY ALL)" for i in range(1, 7))
-)
-_REACH = (
-    "r0 AS (SELECT node AS a, other AS b FROM ends UNION SELECT node, node FROM ends)"
-    + "".join(f", r{i} AS (SELECT DISTINCT x.a, y.b FROM r{i - 1} x JOIN r{i - 1} y ON x.b = y.a)" for i in range(1, 7))
-)
-_LABELS = "labels AS (SELECT a AS node, min(b) AS component FROM r6 GROUP BY 1)"
-
 SQL = {
-    "node_degrees": f"WITH {_E}, {_ENDS} SELECT node, count(*) AS degree FROM ends GROUP BY 1",
-    "edge_weights": f"WITH {_E}, {_w(0.6, 0.3)} SELECT lid, nf, nt, round(w_ft, 6) AS w_ft, round(w_tf, 6) AS w_tf FROM w",
-    "flood_weights": f"WITH {_E}, {_w(1.0, 0.0)} SELECT lid, nf, nt, CASE WHEN level - 0.5 > 1 OR level = 0 THEN w_ft ELSE 1e8 END AS w_ft, CASE WHEN level - 0.5 > 1 OR level = 0 THEN w_tf ELSE 1e8 END AS w_tf FROM w",
-    "transition_matrix": f"""WITH {_E}, {_ENDS}, p AS (SELECT a.node, a.lid, b.lid AS next_lid, CASE WHEN b.forward THEN b.cnt_ft ELSE b.cnt_tf END AS cnt FROM ends a JOIN ends b ON a.node = b.node AND a.lid <> b.lid)
-SELECT node, lid, next_lid, round(CASE WHEN sum(cnt) OVER (PARTITION BY node, lid) < 1 THEN 1.0::DOUBLE / count(*) OVER (PARTITION BY node, lid) ELSE cnt / CAST(sum(cnt) OVER (PARTITION BY node, lid) AS DOUBLE) END, 9) AS share FROM p""",
-    "connected_components": f"WITH {_E}, {_ENDS}, {_REACH}, {_LABELS} SELECT node, component FROM labels",
-    "small_subgraphs": f"""WITH {_E}, {_ENDS}, {_REACH}, {_LABELS}, k AS (SELECT component FROM labels GROUP BY 1 HAVING count(*) >= 0.4 * (SELECT count(*) FROM labels))
-SELECT e.lid, e.nf, e.nt FROM e JOIN labels ON labels.node = e.nf WHERE labels.component IN (SELECT component FROM k)""",
-    "shortest_paths": f"WITH {_E}, {_w(1.0, 0.0)}, {_PATHS} SELECT s AS source, b AS node, w AS dist FROM (VALUES (0), (1), (7)) t(s) JOIN d6 ON a = s UNION SELECT s, s, 0.0 FROM (VALUES (0), (1), (7)) t(s)",
-    "next_hop_costs": f"WITH {_E}, {_w(1.0, 0.0)}, {_PATHS} SELECT s AS destination, a AS node, w AS dist FROM (VALUES (2), (9)) t(s) JOIN d6 ON b = s UNION SELECT s, s, 0.0 FROM (VALUES (2), (9)) t(s)",
-    "network_checks": f"""WITH {_E}, x AS (SELECT lid, nf, nt, length FROM e UNION ALL SELECT lid + 10000, nt, nf, length FROM e WHERE lid % 3 = 0 UNION ALL SELECT lid + 20000, nf, nf, 0 FROM e WHERE lid % 5 = 0),
-c AS (SELECT *, count(*) OVER (PARTITION BY least(nf, nt), greatest(nf, nt)) AS n FROM x)
-SELECT lid, kind FROM (SELECT lid, CASE WHEN nf = nt AND length = 0 THEN 'null_loop' WHEN nf = nt THEN 'loop' WHEN n = 2 THEN 'double' WHEN n > 2 THEN 'multi' END AS kind FROM c) WHERE kind IS NOT NULL""",
-    "parallel_edges": f"""WITH {_E}, x AS (SELECT lid, nf, nt, length FROM e UNION ALL SELECT lid + 10000, nt, nf, length - 1 FROM e WHERE lid % 3 = 0)
-SELECT lid, nf, nt, length FROM x QUALIFY row_number() OVER (PARTITION BY least(nf, nt), greatest(nf, nt) ORDER BY length, lid) = 1""",
-    "stub_removal": f"WITH {_E}, {_ENDS}, g AS (SELECT node FROM ends GROUP BY 1 HAVING count(*) = 1) SELECT lid, length FROM e WHERE NOT (length < 150 AND (nf IN (SELECT node FROM g) OR nt IN (SELECT node FROM g)))",
-    "degree2_chains": f"""WITH e0 AS (WITH {_E} SELECT * FROM e WHERE (nf + nt) % 4 = 0), e AS (SELECT * FROM e0), {_ENDS}, g AS (SELECT node, min(lid) AS p, max(lid) AS q FROM ends GROUP BY 1 HAVING count(*) = 2),
-r0 AS (SELECT lid AS a, lid AS b FROM e UNION SELECT p, q FROM g UNION SELECT q, p FROM g){"".join(f", r{i} AS (SELECT DISTINCT x.a, y.b FROM r{i - 1} x JOIN r{i - 1} y ON x.b = y.a)" for i in range(1, 7))},
-c AS (SELECT a AS lid, min(b) AS chain FROM r6 GROUP BY 1) SELECT chain, count(*) AS edges, sum(length) AS length FROM c JOIN e USING (lid) GROUP BY 1""",
-    "no_turn_arms": f"""WITH e0 AS (WITH {_E} SELECT * FROM e WHERE (nf + nt) % 6 <> 0), e AS (SELECT * FROM e0), {_ENDS}, g AS (SELECT node FROM ends GROUP BY 1 HAVING count(*) = 4),
-v AS (SELECT node, lid, CAST((other * 17) % 41 - (node * 17) % 41 AS DOUBLE) AS dx, CAST((other * 29) % 37 - (node * 29) % 37 AS DOUBLE) AS dy FROM ends WHERE node IN (SELECT node FROM g)),
-u AS (SELECT node, lid, dx / sqrt(dx * dx + dy * dy) AS ux, dy / sqrt(dx * dx + dy * dy) AS uy FROM v)
-SELECT a.node, a.lid, b.lid AS opposite FROM u a JOIN u b ON a.node = b.node AND a.lid <> b.lid QUALIFY row_number() OVER (PARTITION BY a.node, a.lid ORDER BY round(a.ux * b.ux + a.uy * b.uy, 9), b.lid) = 1""",
     "polyline_arcs": """WITH p AS (SELECT l_orderkey AS lid, l_linenumber AS seq, min(l_quantity) AS x, min(l_discount * 100) AS y FROM lineitem GROUP BY ALL), a AS (SELECT *, lead(x) OVER w AS x2, lead(y) OVER w AS y2 FROM p WINDOW w AS (PARTITION BY lid ORDER BY seq)),
 l AS (SELECT lid, seq, sqrt(pow(x2 - x, 2) + pow(y2 - y, 2)) AS length FROM a WHERE x2 IS NOT NULL)
 SELECT lid, seq, round(length, 6) AS length, round(coalesce(sum(length) OVER (PARTITION BY lid ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 6) AS s0 FROM l""",
@@ -210,8 +70,6 @@ r AS (SELECT place AS route, 0.0::DOUBLE AS length, n / 10 AS weight, [place] AS
 SELECT route, length, CAST(floor(length / 2) AS BIGINT) AS bin, round(weight, 6) AS weight, round(sum(weight) OVER (PARTITION BY floor(length / 2) ORDER BY round(weight, 9) DESC, k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / sum(weight) OVER (PARTITION BY floor(length / 2)), 6) AS share FROM r""",
     "trip_stats": """SELECT user_id AS id, event_type AS kind, event_id % 900 AS triptime, event_id % 900 + user_id % 300 AS lifetime, user_id % 300 AS idle FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1""",
     "population_by_type": "SELECT CAST(ts AS DATE) AS t, count(*) FILTER (WHERE user_id % 2 = 0) AS locals, count(*) FILTER (WHERE user_id % 2 <> 0) AS tourist FROM events WHERE event_type <> 'error' GROUP BY 1",
-    "edge_density_speed": f"""WITH {_E}, s AS (SELECT event_id % {NODES} * {NODES} + user_id % {NODES} AS lid, count(*) AS c FROM events GROUP BY 1)
-SELECT e.lid, coalesce(c, 0) AS cnt, round(greatest(0.15, (1 - coalesce(c, 0) / (length / 100) / 4) * speed), 6) AS speed_t FROM e LEFT JOIN s USING (lid)""",
     "fifo_admission": """WITH q AS (SELECT event_type AS place, date_trunc('hour', ts) AS hour, event_id AS id, CAST(row_number() OVER (PARTITION BY event_type, date_trunc('hour', ts) ORDER BY ts, event_id) AS INTEGER) AS turn FROM events) SELECT * FROM q WHERE turn <= hour(hour) % 3 + 1""",
     "barrier_counts": """WITH m AS (SELECT l_partkey % 10 AS lid, l_quantity AS s, l_tax * 100 AS ds, l_returnflag = 'N' AS f FROM lineitem), b AS (SELECT 'bar' || i AS tag, i AS lid, CAST(10.0 + 3 * i AS DOUBLE) AS pos FROM range(10) t(i))
 SELECT tag, count(*) FILTER (WHERE f AND ((s < pos AND s + ds > pos) OR (s > pos AND s - ds < 0))) AS ins, count(*) FILTER (WHERE NOT f AND ((s > pos AND s - ds < pos) OR (s < pos AND s - ds < 0))) AS outs FROM m JOIN b USING (lid) GROUP BY tag""",

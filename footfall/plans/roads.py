@@ -1,8 +1,8 @@
-"""The road-graph queries over the whole table: each part-supplier pair of lineitem is an edge, and none is left out.
+"""Queries over the road graph: each part-supplier pair of lineitem is an edge, and none is left out.
 
-``network`` has the same queries on a small graph of fixed size, whose SQL can close over all pairs of nodes. Here the
-graph grows with the input. Parts are the nodes 0, 1, ..., suppliers the nodes -1, -2, ...; path queries start at every
-node whose id 100 divides. Where SQL would list all pairs of nodes or of a node's edges there is none.
+Parts are the nodes 0, 1, ..., suppliers the nodes -1, -2, ...; path queries start at every node whose id 100 divides. The
+SQL of components and paths spreads labels and costs for a fixed number of rounds, enough for a graph as tight as this
+one; where SQL would list all pairs of a node's edges there is none.
 """
 
 from __future__ import annotations
@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from footfall.operators import agents, graph
-from footfall.plans import network
 from footfall.sources.tables import table
 
 #: lid of part p and supplier s: p * PART + s * 4; the two bits left are for edges made from others.
@@ -21,7 +20,7 @@ def _lid(p, s):
     return F.col(p).cast("bigint") * PART + F.col(s).cast("bigint") * 4
 
 
-def whole_edges(spark, d):
+def road_edges(spark, d):
     rows = table(spark, d, "lineitem").select(F.col("l_partkey").cast("bigint").alias("p"), F.col("l_suppkey").cast("bigint").alias("s"), "l_discount")
     pairs = rows.groupBy("p", "s").agg(F.count(F.lit(1)).alias("cnt_ft"), F.count_if(F.col("l_discount") > 0.05).alias("cnt_tf"))
     return pairs.select(
@@ -35,72 +34,90 @@ def _hundredths(edges):
     return graph.nodes(edges).filter("node % 100 = 0").select("node")
 
 
-def whole_node_degrees(spark, d):
-    return graph.nodes(whole_edges(spark, d))
+def node_degrees(spark, d):
+    return graph.nodes(road_edges(spark, d))
 
 
-def whole_edge_weights(spark, d):
-    out = graph.directed_weights(whole_edges(spark, d), 0.6, 0.3)
+def edge_weights(spark, d):
+    out = graph.directed_weights(road_edges(spark, d), 0.6, 0.3)
     return out.select("lid", "nf", "nt", F.round("w_ft", 6).alias("w_ft"), F.round("w_tf", 6).alias("w_tf"))
 
 
-def whole_flood_weights(spark, d):
-    e = whole_edges(spark, d)
+def flood_weights(spark, d):
+    e = road_edges(spark, d)
     return graph.flooded(graph.directed_weights(e), e, 0.5, 1.0)
 
 
-def whole_transition_matrix(spark, d):
-    return graph.transitions(whole_edges(spark, d)).select("node", "lid", "next_lid", F.round("share", 9).alias("share"))
+def transition_matrix(spark, d):
+    return graph.transitions(road_edges(spark, d)).select("node", "lid", "next_lid", F.round("share", 9).alias("share"))
 
 
-def whole_connected_components(spark, d):
-    return graph.components(whole_edges(spark, d))
+def connected_components(spark, d):
+    return graph.components(road_edges(spark, d))
 
 
-def whole_small_subgraphs(spark, d):
-    return graph.drop_small(whole_edges(spark, d), 0.4).select("lid", "nf", "nt")
+def small_subgraphs(spark, d):
+    return graph.drop_small(road_edges(spark, d), 0.4).select("lid", "nf", "nt")
 
 
-def whole_shortest_paths(spark, d):
-    e = whole_edges(spark, d)
+def shortest_paths(spark, d):
+    e = road_edges(spark, d)
     return graph.shortest(graph.directed_weights(e), _hundredths(e)).select("source", "node", "dist")
 
 
-def whole_next_hop_costs(spark, d):
-    e = whole_edges(spark, d)
+def next_hop_costs(spark, d):
+    e = road_edges(spark, d)
     return graph.next_hops(graph.directed_weights(e), _hundredths(e)).select("destination", "node", "dist")
 
 
-def whole_network_checks(spark, d):
-    e = whole_edges(spark, d).select("lid", "nf", "nt", "length")
+def _best_paths(spark, d):
+    e = road_edges(spark, d)
+    stops = _hundredths(e)
+    found = graph.shortest(graph.directed_weights(e), stops)
+    wanted = found.join(stops, "node", "left_semi").select("source", F.col("node").alias("target"))
+    return graph.path_edges(found, wanted)
+
+
+def best_paths(spark, d):
+    """The arcs of the best path between every two nodes whose ids 100 divides."""
+    return _best_paths(spark, d)
+
+
+def path_usage(spark, d):
+    """How many of these paths use each arc."""
+    return _best_paths(spark, d).groupBy("a", "b").agg(F.count(F.lit(1)).alias("used"))
+
+
+def network_checks(spark, d):
+    e = road_edges(spark, d).select("lid", "nf", "nt", "length")
     extra = e.filter("lid % 3 = 0").select((F.col("lid") + 1).alias("lid"), F.col("nt").alias("nf"), F.col("nf").alias("nt"), "length")
     loops = e.filter("lid % 5 = 0").select((F.col("lid") + 2).alias("lid"), "nf", F.col("nf").alias("nt"), F.lit(0.0).alias("length"))
     return graph.checked(e.unionByName(extra).unionByName(loops))
 
 
-def whole_parallel_edges(spark, d):
-    e = whole_edges(spark, d).select("lid", "nf", "nt", "length")
+def parallel_edges(spark, d):
+    e = road_edges(spark, d).select("lid", "nf", "nt", "length")
     extra = e.filter("lid % 3 = 0").select((F.col("lid") + 1).alias("lid"), F.col("nt").alias("nf"), F.col("nf").alias("nt"), (F.col("length") - 1).alias("length"))
     return graph.without_parallel(e.unionByName(extra))
 
 
-def whole_stub_removal(spark, d):
-    return graph.without_stubs(whole_edges(spark, d), 150.0).select("lid", "length")
+def stub_removal(spark, d):
+    return graph.without_stubs(road_edges(spark, d), 150.0).select("lid", "length")
 
 
-def whole_degree2_chains(spark, d):
-    return graph.chains(whole_edges(spark, d)).groupBy("chain").agg(F.count(F.lit(1)).alias("edges"), F.sum("length").alias("length"))
+def degree2_chains(spark, d):
+    return graph.chains(road_edges(spark, d)).groupBy("chain").agg(F.count(F.lit(1)).alias("edges"), F.sum("length").alias("length"))
 
 
-def whole_no_turn_arms(spark, d):
-    e = whole_edges(spark, d)
+def no_turn_arms(spark, d):
+    e = road_edges(spark, d)
     points = graph.nodes(e).select("node", F.col("node").cast("double").alias("x"), (F.abs(F.col("node") * 29) % 37).cast("double").alias("y"))
     return graph.no_turns(e, points)
 
 
-def whole_edge_density_speed(spark, d):
+def edge_density_speed(spark, d):
     """Each event is on the edges of the lines of the order that bears its number."""
-    e = whole_edges(spark, d)
+    e = road_edges(spark, d)
     lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("event_id"), _lid("l_partkey", "l_suppkey").alias("lid"))
     states = table(spark, d, "events").select("event_id").join(lines, "event_id").select("lid")
     out = agents.occupancy(states, e)
@@ -112,19 +129,56 @@ _E = f"""e AS (
     count(*) AS cnt_ft, greatest(count(*) FILTER (WHERE l_discount > 0.05), 1) AS cnt_tf, CAST((p + s * 2) % 13 % 4 AS INTEGER) AS oneway, CAST((p * s) % 5 AS DOUBLE) AS level
   FROM (SELECT CAST(l_partkey AS BIGINT) AS p, CAST(l_suppkey AS BIGINT) AS s, l_discount FROM lineitem) GROUP BY p, s
 )"""
-_SAME = ("node_degrees", "edge_weights", "flood_weights", "stub_removal")
-
-SQL = {f"whole_{name}": network.SQL[name].replace(network._E, _E) for name in _SAME} | {
-    "whole_network_checks": network.SQL["network_checks"].replace(network._E, _E).replace("lid + 10000", "lid + 1").replace("lid + 20000", "lid + 2"),
-    "whole_parallel_edges": network.SQL["parallel_edges"].replace(network._E, _E).replace("lid + 10000", "lid + 1"),
-    "whole_degree2_chains": network.SQL["degree2_chains"].replace(network._E, _E).replace(" WHERE (nf + nt) % 4 = 0", ""),
-    "whole_no_turn_arms": f"""WITH {_E}, {network._ENDS}, g AS (SELECT node FROM ends GROUP BY 1 HAVING count(*) = 4),
+_ENDS = "ends AS (SELECT nf AS node, nt AS other, true AS forward, * FROM e UNION ALL SELECT nt AS node, nf AS other, false AS forward, * FROM e)"
+
+
+def _w(alpha: float, speed: float) -> str:
+    def one(c: str, ok: str) -> str:
+        return f"CASE WHEN oneway IN ({ok}) THEN length * ({alpha} + {speed} * (1 / speed) + ({1 - alpha - speed}) * (1.0::DOUBLE / {c} - 0.5) / 0.5) ELSE 1e8 END"
+
+    return f"w AS (SELECT lid, nf, nt, {one('cnt_ft', '0, 1')} AS w_ft, {one('cnt_tf', '0, 2')} AS w_tf, level FROM e)"
+
+
+_LABELS = (
+    "adj AS MATERIALIZED (SELECT nf AS a, nt AS b FROM e UNION SELECT nt, nf FROM e), l0 AS MATERIALIZED (SELECT a AS node, least(a, min(b)) AS c FROM adj GROUP BY a)"
+    + "".join(f", l{i} AS MATERIALIZED (SELECT adj.a AS node, least(min(x.c), min(y.c)) AS c FROM adj JOIN l{i - 1} x ON x.node = adj.b JOIN l{i - 1} y ON y.node = adj.a GROUP BY 1)" for i in range(1, 9))
+    + ", labels AS (SELECT node, c AS component FROM l8)"
+)
+
+
+def _costs(there: str, back: str) -> str:
+    """d12: the least costs from every node that 100 divides, over at most 12 arcs."""
+    return (
+        f"arcs AS MATERIALIZED (SELECT a, b, min(w) AS w FROM (SELECT nf AS a, nt AS b, {there} AS w FROM w UNION ALL SELECT nt, nf, {back} FROM w) WHERE w < 1e8 GROUP BY ALL)"
+        ", d0 AS MATERIALIZED (SELECT DISTINCT node AS s, node AS b, 0.0::DOUBLE AS w FROM ends WHERE node % 100 = 0)"
+        + "".join(f", d{i} AS MATERIALIZED (SELECT s, b, min(w) AS w FROM (SELECT s, b, w FROM d{i - 1} UNION ALL SELECT s, arcs.b, d.w + arcs.w FROM d{i - 1} d JOIN arcs ON arcs.a = d.b) GROUP BY ALL)" for i in range(1, 13))
+    )
+
+
+SQL = {
+    "node_degrees": f"WITH {_E}, {_ENDS} SELECT node, count(*) AS degree FROM ends GROUP BY 1",
+    "edge_weights": f"WITH {_E}, {_w(0.6, 0.3)} SELECT lid, nf, nt, round(w_ft, 6) AS w_ft, round(w_tf, 6) AS w_tf FROM w",
+    "flood_weights": f"WITH {_E}, {_w(1.0, 0.0)} SELECT lid, nf, nt, CASE WHEN level - 0.5 > 1 OR level = 0 THEN w_ft ELSE 1e8 END AS w_ft, CASE WHEN level - 0.5 > 1 OR level = 0 THEN w_tf ELSE 1e8 END AS w_tf FROM w",
+    "stub_removal": f"WITH {_E}, {_ENDS}, g AS (SELECT node FROM ends GROUP BY 1 HAVING count(*) = 1) SELECT lid, length FROM e WHERE NOT (length < 150 AND (nf IN (SELECT node FROM g) OR nt IN (SELECT node FROM g)))",
+    "network_checks": f"""WITH {_E}, x AS (SELECT lid, nf, nt, length FROM e UNION ALL SELECT lid + 1, nt, nf, length FROM e WHERE lid % 3 = 0 UNION ALL SELECT lid + 2, nf, nf, 0 FROM e WHERE lid % 5 = 0),
+c AS (SELECT *, count(*) OVER (PARTITION BY least(nf, nt), greatest(nf, nt)) AS n FROM x)
+SELECT lid, kind FROM (SELECT lid, CASE WHEN nf = nt AND length = 0 THEN 'null_loop' WHEN nf = nt THEN 'loop' WHEN n = 2 THEN 'double' WHEN n > 2 THEN 'multi' END AS kind FROM c) WHERE kind IS NOT NULL""",
+    "parallel_edges": f"""WITH {_E}, x AS (SELECT lid, nf, nt, length FROM e UNION ALL SELECT lid + 1, nt, nf, length - 1 FROM e WHERE lid % 3 = 0)
+SELECT lid, nf, nt, length FROM x QUALIFY row_number() OVER (PARTITION BY least(nf, nt), greatest(nf, nt) ORDER BY length, lid) = 1""",
+    "connected_components": f"WITH {_E}, {_LABELS} SELECT node, component FROM labels",
+    "small_subgraphs": f"""WITH {_E}, {_LABELS}, k AS (SELECT component FROM labels GROUP BY 1 HAVING count(*) >= 0.4 * (SELECT count(*) FROM labels))
+SELECT e.lid, e.nf, e.nt FROM e JOIN labels ON labels.node = e.nf WHERE labels.component IN (SELECT component FROM k)""",
+    "shortest_paths": f"WITH {_E}, {_ENDS}, {_w(1.0, 0.0)}, {_costs('w_ft', 'w_tf')} SELECT s AS source, b AS node, w AS dist FROM d12",
+    "next_hop_costs": f"WITH {_E}, {_ENDS}, {_w(1.0, 0.0)}, {_costs('w_tf', 'w_ft')} SELECT s AS destination, b AS node, w AS dist FROM d12",
+    "degree2_chains": f"""WITH {_E}, {_ENDS}, g AS (SELECT node, min(lid) AS p, max(lid) AS q FROM ends GROUP BY 1 HAVING count(*) = 2),
+r0 AS (SELECT lid AS a, lid AS b FROM e UNION SELECT p, q FROM g UNION SELECT q, p FROM g){"".join(f", r{i} AS (SELECT DISTINCT x.a, y.b FROM r{i - 1} x JOIN r{i - 1} y ON x.b = y.a)" for i in range(1, 7))},
+c AS (SELECT a AS lid, min(b) AS chain FROM r6 GROUP BY 1) SELECT chain, count(*) AS edges, sum(length) AS length FROM c JOIN e USING (lid) GROUP BY 1""",
+    "no_turn_arms": f"""WITH {_E}, {_ENDS}, g AS (SELECT node FROM ends GROUP BY 1 HAVING count(*) = 4),
 v AS (SELECT node, lid, CAST(other - node AS DOUBLE) AS dx, CAST(abs(other * 29) % 37 - abs(node * 29) % 37 AS DOUBLE) AS dy FROM ends WHERE node IN (SELECT node FROM g)),
 u AS (SELECT node, lid, dx / sqrt(dx * dx + dy * dy) AS ux, dy / sqrt(dx * dx + dy * dy) AS uy FROM v)
 SELECT a.node, a.lid, b.lid AS opposite FROM u a JOIN u b ON a.node = b.node AND a.lid <> b.lid QUALIFY row_number() OVER (PARTITION BY a.node, a.lid ORDER BY round(a.ux * b.ux + a.uy * b.uy, 9), b.lid) = 1""",
-    "whole_edge_density_speed": f"""WITH {_E}, s AS (SELECT CAST(l_partkey AS BIGINT) * {PART} + CAST(l_suppkey AS BIGINT) * 4 AS lid, count(*) AS c FROM events JOIN lineitem ON event_id = l_orderkey GROUP BY 1)
+    "edge_density_speed": f"""WITH {_E}, s AS (SELECT CAST(l_partkey AS BIGINT) * {PART} + CAST(l_suppkey AS BIGINT) * 4 AS lid, count(*) AS c FROM events JOIN lineitem ON event_id = l_orderkey GROUP BY 1)
 SELECT e.lid, coalesce(c, 0) AS cnt, round(greatest(0.15, (1 - coalesce(c, 0) / (length / 100) / 4) * speed), 6) AS speed_t FROM e LEFT JOIN s USING (lid)""",
 }
 
-_PATHS = ("transition_matrix", "connected_components", "small_subgraphs", "shortest_paths", "next_hop_costs")
-QUERIES = {name: globals()[name] for name in (*SQL, *(f"whole_{x}" for x in _PATHS))}
+QUERIES = {name: globals()[name] for name in (*SQL, "transition_matrix", "best_paths", "path_usage")}

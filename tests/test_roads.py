@@ -5,7 +5,8 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from footfall.plans import catalogue, network, roads
+from footfall.operators import graph
+from footfall.plans import catalogue, roads
 
 #: part, supplier, line rows: a component around the parts 0 and 100, a chain, a pair apart, and repeated pairs.
 PAIRS = [(p, s) for p, s in ((0, 0), (1, 0), (1, 1), (2, 1), (2, 2), (100, 2), (3, 2), (3, 0), (7, 5), (8, 5), (8, 6), (300, 99), (301, 99), (12, 40)) for _ in range(1 + (p + s) % 3)]
@@ -21,7 +22,7 @@ def small(spark, tmp_path_factory):
 
 @pytest.fixture(scope="module")
 def edges(spark, small):
-    return roads.whole_edges(spark, small).collect()
+    return roads.road_edges(spark, small).collect()
 
 
 def run(spark, d, name):
@@ -67,27 +68,26 @@ def costs(edges, start, turned=False):
 
 def test_no_row_is_left_out(spark, sf):
     table = spark.read.parquet(f"{sf}/lineitem.parquet")
-    got = roads.whole_edges(spark, sf)
+    got = roads.road_edges(spark, sf)
     assert got.agg({"cnt_ft": "sum"}).first()[0] == table.count()
     assert got.count() == got.select("lid").distinct().count() == table.select("l_partkey", "l_suppkey").distinct().count()
-    assert {x for x in network.SQL if "whole_" + x in catalogue.QUERIES} >= {"node_degrees", "shortest_paths", "degree2_chains", "edge_density_speed"}
 
 
 def test_line_features_have_every_order(spark, sf):
     orders = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey").distinct().count()
-    assert catalogue.QUERIES["whole_line_features"](spark, sf).count() == orders
+    assert catalogue.QUERIES["line_features"](spark, sf).count() == orders
 
 
 def test_components(spark, small, edges):
     label = groups(edges)
     assert len(set(label.values())) == 4
-    assert {r["node"]: r["component"] for r in run(spark, small, "whole_connected_components")} == label
+    assert {r["node"]: r["component"] for r in run(spark, small, "connected_components")} == label
     sizes = Counter(label.values())
     want = {e["lid"] for e in edges if sizes[label[e["nf"]]] >= 0.4 * len(label)}
-    assert {r["lid"] for r in run(spark, small, "whole_small_subgraphs")} == want and 0 < len(want) < len(edges)
+    assert {r["lid"] for r in run(spark, small, "small_subgraphs")} == want and 0 < len(want) < len(edges)
 
 
-@pytest.mark.parametrize("name,key,turned", [("whole_shortest_paths", "source", False), ("whole_next_hop_costs", "destination", True)])
+@pytest.mark.parametrize("name,key,turned", [("shortest_paths", "source", False), ("next_hop_costs", "destination", True)])
 def test_paths(spark, small, edges, name, key, turned):
     starts = [n for n in neighbours(edges) if n % 100 == 0]
     assert sorted(starts) == [-100, 0, 100, 300]
@@ -105,4 +105,51 @@ def test_transitions(spark, small, edges):
         for lid in out:
             total = sum(c for x, c in out.items() if x != lid)
             want |= {(node, lid, x): round(c / total, 9) for x, c in out.items() if x != lid}
-    assert {(r["node"], r["lid"], r["next_lid"]): r["share"] for r in run(spark, small, "whole_transition_matrix")} == want
+    assert {(r["node"], r["lid"], r["next_lid"]): r["share"] for r in run(spark, small, "transition_matrix")} == want
+
+
+def test_best_paths_lead_from_source_to_target(spark, small, edges):
+    arcs = {}
+    for e in edges:
+        if e["oneway"] in (0, 1):
+            arcs[e["nf"], e["nt"]] = e["length"]
+        if e["oneway"] in (0, 2):
+            arcs[e["nt"], e["nf"]] = e["length"]
+    stops = [n for n in neighbours(edges) if n % 100 == 0]
+    best = {s: costs(edges, s) for s in stops}
+    paths = defaultdict(dict)
+    for r in run(spark, small, "best_paths"):
+        paths[r["source"], r["target"]][r["step"]] = (r["a"], r["b"])
+    assert set(paths) == {(s, t) for s in stops for t in stops if s != t and t in best[s]}
+    for (source, target), steps in paths.items():
+        walk = [steps[i] for i in reversed(range(len(steps)))]
+        assert walk[0][0] == source and walk[-1][1] == target and all(x[1] == y[0] for x, y in zip(walk, walk[1:], strict=False))
+        assert sum(arcs[x] for x in walk) == best[source][target]
+    used = Counter(x for steps in paths.values() for x in steps.values())
+    assert {(r["a"], r["b"]): r["used"] for r in run(spark, small, "path_usage")} == used
+
+
+def test_forbidden_turns_equal_brute_force(spark, small, edges):
+    ways = [(e["lid"], a, b, e["length"]) for e in edges for a, b, ok in ((e["nf"], e["nt"], (0, 1)), (e["nt"], e["nf"], (0, 2))) if e["oneway"] in ok]
+    lids = sorted({e["lid"] for e in edges})
+    forbidden = {(x, y) for i, x in enumerate(lids) for j, y in enumerate(lids) if (i * 3 + j) % 4 == 0}
+    want = {}
+    for source in (0, -100, 100):
+        heap, best = [(w, i) for i, (_, a, _, w) in enumerate(ways) if a == source], {}
+        heapq.heapify(heap)
+        while heap:
+            cost, i = heapq.heappop(heap)
+            if i not in best:
+                best[i] = cost
+                for j, (lid, a, _, w) in enumerate(ways):
+                    if a == ways[i][2] and (ways[i][0], lid) not in forbidden:
+                        heapq.heappush(heap, (cost + w, j))
+        want[source, source] = 0.0
+        for i, cost in best.items():
+            key = (source, ways[i][2])
+            want[key] = min(cost, want.get(key, cost))
+    weights = graph.directed_weights(roads.road_edges(spark, small))
+    turns = spark.createDataFrame(sorted(forbidden), "lid bigint, next_lid bigint")
+    sources = spark.createDataFrame([(0,), (-100,), (100,)], "node bigint")
+    got = {(r["source"], r["node"]): r["dist"] for r in graph.shortest_with_turns(weights, turns, sources).collect()}
+    assert got == want
