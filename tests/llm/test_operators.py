@@ -176,6 +176,53 @@ def test_languages_of_odd_rows(spark):
     assert langid.predict(docs.limit(0), model).count() == 0
 
 
+def test_training_equals_a_plain_loop():
+    rng = np.random.default_rng(7)
+    model, classes = langid.Ftrl(3), 3
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(key):
+        if abs(z[key]) <= langid.L1:
+            return 0.0
+        sign = 1 if z[key] > 0 else -1
+        return -(z[key] - sign * langid.L1) / ((langid.BETA + n[key] ** 0.5) / langid.ALPHA + langid.L2)
+
+    for _ in range(150):
+        index = np.sort(rng.choice(40, 8, replace=False))
+        value, label = rng.random(8), int(rng.integers(classes))
+        model.learn(index, value, label)
+        scores = [sum(v * weight((i, c)) for i, v in zip(index.tolist(), value.tolist(), strict=True)) for c in range(classes)]
+        total = sum(np.exp(x) for x in scores)
+        fresh = {}
+        for c in range(classes):
+            for i, v in zip(index.tolist(), value.tolist(), strict=True):
+                g = v * (np.exp(scores[c]) / total - (c == label))
+                sigma = ((n[i, c] + g * g) ** 0.5 - n[i, c] ** 0.5) / langid.ALPHA
+                fresh[i, c] = (z[i, c] + g - sigma * weight((i, c)), n[i, c] + g * g)
+        for key, (zs, ns) in fresh.items():
+            z[key], n[key] = zs, ns
+    got = model.weights(slice(0, 40))
+    want = np.array([[weight((i, c)) for c in range(classes)] for i in range(40)])
+    assert np.allclose(got, want) and (want == 0).any() and (want != 0).any()
+
+
+def test_prediction_equals_a_plain_sum(spark):
+    model = langid.fit(documents(spark))
+    for text in ("w1 w2 abc", "ÄÖ 12 eins", words(random.Random(2), 90)):
+        index, count = langid.features(text)
+        value = [(1 + np.log(c)) * model.idf[i] for i, c in zip(index.tolist(), count.tolist(), strict=True)]
+        norm = sum(v * v for v in value) ** 0.5
+        scores = [sum(v / norm * model.weights[i, c] for i, v in zip(index.tolist(), value, strict=True)) / model.temperature for c in range(len(model.langs))]
+        p = [np.exp(x) / sum(np.exp(y) for y in scores) for x in scores]
+        lang, score = model.predict(text)
+        assert lang == model.langs[int(np.argmax(p))] and score == pytest.approx(max(p))
+
+
+def test_equal_scores_go_to_the_first_language():
+    model = langid.Model(["aa", "bb"], np.ones(langid.DIMENSIONS), np.zeros((langid.DIMENSIONS, 2)), 1.0)
+    assert model.predict("tie") == ("aa", 0.5)
+
+
 def test_temperature_calibrates():
     rng = np.random.default_rng(1)
     logits = rng.normal(size=(4000, 3)) * 2
@@ -225,6 +272,14 @@ def test_repeats_in_parts_of_a_long_text(spark, monkeypatch, repeat):
     assert collected(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == want
 
 
+def test_query_returns_what_is_left(spark, tmp_path):
+    documents(spark).write.parquet(f"{tmp_path}/documents.parquet")
+    for r in suffix_dedup.suffix_query(spark, str(tmp_path)).collect():
+        if "\ufffd" not in r["text"]:
+            assert hashlib.sha256(r["text"].encode()).hexdigest() == r["kept_sha256"]
+        assert len(r["text"].encode()) >= r["n_bytes"] - r["n_removed"]
+
+
 def test_repeats_empty(spark):
     assert suffix_dedup.removed(documents(spark).limit(0)).count() == 0
 
@@ -561,6 +616,27 @@ def test_quality_verdict_needs_the_suffix_array(spark):
     assert got == {1: (False, 80, 40, False), 2: (False, 202, 101, False), 3: (False, 200, 100, False), 4: (False, 0, 0, True)}
 
 
+def test_quality_verdict_equals_brute_force(spark):
+    rnd = random.Random(9)
+    texts = []
+    for _ in range(80):
+        text = [f"w{rnd.randrange(3000)}" for _ in range(rnd.randint(45, 150))]
+        for _ in range(rnd.randint(0, 3)):
+            at, n = rnd.randrange(len(text)), rnd.randint(5, 40)
+            to = rnd.randrange(len(text))
+            text[to:to] = text[at : at + n]
+        texts.append(text)
+    docs = spark.createDataFrame([(i, rnd.choice([" ", "\n"]).join(w)) for i, w in enumerate(texts)], "doc_id bigint, text string")
+    want = {}
+    for i, w in enumerate(texts):
+        best = brute_repeats(w)
+        covered = {p + k for p, size in enumerate(best) if size >= quality.MIN_REPEAT for k in range(size)}
+        good = len(covered) <= quality.MAX_COVERED * len(w) and max(best, default=0) <= quality.MAX_LONGEST
+        want[i] = good and not brute_quality(" ".join(w))[-1]
+    got = {r["doc_id"]: r["kept"] for r in quality.quality_rules(docs).collect()}
+    assert got == want and 20 < sum(want.values()) < 70
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.lists(st.sampled_from("abc"), max_size=25), min_size=1, max_size=5))
 def test_suffix_repeats_equal_brute_force(texts):
@@ -590,6 +666,15 @@ def test_targets_equal_repeated_sharing(spark, sizes):
         assert got[chr(97 + i)] == pytest.approx(3 * s if i in capped else level * weight[i], abs=1e-6)
 
 
+def test_taken_words_come_near_each_target(spark, sf):
+    by = defaultdict(list)
+    for r in mixing.mix_plan(spark.read.parquet(f"{sf}/documents.parquet")).collect():
+        by[r["source"]].append(r)
+    for found in by.values():
+        spread = sum(r["size"] ** 2 * (r["rate"] % 1) * (1 - r["rate"] % 1) for r in found) ** 0.5
+        assert abs(sum(r["size"] * r["copies"] for r in found) - found[0]["target"]) <= 4 * spread + 1e-6
+
+
 def test_copies_follow_the_plan(spark):
     docs = clashing(documents(spark))
     plan = Counter()
