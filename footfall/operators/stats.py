@@ -64,8 +64,10 @@ def scaled(df: DataFrame, keys: Sequence[str], value: str, total: float) -> Data
 
 def source_weights(df: DataFrame, weight: str, measured: str) -> DataFrame:
     """Weights normalised over the sources that are not measured; measured ones keep weight 1."""
-    rest = F.sum(F.when(~F.col(measured), F.col(weight))).over(Window.partitionBy())
-    return df.withColumn("share", F.when(F.col(measured), F.lit(1.0)).otherwise(F.try_divide(F.col(weight), rest)))
+    rest = df.agg(F.sum(F.when(~F.col(measured), F.col(weight))).alias("_rest"))
+    # One row on the side that is broadcast.
+    joined = df.join(F.broadcast(rest))
+    return joined.withColumn("share", F.when(F.col(measured), F.lit(1.0)).otherwise(F.try_divide(F.col(weight), F.col("_rest")))).drop("_rest")
 
 
 def carried_counts(rates: DataFrame, keys: Sequence[str], order: str, rate: str, parts: int) -> DataFrame:

@@ -95,7 +95,11 @@ def two_clock(spark, d):
 
 def stream_unique_devices(spark, d):
     """The file stream of events through the idempotent store equals the batch count."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="footfall-")
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="footfall-")
     at = f"{base}/stream-{uuid.uuid4().hex}"
     source = table(spark, d, "events")
     stream = ingest.file_stream(spark, d, source.schema, pathGlobFilter="events.parquet")

@@ -74,7 +74,7 @@ def rolling_mean3(spark, d):
 
 def local_anomaly_kpi(spark, d):
     out = anomaly.local_anomaly(anomaly.observed(detections(spark, d), "1 hour"))
-    # Rounded before the level is compared, so that both engines judge the same numbers.
+    # The operator compares differences rounded to nine places; these are only shown shorter.
     return out.select(
         "station_name", "bin", F.round("base", 4).alias("base"), F.round("diff", 4).alias("diff"),
         F.round("l2_cut", 4).alias("l2_cut"), "kpi",

@@ -167,3 +167,42 @@ def test_ward_finds_two_groups(spark):
     rows = spark.createDataFrame([(i, [float(i % 2) * 10 + i * 0.01, 0.0]) for i in range(10)], "id bigint, feature array<double>")
     got = {r["id"]: r["cluster"] for r in learning.ward_labels(rows, 2).collect()}
     assert len({got[i] for i in range(0, 10, 2)}) == 1 and got[0] != got[1]
+
+
+def test_next_after_takes_later_rows_only(spark):
+    left = spark.createDataFrame([("a", 1), ("a", 3), ("a", 3), ("a", 9), ("b", 2)], "key string, t int")
+    right = spark.createDataFrame([("a", 3), ("a", 5), ("a", 5), ("b", 1), ("c", 4)], "key string, t int")
+    got = sorted((tuple(r) for r in joins.next_after(left, right, ["key"], "t", "nxt").select("key", "t", "nxt").collect()), key=repr)
+    assert got == [("a", 1, 3), ("a", 3, 5), ("a", 3, 5), ("a", 9, None), ("b", 2, None)]
+
+
+def test_draws_take_the_first_share_that_reaches_them(spark):
+    from footfall.operators import agents
+
+    shares = spark.createDataFrame([(0, 0.25, ["x"]), (0, 1.0, ["y", "z"])], "bin bigint, share double, route array<string>")
+    draws = spark.createDataFrame([(1, 0, 0.0), (2, 0, 0.25), (3, 0, 0.3), (4, 1, 0.5)], "id bigint, bin bigint, u double")
+    got = {r["id"]: r["route"] for r in agents.created_from_weights(draws, shares).collect()}
+    assert got == {1: ["x"], 2: ["x"], 3: ["y", "z"], 4: None}
+
+
+def test_components_of_a_star_and_a_chain(spark):
+    links = [(50, x) for x in range(51, 90)] + [(i, i + 1) for i in range(200, 230)] + [(229, 60), (7, 8)]
+    got = {r["node"]: r["component"] for r in graph.components(spark.createDataFrame(links, "nf bigint, nt bigint")).collect()}
+    assert got == {**{i: 50 for i in [*range(50, 90), *range(200, 231)]}, 7: 7, 8: 7}
+
+
+def test_sparse_keys_go_with_both_ways(spark):
+    from footfall.operators import demand
+
+    rows = [("a", w, b, 1) for w in ("IN", "OUT") for b in range(10)] + [("b", "IN", b, 1) for b in range(10)] + [("b", "OUT", 0, 1)]
+    got = demand.without_sparse(spark.createDataFrame(rows, "key string, way string, bin int, cnt int"), "key", "way", 10, 0.5)
+    assert {r["key"] for r in got.collect()} == {"a"} and got.count() == 20
+
+
+def test_nearest_arc_within_reach(spark):
+    from footfall.operators import spatial
+
+    arcs = spark.createDataFrame([(1, 0.0, 0.0, 10.0, 0.0), (2, 0.0, 3.0, 10.0, 3.0), (3, 5.0, 5.0, 5.0, 5.0)], "aid int, ax double, ay double, bx double, by double")
+    points = spark.createDataFrame([(1, 5.0, 1.0), (2, 5.0, 1.5), (3, 40.0, 0.0), (4, 12.0, 3.0), (5, 5.0, 4.5)], "id int, x double, y double")
+    got = {r["id"]: (r["aid"], r["dist"], r["share"]) for r in spatial.nearest_arc(points, arcs, 4.0).collect()}
+    assert got == {1: (1, 1.0, 0.5), 2: (1, 1.5, 0.5), 4: (2, 2.0, 1.0), 5: (3, 0.5, 0.0)}
