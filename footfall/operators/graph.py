@@ -1,12 +1,13 @@
 """Road graphs: nodes, weights, components, cleaning and shortest paths as joins and grouped minima.
 
 An edge table has lid, nf, nt (its end nodes), length, and where needed speed, cnt_ft, cnt_tf, oneway and level.
-Iterative operators cut their lineage with ``checkpoint``, in the folder of spark.checkpoint.dir.
+Iterative operators cut their lineage with tables in the folder of spark.checkpoint.dir.
 """
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -17,15 +18,21 @@ CLOSED = 1e8
 
 
 def _cut(df: DataFrame) -> DataFrame:
+    """df written to the folder of spark.checkpoint.dir and read back.
+
+    Unlike a checkpoint's, the size of the table that is read is its real one, so that joins of later rounds are planned
+    by it, and estimates don't grow with the number of rounds.
+    """
     context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        base = context.getConf().get("spark.checkpoint.dir")
-        if not base:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-            base = tempfile.mkdtemp(prefix="footfall-")
+    base = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not base:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="footfall-")
         context.setCheckpointDir(base)
-    return df.checkpoint()
+    path = f"{base.rstrip('/')}/graph/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def both_ways(edges: DataFrame, *keep: str) -> DataFrame:
