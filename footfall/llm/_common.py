@@ -135,17 +135,17 @@ def join_groups(rows, groups, on: list[str], salt, parts: int = 16):
     return left.join(right, [*on, "_part"], "left").drop("_part")
 
 
-def keep_counted(rows, counts, key: str, total: int, share: int = 1000):
-    """rows whose ``key`` is in counts (key, times), which were taken from the ``total`` rows.
+def keep_counted(rows, counts, keys: list[str], total: int, share: int = 1000):
+    """rows whose ``keys`` are in counts (keys, times), which were taken from the ``total`` rows.
 
     Keys that hold more than one in ``share`` of all rows are fewer than ``share``: they are broadcast, and their rows stay
     where they are. The rest meet by a shuffle, in which no key is hot.
     """
     from pyspark.sql import functions as F
 
-    hot = F.broadcast(counts.filter(F.col("times") * share > total).select(key))
-    rest = counts.filter(F.col("times") * share <= total).select(key)
-    return rows.join(hot, key, "left_semi").unionByName(rows.join(hot, key, "left_anti").join(rest, key, "left_semi"))
+    hot = F.broadcast(counts.filter(F.col("times") * share > total).select(*keys))
+    rest = counts.filter(F.col("times") * share <= total).select(*keys)
+    return rows.join(hot, keys, "left_semi").unionByName(rows.join(hot, keys, "left_anti").join(rest, keys, "left_semi"))
 
 
 def shielded(docs, used=("doc_id", "text")):

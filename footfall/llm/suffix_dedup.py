@@ -278,7 +278,8 @@ def repeated_spans(texts: DataFrame, length: int, group: int = GROUP) -> DataFra
     found = written(anchors(texts, length), "anchors")
     # Anchors that are there twice or more; the rest is unique.
     again = written(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("times")).filter("times > 1"), "anchor-counts")
-    common = written(keep_counted(found, again, "anchor", found.count()), "common-anchors")
+    total = found.count()
+    common = written(keep_counted(found, again, ["anchor"], total), "common-anchors")
     discard(found, again)
     used = [common]
     contexts = written(
@@ -288,8 +289,8 @@ def repeated_spans(texts: DataFrame, length: int, group: int = GROUP) -> DataFra
         "contexts",
     )
     used.append(contexts)
-    whole = contexts.filter("n > 1").select("anchor", "context", F.lit(True).alias("whole"))
-    full = join_groups(common, whole, ["anchor", "context"], F.struct("doc_id", "at")).filter("whole")
+    whole = contexts.filter("n > 1").select("anchor", "context", F.col("n").alias("times"))
+    full = keep_counted(common, whole, ["anchor", "context"], total)
     spans = full.select(
         "doc_id",
         "tkey",
