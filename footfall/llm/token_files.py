@@ -7,8 +7,8 @@ a memory-mapped file gives any sequence without a copy. A second Arrow file besi
 Ids are unsigned 16-bit where the vocabulary allows, else 32-bit.
 
 Encoding: white space separates the words of this tokenizer and is dropped, so a text's ids are those of its pieces
-between blanks in turn. Each distinct piece goes through the tokenizers library once; bounded tables keep the ids of
-pieces and words seen before.
+between blanks in turn. Arrow cuts a batch into pieces; each distinct one goes through the tokenizers library unless
+bounded tables, which let go of what was asked for longest ago, still have its ids or those of its words.
 
 Tasks write files of their own name and report them, and only reported files are read: see ``warc``.
 
@@ -19,6 +19,7 @@ texts; a null doc_id comes first; an empty table gives no files and no rows; oth
 from __future__ import annotations
 
 import functools
+import struct
 import uuid
 import zlib
 
@@ -55,6 +56,30 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in set(prints) else chr(256 + others.index(b)) for b in range(256)]
 
 
+class Seen:
+    """Ids of strings seen before, ``most`` of them: once half are new, those not asked for since the last time go."""
+
+    def __init__(self, most: int):
+        self.half = most // 2
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def get(self, key: str) -> bytes | None:
+        found = self.new.get(key)
+        if found is None and (found := self.old.get(key)) is not None:
+            self.new[key] = found
+        return found
+
+    def add(self, key: str, ids: bytes) -> bytes:
+        self.new[key] = ids
+        return ids
+
+    def make_room(self, n: int) -> None:
+        """Let ``n`` strings that are added next stay together."""
+        if len(self.new) + n > self.half:
+            self.old, self.new = self.new, {}
+
+
 class WordEncoder:
     """Ids of whole texts as little-endian bytes, for tokenizers that drop white space between words.
 
@@ -69,40 +94,60 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
-        self.known: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.known, self.words = Seen(KNOWN_PIECES), Seen(KNOWN_PIECES)
         self.find = regex.compile(WORD_PATTERN).findall
         self.letters = dict(enumerate(_byte_letters()))
 
     def word(self, word: str) -> bytes:
         spelt = word.encode("utf-8").decode("latin-1").translate(self.letters)
-        ids = np.array([t.id for t in self.tokenizer.model.tokenize(spelt)], self.dtype).tobytes()
-        if len(self.words) >= KNOWN_PIECES:
-            self.words.clear()
-        self.words[word] = ids
-        return ids
+        return self.packed([t.id for t in self.tokenizer.model.tokenize(spelt)])
 
-    def learn(self, fresh: set[str]) -> None:
-        known, words, find, hard = self.known, self.words, self.find, []
+    def packed(self, ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}{self.dtype.char}", *ids)
+
+    def learn(self, fresh: list[str]) -> None:
+        add, words, find, hard = self.known.add, self.words, self.find, []
         for piece in fresh:
             if (piece.isascii() or max(piece) < chr(PLAIN)) and "<|" not in piece:
-                known[piece] = b"".join([words.get(w) or self.word(w) for w in find(piece.lower())])
+                lower, ids = piece.lower(), []
+                for w in (lower,) if lower.isalpha() else find(lower):
+                    found = words.get(w)
+                    ids.append(words.add(w, self.word(w)) if found is None else found)
+                add(piece, b"".join(ids))
             else:
                 hard.append(piece)
         for at in range(0, len(hard), 4096):
             part = hard[at : at + 4096]
             for piece, found in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                known[piece] = np.array(found.ids, self.dtype).tobytes()
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        pieces = [(t or "").replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
-        fresh = set().union(*pieces) - self.known.keys()
-        if len(self.known) + len(fresh) > KNOWN_PIECES:
-            self.known.clear()
-            fresh = set().union(*pieces)
-        self.learn(fresh)
-        get = self.known.__getitem__
-        return [b"".join(map(get, p)) for p in pieces]
+                add(piece, self.packed(found.ids))
+
+    def encode(self, texts) -> list[bytes]:
+        """The ids of each text of an Arrow array, or of a list.
+
+        Arrow cuts the texts and numbers their distinct pieces; only these are looked up, and taken by number.
+        """
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        plain = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
+        for blank in "\n\t":
+            plain = pc.replace_substring(plain, blank, " ")
+        cut = pc.split_pattern(plain, " ")
+        pieces = cut.flatten().dictionary_encode()
+        distinct = pieces.dictionary.to_pylist()
+        self.known.make_room(len(distinct))
+        self.words.make_room(len(distinct))
+        get = self.known.get
+        found = [get(p) for p in distinct]
+        fresh = [i for i, ids in enumerate(found) if ids is None]
+        self.learn([distinct[i] for i in fresh])
+        for i in fresh:
+            found[i] = get(distinct[i])
+        taken = pa.array(found, pa.large_binary()).take(pieces.indices)
+        ends = np.concatenate([[0], np.cumsum(pc.list_value_length(cut).to_numpy())])
+        at = np.frombuffer(taken.buffers()[1], np.int64)[taken.offset + ends]
+        data = memoryview(taken.buffers()[2] or b"")
+        return [bytes(data[i:j]) for i, j in zip(at[:-1], at[1:], strict=True)]
 
 
 @functools.cache
@@ -156,7 +201,7 @@ def write_token_files(
                 sink = system.open_output_stream(f"{base}/{name}.arrow", compression=None)
                 writer = pa.ipc.new_file(sink, schema)
                 first = batch.column("doc_id")[0].as_py()
-            ids = [x + end for x in encoder.encode(batch.column("text").to_pylist())]
+            ids = [x + end for x in encoder.encode(batch.column("text"))]
             lengths = np.array([len(x) for x in ids]) // encoder.dtype.itemsize
             index.append((batch.column("doc_id"), total + np.cumsum(lengths) - lengths, lengths))
             total += int(lengths.sum())
