@@ -164,6 +164,22 @@ def cell_answers(rows: DataFrame, column: str = "value") -> DataFrame:
     return outer.select(F.col("t").cast("bigint").alias("t"), F.explode("cells").alias("cell", "cnt"))
 
 
+#: Columns of a road usage table, by place. Fixed values.
+USAGE_COLUMNS = "cid BIGINT, lid BIGINT, nf_cid BIGINT, nt_cid BIGINT, cnt_ft BIGINT, cnt_tf BIGINT, cnt BIGINT, length DOUBLE"
+
+
+def edge_usage(spark: SparkSession, path: str) -> DataFrame:
+    """The usage of each edge; the header is skipped, whatever it says, and blanks around numbers don't count."""
+    options = {"sep": ";", "header": True, "enforceSchema": True, "ignoreLeadingWhiteSpace": True, "ignoreTrailingWhiteSpace": True}
+    return spark.read.options(**options).schema(USAGE_COLUMNS).csv(path)
+
+
+def with_usage(edges: DataFrame, usage: DataFrame) -> DataFrame:
+    """edges with their total count as ``used``, 1 where the table has none; of repeated rows the largest counts."""
+    totals = usage.groupBy("lid").agg(F.max("cnt").alias("used"))
+    return edges.join(totals, "lid", "left").na.fill(1, ["used"])
+
+
 def randomised_counts(rows: DataFrame, hours: int = 1) -> DataFrame:
     """Counts stamped in unix seconds, shifted by a fixed number of hours."""
     return rows.withColumn("date_time", F.timestamp_seconds(F.col("t") + hours * 3600))

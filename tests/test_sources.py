@@ -92,3 +92,12 @@ def test_cell_answers(spark):
     rows = spark.createDataFrame([('{"10": {"a": 1, "b": 2}}',)], "value string")
     assert sorted(tuple(r) for r in files.cell_answers(rows).collect()) == [(10, "a", 1), (10, "b", 2)]
     assert files.randomised_counts(spark.createDataFrame([(0,)], "t bigint")).select(F.hour("date_time")).first()[0] == 1
+
+
+def test_edge_usage(spark, tmp_path):
+    lines = ["p.cid; p.lid; nF.cid; nT.cid; FT.cnt; TF.cnt; tot.cnt; length", " 2; 1; 41; 13; 4; 5; 9; 1013.58", "3;2;13;7;0;0;0;5", "3;2;13;7;1;1;2;5"]
+    usage = files.edge_usage(spark, put(tmp_path / "usage.csv", "\n".join(lines)))
+    assert tuple(usage.filter("lid = 1").first()) == (2, 1, 41, 13, 4, 5, 9, 1013.58)
+    edges = spark.createDataFrame([(1,), (2,), (3,)], "lid bigint")
+    assert sorted(tuple(r) for r in files.with_usage(edges, usage).collect()) == [(1, 9), (2, 2), (3, 1)]
+    assert sorted(tuple(r) for r in files.with_usage(edges, usage.limit(0)).collect()) == [(1, 1), (2, 1), (3, 1)]
