@@ -158,6 +158,75 @@ def chains(edges: DataFrame) -> DataFrame:
     return joined.select("lid", F.coalesce("chain", "lid").alias("chain"), "length")
 
 
+def chain_places(edges: DataFrame) -> DataFrame:
+    """lid, chain, place, forward, nf, nt: where each edge stands in its chain, and the chain's two end nodes.
+
+    A chain runs from its lesser end node; forward says whether the edge does so too. It is named by the lesser lid of its
+    two end edges. Each edge is walked both ways, and each walk learns the end it leads to by looking up the walk that it
+    has reached, so a chain of n edges takes log2(n) rounds. Rings without an end have no rows.
+    """
+    ways = both_ways(edges, "lid")
+    inner = ways.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("lid").alias("a"), F.max("lid").alias("b"))
+    inner = _cut(inner.filter("n = 2 AND a <> b").select("node"))
+    walks = _cut(ways.select((F.col("lid") * 2 + F.col("forward").cast("int")).alias("walk"), "lid", F.col("node").alias("tail"), F.col("other").alias("head")))
+    there = walks.join(inner.select(F.col("node").alias("head")), "head", "left_semi")
+    after = walks.join(inner.select(F.col("node").alias("tail")), "tail", "left_semi")
+    after = after.select(F.col("tail").alias("head"), F.col("walk").alias("at"), F.col("lid").alias("_next"), F.col("head").alias("end"))
+    going = there.join(after, "head").filter("lid <> _next").select("walk", "at", "end", F.lit(1).cast("bigint").alias("hops"))
+    done = _cut(
+        walks.join(inner.select(F.col("node").alias("head")), "head", "left_anti").select("walk", F.col("walk").alias("at"), F.col("head").alias("end"), F.lit(0).cast("bigint").alias("hops"))
+    )
+    going = _cut(going)
+    while True:
+        # No two walks that still go on have reached the same walk, so no key of this join is hot.
+        ahead = lambda df: df.select(F.col("walk").alias("at"), F.col("at").alias("_at"), F.col("end").alias("_end"), F.col("hops").alias("_hops"))
+        moved = lambda df: going.join(ahead(df), "at").select("walk", F.col("_at").alias("at"), F.col("_end").alias("end"), (F.col("hops") + F.col("_hops")).alias("hops"))  # noqa: E731, B023
+        ended = _cut(moved(done))
+        if ended.isEmpty():
+            break
+        done, going = done.unionByName(ended), _cut(moved(going))
+    both = done.withColumn("lid", F.shiftright("walk", 1)).withColumn("ft", F.col("walk") % 2 == 1)
+    one = both.filter("ft").select("lid", F.struct("end", "at").alias("f"), F.col("hops").alias("hops_f"))
+    two = both.filter("NOT ft").select("lid", F.struct("end", "at").alias("b"), F.col("hops").alias("hops_b"))
+    forward = F.col("b") < F.col("f")
+    return one.join(two, "lid").select(
+        "lid",
+        F.least(F.shiftright("f.at", 1), F.shiftright("b.at", 1)).alias("chain"),
+        F.when(forward, F.col("hops_b")).otherwise(F.col("hops_f")).alias("place"),
+        forward.alias("forward"),
+        F.least("f.end", "b.end").alias("nf"),
+        F.greatest("f.end", "b.end").alias("nt"),
+    )
+
+
+def contracted(edges: DataFrame) -> DataFrame:
+    """lid, nf, nt, length, edges: chains of edges that meet in nodes of degree 2 as one edge each, of the chain's name.
+
+    A chain stays as it is where it would become a loop, or a second edge between two nodes: an edge, then the chain of
+    least name, comes first. Rings without an end stay too.
+    """
+    places = _cut(chain_places(edges))
+    sums = places.join(edges.select("lid", "length"), "lid").groupBy("chain", "nf", "nt").agg(F.count(F.lit(1)).alias("edges"), F.sum("length").alias("length"))
+    first = Window.partitionBy("nf", "nt").orderBy(F.col("edges") > 1, "chain")
+    kept = _cut(sums.withColumn("_r", F.row_number().over(first)).filter("_r = 1 AND edges > 1 AND nf <> nt").drop("_r"))
+    gone = places.join(kept.select("chain"), "chain", "left_semi").select("lid")
+    rest = edges.join(gone, "lid", "left_anti").select("lid", "nf", "nt", "length", F.lit(1).cast("bigint").alias("edges"))
+    return rest.unionByName(kept.select(F.col("chain").alias("lid"), "nf", "nt", "length", "edges"))
+
+
+def chain_points(places: DataFrame, points: DataFrame) -> DataFrame:
+    """lid (the chain), seq, x, y: the polylines (lid, seq, x, y) of a chain's edges as one; points where two meet are there once.
+
+    places is what ``chain_places`` gave; a polyline runs from its edge's nf to its nt.
+    """
+    along = places.select("lid", "chain", "place", "forward").join(points, "lid")
+    order = F.when(F.col("forward"), F.col("seq")).otherwise(-F.col("seq"))
+    own = Window.partitionBy("chain", "place").orderBy(order)
+    inner = along.withColumn("_o", order).withColumn("_r", F.row_number().over(own)).filter("place = 0 OR _r > 1")
+    whole = F.row_number().over(Window.partitionBy("chain").orderBy("place", "_o")) - 1
+    return inner.select(F.col("chain").alias("lid"), whole.alias("seq"), "x", "y")
+
+
 def shortest(weights: DataFrame, sources: DataFrame, most: float = CLOSED) -> DataFrame:
     """source, node, dist, before: least cost from each source (node) to every node it reaches, and the node before.
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from footfall.functions import geo
+from footfall.operators import graph
 
 _ENDS = ("ax", "ay", "bx", "by")
 
@@ -108,6 +109,48 @@ def joined_ends(loose: DataFrame, reach: float) -> DataFrame:
     return around.join(other, ["cx", "cy"]).filter((F.col("to") < F.col("node")) & (gap <= reach * reach)).groupBy("node").agg(F.min("to").alias("to"))
 
 
+def attached_subgraphs(edges: DataFrame, points: DataFrame, reach: float) -> DataFrame:
+    """edges (lid, nf, nt) with each smaller component tied to the greatest, or left out where no loose end of it is near.
+
+    Of a component's nodes of degree 1 the one nearest to an edge of the greatest component, within ``reach``, becomes that
+    edge's nearer end node. points: node, x, y; edges are straight. The greatest component has the most nodes, then the
+    least name.
+    """
+    labels = graph._cut(graph.components(edges))
+    sizes = labels.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+    greatest = sizes.agg(F.min(F.struct(-F.col("n"), "component")).alias("m")).select(F.col("m.component").alias("component"))
+    # One row on the side that is broadcast.
+    main = labels.join(F.broadcast(greatest), "component", "left_semi").select(F.col("node").alias("nf"))
+    core = edges.join(main, "nf", "left_semi")
+    a = points.select(F.col("node").alias("nf"), F.col("x").alias("ax"), F.col("y").alias("ay"))
+    b = points.select(F.col("node").alias("nt"), F.col("x").alias("bx"), F.col("y").alias("by"))
+    arcs = core.join(a, "nf").join(b, "nt").select(F.col("lid").alias("aid"), "nf", "nt", *_ENDS)
+    loose = graph.nodes(edges).filter("degree = 1").join(labels, "node").join(F.broadcast(greatest), "component", "left_anti")
+    near = nearest_arc(loose.join(points, "node").select(F.col("node").alias("id"), "x", "y"), arcs.drop("nf", "nt"), reach)
+    tied = near.withColumnRenamed("id", "node").join(labels, "node").groupBy("component").agg(F.min(F.struct("dist", "node", "aid", "share")).alias("t"))
+    ends = core.select(F.col("lid").alias("aid"), "nf", "nt")
+    moves = tied.select("component", "t.node", "t.aid", "t.share").join(ends, "aid")
+    moves = graph._cut(moves.select("component", "node", F.when(F.col("share") < 0.5, F.col("nf")).otherwise(F.col("nt")).alias("to")))
+    stays = labels.join(moves.select("component").unionByName(greatest), "component", "left_semi").select(F.col("node").alias("nf"))
+    moved = lambda c: moves.select(F.col("node").alias(c), F.col("to").alias(f"_{c}"))
+    whole = edges.join(stays, "nf", "left_semi").join(moved("nf"), "nf", "left").join(moved("nt"), "nt", "left")
+    return whole.select("lid", F.coalesce("_nf", "nf").alias("nf"), F.coalesce("_nt", "nt").alias("nt"))
+
+
+def suppressed(boxes: DataFrame, keys: list[str], most: float) -> DataFrame:
+    """keys, id of the boxes (id, score, x1, y1, x2, y2) that stay: by falling score, then id, those that overlap no box
+    that stayed by more than ``most`` (intersection over union). The boxes of one group, a frame and class, meet in a task.
+    """
+    box = F.struct((-F.col("score")).alias("s"), "id", "x1", "y1", "x2", "y2")
+    rows = boxes.groupBy(*keys).agg(F.array_sort(F.collect_list(box)).alias("b"))
+
+    def over(k: Column, o: Column) -> Column:
+        return geo.iou(*(k[c] for c in ("x1", "y1", "x2", "y2")), *(o[c] for c in ("x1", "y1", "x2", "y2"))) > most
+
+    kept = F.aggregate("b", F.slice("b", 1, 0), lambda acc, o: F.when(F.exists(acc, lambda k: over(k, o)), acc).otherwise(F.array_append(acc, o)))
+    return rows.select(*keys, F.explode(F.transform(kept, lambda o: o["id"])).alias("id"))
+
+
 def corners(cx: Column, cy: Column, width: Column, height: Column, scale: float, limit: float) -> tuple[Column, ...]:
     """Left, top, right and bottom of a box given by its centre and size, scaled and cut to [0, limit]."""
     cut = lambda v: F.greatest(F.lit(0.0), F.least(F.lit(float(limit)), v * scale))
