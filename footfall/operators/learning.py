@@ -167,3 +167,13 @@ def warping_distance(a, b) -> float:
             now[j] = abs(x - y) + min(before[j], before[j - 1], now[j - 1])
         before = now
     return float(before[-1])
+
+
+def point_clusters(points: DataFrame, k: int, seed: int = 1) -> DataFrame:
+    """points (x, y) with their cluster, 0 to k - 1, by k-means; a point without both coordinates has none."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.feature import VectorAssembler
+
+    rows = VectorAssembler(inputCols=["x", "y"], outputCol="_at", handleInvalid="skip").transform(points)
+    made = KMeans(k=k, seed=seed, featuresCol="_at", predictionCol="cluster").fit(rows)
+    return made.transform(rows).drop("_at")

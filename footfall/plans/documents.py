@@ -32,6 +32,20 @@ def json_paths(spark, d):
     )
 
 
+def json_slices(spark, d):
+    """Slices with a step, backwards and from the end, and a union of places."""
+    turns = F.transform(F.from_json(F.get_json_object("doc", "$.turns"), "array<struct<turn:bigint>>"), lambda x: x["turn"].cast("string"))
+    t = _talks(spark, d).select("conv_id", turns.alias("t"))
+    cuts = {"even": documents.sliced("t", step=2), "back": documents.sliced("t", step=-1), "tail": documents.sliced("t", -2), "mid": documents.sliced("t", 1, -1), "ends": documents.picked("t", 0, -1)}
+    return t.select("conv_id", *(F.array_join(c, ",").alias(n) for n, c in cuts.items()))
+
+
+def json_descendants(spark, d):
+    """All members named n, at any depth of the talk."""
+    out = documents.descendants(_talks(spark, d), "doc", "n")
+    return out.groupBy("conv_id").agg(F.count(F.lit(1)).alias("cnt"), F.sum(F.col("value").cast("bigint")).alias("total"))
+
+
 def json_map_explode(spark, d):
     inner = table(spark, d, "events").groupBy("event_type", (F.col("user_id") % 20).alias("cell")).agg(F.count(F.lit(1)).cast("int").alias("n"))
     maps = inner.groupBy(F.length("event_type").cast("string").alias("t"), "cell").agg(F.sum("n").cast("int").alias("n"))
@@ -137,6 +151,9 @@ SQL = {
   coalesce(list_aggregate(list_transform(t[2:3], lambda x: CAST(x.turn AS VARCHAR)), 'string_agg', ','), '') AS slice, CAST(len(list_filter(t, lambda x: x.role = 'user' AND x.n > 200)) AS INTEGER) AS long_users,
   CAST(list_max(list_transform(t, lambda x: x.n)) AS INTEGER) AS longest, t[1].turn AS pointer, len(t) >= 4 AS has4,
   CASE WHEN len(t) = 1 THEN CAST(t[1].turn AS VARCHAR) ELSE '[' || list_aggregate(list_transform(t, lambda x: CAST(x.turn AS VARCHAR)), 'string_agg', ',') || ']' END AS wild FROM t""",
+    "json_slices": f"""WITH {_T}, s AS (SELECT conv_id, list_transform(t, lambda x: CAST(x.turn AS VARCHAR)) AS t FROM t)
+SELECT conv_id, array_to_string(t[1:-1:2], ',') AS even, array_to_string(list_reverse(t), ',') AS back, array_to_string(t[-2:], ',') AS tail, array_to_string(t[2:len(t) - 1], ',') AS mid, t[1] || ',' || t[-1] AS ends FROM s""",
+    "json_descendants": "SELECT conv_id, count(text) AS cnt, CAST(sum(length(text)) AS BIGINT) AS total FROM conversations GROUP BY 1 HAVING count(text) > 0",
     "json_map_explode": "SELECT CAST(length(event_type) AS BIGINT) AS t, CAST(user_id % 20 AS VARCHAR) AS cell, CAST(count(*) AS INTEGER) AS cnt FROM events GROUP BY 1, 2",
     "json_patch": """SELECT n_nationkey, CASE n_nationkey % 3 WHEN 0 THEN 'name=' || n_name || ',region=' || n_regionkey || ',y=1' WHEN 1 THEN 'name=' || n_name || ',z=' || n_name
   ELSE CASE WHEN n_regionkey = 1 THEN 'name=q,region=1' END END AS patched, CAST(CASE n_nationkey % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE CASE WHEN n_regionkey = 1 THEN 1 END END AS INTEGER) AS changes FROM nation""",

@@ -109,6 +109,10 @@ def degree2_chains(spark, d):
     return graph.chains(road_edges(spark, d)).groupBy("chain").agg(F.count(F.lit(1)).alias("edges"), F.sum("length").alias("length"))
 
 
+def contracted_chains(spark, d):
+    return graph.contracted(road_edges(spark, d))
+
+
 def no_turn_arms(spark, d):
     e = road_edges(spark, d)
     points = graph.nodes(e).select("node", F.col("node").cast("double").alias("x"), (F.abs(F.col("node") * 29) % 37).cast("double").alias("y"))
@@ -173,6 +177,12 @@ SELECT e.lid, e.nf, e.nt FROM e JOIN labels ON labels.node = e.nf WHERE labels.c
     "degree2_chains": f"""WITH {_E}, {_ENDS}, g AS (SELECT node, min(lid) AS p, max(lid) AS q FROM ends GROUP BY 1 HAVING count(*) = 2),
 r0 AS (SELECT lid AS a, lid AS b FROM e UNION SELECT p, q FROM g UNION SELECT q, p FROM g){"".join(f", r{i} AS (SELECT DISTINCT x.a, y.b FROM r{i - 1} x JOIN r{i - 1} y ON x.b = y.a)" for i in range(1, 7))},
 c AS (SELECT a AS lid, min(b) AS chain FROM r6 GROUP BY 1) SELECT chain, count(*) AS edges, sum(length) AS length FROM c JOIN e USING (lid) GROUP BY 1""",
+    "contracted_chains": f"""WITH RECURSIVE {_E}, {_ENDS}, g AS (SELECT node FROM ends GROUP BY 1 HAVING count(*) = 2 AND min(lid) <> max(lid)),
+st AS MATERIALIZED (SELECT lid, node AS tail, other AS head, length, node IN (FROM g) AS tail_in, other IN (FROM g) AS head_in FROM ends),
+walk AS (SELECT lid AS a, lid, tail AS nf, head, head_in, CAST(1 AS BIGINT) AS n, length, [lid] AS lids FROM st WHERE NOT tail_in
+  UNION ALL SELECT w.a, st.lid, w.nf, st.head, st.head_in, w.n + 1, w.length + st.length, list_append(w.lids, st.lid) FROM walk w JOIN st ON st.tail = w.head AND st.lid <> w.lid WHERE w.head_in),
+k AS (SELECT least(a, lid) AS chain, nf, head AS nt, n AS edges, length, lids FROM walk WHERE NOT head_in AND nf < head QUALIFY row_number() OVER (PARTITION BY nf, head ORDER BY n > 1, least(a, lid)) = 1)
+SELECT lid, nf, nt, length, CAST(1 AS BIGINT) AS edges FROM e WHERE lid NOT IN (SELECT unnest(lids) FROM k WHERE edges > 1) UNION ALL SELECT chain, nf, nt, length, edges FROM k WHERE edges > 1""",
     "no_turn_arms": f"""WITH {_E}, {_ENDS}, g AS (SELECT node FROM ends GROUP BY 1 HAVING count(*) = 4),
 v AS (SELECT node, lid, CAST(other - node AS DOUBLE) AS dx, CAST(abs(other * 29) % 37 - abs(node * 29) % 37 AS DOUBLE) AS dy FROM ends WHERE node IN (SELECT node FROM g)),
 u AS (SELECT node, lid, dx / sqrt(dx * dx + dy * dy) AS ux, dy / sqrt(dx * dx + dy * dy) AS uy FROM v)

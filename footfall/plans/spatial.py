@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from footfall.operators import graph, spatial
+from footfall.operators import graph, learning, spatial
 from footfall.sources.tables import table
 
 
@@ -75,6 +76,30 @@ def close_ends(spark, d):
     return spatial.joined_ends(_points(spark, d).withColumnRenamed("id", "node"), 12.5)
 
 
+def merged_subgraphs(spark, d):
+    """Each order is a street of its own, its lines' points are the nodes; all that come near are tied to the greatest."""
+    node = (F.col("lid") * 8 + F.col("seq")).alias("node")
+    points = _polylines(spark, d).select("lid", "seq", node, "x", "y")
+    ahead = points.withColumn("nt", F.lead("node").over(Window.partitionBy("lid").orderBy("seq"))).filter("nt IS NOT NULL")
+    edges = ahead.select(F.col("node").alias("lid"), F.col("node").alias("nf"), "nt")
+    return spatial.attached_subgraphs(edges, points.select("node", "x", "y"), 1.5)
+
+
+def box_suppression(spark, d):
+    """Each line is a box in the frame of its order."""
+    size = F.col("l_extendedprice")
+    rows = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("frame"), F.col("l_linenumber").alias("id")).agg(
+        F.max(size).alias("score"), F.min("l_quantity").alias("x1"), (F.min("l_tax") * 100).alias("y1")
+    )
+    boxes = rows.withColumn("x2", F.col("x1") + 20 + F.col("id")).withColumn("y2", F.col("y1") + 8)
+    return spatial.suppressed(boxes, ["frame"], 0.3)
+
+
+def coordinate_means(spark, d):
+    """The means of eight clusters of the customers' points."""
+    return learning.point_clusters(_points(spark, d), 8).groupBy("cluster").agg(F.count(F.lit(1)).alias("cnt"), F.avg("x").alias("x"), F.avg("y").alias("y"))
+
+
 def box_corners(spark, d):
     p = _points(spark, d)
     left, top, right, bottom = spatial.corners(F.col("x"), F.col("y"), F.col("id") % 90 + 1.0, F.col("id") % 70 + 1.0, 0.64, 600)
@@ -117,9 +142,21 @@ SELECT lid, round(x + (s - s0) / length * (x2 - x), 5) AS x, round(y + (s - s0)
     "polylines_inside": f"WITH {_L} SELECT lid FROM q GROUP BY 1 HAVING bool_and(x BETWEEN 5 AND 45 AND y BETWEEN 0 AND 9)",
     "grid_occupancy": f"WITH {_P} SELECT cx, cy, count(id) AS cnt FROM range(20) s(cx), range(20) t(cy) LEFT JOIN p ON floor(x / 50) = cx AND floor(y / 50) = cy GROUP BY ALL",
     "close_ends": f"WITH {_P} SELECT a.id AS node, min(b.id) AS to FROM p a JOIN p b ON b.id < a.id AND pow(a.x - b.x, 2) + pow(a.y - b.y, 2) <= 156.25 GROUP BY 1",
+    "merged_subgraphs": f"""WITH {_L}, n AS (SELECT lid, lid * 8 + seq AS node, lead(lid * 8 + seq) OVER o AS nt, lead(x) OVER o AS zx, lead(y) OVER o AS zy, x, y, count(*) OVER (PARTITION BY lid) AS n,
+  seq = min(seq) OVER (PARTITION BY lid) OR seq = max(seq) OVER (PARTITION BY lid) AS loose FROM q WINDOW o AS (PARTITION BY lid ORDER BY seq)),
+m AS (SELECT lid FROM n WHERE n > 1 ORDER BY n DESC, lid LIMIT 1), s AS (SELECT node AS aid, nt, x AS ax, y AS ay, zx, zy FROM n WHERE nt IS NOT NULL AND lid IN (FROM m)), g AS (SELECT lid, node, x, y FROM n WHERE loose AND n > 1 AND lid NOT IN (FROM m)),
+t AS (SELECT lid, node, aid, nt, {_D} AS dist, {_T} AS share FROM g, s),
+r AS (SELECT lid, node, CASE WHEN share < 0.5 THEN aid ELSE nt END AS to FROM t WHERE dist <= 1.5 QUALIFY row_number() OVER (PARTITION BY lid ORDER BY dist, node, aid) = 1)
+SELECT p.node AS lid, coalesce(f.to, p.node) AS nf, coalesce(b.to, p.nt) AS nt FROM n p LEFT JOIN r f ON f.node = p.node LEFT JOIN r b ON b.node = p.nt WHERE p.nt IS NOT NULL AND (p.lid IN (FROM m) OR p.lid IN (SELECT lid FROM r))""",
+    "box_suppression": """WITH RECURSIVE o AS (SELECT l_orderkey AS frame, l_linenumber AS id, max(l_extendedprice) AS score, min(l_quantity) AS x, min(l_tax) * 100 AS y FROM lineitem GROUP BY ALL),
+p AS MATERIALIZED (SELECT frame, id, x, y, x + 20 + id AS u, y + 8 AS v, row_number() OVER (PARTITION BY frame ORDER BY score DESC, id) AS r FROM o),
+k AS (SELECT frame, r, [struct_pack(id := id, x := x, y := y, u := u, v := v)] AS b FROM p WHERE r = 1
+  UNION ALL SELECT frame, p.r, CASE WHEN len(list_filter(b, lambda c: greatest(0, least(c.u, p.u) - greatest(c.x, p.x)) * greatest(0, least(c.v, p.v) - greatest(c.y, p.y)) > 0.3 * ((c.u - c.x) * (c.v - c.y) + (p.u - p.x) * (p.v - p.y)
+    - greatest(0, least(c.u, p.u) - greatest(c.x, p.x)) * greatest(0, least(c.v, p.v) - greatest(c.y, p.y))))) > 0 THEN b ELSE list_append(b, struct_pack(id := p.id, x := p.x, y := p.y, u := p.u, v := p.v)) END FROM k JOIN p USING (frame) WHERE p.r = k.r + 1)
+SELECT frame, unnest(b).id AS id FROM k QUALIFY row_number() OVER (PARTITION BY frame ORDER BY r DESC) = 1""",
     "box_corners": f"WITH {_P}, " + "s AS (SELECT id, x, y, (id % 90 + 1.0::DOUBLE) / 2 AS w, (id % 70 + 1.0::DOUBLE) / 2 AS h FROM p) SELECT id, " + ", ".join(f"round(greatest(0, least(600, ({v}) * 0.64::DOUBLE)), 6) AS \"{n}\"" for v, n in (("x - w", "left"), ("y - h", "top"), ("x + w", "right"), ("y + h", "bottom"))) + " FROM s",
     "box_around": f"""WITH {_P}, s AS (SELECT id, radians(44 + x / 1000) AS f, 12 + y / 1000 AS lon, 500.0::DOUBLE / 6371000.0::DOUBLE AS a FROM p), u AS (SELECT *, asin(sin(f) * cos(a) + cos(f) * sin(a) * cos(radians(225))) AS f1, asin(sin(f) * cos(a) + cos(f) * sin(a) * cos(radians(45))) AS f2 FROM s)
 SELECT id, round(degrees(f1), 9) AS south, round(lon + degrees(atan2(sin(radians(225)) * sin(a) * cos(f), cos(a) - sin(f) * sin(f1))), 9) AS west, round(degrees(f2), 9) AS north, round(lon + degrees(atan2(sin(radians(45)) * sin(a) * cos(f), cos(a) - sin(f) * sin(f2))), 9) AS east FROM u""",
 }
 
-QUERIES = {name: globals()[name] for name in SQL}
+QUERIES = {name: globals()[name] for name in (*SQL, "coordinate_means")}

@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from footfall.functions import calendar, geo, text
-from footfall.operators import documents, flows, graph, joins, learning, series, stats
+from footfall.operators import documents, flows, graph, joins, learning, series, spatial, stats
 
 
 def frame(spark, values, key="a"):
@@ -200,9 +200,43 @@ def test_sparse_keys_go_with_both_ways(spark):
 
 
 def test_nearest_arc_within_reach(spark):
-    from footfall.operators import spatial
-
     arcs = spark.createDataFrame([(1, 0.0, 0.0, 10.0, 0.0), (2, 0.0, 3.0, 10.0, 3.0), (3, 5.0, 5.0, 5.0, 5.0)], "aid int, ax double, ay double, bx double, by double")
     points = spark.createDataFrame([(1, 5.0, 1.0), (2, 5.0, 1.5), (3, 40.0, 0.0), (4, 12.0, 3.0), (5, 5.0, 4.5)], "id int, x double, y double")
     got = {r["id"]: (r["aid"], r["dist"], r["share"]) for r in spatial.nearest_arc(points, arcs, 4.0).collect()}
     assert got == {1: (1, 1.0, 0.5), 2: (1, 1.5, 0.5), 4: (2, 2.0, 1.0), 5: (3, 0.5, 0.0)}
+
+
+def test_attached_subgraphs(spark):
+    at = {1: (0, 0), 2: (10, 0), 3: (20, 0), 4: (2, 1), 5: (2, 9), 6: (18, 3), 7: (18, 2), 8: (90, 90), 9: (91, 90)}
+    points = spark.createDataFrame([(k, float(x), float(y)) for k, (x, y) in at.items()], "node bigint, x double, y double")
+    edges = spark.createDataFrame([(1, 1, 2), (2, 2, 3), (3, 5, 4), (4, 6, 7), (5, 8, 9)], "lid bigint, nf bigint, nt bigint")
+    got = {tuple(r) for r in spatial.attached_subgraphs(edges, points, 3.0).collect()}
+    assert got == {(1, 1, 2), (2, 2, 3), (3, 5, 1), (4, 6, 3)}
+
+
+def test_suppressed_boxes(spark):
+    rows = [(1, 1, 0.9, 0.0, 10.0), (1, 2, 0.8, 1.0, 11.0), (1, 3, 0.7, 4.0, 14.0), (1, 4, 0.9, 0.0, 10.0), (2, 5, 0.1, 0.0, 10.0)]
+    boxes = spark.createDataFrame(rows, "frame int, id int, score double, x1 double, x2 double").selectExpr("*", "0D AS y1", "1D AS y2")
+    assert sorted(map(tuple, spatial.suppressed(boxes, ["frame"], 0.5).collect())) == [(1, 1), (1, 3), (2, 5)]
+
+
+def test_slices_and_unions(spark):
+    cuts = [(a, b, c) for a in (None, -9, -2, 0, 1, 9) for b in (None, -9, -1, 0, 2, 9) for c in (1, 2, -1, -3)]
+    x = F.slice(F.array(*map(F.lit, range(5))), F.lit(1), F.col("id").cast("int"))
+    rows = spark.range(6).select(x.alias("x")).select("x", *(documents.sliced("x", *c).alias(str(i)) for i, c in enumerate(cuts)), documents.picked("x", 0, -1, 3, -9).alias("u"))
+    for r in rows.collect():
+        assert all(r[str(i)] == list(r["x"])[slice(*c)] for i, c in enumerate(cuts))
+        assert r["u"] == [list(r["x"])[i] for i in (0, -1, 3, -9) if -len(r["x"]) <= i < len(r["x"])]
+
+
+def test_descendants(spark):
+    texts = [(1, '{"a":{"n":1,"b":[{"n":2},{"n":{"n":[3]}}]},"n":"x"}'), (2, None), (3, "[1"), (4, '{"n":null}'), (5, "[]")]
+    got = documents.descendants(spark.createDataFrame(texts, "k int, d string"), "d", "n").collect()
+    assert sorted(map(tuple, got)) == [(1, '"x"'), (1, "1"), (1, "2"), (1, "[3]"), (1, '{"n":[3]}'), (4, "null")]
+
+
+def test_point_clusters(spark):
+    rows = [(i, 100.0 * (i % 3) + i / 100, 5.0) for i in range(30)] + [(99, None, 1.0)]
+    got = learning.point_clusters(spark.createDataFrame(rows, "id int, x double, y double"), 3).collect()
+    assert len(got) == 30
+    assert len({(r["id"] % 3, r["cluster"]) for r in got}) == 3

@@ -153,3 +153,38 @@ def test_forbidden_turns_equal_brute_force(spark, small, edges):
     sources = spark.createDataFrame([(0,), (-100,), (100,)], "node bigint")
     got = {(r["source"], r["node"]): r["dist"] for r in graph.shortest_with_turns(weights, turns, sources).collect()}
     assert got == want
+
+
+#: A chain of four edges, a direct edge beside a chain of two, a ring without an end, a loop, and loose ends.
+CHAINED = [
+    (1, 10, 11), (2, 11, 12), (3, 13, 12), (4, 13, 14), (5, 14, 20), (6, 14, 21), (7, 10, 20), (8, 10, 22),
+    (9, 50, 51), (10, 51, 52), (11, 52, 50), (12, 20, 23), (13, 23, 10), (14, 60, 60),
+]
+
+
+def chained(spark):
+    return spark.createDataFrame([(*e, float(e[0])) for e in CHAINED], "lid bigint, nf bigint, nt bigint, length double")
+
+
+def test_chains_become_one_edge(spark):
+    got = {r["lid"]: r for r in graph.contracted(chained(spark)).collect()}
+    assert set(got) == {e[0] for e in CHAINED} - {2, 3, 4}
+    assert got[1][1:] == (10, 14, 10.0, 4)
+    # The edge 7 joins 10 and 20 already, so the chain of 12 and 13 stays; so do the ring and the loop.
+    assert all(tuple(got[e[0]][1:3]) == e[1:] and got[e[0]]["edges"] == 1 for e in CHAINED if e[0] > 4)
+
+
+def test_long_chain_takes_few_rounds_and_keeps_order(spark):
+    n = 300
+    edges = [(1000 + i * 37 % n, i, i + 1) if i % 3 else (1000 + i * 37 % n, i + 1, i) for i in range(n)]
+    df = spark.createDataFrame([(*e, 1.0) for e in edges], "lid bigint, nf bigint, nt bigint, length double")
+    places = graph.chain_places(df)
+    got = {r["lid"]: (r["place"], r["forward"], r["nf"], r["nt"]) for r in places.collect()}
+    assert got == {lid: (min(a, b), a < b, 0, n) for lid, a, b in edges}
+    points = spark.createDataFrame([(lid, k, float(p), 0.0) for lid, a, b in edges for k, p in enumerate((a, (a + b) / 2, b))], "lid bigint, seq int, x double, y double")
+    line = graph.chain_points(places, points).orderBy("seq").collect()
+    assert [r["x"] for r in line] == [k / 2 for k in range(2 * n + 1)]
+
+
+def test_no_edges_no_chains(spark):
+    assert graph.contracted(chained(spark).filter("lid < 0")).count() == 0
