@@ -38,6 +38,21 @@ def store_once(stream: DataFrame, keys: Sequence[str], store: str, checkpoint: s
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def fan_out(stream: DataFrame, stores: dict[str, str], checkpoint: str):
+    """Write the rows of a stream to several stores, each folder with those that meet its condition (SQL); start it once.
+
+    A batch has a folder of its own in each store and overwrites it, so a batch that is run again stores nothing twice.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.persist()
+        for path, condition in stores.items():
+            batch.filter(condition).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        batch.unpersist()
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def unique_devices_stream(stream: DataFrame, freq: str, store: str, checkpoint: str) -> DataFrame:
     """Exact distinct devices per station and bin of a stream: each (station, bin, device) is stored once, then counted."""
     spark = stream.sparkSession

@@ -101,3 +101,13 @@ def test_edge_usage(spark, tmp_path):
     edges = spark.createDataFrame([(1,), (2,), (3,)], "lid bigint")
     assert sorted(tuple(r) for r in files.with_usage(edges, usage).collect()) == [(1, 9), (2, 2), (3, 1)]
     assert sorted(tuple(r) for r in files.with_usage(edges, usage.limit(0)).collect()) == [(1, 1), (2, 1), (3, 1)]
+
+
+def test_stream_fans_out_to_stores(spark, tmp_path):
+    source, schema = tmp_path / "in", "k int, v int"
+    stores = {str(tmp_path / "low"): "v < 5", str(tmp_path / "all"): "true"}
+    for part in ([(1, 1), (2, 9)], [(3, 3)]):
+        spark.createDataFrame(part, schema).write.mode("append").parquet(str(source))
+        ingest.fan_out(ingest.file_stream(spark, str(source), schema), stores, str(tmp_path / "state")).awaitTermination()
+    got = [sorted((r["k"], r["v"]) for r in spark.read.parquet(path).collect()) for path in stores]
+    assert got == [[(1, 1), (3, 3)], [(1, 1), (2, 9), (3, 3)]]
