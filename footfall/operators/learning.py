@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,17 +17,22 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def nearest_features(features: DataFrame, queries: DataFrame, block: int = 4096) -> DataFrame:
-    """id, best, likeness: for each query the other row of highest cosine; a bounded set of queries against all rows.
+    """id, best, likeness: for each query the other row of highest cosine; a stated set of queries against all rows.
 
-    Queries are broadcast in one piece if they are few (``block`` rows at most) and else joined by blocks.
+    Queries are dealt to blocks of about ``block`` rows by a hash of their id, and each block is broadcast to all rows.
     """
     q = queries.select(F.col("id").alias("qid"), F.col("feature").alias("qf"))
-    few = q.limit(block + 1).count() <= block
-    pairs = features.join(F.broadcast(q) if few else q, F.col("id") != F.col("qid"))
+    blocks = max(1, -(-q.count() // block))
     like = F.round(cosine(F.col("feature"), F.col("qf")), 9)
-    return pairs.groupBy("qid").agg(F.max(F.struct(like.alias("like"), (-F.col("id")).alias("neg"))).alias("b")).select(
-        F.col("qid").alias("id"), (-F.col("b.neg")).alias("best"), F.col("b.like").alias("likeness")
-    )
+
+    def best(number: int) -> DataFrame:
+        some = q.filter(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == number)
+        pairs = features.join(F.broadcast(some), F.col("id") != F.col("qid"))
+        return pairs.groupBy("qid").agg(F.max(F.struct(like.alias("like"), (-F.col("id")).alias("neg"))).alias("b")).select(
+            F.col("qid").alias("id"), (-F.col("b.neg")).alias("best"), F.col("b.like").alias("likeness")
+        )
+
+    return reduce(DataFrame.unionByName, map(best, range(blocks)))
 
 
 def pair_distances(series: DataFrame) -> DataFrame:

@@ -240,3 +240,15 @@ def test_point_clusters(spark):
     got = learning.point_clusters(spark.createDataFrame(rows, "id int, x double, y double"), 3).collect()
     assert len(got) == 30
     assert len({(r["id"] % 3, r["cluster"]) for r in got}) == 3
+
+
+def test_nearest_features_in_blocks(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(40, 6))
+    rows = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id bigint, feature array<double>")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    like = unit @ unit.T
+    np.fill_diagonal(like, -2)
+    for block in (7, 4096):
+        got = learning.nearest_features(rows, rows.filter("id % 2 = 0"), block).collect()
+        assert {r["id"]: r["best"] for r in got} == {i: int(like[i].argmax()) for i in range(0, 40, 2)}
