@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from footfall.llm import chat, edit_embed, langid, minhash, mixing, quality, spiece, suffix_dedup, token_files, warc
+from footfall.llm import chat, edit_embed, filter_audit, langid, minhash, mixing, quality, spiece, suffix_dedup, token_files, warc
 
 QUERIES = {
     "op1_warc_chunks": warc.warc_query,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_edit_fingerprints": edit_embed.fingerprint_query,
     "op9_quality_rules": quality.quality_query,
     "op10_mixing": mixing.mix_query,
+    "op11_filter_audit": filter_audit.audit_query,
 }
 
 ORACLE_SQL = {
     "op1_warc_chunks": warc.WARC_SQL,
     "op7_chat_formatting": chat.CHAT_SQL,
     "op10_mixing": mixing.MIX_SQL,
+    "op11_filter_audit": filter_audit.AUDIT_SQL,
 }
