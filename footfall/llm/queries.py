@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from footfall.llm import chat, edit_embed, filter_audit, langid, minhash, mixing, quality, spiece, suffix_dedup, token_files, warc
+from footfall.llm import chat, edit_embed, filter_audit, langid, minhash, mixing, quality, spiece, suffix_dedup, token_files, turn_repair, warc
 
 QUERIES = {
     "op1_warc_chunks": warc.warc_query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_quality_rules": quality.quality_query,
     "op10_mixing": mixing.mix_query,
     "op11_filter_audit": filter_audit.audit_query,
+    "op12_turn_repair": turn_repair.repair_query,
 }
 
 ORACLE_SQL = {
@@ -23,4 +24,5 @@ ORACLE_SQL = {
     "op7_chat_formatting": chat.CHAT_SQL,
     "op10_mixing": mixing.MIX_SQL,
     "op11_filter_audit": filter_audit.AUDIT_SQL,
+    "op12_turn_repair": turn_repair.REPAIR_SQL,
 }
