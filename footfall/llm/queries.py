@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from footfall.llm import chat, edit_embed, filter_audit, langid, minhash, mixing, quality, spiece, suffix_dedup, token_files, turn_repair, warc
+from footfall.llm import chat, edit_embed, filter_audit, langid, metric_join, minhash, mixing, quality, spiece, suffix_dedup, token_files, turn_repair, warc
 
 QUERIES = {
     "op1_warc_chunks": warc.warc_query,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_mixing": mixing.mix_query,
     "op11_filter_audit": filter_audit.audit_query,
     "op12_turn_repair": turn_repair.repair_query,
+    "op13_ngram_jaccard": metric_join.jaccard_query,
 }
 
 ORACLE_SQL = {
