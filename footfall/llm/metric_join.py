@@ -16,8 +16,8 @@ the Jaccard distance, which is a metric.
 4. ``joined``: each cluster is a region, joined by full sets. A region of over ``BLOCK`` classes (or ``REGION_BYTES``) gets
    ``PIVOTS`` of its members as pivots; each member goes home to the ring of width r about its nearest pivot, and as a
    replica to every other ring that a class within r of it could be at home in: distances to the pivot from d - r to d + r,
-   for pivots up to 2 r farther than the nearest one. Regions of one component are done. Others are joined again, until
-   they fit a task. A ring that holds over ``STUCK`` of its region isn't split again by pivots, but compared block by block.
+   for pivots up to 2 r farther than the nearest one. Members that pivots connect bear one label, and regions of one label
+   are done. Others are joined again, until they fit a task. A ring that holds over ``STUCK`` of its region isn't split again by pivots, but compared block by block.
    Members of a region that fits are all compared, but for those that are known to be connected.
 5. Components of the confirmed links; copies follow their class.
 
@@ -49,8 +49,10 @@ WEAK = 2
 #: Counters of a folded set: about an eighth of its elements, a power of two between these.
 FOLDS = (16, 1024)
 #: Classes, and bytes of their sets, that one task compares; pivots of a larger region, and the bytes of their sets.
-BLOCK, REGION_BYTES = 512, 64 << 20
+BLOCK, REGION_BYTES = 2048, 32 << 20
 PIVOTS, PIVOT_BYTES = 16, 32 << 20
+#: Members of a larger region that one task holds against its pivots.
+PART = 512
 STUCK = 0.75
 
 _U = np.uint64
@@ -322,9 +324,27 @@ def _verified(rows: DataFrame, percent: int) -> DataFrame:
     return dealt.repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(tidy(go), "a bigint, b bigint")
 
 
+def _labels(known: np.ndarray, linked: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """A node that each member is connected with, the same for members as far as their links with pivots tell.
+
+    known: such a node of each member so far; linked: members x pivots; pivots: the places of the pivots, linked[pivots]
+    their links among themselves.
+    """
+    label = known[pivots]
+    tied = linked[pivots] | linked[pivots].T | (label[:, None] == label[None, :])
+    while True:
+        less = np.where(tied, label[None, :], label[:, None]).min(axis=1)
+        if (less == label).all():
+            break
+        label = less
+    with_pivot = linked | (known[:, None] == known[pivots][None, :])
+    least = np.where(with_pivot, label[None, :], np.iinfo(np.int64).max).min(axis=1)
+    return np.where(with_pivot.any(axis=1), least, known)
+
+
 def _placed(rows: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    """The rows (region, node, home, set) of regions with sizes (region, members, pivots, least) in the rings that they
-    belong to: region, node, home, set, parent_members, link (a pivot within r)."""
+    """The rows (region, node, known, home, set) of regions with sizes (region, members, homes, least, pivots) in the rings
+    that they belong to: region, node, known, home, set, parent_members, link (a pivot within r)."""
     import pyarrow as pa
 
     r = 1 - percent / 100
@@ -336,12 +356,14 @@ def _placed(rows: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
 
     def region(table):
         raw = table.column("set").to_pylist()
-        node, home, lead = (table.column(c).to_numpy() for c in ("node", "home", "lead"))
+        node, known, home, lead = (table.column(c).to_numpy() for c in ("node", "known", "home", "lead"))
         pivots, rows = np.flatnonzero(lead), np.flatnonzero(~lead)
         if not len(rows):
             return
         sets = _Sets(raw)
-        inter = np.stack([sets.common(p)[rows] for p in pivots], axis=1)
+        every = np.stack([sets.common(p) for p in pivots], axis=1)
+        label = _labels(known, 100 * every >= percent * (sets.size[:, None] + sets.size[pivots][None, :] - every), pivots)
+        inter = every[rows]
         union = sets.size[rows][:, None] + sets.size[pivots][None, :] - inter
         far = 1 - inter / union
         nearest = far.argmin(axis=1)
@@ -366,25 +388,26 @@ def _placed(rows: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
                 [
                     pa.array(key.view(np.int64)),
                     pa.array(node[rows[i]]),
+                    pa.array(label[rows[i]]),
                     pa.array(home[rows[i]] & (nearest[i] == j) & (ring[i, j] == at)),
                     pa.array([raw[x] for x in rows[i].tolist()], pa.binary()),
                     pa.array(np.full(len(i), members, np.int64)),
                     link,
                 ],
-                names=["region", "node", "home", "set", "parent_members", "link"],
+                names=["region", "node", "known", "home", "set", "parent_members", "link"],
             )
 
     share = F.pmod(F.xxhash64("node", F.lit(7)), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    all_rows = join_groups(rows.select("region", "node", "home", "set"), sizes, ["region"], F.col("node")).filter("members IS NOT NULL")
-    parts = F.ceil(F.col("members") / BLOCK)
+    all_rows = join_groups(rows.select("region", "node", "known", "home", "set"), sizes, ["region"], F.col("node")).filter("members IS NOT NULL")
+    parts = F.ceil(F.col("members") / PART)
     mine = all_rows.withColumn("part", F.pmod(F.xxhash64("node", F.lit(11)), parts)).withColumn("lead", F.lit(False))
     lead = all_rows.filter(F.col("home") & ((share < F.col("pivots") / F.col("homes")) | (F.col("node") == F.col("least"))))
     lead = lead.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1))).withColumn("lead", F.lit(True))
     dealt = mine.unionByName(lead).select(
-        F.xxhash64("region", "part").alias("bucket"), F.col("region").alias("bucket_region"), "node", "home", "set", "members", "lead"
+        F.xxhash64("region", "part").alias("bucket"), F.col("region").alias("bucket_region"), "node", "known", "home", "set", "members", "lead"
     )
     return dealt.repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(
-        tidy(go), "region bigint, node bigint, home boolean, set binary, parent_members bigint, link bigint"
+        tidy(go), "region bigint, node bigint, known bigint, home boolean, set binary, parent_members bigint, link bigint"
     )
 
 
@@ -426,11 +449,14 @@ def joined(sets: DataFrame, percent: int) -> DataFrame:
         stuck = F.coalesce(F.col("members") > STUCK * F.col("parent_members"), F.lit(False))
         sizes = written(sizes.withColumn("fate", F.when(fits, 0).when(stuck, 1).otherwise(2)), "region-sizes")
         fates = {r["fate"] for r in sizes.select("fate").distinct().collect()}
+        ready = []
         if 0 in fates:
             small = join_groups(rows, sizes.filter("fate = 0").select("region", "fate"), ["region"], F.col("node")).filter("fate IS NOT NULL")
-            links.append(written(_verified(small.withColumn("block", F.lit(-1).cast("bigint")), percent), "verified"))
+            ready.append(small.select("region", "node", "known", "home", F.lit(-1).cast("bigint").alias("block"), "set"))
         if 1 in fates:
-            links.append(written(_verified(_cells(rows, sizes.filter("fate = 1").select("region", "members", "weight")), percent), "verified"))
+            ready.append(_cells(rows, sizes.filter("fate = 1").select("region", "members", "weight")))
+        if ready:
+            links.append(written(_verified(functools.reduce(DataFrame.unionByName, ready), percent), "verified"))
         if 2 not in fates:
             discard(rows, sizes)
             out = written(functools.reduce(DataFrame.unionByName, links), "metric-links") if links else None
@@ -440,12 +466,8 @@ def joined(sets: DataFrame, percent: int) -> DataFrame:
         placed = written(_placed(rows, large, percent), "rings")
         discard(rows, sizes)
         links.append(written(placed.filter("link IS NOT NULL AND link <> node").select(F.col("node").alias("a"), F.col("link").alias("b")).distinct(), "pivot-links"))
-        now = components(functools.reduce(DataFrame.unionByName, links)).select("node", F.col("component").alias("now"))
-        rows = written(
-            placed.join(now, "node", "left").select("region", "node", F.coalesce("now", "node").alias("known"), "home", "parent_members", "set"),
-            "regions",
-        )
-        discard(placed)
+        rows = placed.select("region", "node", "known", "home", "parent_members", "set")
+        rows.written_to = placed.written_to
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
