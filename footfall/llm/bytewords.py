@@ -44,16 +44,34 @@ def powers(n: int, base: int = _BASE) -> np.ndarray:
     return have
 
 
+_CHUNK = 1 << 16
+
+
+def powers_at(places: np.ndarray, base: int) -> np.ndarray:
+    """base ** place, modulo 2 ** 64, from two short tables: no table as long as a text."""
+    low = powers(_CHUNK, base)
+    if not len(places) or int(places.max()) < _CHUNK:
+        return low[places]
+    high = powers(int(places.max()) // _CHUNK + 1, pow(base, _CHUNK, 1 << 64))
+    return low[places & (_CHUNK - 1)] * high[places >> 16]
+
+
 def prefix_hash(raw: np.ndarray) -> np.ndarray:
     """Sums such that hash_of(sums, a, b) identifies raw[a:b]."""
     sums = np.zeros(len(raw) + 1, U64)
-    np.cumsum(_values()[raw] * powers(len(raw))[: len(raw)], out=sums[1:])
+    low = powers(_CHUNK)[:_CHUNK]
+    scale, step = 1, pow(_BASE, _CHUNK, 1 << 64)
+    for start in range(0, len(raw), _CHUNK):
+        part = raw[start : start + _CHUNK]
+        own = sums[start + 1 : start + 1 + len(part)]
+        np.cumsum(_values()[part] * (low[: len(part)] * U64(scale)), out=own)
+        own += sums[start]
+        scale = scale * step % (1 << 64)
     return sums
 
 
 def hash_of(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    inverse = powers(len(sums), _INVERSE)
-    return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(U64))
+    return mix((sums[ends] - sums[starts]) * powers_at(starts, _INVERSE) + (ends - starts).astype(U64))
 
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -120,6 +138,6 @@ def shingles(row: np.ndarray, word_hash: np.ndarray, k: int, n_rows: int):
 
 def per_row(flags: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Sums of flags over each text's bytes."""
-    sums = np.zeros(len(flags) + 1, np.int64)
+    sums = np.zeros(len(flags) + 1, np.int32)
     np.cumsum(flags, out=sums[1:])
-    return sums[ends] - sums[starts]
+    return (sums[ends] - sums[starts]).astype(np.int64)

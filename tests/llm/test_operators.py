@@ -2,8 +2,11 @@
 
 import base64
 import hashlib
+import os
 import random
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter, defaultdict
 
@@ -393,6 +396,21 @@ def test_groups_empty(spark):
     assert minhash.near_groups(documents(spark).limit(0), k=4).count() == 0
 
 
+def test_minhash_rows_of_one_id_are_linked_by_their_own_texts(spark):
+    """Equal doc_ids with unlike texts: no link is lost, and the pipeline's stage drops rows, not ids."""
+    rnd = random.Random(9)
+    a, b = words(rnd, 90), words(rnd, 90)
+    near = " ".join([*b.split(" ")[:-1], "other"])
+    data = [(5, a), (5, b), (6, near), (6, words(rnd, 70)), (7, a), (None, b), (8, near), (8, near)]
+    docs = spark.createDataFrame(data, "doc_id bigint, text string")
+    got = Counter((r["doc_id"], r["component_id"], r["kept"]) for r in minhash.near_groups(docs, k=4).collect())
+    assert got == Counter([(5, 5, True), (5, 5, True), (6, 5, False), (6, 6, True), (7, 5, False), (None, None, True), (8, 5, False), (8, 5, False)])
+    left = minhash.minhash_stage(spark, clashing(docs).withColumn("_doc", F.lit(1)).withColumn("_tkey", F.lit(2)), None)
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in left.collect()) == sorted([(5, a), (5, b), (6, data[3][1]), (0, b)])
+    assert left.columns == clashing(docs).withColumn("_doc", F.lit(1)).withColumn("_tkey", F.lit(2)).columns
+
+
+
 def test_signatures_estimate_likeness():
     rng = np.random.default_rng(2)
     for share in (0.2, 0.5, 0.8):
@@ -646,6 +664,24 @@ def test_suffix_repeats_equal_brute_force(texts):
     assert quality.suffix_repeats(row, symbol).tolist() == want
 
 
+@pytest.mark.parametrize("kind", ["repeats", "words"])
+def test_quality_of_a_very_long_text_in_bounded_memory(kind):
+    """16 MB of two words over and over, or of ordinary words, in less than 600 MB with the interpreter."""
+    script = f"""
+import random, resource, sys
+import numpy as np
+from footfall.llm import quality
+rnd = random.Random(1)
+text = "ab " * 5_600_000 if {kind == "repeats"} else " ".join("w%x" % rnd.randrange(50_000) for _ in range(2_600_000))
+raw = np.frombuffer(text.encode(), np.uint8)
+got = quality.measure(raw, np.array([0]), np.array([len(raw)]))
+print(int(got["n_words"][0]), int(got["longest_repeat"][0]), resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)
+"""
+    out = subprocess.run([sys.executable, "-c", script], capture_output=True, text=True, check=True, cwd=os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
+    n, longest, megabytes = map(int, out.stdout.split())
+    assert megabytes < 600 and (n, longest) in {(5_600_000, 5_599_999), (2_600_000, 2)}
+
+
 # --- 10: mixing -------------------------------------------------------------------------------------------------
 
 
