@@ -1,7 +1,7 @@
 """Near-duplicate groups by SuperMinHash, banding, verification on full sets and union-find.
 
 1. ``signatures``: each text's distinct word shingles, a key of the whole set, its SuperMinHash signature and bands.
-2. Texts with equal sets are one class from here on; its least doc_id stands for it.
+2. Texts with equal sets are one class from here on, known by a hash of the set; the row of its least doc_id stands for it.
 3. Bands group the classes. Within buckets of up to ``SMALL_BUCKET`` classes, pairs whose signatures agree in
    ``MIN_AGREE`` of the slots or more are united; larger buckets are united whole, which only makes more work for the
    next step. The components of these candidate links are clusters: every pair that could be near lies inside one.
@@ -20,8 +20,10 @@ slots with about 1e-6, and in less than WIDE_AGREE of the wide slots with about
 size.
 
 Defined results: null, empty and blank texts have no shingles, are linked with nothing and are kept; rows with a null
-doc_id have a null component and are kept; repeated rows share their doc_id and are kept or not together; an empty table
-gives no rows; other columns are ignored.
+doc_id have a null component and are kept; repeated rows share their doc_id and are kept or not together; rows of one
+doc_id with unlike texts are linked through their own texts only, so they may lie in several components, and each is kept
+or not by itself; texts of any length are taken whole, alone in their batch; an empty table gives no rows; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ from pyspark.sql import functions as F
 
 from footfall.llm import blocks
 from footfall.llm import bytewords as bw
-from footfall.llm._common import byte_buffer, discard, documents, join_groups, text_batches, tidy, written
+from footfall.llm._common import byte_buffer, discard, documents, join_groups, shielded, text_batches, tidy, written
 from footfall.llm.components import components
 
 #: 28 bands of 4 values: a pair of likeness 0.8 shares no band with probability 4e-7.
@@ -113,7 +115,7 @@ def _row_sums(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n_shingles, key1 and key2 (128 bits of the whole set), sig (a byte per slot), bands."""
+    """doc_id, tkey, n_shingles, key1 and key2 (128 bits of the whole set), sig (a byte per slot), bands of docs (doc_id, tkey, text)."""
     import pyarrow as pa
 
     def sign(batches):
@@ -126,6 +128,7 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id").cast(pa.int64()),
+                    batch.column("tkey"),
                     pa.array(np.diff(ends, prepend=0).astype(np.int64)),
                     pa.array(_row_sums(bw.mix(element), ends).view(np.int64)),
                     pa.array(_row_sums(bw.mix(element ^ np.uint64(0xA0761D6478BD642F)), ends).view(np.int64)),
@@ -134,11 +137,11 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
                         pa.array(np.arange(0, n * BANDS + 1, BANDS, dtype=np.int32)), pa.array(bands.ravel())
                     ),
                 ],
-                names=["doc_id", "n_shingles", "key1", "key2", "sig", "bands"],
+                names=["doc_id", "tkey", "n_shingles", "key1", "key2", "sig", "bands"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(
-        tidy(sign), "doc_id bigint, n_shingles bigint, key1 bigint, key2 bigint, sig binary, bands array<bigint>"
+    return docs.select("doc_id", "tkey", "text").mapInArrow(
+        tidy(sign), "doc_id bigint, tkey bigint, n_shingles bigint, key1 bigint, key2 bigint, sig binary, bands array<bigint>"
     )
 
 
@@ -170,13 +173,13 @@ def _small_bucket_links(members: DataFrame) -> DataFrame:
 
 
 def candidate_clusters(reps: DataFrame) -> DataFrame:
-    """node, component of the classes (doc_id, sig, bands) that may be near another."""
-    bucket = reps.select(F.col("doc_id").alias("id"), F.explode("bands").alias("bucket"))
+    """node, component of the classes (node, sig, bands) that may be near another."""
+    bucket = reps.select(F.col("node").alias("id"), F.explode("bands").alias("bucket"))
     sizes = bucket.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least")).filter("n > 1")
     shared = written(bucket.join(sizes, "bucket"), "buckets")
     large = shared.filter(F.col("n") > SMALL_BUCKET).select(F.col("id").alias("a"), F.col("least").alias("b"))
     small = shared.filter(F.col("n") <= SMALL_BUCKET).select("bucket", "id")
-    small = small.join(reps.select(F.col("doc_id").alias("id"), "sig"), "id")
+    small = small.join(reps.select(F.col("node").alias("id"), "sig"), "id")
     # Written first: two Python functions in one stage would hold two workers for each core.
     links = written(large.filter("a <> b").unionByName(_small_bucket_links(small)), "candidate-links")
     discard(shared)
@@ -309,12 +312,16 @@ def _wanted(cells: DataFrame) -> DataFrame:
     return dealt.mapInArrow(tidy(find), "group bigint, lo bigint, hi bigint, id bigint").distinct()
 
 
-def verify_clusters(docs: DataFrame, clusters: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links (a, b) confirmed on full sets, enough to connect all that is connected inside each cluster."""
+def verify_clusters(docs: DataFrame, reps: DataFrame, clusters: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (a, b) confirmed on full sets, enough to connect all that is connected inside each cluster.
+
+    reps: node, doc_id, tkey: the row of docs (doc_id, tkey, text) that stands for each class.
+    """
     sizes = clusters.groupBy("component").agg(F.count(F.lit(1)).alias("members"))
     placed = join_groups(clusters, sizes, ["component"], F.col("node")).withColumnRenamed("component", "group")
-    texts = docs.select(F.col("doc_id").alias("node"), "text").join(placed, "node")
-    # Repeated rows of one doc_id need no second look.
+    wanted = placed.join(reps.select("node", "doc_id", "tkey"), "node")
+    texts = docs.select("doc_id", "tkey", "text").join(wanted, ["doc_id", "tkey"]).drop("doc_id", "tkey")
+    # Rows that are there twice need no second look.
     held = written(texts.dropDuplicates(["node"]), "cluster-texts")
     held = held.withColumn("blocks", F.ceil(F.col("members") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
     fresh = (F.col("id").alias("known"), F.lit(True).alias("left"))
@@ -336,38 +343,38 @@ def verify_clusters(docs: DataFrame, clusters: DataFrame, k: int, percent: int)
     return links.unionByName(written(_verify(asked, k, percent), "near-links"))
 
 
-def near_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of each row of docs."""
+def _keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, tkey (a hash of the text) and text: what tells a row from others of its doc_id."""
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("tkey"), "text")
+
+
+def near_rows(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """doc_id, tkey, n_shingles, component_id, kept of each row of docs."""
+    docs = _keyed(docs)
     signed = written(signatures(docs, k), "signatures")
-    full = signed.filter((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
-    classes = written(
-        full.groupBy("key1", "key2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")),
-        "classes",
-    )
-    reps = full.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    node = F.xxhash64("key1", "key2", "n_shingles").alias("node")
+    full = signed.filter((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()).select("*", node)
+    classes = written(full.groupBy("node").agg(F.min(F.struct("doc_id", "tkey")).alias("rep"), F.count(F.lit(1)).alias("copies")), "classes")
+    first = classes.select("rep.doc_id", "rep.tkey")
+    reps = written(full.join(first, ["doc_id", "tkey"], "left_semi").dropDuplicates(["node"]).select("node", "doc_id", "tkey", "sig", "bands"), "representatives")
     clusters = candidate_clusters(reps)
-    links = verify_clusters(docs, clusters, k, percent)
-    linked = components(links).select(F.col("node").alias("rep"), "component")
-    groups = classes.join(linked, "rep", "left").select(
-        "key1", "key2", "n_shingles", F.coalesce("component", "rep").alias("component")
-    )
+    links = verify_clusters(docs, reps, clusters, k, percent)
+    linked = components(links).withColumnRenamed("component", "_group")
+    groups = classes.join(linked, "node", "left").select("node", "copies", F.col("rep.doc_id").alias("least"), "_group")
     # Only classes of several documents, or linked ones, change anything.
-    moved = written(
-        groups.join(classes.select("key1", "key2", "n_shingles", "rep", "copies"), ["key1", "key2", "n_shingles"]).filter(
-            (F.col("copies") > 1) | (F.col("rep") != F.col("component"))
-        ).select("key1", "key2", "n_shingles", "component"),
-        "groups",
-    )
-    joined = join_groups(
-        signed.select("doc_id", "n_shingles", "key1", "key2"), moved, ["key1", "key2", "n_shingles"], F.col("doc_id")
-    )
-    component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
-    return joined.select("doc_id", "n_shingles", component.alias("component_id")).select(
-        "doc_id",
-        "n_shingles",
-        "component_id",
-        (F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("kept"),
-    )
+    groups = written(groups.filter("copies > 1 OR _group IS NOT NULL").withColumn("_group", F.coalesce("_group", "node")), "groups")
+    least = groups.groupBy("_group").agg(F.min("least").alias("component"))
+    moved = written(join_groups(groups.select("node", "_group"), least, ["_group"], F.col("node")).select("node", "component"), "moved")
+    discard(classes, reps, clusters, groups)
+    joined = join_groups(signed.select("doc_id", "tkey", "n_shingles", node), moved, ["node"], F.col("doc_id"))
+    known = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
+    component = F.when(known, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
+    return joined.select("doc_id", "tkey", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def near_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of each row of docs."""
+    return near_rows(docs, k, percent).drop("tkey")
 
 
 def minhash_query(spark, sf_dir: str) -> DataFrame:
@@ -376,6 +383,7 @@ def minhash_query(spark, sf_dir: str) -> DataFrame:
 
 def minhash_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: one document of each group of near copies stays, with all its columns."""
-    groups = near_groups(docs, k=5)
-    dropped = groups.filter(~F.col("kept")).select("doc_id")
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    dropped = near_rows(docs, k=5, percent=80).filter(~F.col("kept")).select(F.col("doc_id").alias("_doc"), F.col("tkey").alias("_tkey")).distinct()
+    same = (F.col("doc_id") == F.col("_doc")) & (F.xxhash64("text") == F.col("_tkey"))
+    inner, restored = shielded(docs)
+    return restored(inner.join(dropped, same, "left_anti"))
