@@ -356,7 +356,7 @@ def near_rows(docs: DataFrame, k: int, percent: int) -> DataFrame:
     full = signed.filter((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()).select("*", node)
     classes = written(full.groupBy("node").agg(F.min(F.struct("doc_id", "tkey")).alias("rep"), F.count(F.lit(1)).alias("copies")), "classes")
     first = classes.select("rep.doc_id", "rep.tkey")
-    reps = written(full.join(first, ["doc_id", "tkey"], "left_semi").dropDuplicates(["node"]).select("node", "doc_id", "tkey", "sig", "bands"), "representatives")
+    reps = written(full.join(first, ["doc_id", "tkey"], "left_semi").dropDuplicates(["doc_id", "tkey"]).select("node", "doc_id", "tkey", "sig", "bands"), "representatives")
     clusters = candidate_clusters(reps)
     links = verify_clusters(docs, reps, clusters, k, percent)
     linked = components(links).withColumnRenamed("component", "_group")
