@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from footfall.functions import stats
 from footfall.operators import series
 
 
@@ -91,7 +92,10 @@ def trend_increment(daily: DataFrame, keys: list[str], day: str, value: str) ->
 
 
 def trend_regression(daily: DataFrame, keys: list[str], day: str, value: str) -> DataFrame:
-    """Slope, intercept, correlation and the slope's standard error over ordinal days."""
+    """Slope, intercept, correlation, the slope's standard error over ordinal days, and the p-value of no trend.
+
+    p is null for fewer than three days; a perfect line has p 0, and days without any variation 1.
+    """
     x = F.datediff(F.to_date(day), F.lit("0001-01-01").cast("date")) + 1
     rows = daily.withColumn("_x", x.cast("double")).withColumn("_y", F.col(value).cast("double"))
     fit = rows.groupBy(*keys).agg(
@@ -104,4 +108,7 @@ def trend_regression(daily: DataFrame, keys: list[str], day: str, value: str) ->
     )
     left = F.greatest(F.lit(0.0), F.col("_syy") - F.col("slope") * F.col("slope") * F.col("_sxx"))
     error = F.sqrt(F.try_divide(left, (F.col("n") - 2).cast("double")) / F.col("_sxx"))
-    return fit.withColumn("stderr", error).drop("_sxx", "_syy")
+    p = F.when(F.col("stderr") > 0, stats.t_two_sided(F.col("slope") / F.col("stderr"), F.col("n") - 2)).when(
+        F.col("n") > 2, F.when(F.col("slope") == 0, 1.0).otherwise(0.0)
+    )
+    return fit.withColumn("stderr", error).withColumn("p", p).drop("_sxx", "_syy")

@@ -84,7 +84,7 @@ def patched(document: Column, operations: Column) -> Column:
         return F.map_concat(without(m, key), F.map_from_arrays(F.array(key), F.array(value)))
 
     def step(m: Column, o: Column) -> Column:
-        key, origin, value = F.substring(o["path"], 2, 10_000), F.substring(o["from"], 2, 10_000), o["value"]
+        key, origin, value = F.regexp_replace(o["path"], "^.", ""), F.regexp_replace(o["from"], "^.", ""), o["value"]
         has, has_origin = F.map_contains_key(m, key), F.map_contains_key(m, origin)
         failed = F.lit(None).cast("map<string,string>")
         return (

@@ -6,6 +6,7 @@ Iterative operators cut their lineage with tables in the folder of spark.checkpo
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -32,7 +33,17 @@ def _cut(df: DataFrame) -> DataFrame:
         context.setCheckpointDir(base)
     path = f"{base.rstrip('/')}/graph/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def _drop(*tables: DataFrame) -> None:
+    """Delete tables of ``_cut`` that no plan reads any more."""
+    for table in tables:
+        context = table.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(table.written_to)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def both_ways(edges: DataFrame, *keep: str) -> DataFrame:
@@ -47,6 +58,29 @@ def nodes(edges: DataFrame) -> DataFrame:
     return both_ways(edges).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
 
 
+def numbered(rows: DataFrame, keys: Sequence[str], out: str = "number") -> DataFrame:
+    """rows with dense numbers from 0 in the order of their keys, which should be unique. A written table.
+
+    Rows are dealt to ranges of the keys and counted there; a range's first number is the sum of the counts before it, a
+    sum over one row for each range. No task sees all rows.
+    """
+    placed = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_range", F.spark_partition_id())
+    # The low bits count the rows of a partition.
+    placed = _cut(placed.withColumn("_place", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)))
+    counts = placed.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    first = counts.select("_range", before.alias("_first"))
+    done = _cut(placed.join(first, "_range").withColumn(out, F.col("_first") + F.col("_place")).drop("_range", "_place", "_first"))
+    _drop(placed)
+    return done
+
+
+def placed_nodes(points: DataFrame) -> DataFrame:
+    """number, node, x, y of the nodes of polyline ends (node, lid, x, y) in the order of node; the greatest lid's place wins."""
+    last = points.groupBy("node").agg(F.max(F.struct("lid", "x", "y")).alias("p")).select("node", "p.x", "p.y")
+    return numbered(last, ["node"]).select("number", "node", "x", "y")
+
+
 def directed_weights(edges: DataFrame, alpha: float = 1.0, alpha_speed: float = 0.0, vmin: float = 1.0, lowest: float = 1, highest: float = 2) -> DataFrame:
     """lid, nf, nt, w_ft, w_tf: length weighed with speed and use; one-way edges are closed the other way.
 
@@ -73,10 +107,24 @@ def flooded(weights: DataFrame, levels: DataFrame, height: float, water: float)
     return joined.select("lid", "nf", "nt", *(F.when(is_open, F.col(c)).otherwise(F.lit(CLOSED)).alias(c) for c in ("w_ft", "w_tf")))
 
 
+def transition_classes(edges: DataFrame) -> DataFrame:
+    """node, lid, cnt, total, others: what leaves each node by each edge, and what all edges there sum to.
+
+    The share of traffic that turns from edge x into edge y at a node is y's cnt / (x's total - x's cnt), or 1 / others
+    where that is less than 1; so these rows, two for each edge, say all that ``transitions`` lists in pairs.
+    """
+    ends = both_ways(edges, "lid", "cnt_ft", "cnt_tf")
+    cnt = F.when(F.col("forward"), F.col("cnt_ft")).otherwise(F.col("cnt_tf"))
+    rows = ends.select("node", "lid", cnt.alias("cnt"))
+    sums = rows.groupBy("node").agg(F.sum("cnt").alias("total"), (F.count(F.lit(1)) - 1).alias("others"))
+    return rows.join(sums, "node").select("node", "lid", "cnt", "total", "others")
+
+
 def transitions(edges: DataFrame) -> DataFrame:
-    """lid, next_lid, share: how traffic leaving an edge at either end spreads over the other edges there.
+    """lid, next_lid, share: how traffic leaving an edge at either end spreads over the other edges there, all pairs.
 
-    Shares follow the counts in the direction of travel; all alike where they sum to less than 1.
+    Shares follow the counts in the direction of travel; all alike where they sum to less than 1. For few nodes;
+    ``transition_classes`` is linear in the edges.
     """
     ends = both_ways(edges, "lid", "cnt_ft", "cnt_tf")
     after = ends.select(
@@ -227,25 +275,43 @@ def chain_points(places: DataFrame, points: DataFrame) -> DataFrame:
     return inner.select(F.col("chain").alias("lid"), whole.alias("seq"), "x", "y")
 
 
+def directed_arcs(weights: DataFrame, most: float = CLOSED) -> DataFrame:
+    """a, b, w, lid: the cheapest open arc between two nodes in each direction, of equals that of the least lid."""
+    there = weights.select(F.col("nf").alias("a"), F.col("nt").alias("b"), F.col("w_ft").alias("w"), "lid")
+    back = weights.select(F.col("nt").alias("a"), F.col("nf").alias("b"), F.col("w_tf").alias("w"), "lid")
+    return there.unionByName(back).filter(F.col("w") < most).groupBy("a", "b").agg(F.min(F.struct("w", "lid")).alias("s")).select("a", "b", "s.w", "s.lid")
+
+
 def shortest(weights: DataFrame, sources: DataFrame, most: float = CLOSED) -> DataFrame:
     """source, node, dist, before: least cost from each source (node) to every node it reaches, and the node before.
 
     Rounds of joins with the edges, of the nodes whose cost fell, until none falls. Ties go to the least node before.
+    ``hubs`` answers pairs of nodes without a round for each hop.
     """
-    arcs = _cut(
-        weights.select(F.col("nf").alias("a"), F.col("nt").alias("b"), F.col("w_ft").alias("w"))
-        .unionByName(weights.select(F.col("nt").alias("a"), F.col("nf").alias("b"), F.col("w_tf").alias("w")))
-        .filter(F.col("w") < most)
-        .groupBy("a", "b")
-        .agg(F.min("w").alias("w"))
-    )
+    arcs = _cut(directed_arcs(weights, most).drop("lid"))
     best = _cut(sources.select(F.col("node").alias("source"), "node", F.lit(0.0).alias("dist"), F.lit(None).cast("bigint").alias("before")))
-    return _spread(arcs, best)
+    out = _spread(arcs, best)
+    _drop(arcs)
+    return out
+
+
+#: Rounds after which the costs found are gathered to one row for each source and node.
+GATHER = 6
+
+
+def _gathered(parts: list[DataFrame]) -> DataFrame:
+    """The least cost, then the least node before, of each source and node."""
+    rows = functools.reduce(DataFrame.unionByName, [p.select("source", "node", "dist", "before") for p in parts])
+    best = F.min(F.struct(F.round("dist", 9).alias("r"), "before", "dist")).alias("s")
+    return rows.groupBy("source", "node").agg(best).select("source", "node", "s.dist", "s.before")
 
 
 def _spread(arcs: DataFrame, best: DataFrame) -> DataFrame:
-    """The least costs from best (source, node, dist, before) on over arcs (a, b, w)."""
-    front = best
+    """The least costs from best (source, node, dist, before) on over arcs (a, b, w). A written table; best is deleted.
+
+    A round writes only what is new: the nodes whose cost fell, and equal costs by a lesser node before.
+    """
+    parts, front = [best], best
     while True:
         step = (
             front.join(arcs, F.col("node") == F.col("a"))
@@ -253,49 +319,82 @@ def _spread(arcs: DataFrame, best: DataFrame) -> DataFrame:
             .groupBy("source", "n")
             .agg(F.min("s").alias("s"))
         )
-        joined = step.join(best.select("source", F.col("node").alias("n"), F.col("dist").alias("old")), ["source", "n"], "left")
-        front = _cut(
-            joined.filter(F.col("old").isNull() | (F.col("s.dist") < F.col("old") - 1e-9)).select(
-                "source", F.col("n").alias("node"), F.col("s.dist").alias("dist"), F.col("s.before").alias("before")
+        old = _gathered(parts).select("source", F.col("node").alias("n"), F.col("dist").alias("old"), F.col("before").alias("old_before"))
+        joined = step.join(old, ["source", "n"], "left")
+        fell = F.col("old").isNull() | (F.col("s.dist") < F.col("old") - 1e-9)
+        tied = (F.abs(F.col("s.dist") - F.col("old")) <= 1e-9) & (F.col("s.before") < F.col("old_before"))
+        new = _cut(
+            joined.withColumn("fell", fell).filter(F.col("fell") | tied).select(
+                "source", F.col("n").alias("node"), F.col("s.dist").alias("dist"), F.col("s.before").alias("before"), "fell"
             )
         )
-        if front.isEmpty():
-            return best
-        stale = front.select("source", "node")
-        best = _cut(best.join(stale, ["source", "node"], "left_anti").unionByName(front))
+        front = new.filter("fell").drop("fell")
+        parts.append(new)
+        ended = front.isEmpty()
+        if ended or len(parts) > GATHER:
+            whole = _cut(_gathered(parts))
+            if not ended:
+                # The front lives on in a table of its own.
+                front = _cut(front)
+            _drop(*parts)
+            if ended:
+                return whole
+            parts = [whole, front]
 
 
 def path_edges(found: DataFrame, wanted: DataFrame) -> DataFrame:
     """source, target, step, a, b: the arcs of the best path of each wanted (source, target), step 0 at the target.
 
-    found is what ``shortest`` gave. All paths go one arc back in each round of joins; a target out of reach has no rows.
+    found is what ``shortest`` gave. Pointers to the node 1, 2, 4, ... arcs back are doubled until none is left; then each
+    pointer, from the longest down, doubles the places known of every path. A target out of reach has no rows.
     """
-    back = found.filter(F.col("before").isNotNull()).select("source", F.col("node").alias("b"), F.col("before").alias("a"))
-    at = wanted.select("source", "target", F.col("target").alias("b"))
-    out, step = None, 0
+    sources = wanted.select("source").distinct()
+    one = found.filter(F.col("before").isNotNull()).select("source", "node", F.col("before").alias("to")).join(sources, "source", "left_semi")
+    jumps = [_cut(one)]
     while True:
-        moved = _cut(at.join(back, ["source", "b"]).select("source", "target", F.lit(step).alias("step"), "a", "b"))
-        out = moved if out is None else out.unionByName(moved)
-        if moved.isEmpty():
-            return out
-        at, step = moved.select("source", "target", F.col("a").alias("b")), step + 1
+        last = jumps[-1]
+        twice = _cut(last.join(last.select("source", F.col("node").alias("to"), F.col("to").alias("far")), ["source", "to"]).select("source", "node", F.col("far").alias("to")))
+        if twice.isEmpty():
+            _drop(twice)
+            break
+        jumps.append(twice)
+    at = _cut(wanted.select("source", "target", F.lit(0).alias("step"), F.col("target").alias("node")))
+    for k in range(len(jumps) - 1, -1, -1):
+        ahead = at.join(jumps[k], ["source", "node"]).select("source", "target", (F.col("step") + (1 << k)).alias("step"), F.col("to").alias("node"))
+        before, at = at, _cut(at.unionByName(ahead))
+        _drop(before)
+    out = _cut(at.join(jumps[0], ["source", "node"]).select("source", "target", "step", F.col("to").alias("a"), F.col("node").alias("b")))
+    _drop(at, *jumps)
+    return out
 
 
 def shortest_with_turns(weights: DataFrame, forbidden: DataFrame, sources: DataFrame, most: float = CLOSED) -> DataFrame:
     """source, node, dist over walks that take none of the forbidden turns (lid, next_lid).
 
-    The states are arcs and not nodes: an arc may follow another where that one ends, unless the turn is forbidden.
+    Only at nodes with a forbidden turn does it matter which arc a walk came by: there the states are the arcs that end
+    at the node, and pairs of arcs are listed; any other node is one state, so its arcs are listed once.
     """
     there = weights.select("lid", F.lit(1).alias("ft"), F.col("nf").alias("from"), F.col("nt").alias("to"), F.col("w_ft").alias("w"))
     back = weights.select("lid", F.lit(0).alias("ft"), F.col("nt").alias("from"), F.col("nf").alias("to"), F.col("w_tf").alias("w"))
-    arcs = _cut(there.unionByName(back).filter(F.col("w") < most).withColumn("arc", F.col("lid") * 2 + F.col("ft")))
-    after = arcs.select(F.col("from").alias("to"), F.col("arc").alias("b"), F.col("lid").alias("next_lid"), "w")
-    turns = arcs.select("to", F.col("arc").alias("a"), "lid").join(after, "to").join(forbidden, ["lid", "next_lid"], "left_anti")
-    start = arcs.join(sources.select(F.col("node").alias("from")), "from")
-    start = start.select(F.col("from").alias("source"), F.col("arc").alias("node"), F.col("w").alias("dist"), F.lit(None).cast("bigint").alias("before"))
-    found = _spread(_cut(turns.select("a", "b", "w")), _cut(start))
-    ended = found.join(arcs.select(F.col("arc").alias("node"), "to"), "node").select("source", F.col("to").alias("node"), "dist")
-    return ended.unionByName(sources.select(F.col("node").alias("source"), "node", F.lit(0.0).alias("dist"))).groupBy("source", "node").agg(F.min("dist").alias("dist"))
+    arcs = there.unionByName(back).filter(F.col("w") < most).withColumn("arc", (F.col("lid") * 2 + F.col("ft")) * 2 + 1)
+    after = arcs.select(F.col("from").alias("to"), F.col("lid").alias("next_lid"))
+    watched = _cut(arcs.select("lid", "to").join(forbidden, "lid").join(after, ["to", "next_lid"], "left_semi").select("to").distinct().withColumn("watched", F.lit(True)))
+    # Even states are nodes, odd ones arcs.
+    head = F.when(F.col("watched"), F.col("arc")).otherwise(F.col("to") * 2)
+    arcs = _cut(arcs.join(watched, "to", "left").select("lid", "from", "to", "w", "arc", head.alias("head")))
+    origin = watched.withColumnRenamed("to", "from")
+    free = arcs.join(origin, "from", "left_anti").select((F.col("from") * 2).alias("a"), F.col("head").alias("b"), "w")
+    out = arcs.join(origin, "from", "left_semi").select(F.col("from").alias("to"), F.col("lid").alias("next_lid"), F.col("head").alias("b"), "w")
+    bound = arcs.filter("head = arc").select("to", "lid", F.col("arc").alias("a")).join(out, "to").join(forbidden, ["lid", "next_lid"], "left_anti").select("a", "b", "w")
+    steps = _cut(free.unionByName(bound).groupBy("a", "b").agg(F.min("w").alias("w")))
+    start = arcs.join(sources.select(F.col("node").alias("from")), "from").groupBy(F.col("from").alias("source"), F.col("head").alias("node")).agg(F.min("w").alias("dist"))
+    found = _spread(steps, _cut(start.withColumn("before", F.lit(None).cast("bigint"))))
+    at_arc = found.filter("node % 2 <> 0").join(arcs.select(F.col("arc").alias("node"), "to"), "node").select("source", F.col("to").alias("node"), "dist")
+    at_node = found.filter("node % 2 = 0").select("source", F.shiftright("node", 1).alias("node"), "dist")
+    here = sources.select(F.col("node").alias("source"), "node", F.lit(0.0).alias("dist"))
+    done = _cut(at_arc.unionByName(at_node).unionByName(here).groupBy("source", "node").agg(F.min("dist").alias("dist")))
+    _drop(watched, arcs, steps, found)
+    return done
 
 
 def next_hops(weights: DataFrame, destinations: DataFrame) -> DataFrame:

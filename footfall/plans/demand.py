@@ -171,17 +171,6 @@ def route_report(spark, d):
     return lines.groupBy("length").agg(F.count(F.lit(1)).alias("created"), F.count_if("done").alias("used"), F.round(F.avg(F.col("done").cast("int")), 9).alias("share"))
 
 
-def replaced_member(spark, d):
-    props = F.from_json("props", "map<string,string>")
-    put = F.map_concat(F.map_filter(props, lambda k, _: k != "k"), F.create_map(F.lit("k"), F.lit("0")))
-    return _events(spark, d).select("event_id", F.map_values(F.when(F.map_contains_key(props, "k"), put).otherwise(props))[0].alias("k"))
-
-
-def renamed_member(spark, d):
-    renamed = F.from_json("props", "struct<k:bigint>").cast("struct<key:bigint>")
-    return _events(spark, d).select("event_id", F.get_json_object(F.to_json(renamed), "$.key").cast("bigint").alias("key"))
-
-
 _H = "date_trunc('hour', ts)"
 
 SQL = {
@@ -222,8 +211,6 @@ SELECT s_nationkey, place, round(score / nullif(sum(score) OVER (PARTITION BY s_
     "snapshots": "SELECT event_id, ts FROM events WHERE CAST(floor(epoch(ts)) AS BIGINT) % 300 = 0",
     "simulated_beside_real": f"SELECT {_H} AS bin, event_type, count(*) AS real, CAST(round(sum(value) / 50) AS BIGINT) AS simulated, CAST(round(sum(value) / 50) AS BIGINT) - count(*) AS difference FROM events WHERE event_type IN ('click', 'view') GROUP BY ALL",
     "route_report": "WITH l AS (SELECT l_orderkey, count(*) AS length, bool_and(l_linestatus = 'F') AS done FROM lineitem GROUP BY 1) SELECT length, count(*) AS created, count(*) FILTER (WHERE done) AS used, round(avg(CAST(done AS INTEGER)), 9) AS share FROM l GROUP BY 1",
-    "replaced_member": "SELECT event_id, '0' AS k FROM events",
-    "renamed_member": "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS key FROM events",
 }
 
 QUERIES = {name: globals()[name] for name in SQL}

@@ -7,7 +7,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from footfall.operators import documents, learning
+from footfall.operators import clusters, documents, forecast, learning, patches
 from footfall.sources import files
 from footfall.sources.tables import table
 from footfall.streaming import ingest
@@ -67,6 +67,32 @@ def json_patch(spark, d):
     return out.select("n_nationkey", text.alias("patched"), F.size(documents.differences(F.col("doc"), F.col("new"))).alias("changes"))
 
 
+def json_edits(spark, d):
+    """Each talk with a turn put first, its last one removed, its id replaced and a value copied; a failing test leaves null.
+
+    back: whether the differences to the old talk, applied to the new one, give it back.
+    """
+    last = F.size(F.from_json(F.get_json_object("doc", "$.turns"), "array<string>")).cast("string")
+    ops = F.concat(
+        F.lit('[{"op":"add","path":"/turns/0","value":{"turn":-1,"role":"system","n":0}},{"op":"remove","path":"/turns/'), last,
+        F.lit('"},{"op":"replace","path":"/id","value":"c'), F.col("conv_id").cast("string"), F.lit('"},{"op":"copy","from":"/turns/0/role","path":"/first"}'),
+        F.when(F.col("conv_id") % 3 == 0, ',{"op":"test","path":"/turns/0/role","value":"user"}').otherwise(""), F.lit("]"),
+    )
+    new = _talks(spark, d).withColumn("patched", patches.patched(F.col("doc"), ops))
+    back = patches.patched(F.col("patched"), patches.differences(F.col("patched"), F.col("doc")))
+    return new.select("conv_id", "patched", (back == F.col("doc")).alias("back"))
+
+
+def replaced_member(spark, d):
+    """Every turn's length replaced, wherever it is."""
+    return _talks(spark, d).select("conv_id", patches.replaced_at(F.col("doc"), ("turns", None, "n"), F.lit("0")).alias("doc"))
+
+
+def renamed_member(spark, d):
+    """Every turn's role under another name."""
+    return _talks(spark, d).select("conv_id", patches.renamed_at(F.col("doc"), ("turns", None, "role"), "who").alias("doc"))
+
+
 def csv_roundtrip(spark, d):
     rows = table(spark, d, "nation").select(F.to_csv(F.struct("n_nationkey", "n_name", "n_regionkey"), {"sep": ";"}).alias("line"))
     return rows.select(F.from_csv("line", "k INT, name STRING, region INT", {"sep": ";"}).alias("r")).select("r.*")
@@ -132,16 +158,21 @@ def spline_timetable(spark, d):
     return learning.per_series(_hourly(spark, d), "event_type", "event_type string, place double, value double", learning.cubic_spline)
 
 
+def seasonal_orders(spark, d):
+    """The seasonal models of every order for each type's events by the hour."""
+    out = forecast.fitted(_hourly(spark, d), "event_type", 24)
+    return out.select("event_type", F.array_join(F.transform("order", lambda o: o.cast("string")), ",").alias("order"), F.round("aic", 4).alias("aic"), "n")
+
+
 def seasonal_forecast(spark, d):
-    return learning.per_series(_hourly(spark, d), "event_type", "event_type string, step bigint, value double", learning.seasonal_forecast)
+    """The next day of each type's events by the hour, by the seasonal model of least AIC."""
+    return forecast.forecast(_hourly(spark, d), "event_type", 24, 24)
 
 
 def ward_clusters(spark, d):
-    """The mean vectors of the embeddings' labels, a set that does not grow with the table."""
-    parts = table(spark, d, "embeddings").select("label", F.posexplode("embedding").alias("i", "v"))
-    means = parts.groupBy("label", "i").agg(F.avg("v").alias("v")).groupBy("label").agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("f"))
-    rows = means.select(F.col("label").cast("bigint").alias("id"), F.transform("f", lambda x: x["v"]).alias("feature"))
-    return learning.ward_labels(rows, 3)
+    """Three clusters of all embeddings by Ward's linkage, each named by its least id."""
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("feature"))
+    return clusters.ward_labels(rows, 3)
 
 
 _T = "t AS (SELECT conv_id, list(struct_pack(turn := turn, role := role, n := length(text)) ORDER BY turn) AS t FROM conversations GROUP BY 1)"
@@ -157,6 +188,10 @@ SELECT conv_id, array_to_string(t[1:-1:2], ',') AS even, array_to_string(list_re
     "json_map_explode": "SELECT CAST(length(event_type) AS BIGINT) AS t, CAST(user_id % 20 AS VARCHAR) AS cell, CAST(count(*) AS INTEGER) AS cnt FROM events GROUP BY 1, 2",
     "json_patch": """SELECT n_nationkey, CASE n_nationkey % 3 WHEN 0 THEN 'name=' || n_name || ',region=' || n_regionkey || ',y=1' WHEN 1 THEN 'name=' || n_name || ',z=' || n_name
   ELSE CASE WHEN n_regionkey = 1 THEN 'name=q,region=1' END END AS patched, CAST(CASE n_nationkey % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE CASE WHEN n_regionkey = 1 THEN 1 END END AS INTEGER) AS changes FROM nation""",
+    "json_edits": f"""WITH {_T} SELECT conv_id, CASE WHEN conv_id % 3 <> 0 THEN CAST(to_json(struct_pack(id := 'c' || conv_id, turns := list_prepend(struct_pack(turn := -1, role := 'system', n := 0), t[1:len(t) - 1]), first := 'system')) AS VARCHAR) END AS patched,
+  CASE WHEN conv_id % 3 <> 0 THEN true END AS back FROM t""",
+    "replaced_member": f"WITH {_T} SELECT conv_id, CAST(to_json(struct_pack(id := conv_id, turns := list_transform(t, lambda x: struct_pack(turn := x.turn, role := x.role, n := 0)))) AS VARCHAR) AS doc FROM t",
+    "renamed_member": f"WITH {_T} SELECT conv_id, CAST(to_json(struct_pack(id := conv_id, turns := list_transform(t, lambda x: struct_pack(turn := x.turn, who := x.role, n := x.n)))) AS VARCHAR) AS doc FROM t",
     "csv_roundtrip": "SELECT n_nationkey AS k, n_name AS name, n_regionkey AS region FROM nation",
     "line_features": "SELECT l_orderkey AS lid, arg_min(q, l_linenumber) AS x0 FROM (SELECT l_orderkey, l_linenumber, min(l_quantity) AS q FROM lineitem GROUP BY ALL) GROUP BY 1",
     "cosine_nn": "SELECT q.vec_id AS id, round(max(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[]))), 5) AS likeness FROM embeddings q JOIN embeddings e ON q.vec_id <> e.vec_id WHERE q.vec_id % 100 = 0 GROUP BY 1",
@@ -168,4 +203,4 @@ s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS B
     "stream_unique_devices": "SELECT event_type AS station_name, time_bucket(INTERVAL '15 minutes', ts) AS bin, count(DISTINCT user_id) AS devices FROM events GROUP BY 1, 2",
 }
 
-QUERIES = {name: globals()[name] for name in (*SQL, "savgol_smooth", "spline_timetable", "seasonal_forecast", "ward_clusters")}
+QUERIES = {name: globals()[name] for name in (*SQL, "savgol_smooth", "spline_timetable", "seasonal_orders", "seasonal_forecast", "ward_clusters")}

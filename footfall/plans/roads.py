@@ -9,13 +9,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from footfall.operators import agents, graph
+from footfall.operators import agents, graph, hubs, spatial
 from footfall.sources.tables import table
 
 #: lid of part p and supplier s: p * PART + s * 4; the two bits left are for edges made from others.
 PART = 1 << 33
 
 
+#: Edges of a node at most for it to have forbidden turns.
+MOST_ARMS = 24
+
+
 def _lid(p, s):
     return F.col(p).cast("bigint") * PART + F.col(s).cast("bigint") * 4
 
@@ -38,6 +42,13 @@ def node_degrees(spark, d):
     return graph.nodes(road_edges(spark, d))
 
 
+def node_numbers(spark, d):
+    """Dense numbers of all nodes in their order, each with the place that its last edge gives it."""
+    e = graph.both_ways(road_edges(spark, d), "lid", "length", "level")
+    ends = e.select("node", "lid", (F.col("length") + F.when(F.col("forward"), 0).otherwise(1)).alias("x"), F.col("level").alias("y"))
+    return graph.placed_nodes(ends)
+
+
 def edge_weights(spark, d):
     out = graph.directed_weights(road_edges(spark, d), 0.6, 0.3)
     return out.select("lid", "nf", "nt", F.round("w_ft", 6).alias("w_ft"), F.round("w_tf", 6).alias("w_tf"))
@@ -49,7 +60,16 @@ def flood_weights(spark, d):
 
 
 def transition_matrix(spark, d):
-    return graph.transitions(road_edges(spark, d)).select("node", "lid", "next_lid", F.round("share", 9).alias("share"))
+    """What each node's edges carry away, two rows an edge: the shares of all turns follow from them."""
+    return graph.transition_classes(road_edges(spark, d))
+
+
+def transition_shares(spark, d):
+    """The shares of all turns at the nodes whose ids 100 divides."""
+    e = road_edges(spark, d)
+    ends = graph.both_ways(e, "lid").join(_hundredths(e), "node", "left_semi")
+    out = graph.transitions(e.join(ends.select("lid").distinct(), "lid", "left_semi")).filter("node % 100 = 0")
+    return out.select("node", "lid", "next_lid", F.round("share", 9).alias("share"))
 
 
 def connected_components(spark, d):
@@ -88,6 +108,91 @@ def path_usage(spark, d):
     return _best_paths(spark, d).groupBy("a", "b").agg(F.count(F.lit(1)).alias("used"))
 
 
+def hub_costs(spark, d):
+    """The costs between every two nodes whose ids 100 divides, by hub labels."""
+    e = road_edges(spark, d)
+    stops = _hundredths(e)
+    index = hubs.build(graph.directed_weights(e))
+    pairs = stops.withColumnRenamed("node", "source").crossJoin(stops.withColumnRenamed("node", "target"))
+    return hubs.costs(index, pairs)
+
+
+def turn_costs(spark, d):
+    """The costs from the nodes whose ids 100 divides where a seventh of the turns at smaller nodes is forbidden."""
+    e = road_edges(spark, d)
+    ends = graph.both_ways(e, "lid")
+    few = ends.join(graph.nodes(e).filter(f"degree <= {MOST_ARMS}"), "node", "left_semi")
+    pairs = few.select("node", "lid").join(few.select("node", F.col("lid").alias("next_lid")), "node").filter("lid <> next_lid")
+    forbidden = pairs.filter((F.col("lid") + F.col("next_lid")) / 4 % 7 == 0).select("lid", "next_lid").distinct()
+    return graph.shortest_with_turns(graph.directed_weights(e), forbidden, _hundredths(e))
+
+
+#: Streets in a row of the street map.
+ROW = 50
+
+
+def _corner(p):
+    """x and y of the corner of part p."""
+    return (p % ROW * 20 + p * 37 % 7).cast("double"), (F.floor(p / ROW) * 20 + p * 53 % 9).cast("double")
+
+
+def streets(spark, d):
+    """A street map: each part is a corner, with streets to the next one and to the one a row on; some are one-way."""
+    corner = table(spark, d, "part").select(F.col("p_partkey").cast("bigint").alias("nf"))
+    ways = F.array(F.struct((F.col("nf") + 1).alias("nt"), F.lit(0).alias("k")), F.struct((F.col("nf") + ROW).alias("nt"), F.lit(1).alias("k")))
+    ahead = corner.withColumn("w", F.explode(ways)).select("nf", "w.nt", "w.k").filter((F.col("k") == 1) | (F.col("nt") % ROW != 0))
+    met = ahead.join(corner.withColumnRenamed("nf", "nt"), "nt", "left_semi")
+    (ax, ay), (bx, by) = _corner(F.col("nf")), _corner(F.col("nt"))
+    oneway = F.when(F.col("nf") % 7 == 0, 1).when(F.col("nf") % 11 == 0, 2).otherwise(0)
+    return met.select(
+        (F.col("nf") * 2 + F.col("k")).alias("lid"), "nf", "nt", ax.alias("ax"), ay.alias("ay"), bx.alias("bx"), by.alias("by"), oneway.alias("oneway"),
+        F.sqrt(F.pow(bx - ax, 2) + F.pow(by - ay, 2)).alias("length"), F.lit(1.0).alias("speed"), F.lit(1).alias("cnt_ft"), F.lit(1).alias("cnt_tf"),
+    )
+
+
+def street_places(spark, d):
+    """Where each customer is: near the corner of its number, snapped to the nearest street."""
+    c = F.col("c_custkey").cast("bigint")
+    x, y = _corner(c)
+    points = table(spark, d, "customer").select(c.alias("id"), (x + c * 7 % 13 - 6.25).alias("x"), (y + c * 11 % 17 - 8.5).alias("y"))
+    arcs = streets(spark, d).select(F.col("lid").alias("aid"), "ax", "ay", "bx", "by")
+    return spatial.nearest_arc(points, arcs, 20.0).select("id", F.col("aid").alias("lid"), "share")
+
+
+def _trips(spark, d):
+    """Each customer goes to the one of half its number."""
+    c = F.col("c_custkey").cast("bigint")
+    return table(spark, d, "customer").select(c.alias("trip"), c.alias("start"), F.floor(c / 2).alias("end")).filter("end > 0")
+
+
+def _snapped(spark, d):
+    weights = graph.directed_weights(streets(spark, d))
+    index = hubs.build(weights)
+    return index, hubs.snapped_trips(index, weights, street_places(spark, d), _trips(spark, d))
+
+
+def snapped_trips(spark, d):
+    """The cost of each customer's trip between points on streets, and the streets it starts and ends on."""
+    _, found = _snapped(spark, d)
+    return found.select("trip", F.round("dist", 6).alias("dist"), "first", "last")
+
+
+def trip_streets(spark, d):
+    """How many of these trips use each street in each direction, from the first to the last."""
+    index, found = _snapped(spark, d)
+    arcs = hubs.paths(index, found.filter("source IS NOT NULL").select("source", "target"))
+    used = found.join(arcs, ["source", "target"]).select("a", "b")
+    return used.groupBy("a", "b").agg(F.count(F.lit(1)).alias("used"))
+
+
+def order_rounds(spark, d):
+    """The cost of each order's round over the corners of its lines' parts, in their order."""
+    lines = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("trip"), F.col("l_linenumber").alias("seq")).agg(F.min("l_partkey").cast("bigint").alias("node"))
+    index = hubs.build(graph.directed_weights(streets(spark, d)))
+    costs, _ = hubs.via_paths(index, lines)
+    return costs.select("trip", F.round("dist", 6).alias("dist"))
+
+
 def network_checks(spark, d):
     e = road_edges(spark, d).select("lid", "nf", "nt", "length")
     extra = e.filter("lid % 3 = 0").select((F.col("lid") + 1).alias("lid"), F.col("nt").alias("nf"), F.col("nf").alias("nt"), "length")
@@ -161,6 +266,7 @@ def _costs(there: str, back: str) -> str:
 
 SQL = {
     "node_degrees": f"WITH {_E}, {_ENDS} SELECT node, count(*) AS degree FROM ends GROUP BY 1",
+    "node_numbers": f"WITH {_E}, {_ENDS} SELECT row_number() OVER (ORDER BY node) - 1 AS number, node, x, y FROM (SELECT node, max(lid) AS lid, arg_max(length + CASE WHEN forward THEN 0 ELSE 1 END, lid) AS x, arg_max(level, lid) AS y FROM ends GROUP BY 1)",
     "edge_weights": f"WITH {_E}, {_w(0.6, 0.3)} SELECT lid, nf, nt, round(w_ft, 6) AS w_ft, round(w_tf, 6) AS w_tf FROM w",
     "flood_weights": f"WITH {_E}, {_w(1.0, 0.0)} SELECT lid, nf, nt, CASE WHEN level - 0.5 > 1 OR level = 0 THEN w_ft ELSE 1e8 END AS w_ft, CASE WHEN level - 0.5 > 1 OR level = 0 THEN w_tf ELSE 1e8 END AS w_tf FROM w",
     "stub_removal": f"WITH {_E}, {_ENDS}, g AS (SELECT node FROM ends GROUP BY 1 HAVING count(*) = 1) SELECT lid, length FROM e WHERE NOT (length < 150 AND (nf IN (SELECT node FROM g) OR nt IN (SELECT node FROM g)))",
@@ -174,6 +280,12 @@ SELECT lid, nf, nt, length FROM x QUALIFY row_number() OVER (PARTITION BY least(
 SELECT e.lid, e.nf, e.nt FROM e JOIN labels ON labels.node = e.nf WHERE labels.component IN (SELECT component FROM k)""",
     "shortest_paths": f"WITH {_E}, {_ENDS}, {_w(1.0, 0.0)}, {_costs('w_ft', 'w_tf')} SELECT s AS source, b AS node, w AS dist FROM d12",
     "next_hop_costs": f"WITH {_E}, {_ENDS}, {_w(1.0, 0.0)}, {_costs('w_tf', 'w_ft')} SELECT s AS destination, b AS node, w AS dist FROM d12",
+    "transition_matrix": f"""WITH {_E}, {_ENDS}, c AS (SELECT node, lid, CASE WHEN forward THEN cnt_ft ELSE cnt_tf END AS cnt FROM ends)
+SELECT node, lid, cnt, CAST(sum(cnt) OVER (PARTITION BY node) AS BIGINT) AS total, count(*) OVER (PARTITION BY node) - 1 AS others FROM c""",
+    "transition_shares": f"""WITH {_E}, {_ENDS}, c AS (SELECT node, lid, CASE WHEN forward THEN cnt_ft ELSE cnt_tf END AS cnt FROM ends WHERE node % 100 = 0),
+p AS (SELECT a.node, a.lid, b.lid AS next_lid, b.cnt FROM c a JOIN c b ON a.node = b.node AND a.lid <> b.lid)
+SELECT node, lid, next_lid, round(CASE WHEN sum(cnt) OVER w < 1 THEN 1.0::DOUBLE / count(*) OVER w ELSE CAST(cnt AS DOUBLE) / sum(cnt) OVER w END, 9) AS share FROM p WINDOW w AS (PARTITION BY node, lid)""",
+    "hub_costs": f"WITH {_E}, {_ENDS}, {_w(1.0, 0.0)}, {_costs('w_ft', 'w_tf')} SELECT s AS source, b AS target, w AS dist FROM d12 WHERE b % 100 = 0",
     "degree2_chains": f"""WITH {_E}, {_ENDS}, g AS (SELECT node, min(lid) AS p, max(lid) AS q FROM ends GROUP BY 1 HAVING count(*) = 2),
 r0 AS (SELECT lid AS a, lid AS b FROM e UNION SELECT p, q FROM g UNION SELECT q, p FROM g){"".join(f", r{i} AS (SELECT DISTINCT x.a, y.b FROM r{i - 1} x JOIN r{i - 1} y ON x.b = y.a)" for i in range(1, 7))},
 c AS (SELECT a AS lid, min(b) AS chain FROM r6 GROUP BY 1) SELECT chain, count(*) AS edges, sum(length) AS length FROM c JOIN e USING (lid) GROUP BY 1""",
@@ -191,4 +303,4 @@ SELECT a.node, a.lid, b.lid AS opposite FROM u a JOIN u b ON a.node = b.node AND
 SELECT e.lid, coalesce(c, 0) AS cnt, round(greatest(0.15, (1 - coalesce(c, 0) / (length / 100) / 4) * speed), 6) AS speed_t FROM e LEFT JOIN s USING (lid)""",
 }
 
-QUERIES = {name: globals()[name] for name in (*SQL, "transition_matrix", "best_paths", "path_usage")}
+QUERIES = {name: globals()[name] for name in (*SQL, "best_paths", "path_usage", "turn_costs", "snapped_trips", "trip_streets", "order_rounds")}

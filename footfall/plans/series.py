@@ -103,7 +103,7 @@ def trend_increment(spark, d):
 def daily_trend_regression(spark, d):
     out = anomaly.trend_regression(_daily(spark, d), ["station_name"], "date", "cnt")
     return out.select(
-        "station_name", "n", F.round("slope", 4).alias("slope"), F.round("r", 4).alias("r"), F.round("stderr", 4).alias("stderr")
+        "station_name", "n", F.round("slope", 4).alias("slope"), F.round("r", 4).alias("r"), F.round("stderr", 4).alias("stderr"), F.round("p", 6).alias("p")
     )
 
 
@@ -221,8 +221,11 @@ SELECT station_name, date, round(sqrt(sum(pow(cnt - base, 2))) / nullif(sqrt(sum
     "wday_pct_change": f"WITH {_DAILY}, m AS (SELECT *, avg(cnt) OVER (PARTITION BY station_name, isodow(date)) AS mean FROM daily) SELECT station_name, date, cnt, round((cnt - mean) * 100 / nullif(mean, 0), 4) AS pct FROM m",
     "trend_increment": f"WITH {_DAILY}, m AS (SELECT *, first_value(cnt) OVER (PARTITION BY station_name ORDER BY date) AS f FROM daily) SELECT station_name, date, round((cnt - f) * 100.0::DOUBLE / nullif(f, 0), 4) AS pct FROM m",
     "daily_trend_regression": f"""WITH {_DAILY}, x AS (SELECT station_name, CAST(cnt AS DOUBLE) AS y, CAST(date_diff('day', DATE '0001-01-01', date) + 1 AS DOUBLE) AS x FROM daily),
-f AS (SELECT station_name, count(*) AS n, regr_slope(y, x) AS slope, corr(y, x) AS r, regr_sxx(y, x) AS sxx, regr_syy(y, x) AS syy FROM x GROUP BY 1)
-SELECT station_name, n, round(slope, 4) AS slope, round(r, 4) AS r, round(sqrt(greatest(0, syy - slope * slope * sxx) / (n - 2) / sxx), 4) AS stderr FROM f""",
+f AS (SELECT station_name, count(*) AS n, regr_slope(y, x) AS slope, corr(y, x) AS r, regr_sxx(y, x) AS sxx, regr_syy(y, x) AS syy FROM x GROUP BY 1),
+e AS (SELECT *, sqrt(greatest(0, syy - slope * slope * sxx) / (n - 2) / sxx) AS stderr FROM f), a AS (SELECT *, atan(abs(slope / stderr) / sqrt(n - 2)) AS w FROM e),
+k AS (SELECT station_name, sum(CASE WHEN n % 2 = 0 THEN exp(lgamma(i + 0.5) - lgamma(i + 1) - lgamma(0.5)) * pow(cos(w), 2 * i) ELSE exp(lgamma(i + 1) - lgamma(i + 1.5) + lgamma(1.5)) * pow(cos(w), 2 * i + 1) END) AS total
+  FROM a, range(1000) t(i) WHERE i < (n - 2) // 2 GROUP BY 1)
+SELECT station_name, n, round(slope, 4) AS slope, round(r, 4) AS r, round(stderr, 4) AS stderr, round(1 - CASE WHEN n % 2 = 0 THEN sin(w) * coalesce(total, 0) ELSE (w + sin(w) * coalesce(total, 0)) * 2 / pi() END, 6) AS p FROM a LEFT JOIN k USING (station_name)""",
     "upsample_preserve_total": f"""WITH {_GRID}, fine AS (
   SELECT station_name, bin + to_minutes(CAST(15 * k AS BIGINT)) AS bin, CASE WHEN k = 0 THEN cnt END AS cnt, bin AS b0 FROM dense, range(0, 4) r(k)
 ), cut AS (SELECT f.station_name, f.bin, f.cnt FROM fine f JOIN (SELECT max(bin) AS last FROM dense) m ON f.bin <= m.last),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from footfall.operators import graph, learning, spatial
+from footfall.operators import cover, graph, learning, spatial
 from footfall.sources.tables import table
 
 
@@ -100,6 +100,18 @@ def coordinate_means(spark, d):
     return learning.point_clusters(_points(spark, d), 8).groupBy("cluster").agg(F.count(F.lit(1)).alias("cnt"), F.avg("x").alias("x"), F.avg("y").alias("y"))
 
 
+def voronoi_areas(spark, d):
+    """How much of the square is nearest to each customer's point, and the corners of that cell."""
+    out = cover.voronoi_cells(_points(spark, d), (0.0, 0.0, 1000.0, 1000.0), 25.0)
+    return out.select("id", F.round("area", 4).alias("area"), F.size("ring").alias("corners"))
+
+
+def arcs_in_squares(spark, d):
+    """The arcs in the square around each customer's point."""
+    squares = _points(spark, d).select(F.col("id").alias("qid"), "x", "y", (8.0 + F.col("id") % 30).alias("reach"))
+    return cover.arcs_near(_arcs(spark, d), squares, 10.0)
+
+
 def box_corners(spark, d):
     p = _points(spark, d)
     left, top, right, bottom = spatial.corners(F.col("x"), F.col("y"), F.col("id") % 90 + 1.0, F.col("id") % 70 + 1.0, 0.64, 600)
@@ -148,6 +160,11 @@ m AS (SELECT lid FROM n WHERE n > 1 ORDER BY n DESC, lid LIMIT 1), s AS (SELECT
 t AS (SELECT lid, node, aid, nt, {_D} AS dist, {_T} AS share FROM g, s),
 r AS (SELECT lid, node, CASE WHEN share < 0.5 THEN aid ELSE nt END AS to FROM t WHERE dist <= 1.5 QUALIFY row_number() OVER (PARTITION BY lid ORDER BY dist, node, aid) = 1)
 SELECT p.node AS lid, coalesce(f.to, p.node) AS nf, coalesce(b.to, p.nt) AS nt FROM n p LEFT JOIN r f ON f.node = p.node LEFT JOIN r b ON b.node = p.nt WHERE p.nt IS NOT NULL AND (p.lid IN (FROM m) OR p.lid IN (SELECT lid FROM r))""",
+    "arcs_in_squares": f"""WITH {_A}, {_P}, q AS (SELECT *, 8.0::DOUBLE + id % 30 AS reach FROM p),
+c AS (SELECT *, floor(least(ax, zx) / 10) AS l, floor(greatest(ax, zx) / 10) AS r, floor(least(ay, zy) / 10) AS o, floor(greatest(ay, zy) / 10) AS u FROM a),
+s AS (SELECT *, floor((x - reach) / 10) AS x0, floor((x + reach) / 10) AS x1, floor((y - reach) / 10) AS y0, floor((y + reach) / 10) AS y1 FROM q)
+SELECT id AS qid, aid FROM s JOIN c ON r >= x0 AND l <= x1 AND u >= y0 AND o <= y1
+WHERE (least(r, x1 - 1) >= greatest(l, x0 + 1) AND least(u, y1 - 1) >= greatest(o, y0 + 1)) OR {_D} <= reach""",
     "box_suppression": """WITH RECURSIVE o AS (SELECT l_orderkey AS frame, l_linenumber AS id, max(l_extendedprice) AS score, min(l_quantity) AS x, min(l_tax) * 100 AS y FROM lineitem GROUP BY ALL),
 p AS MATERIALIZED (SELECT frame, id, x, y, x + 20 + id AS u, y + 8 AS v, row_number() OVER (PARTITION BY frame ORDER BY score DESC, id) AS r FROM o),
 k AS (SELECT frame, r, [struct_pack(id := id, x := x, y := y, u := u, v := v)] AS b FROM p WHERE r = 1
@@ -159,4 +176,4 @@ SELECT frame, unnest(b).id AS id FROM k QUALIFY row_number() OVER (PARTITION BY
 SELECT id, round(degrees(f1), 9) AS south, round(lon + degrees(atan2(sin(radians(225)) * sin(a) * cos(f), cos(a) - sin(f) * sin(f1))), 9) AS west, round(degrees(f2), 9) AS north, round(lon + degrees(atan2(sin(radians(45)) * sin(a) * cos(f), cos(a) - sin(f) * sin(f2))), 9) AS east FROM u""",
 }
 
-QUERIES = {name: globals()[name] for name in (*SQL, "coordinate_means")}
+QUERIES = {name: globals()[name] for name in (*SQL, "coordinate_means", "voronoi_areas")}

@@ -105,7 +105,20 @@ def test_transitions(spark, small, edges):
         for lid in out:
             total = sum(c for x, c in out.items() if x != lid)
             want |= {(node, lid, x): round(c / total, 9) for x, c in out.items() if x != lid}
-    assert {(r["node"], r["lid"], r["next_lid"]): r["share"] for r in run(spark, small, "transition_matrix")} == want
+    # The rows of each node's edges say all shares.
+    rows = run(spark, small, "transition_matrix")
+    assert len(rows) == 2 * len(edges)
+    got = {}
+    for x in rows:
+        for y in rows:
+            if x["node"] == y["node"] and x["lid"] != y["lid"]:
+                left = x["total"] - x["cnt"]
+                got[x["node"], x["lid"], y["lid"]] = round(y["cnt"] / left if left >= 1 else 1 / x["others"], 9)
+    assert got == want
+    shares = {(r["node"], r["lid"], r["next_lid"]): r["share"] for r in run(spark, small, "transition_shares")}
+    assert shares == {k: v for k, v in want.items() if k[0] % 100 == 0}
+    every = graph.transitions(roads.road_edges(spark, small)).collect()
+    assert {(r["node"], r["lid"], r["next_lid"]): round(r["share"], 9) for r in every} == want
 
 
 def test_best_paths_lead_from_source_to_target(spark, small, edges):
