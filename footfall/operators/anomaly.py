@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from footfall.functions import stats
 from footfall.operators import series
+from footfall.operators.graph import _cut
 
 
 def observed(detections: DataFrame, freq: str) -> DataFrame:
@@ -28,8 +29,10 @@ def local_anomaly(counts: DataFrame, box: int = 5, low: float = 0.2, high: float
 
     Thresholds are taken per station over the whole range: mean plus population deviation for the squared difference,
     interpolated quantiles for the plain one. Differences are compared to nine places, so that the order in which means are
-    summed decides no tie.
+    summed decides no tie. The counts, a row for each station and bin, are written once, as both the profile and the
+    differences are made of them.
     """
+    counts = _cut(counts)
     base = smooth_profile(counts, box)
     tiled = counts.withColumn("wday", series.weekday_name("bin")).withColumn("tod", series.second_of_day("bin"))
     joined = tiled.join(base, ["station_name", "wday", "tod"])
@@ -37,12 +40,12 @@ def local_anomaly(counts: DataFrame, box: int = 5, low: float = 0.2, high: float
     squared = smooth.withColumn("l2", F.pow(F.col("cnt") - F.col("base"), 2))
     squared = series.box_smooth(squared, ["station_name"], "bin", "l2", box, "l2_smooth")
     diff = squared.withColumn("diff", F.round(F.col("cnt_smooth") - F.col("base"), 9))
-    limits = diff.groupBy("station_name").agg(
-        (F.avg("l2_smooth") + F.stddev_pop("l2_smooth")).alias("l2_limit"),
-        F.round(F.percentile("diff", F.lit(low)), 9).alias("low"),
-        F.round(F.percentile("diff", F.lit(high)), 9).alias("high"),
+    per = Window.partitionBy("station_name")
+    judged = (
+        diff.withColumn("l2_limit", F.avg("l2_smooth").over(per) + F.stddev_pop("l2_smooth").over(per))
+        .withColumn("low", F.round(F.percentile("diff", F.lit(low)).over(per), 9))
+        .withColumn("high", F.round(F.percentile("diff", F.lit(high)).over(per), 9))
     )
-    judged = diff.join(limits, "station_name")
     level = F.when(F.col("diff") > F.col("high"), 3).when(F.col("diff") > F.col("low"), 2).otherwise(1)
     return judged.select(
         "station_name",

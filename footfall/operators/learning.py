@@ -43,39 +43,6 @@ def pair_distances(series: DataFrame) -> DataFrame:
     return pairs.groupBy("a", "b").agg(F.sqrt(F.sum(F.pow(F.col("x") - F.col("y"), 2))).alias("l2"), F.corr("x", "y").alias("corr"))
 
 
-def ward_labels(features: DataFrame, clusters: int, most: int = 2000) -> DataFrame:
-    """id, cluster by Ward's linkage of a bounded set of rows (id, feature): one matrix in one task.
-
-    More than ``most`` rows are refused: the method is quadratic in memory.
-    """
-    import numpy as np
-    import pandas as pd
-
-    def link(frames):
-        frame = pd.concat(list(frames))
-        frame = frame.sort_values("id")
-        if len(frame) > most:
-            raise ValueError(f"Ward's linkage takes {most} rows at most")
-        x = np.stack(frame["feature"].to_list()).astype(float) if len(frame) else np.zeros((0, 1))
-        size, centre = [1] * len(x), list(x)
-        groups = [[i] for i in range(len(x))]
-        while len(groups) > clusters:
-            c, n = np.array(centre), np.array(size, float)
-            cost = ((c[:, None] - c[None]) ** 2).sum(-1) * (n[:, None] * n[None]) / (n[:, None] + n[None])
-            cost[np.tril_indices(len(c))] = np.inf
-            i, j = np.unravel_index(int(cost.argmin()), cost.shape)
-            centre[i] = (centre[i] * size[i] + centre[j] * size[j]) / (size[i] + size[j])
-            size[i] += size[j]
-            groups[i] += groups[j]
-            del groups[j], centre[j], size[j]
-        label = np.zeros(len(x), int)
-        for k, members in enumerate(groups):
-            label[members] = k
-        yield pd.DataFrame({"id": frame["id"], "cluster": label})
-
-    return features.select("id", "feature").repartition(1).mapInPandas(link, "id bigint, cluster bigint")
-
-
 def per_series(df: DataFrame, key: str, schema: str, function) -> DataFrame:
     """function(times, values) -> dict of columns, for each key's ordered series; a series is as long as its time range."""
     import pandas as pd
@@ -133,49 +100,79 @@ def cubic_spline(t, x, factor: int = 4) -> dict:
     return {"place": at, "value": value}
 
 
-def seasonal_forecast(t, x, season: int = 24, ahead: int = 24) -> dict:
-    """A seasonal autoregression of differences by least squares; of the lags within {1, season}, the least AIC wins."""
-    import itertools
-
-    import numpy as np
-
-    d = x[season:] - x[:-season] if len(x) > 2 * season else np.diff(x)
-    lag = season if len(x) > 2 * season else 1
-    best = None
-    for use in itertools.product((False, True), repeat=2):
-        lags = [k for k, u in zip((1, season), use, strict=True) if u]
-        low = max([0, *lags])
-        if len(d) <= low + len(lags) + 1:
-            continue
-        y = d[low:]
-        basis = np.stack([np.ones(len(y)), *(d[low - k : len(d) - k] for k in lags)], axis=1)
-        fit, *_ = np.linalg.lstsq(basis, y, rcond=None)
-        rss = float(((y - basis @ fit) ** 2).sum())
-        score = len(y) * np.log(max(rss, 1e-9) / len(y)) + 2 * len(fit)
-        if best is None or score < best[0]:
-            best = (score, lags, fit)
-    series, diffs = list(x), list(d)
-    for _ in range(ahead):
-        step = best[2][0] + sum(c * diffs[-k] for c, k in zip(best[2][1:], best[1], strict=True)) if best else 0.0
-        diffs.append(step)
-        series.append(series[-lag] + step)
-    return {"step": np.arange(1, ahead + 1), "value": np.array(series[len(x) :])}
-
-
-def warping_distance(a, b) -> float:
-    """Dynamic time warping distance of two short series."""
+def warping_distance(a, b, band: int | None = None) -> float:
+    """Dynamic time warping distance of two series; places more than ``band`` apart aren't matched."""
     import numpy as np
 
+    band = max(len(a), len(b)) if band is None else max(band, abs(len(a) - len(b)))
     before = np.full(len(b) + 1, np.inf)
     before[0] = 0
-    for x in a:
+    for i, x in enumerate(a, 1):
         now = np.full(len(b) + 1, np.inf)
-        for j, y in enumerate(b, 1):
-            now[j] = abs(x - y) + min(before[j], before[j - 1], now[j - 1])
+        for j in range(max(1, i - band), min(len(b), i + band) + 1):
+            now[j] = abs(x - b[j - 1]) + min(before[j], before[j - 1], now[j - 1])
         before = now
     return float(before[-1])
 
 
+def warping_bounds(x, band: int):
+    """How far apart any two of the rows of x (series of one length) are at least, by warping within the band.
+
+    A place of one series matches a place of the other's envelope, the least and greatest value within the band.
+    """
+    import numpy as np
+
+    n = x.shape[1]
+    low, high = x.copy(), x.copy()
+    for d in range(1, min(band, n - 1) + 1):
+        for lag, lead in ((slice(None, -d), slice(d, None)), (slice(d, None), slice(None, -d))):
+            low[:, lag] = np.minimum(low[:, lag], x[:, lead])
+            high[:, lag] = np.maximum(high[:, lag], x[:, lead])
+    out = np.empty((len(x), len(x)))
+    for i, row in enumerate(x):
+        out[i] = (np.maximum(row - high, 0) + np.maximum(low - row, 0)).sum(axis=1)
+    return np.maximum(out, out.T)
+
+
+def nearest_warped(series: DataFrame, band: int, block: int = 512) -> DataFrame:
+    """id, best, dist, tried: the other series (id, x: arrays of one length) nearest to each by warping within the band.
+
+    Series are dealt to blocks by hash, and each two blocks meet in one task. There the envelopes' bounds rule out pairs:
+    a series meets the others by rising bound, until the bound is not below the least distance so far; tried counts these
+    exact distances. Ties go to the least id.
+    """
+    import numpy as np
+    import pandas as pd
+
+    blocks = max(1, -(-2 * series.count() // block))
+    own = F.pmod(F.xxhash64("id"), F.lit(blocks))
+    placed = series.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    dealt = placed.select((F.least("own", "other") * blocks + F.greatest("own", "other")).alias("cell"), "own", "id", "x")
+
+    def go(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("id")
+        name, side = frame["id"].to_numpy(), frame["own"].to_numpy()
+        x = np.array(frame["x"].to_list(), float)
+        bound = warping_bounds(x, band)
+        out, mixed = [], (side != side[0]).any()
+        for i in range(len(name)):
+            best, tried = (np.inf, None), 0
+            for j in np.argsort(bound[i], kind="stable").tolist():
+                if j == i or (mixed and side[i] == side[j]):
+                    continue
+                if bound[i, j] > best[0] + 1e-9:
+                    break
+                tried += 1
+                best = min(best, (round(warping_distance(x[i], x[j], band), 9), name[j]))
+            if best[1] is not None:
+                out.append((name[i], best[1], best[0], tried))
+        return pd.DataFrame(out, columns=["id", "best", "dist", "tried"])
+
+    kind = dict(series.dtypes)["id"]
+    found = dealt.groupBy("cell").applyInPandas(go, f"id {kind}, best {kind}, dist double, tried bigint")
+    return found.groupBy("id").agg(F.min(F.struct("dist", "best")).alias("b"), F.sum("tried").alias("tried")).select("id", "b.best", "b.dist", "tried")
+
+
 def point_clusters(points: DataFrame, k: int, seed: int = 1) -> DataFrame:
     """points (x, y) with their cluster, 0 to k - 1, by k-means; a point without both coordinates has none."""
     from pyspark.ml.clustering import KMeans

@@ -169,6 +169,14 @@ def seasonal_forecast(spark, d):
     return forecast.forecast(_hourly(spark, d), "event_type", 24, 24)
 
 
+def nearest_days(spark, d):
+    """For each type and day the other one whose counts by the hour are nearest by warping of up to two hours."""
+    hours = _hourly(spark, d).groupBy("event_type", F.to_date("t").alias("day")).agg(F.map_from_entries(F.collect_list(F.struct(F.hour("t"), "value"))).alias("m"))
+    x = F.transform(F.sequence(F.lit(0), F.lit(23)), lambda h: F.coalesce(F.try_element_at("m", h), F.lit(0.0)))
+    rows = hours.select(F.concat_ws(" ", "event_type", F.col("day").cast("string")).alias("id"), x.alias("x"))
+    return learning.nearest_warped(rows, 2).select("id", "best", F.round("dist", 6).alias("dist"))
+
+
 def ward_clusters(spark, d):
     """Three clusters of all embeddings by Ward's linkage, each named by its least id."""
     rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("feature"))
@@ -203,4 +211,4 @@ s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS B
     "stream_unique_devices": "SELECT event_type AS station_name, time_bucket(INTERVAL '15 minutes', ts) AS bin, count(DISTINCT user_id) AS devices FROM events GROUP BY 1, 2",
 }
 
-QUERIES = {name: globals()[name] for name in (*SQL, "savgol_smooth", "spline_timetable", "seasonal_orders", "seasonal_forecast", "ward_clusters")}
+QUERIES = {name: globals()[name] for name in (*SQL, "savgol_smooth", "spline_timetable", "seasonal_orders", "seasonal_forecast", "nearest_days", "ward_clusters")}

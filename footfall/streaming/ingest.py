@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DateType, LongType, StructField, StructType
 
 
 def file_stream(spark: SparkSession, path: str, schema: StructType | str, form: str = "parquet", archive: str | None = None, **options) -> DataFrame:
@@ -16,24 +16,33 @@ def file_stream(spark: SparkSession, path: str, schema: StructType | str, form:
     return spark.readStream.format(form).schema(schema).options(**options).load(path)
 
 
-def store_once(stream: DataFrame, keys: Sequence[str], store: str, checkpoint: str, order: str):
+def store_once(stream: DataFrame, keys: Sequence[str], store: str, checkpoint: str, order: str, time: str | None = None):
     """Run the stream through what is there now into a Parquet store that holds each key once; the query.
 
-    Every micro-batch drops its own repeats and what the store has, and is written under its batch id, so that a batch
-    that is run again after a failure replaces itself.
+    The store is dealt to folders by the day of ``time``, which is one of the keys, and the batch. Every micro-batch drops
+    its own repeats and what the store has of its days; no other day is read. Without ``time`` all of the store is. A
+    batch is written under its id, so that one that is run again after a failure replaces itself.
     """
 
     def put(batch: DataFrame, number: int):
         first = batch.groupBy(*keys).agg(F.min_by(F.struct(*batch.columns), order).alias("row")).select("row.*")
+        first = first.withColumn("_day", F.to_date(time) if time else F.lit(None).cast("date")).persist()
         spark = batch.sparkSession
-        try:
-            before = spark.read.schema(batch.schema).parquet(store).filter(F.col("batch") < number) if number else None
-        except Exception as problem:
-            if "PATH_NOT_FOUND" not in str(problem):
-                raise
-            before = None
+        # The days of one batch: few.
+        days = [r["_day"] for r in first.select("_day").distinct().collect() if r["_day"]]
+        before = None
+        if number:
+            schema = StructType([*batch.schema.fields, StructField("_day", DateType()), StructField("batch", LongType())])
+            try:
+                known = spark.read.schema(schema).parquet(store)
+                before = known.filter((F.col("batch") < number) & (F.col("_day").isin(days) | F.col("_day").isNull()))
+            except Exception as problem:
+                if "PATH_NOT_FOUND" not in str(problem):
+                    raise
         new = first if before is None else first.join(before.select(*keys), list(keys), "left_anti")
-        new.write.mode("overwrite").parquet(f"{store}/batch={number}")
+        dealt = new.withColumn("batch", F.lit(number).cast("bigint")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        dealt.partitionBy("_day", "batch").parquet(store)
+        first.unpersist()
 
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -59,7 +68,7 @@ def unique_devices_stream(stream: DataFrame, freq: str, store: str, checkpoint:
     rows = stream.select(
         F.col("event_type").alias("station_name"), F.window("ts", freq)["start"].alias("bin"), F.col("user_id").alias("mac_address"), "event_id"
     )
-    store_once(rows, ["station_name", "bin", "mac_address"], store, checkpoint, "event_id").awaitTermination()
+    store_once(rows, ["station_name", "bin", "mac_address"], store, checkpoint, "event_id", "bin").awaitTermination()
     kept = spark.read.schema(rows.schema).parquet(store)
     return kept.groupBy("station_name", "bin").agg(F.count(F.lit(1)).alias("devices"))
 

@@ -154,19 +154,30 @@ def test_spline_and_smoothing_keep_cubics():
     assert np.allclose(learning.savitzky_golay(t, x.astype(float), 7, 3)["smooth"], x)
 
 
-def test_forecast_repeats_a_season():
-    x = np.tile(np.arange(24.0), 5)
-    assert np.allclose(learning.seasonal_forecast(None, x)["value"], np.arange(24.0))
-
-
 def test_warping_ignores_pauses():
     assert learning.warping_distance([1, 2, 3], [1, 1, 2, 2, 3]) == 0
 
 
-def test_ward_finds_two_groups(spark):
-    rows = spark.createDataFrame([(i, [float(i % 2) * 10 + i * 0.01, 0.0]) for i in range(10)], "id bigint, feature array<double>")
-    got = {r["id"]: r["cluster"] for r in learning.ward_labels(rows, 2).collect()}
-    assert len({got[i] for i in range(0, 10, 2)}) == 1 and got[0] != got[1]
+@pytest.mark.parametrize("block", [12, 512])
+def test_nearest_by_warping_equals_all_pairs(spark, block):
+    rnd = np.random.default_rng(4)
+    waves = [np.sin(np.arange(20) / 3 + rnd.uniform(0, 6)) * rnd.uniform(1, 4) + rnd.normal(0, 0.2, 20) + 3 * (i % 4) for i in range(40)]
+    waves[7] = waves[3]
+    rows = spark.createDataFrame([(i, w.tolist()) for i, w in enumerate(waves)], "id bigint, x array<double>")
+    got = {r["id"]: r for r in learning.nearest_warped(rows, 2, block).collect()}
+    for i in range(40):
+        want = min((round(learning.warping_distance(waves[i], waves[j], 2), 9), j) for j in range(40) if j != i)
+        assert (got[i]["dist"], got[i]["best"]) == pytest.approx(want)
+    # The envelopes leave less than a third of the exact distances to compute.
+    assert sum(r["tried"] for r in got.values()) < 40 * 39 / 3 * (1 if block == 512 else 2)
+
+
+def test_warping_bounds_are_bounds():
+    rnd = np.random.default_rng(5)
+    x = rnd.normal(0, 1, (12, 15)).cumsum(axis=1)
+    for band in (0, 1, 4, 30):
+        bound = learning.warping_bounds(x, band)
+        assert all(bound[i, j] <= learning.warping_distance(x[i], x[j], band) + 1e-9 for i in range(12) for j in range(12))
 
 
 def test_next_after_takes_later_rows_only(spark):

@@ -81,6 +81,21 @@ def test_stream_store_is_idempotent(spark, tmp_path):
     assert sorted(tuple(r) for r in got.collect()) == [(i, i) for i in range(5)]
 
 
+def test_stream_store_reads_the_days_of_a_batch(spark, tmp_path):
+    """A file a batch: keys that came on that day before are not stored again, and another day's files aren't read."""
+    schema = "k BIGINT, t TIMESTAMP_NTZ, v BIGINT"
+    batches = [[(1, "2024-01-01 05:00:00", 1), (1, "2024-01-01 05:00:00", 2), (2, "2024-01-02 00:00:00", 3)], [(1, "2024-01-01 05:00:00", 0), (2, "2024-01-03 00:00:00", 4)], [(2, "2024-01-02 00:00:00", 9), (3, None, 1)], [(3, None, 0)]]
+    for i, rows in enumerate(batches):
+        spark.createDataFrame([(k, t, v) for k, t, v in rows], "k bigint, t string, v bigint").selectExpr("k", "cast(t AS timestamp_ntz) AS t", "v").coalesce(1).write.parquet(str(tmp_path / "in" / f"part={i}"))
+        stream = ingest.file_stream(spark, str(tmp_path / "in"), schema, recursiveFileLookup="true")
+        ingest.store_once(stream, ["k", "t"], str(tmp_path / "store"), str(tmp_path / "state"), "v", "t").awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "store")).select("k", F.col("t").cast("string"), "v")
+    want = [(1, "2024-01-01 05:00:00", 1), (2, "2024-01-02 00:00:00", 3), (2, "2024-01-03 00:00:00", 4), (3, None, 1)]
+    # Null times are of no day, and are equal to nothing.
+    assert sorted((tuple(r) for r in got.collect()), key=repr) == sorted([*want, (3, None, 0)], key=repr)
+    assert {p.name for p in (tmp_path / "store").glob("_day=*")} == {"_day=2024-01-01", "_day=2024-01-02", "_day=2024-01-03", "_day=__HIVE_DEFAULT_PARTITION__"}
+
+
 def test_barrier_files(spark, tmp_path):
     path = put(tmp_path / "bar_1.json", json.dumps([{"cam_name": "c", "timestamp": 5, "datetime": "x", "counter": {"b": {"IN": 2, "OUT": 3}}}]))
     rows = spark.read.option("multiLine", True).schema(ingest.BARRIER_FILE).json(path)
