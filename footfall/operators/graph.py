@@ -7,13 +7,13 @@ Iterative operators cut their lineage with tables in the folder of spark.checkpo
 from __future__ import annotations
 
 import functools
-import tempfile
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from footfall.scratch import shared_folder
+
 #: A weight that closes an edge. Fixed value.
 CLOSED = 1e8
 
@@ -24,14 +24,7 @@ def _cut(df: DataFrame) -> DataFrame:
     Unlike a checkpoint's, the size of the table that is read is its real one, so that joins of later rounds are planned
     by it, and estimates don't grow with the number of rounds.
     """
-    context = df.sparkSession.sparkContext
-    base = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
-    if not base:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="footfall-")
-        context.setCheckpointDir(base)
-    path = f"{base.rstrip('/')}/graph/{uuid.uuid4().hex}"
+    path = shared_folder(df.sparkSession, "graph")
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.written_to = path

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from footfall.operators import clusters, documents, forecast, learning, patches
+from footfall.scratch import shared_folder
 from footfall.sources import files
 from footfall.sources.tables import table
 from footfall.streaming import ingest
@@ -135,12 +133,7 @@ def two_clock(spark, d):
 
 def stream_unique_devices(spark, d):
     """The file stream of events through the idempotent store equals the batch count."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="footfall-")
-    at = f"{base}/stream-{uuid.uuid4().hex}"
+    at = shared_folder(spark, "stream")
     source = table(spark, d, "events")
     stream = ingest.file_stream(spark, d, source.schema, pathGlobFilter="events.parquet")
     return ingest.unique_devices_stream(stream, "15 minutes", f"{at}/store", f"{at}/state")

@@ -50,9 +50,12 @@ def with_fallback(first: DataFrame, second: DataFrame) -> DataFrame:
     return second if first.isEmpty() else first
 
 
-def landed_pages(spark: SparkSession, path: str, schema: str, stop: str, time: str = "date_time") -> DataFrame:
-    """Pages of a service's answers landed as JSON: no repeats, before ``stop``, in order."""
-    rows = spark.read.schema(schema).option("multiLine", True).json(path).dropDuplicates()
+def landed_pages(spark: SparkSession, path: str, schema: str, stop: str, time: str = "date_time", lines: bool = False) -> DataFrame:
+    """Pages of a service's answers landed as JSON: no repeats, before ``stop``, in order.
+
+    A page is a file, or with ``lines`` a line, so that any number of pages can lie in a file and files can be split.
+    """
+    rows = spark.read.schema(schema).option("multiLine", not lines).json(path).dropDuplicates()
     return rows.filter(F.col(time) < stop).orderBy(time)
 
 
@@ -68,16 +71,31 @@ def road_table(spark: SparkSession, path: str) -> DataFrame:
 
 
 def road_points(spark: SparkSession, path: str) -> DataFrame:
-    """lid, seq, ilat, ilon of a points file: a line ``cid skip count`` heads each block of ``ilat ilon`` lines."""
-    lines = spark.read.text(path).withColumn("line", F.monotonically_increasing_id()).withColumn("p", F.split(F.trim("value"), r"\s+"))
-    heads = F.when(F.size("p") == 3, F.col("line"))
-    # A file of this kind is one block of text; its lines keep their order in one partition each.
-    order = Window.partitionBy(F.input_file_name()).orderBy("line")
-    marked = lines.withColumn("head", F.last(heads, ignorenulls=True).over(order)).withColumn(
-        "lid", F.last(F.when(F.size("p") == 3, F.col("p")[0].cast("bigint")), ignorenulls=True).over(order)
+    """lid, seq, ilat, ilon of a points file: a line ``cid skip count`` heads each block of ``ilat ilon`` lines.
+
+    Lines are numbered within their split of the file. What a split begins with belongs to the last block of the splits
+    before, which a table of one row a split tells, so no task holds more than a split. Points before any head are dropped.
+    """
+    raw = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("line"), F.split(F.trim("value"), r"\s+").alias("p"),
+    )
+    split = Window.partitionBy("file", "block").orderBy("line")
+    head = F.when((F.size("p") == 3) & F.col("p")[0].try_cast("bigint").isNotNull(), F.struct(F.col("p")[0].cast("bigint").alias("lid"), F.col("n")))
+    lines = raw.withColumn("n", F.row_number().over(split)).withColumn("head", F.last(head, ignorenulls=True).over(split))
+    # One row a split: the last block that begins in it, and its lines after that or all of them.
+    ends = lines.groupBy("file", "block").agg(F.max("n").alias("lines"), F.max_by("head", F.col("head.n")).alias("head"))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.withColumn("total", F.coalesce(F.sum("lines").over(before), F.lit(0)))
+    placed = F.when(F.col("head").isNotNull(), F.struct(F.col("head.lid"), (F.col("total") + F.col("head.n")).alias("n")))
+    ends = ends.select("file", "block", "total", F.last(placed, ignorenulls=True).over(before).alias("carried"))
+    points = lines.filter(F.size("p") == 2).join(ends, ["file", "block"])
+    at = F.col("total") + F.col("n")
+    own = F.when(F.col("head").isNotNull(), F.struct(F.col("head.lid"), (F.col("total") + F.col("head.n")).alias("n")))
+    placed = points.select("p", at.alias("at"), F.coalesce(own, F.col("carried")).alias("of")).filter(F.col("of").isNotNull())
+    return placed.select(
+        F.col("of.lid").alias("lid"), (F.col("at") - F.col("of.n") - 1).alias("seq"), F.col("p")[0].cast("int").alias("ilat"), F.col("p")[1].cast("int").alias("ilon")
     )
-    points = marked.filter((F.size("p") == 2) & F.col("lid").isNotNull())
-    return points.select("lid", (F.col("line") - F.col("head") - 1).alias("seq"), F.col("p")[0].cast("int").alias("ilat"), F.col("p")[1].cast("int").alias("ilon"))
 
 
 def edge_counts(spark: SparkSession, path: str) -> DataFrame:
@@ -103,15 +121,21 @@ def barriers(spark: SparkSession, path: str, allowed: DataFrame | None = None) -
     """tag, lat, lon; one of each tag up to its last underscore; only allowed tags, if given (tag)."""
     rows = spark.read.options(sep=";").schema("tag STRING, lat DOUBLE, lon DOUBLE").csv(path).filter("lat IS NOT NULL")
     rows = rows.withColumn("base", F.regexp_replace("tag", "_[^_]*$", ""))
-    once = rows.withColumn("_r", F.row_number().over(Window.partitionBy("base").orderBy("tag"))).filter("_r = 1").drop("_r")
+    once = rows.groupBy("base").agg(F.min(F.struct("tag", "lat", "lon")).alias("first")).select("first.*", "base")
     return once if allowed is None else once.join(allowed.select("tag"), "tag", "left_semi")
 
 
-def polygons(spark: SparkSession, path: str, bbox: Sequence[float] | None = None) -> DataFrame:
-    """uid, ring (array of x, y) of GeoJSON polygons; of several rings or parts the first is the outline."""
-    raw = spark.read.text(path, wholetext=True)
-    shape = "features array<struct<properties:map<string,string>,geometry:struct<type:string,coordinates:string>>>"
-    parsed = raw.select(F.explode(F.from_json("value", shape)["features"]).alias("f"))
+def polygons(spark: SparkSession, path: str, bbox: Sequence[float] | None = None, lines: bool = False) -> DataFrame:
+    """uid, ring (array of x, y) of GeoJSON polygons; of several rings or parts the first is the outline.
+
+    A file is one collection, read whole, or with ``lines`` a feature a line, as ``features`` writes them, read in splits.
+    """
+    raw = spark.read.text(path, wholetext=not lines)
+    shape = "struct<properties:map<string,string>,geometry:struct<type:string,coordinates:string>>"
+    if lines:
+        parsed = raw.select(F.from_json("value", shape).alias("f"))
+    else:
+        parsed = raw.select(F.explode(F.from_json("value", f"features array<{shape}>")["features"]).alias("f"))
     coords = F.when(
         F.col("f.geometry.type") == "MultiPolygon", F.from_json("f.geometry.coordinates", "array<array<array<array<double>>>>")[0][0]
     ).otherwise(F.from_json("f.geometry.coordinates", "array<array<array<double>>>")[0])
@@ -120,7 +144,7 @@ def polygons(spark: SparkSession, path: str, bbox: Sequence[float] | None = None
     if bbox is None:
         return rows
     n = F.size("ring")
-    cx, cy = (F.aggregate("ring", F.lit(0.0), lambda a, p, k=k: a + p[k]) / n for k in ("x", "y"))
+    cx, cy = (F.aggregate(F.col("ring")[k], F.lit(0.0), lambda a, v: a + v) / n for k in ("x", "y"))
     return rows.filter(cx.between(bbox[0], bbox[2]) & cy.between(bbox[1], bbox[3]))
 
 
@@ -138,9 +162,12 @@ def transit_legs(spark: SparkSession, path: str) -> DataFrame:
     return legs.select("trip", "route", "seq", F.col("s.stop").alias("from"), F.col("next.stop").alias("to"), F.col("s.at").alias("leaves"), F.col("next.at").alias("arrives"))
 
 
-def placemarks(spark: SparkSession, path: str, roles: dict[str, str]) -> DataFrame:
-    """name, lon, lat, role of KML placemarks; the role by the first pattern that the description matches."""
-    rows = spark.read.format("xml").option("rowTag", "Placemark").schema("name STRING, description STRING, Point STRUCT<coordinates: STRING>").load(path)
+def placemarks(spark: SparkSession, path: str, roles: dict[str, str], lines: bool = False) -> DataFrame:
+    """name, lon, lat, role of KML placemarks; the role by the first pattern that the description matches.
+
+    A file is one document, streamed through one task, or with ``lines`` a placemark a line, read in splits.
+    """
+    rows = spark.read.format("xml").options(rowTag="Placemark", multiLine=not lines).schema("name STRING, description STRING, Point STRUCT<coordinates: STRING>").load(path)
     role = F.lit(None).cast("string")
     for pattern, name in reversed(list(roles.items())):
         role = F.when(F.col("description").rlike(pattern), name).otherwise(role)
@@ -191,12 +218,16 @@ def documents_pipeline(rows: DataFrame) -> DataFrame:
     return rows.filter(F.size("tags") > 0).select("id", pairs.alias("tags"), F.explode(F.transform("tags", lambda t: t["k"])).alias("key"))
 
 
+#: Times keep their microseconds in text files; Spark's own default keeps milliseconds.
+_MICROS = "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]"
+
+
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").options(sep=";", header=True).csv(path)
+    df.write.mode("overwrite").options(sep=";", header=True, timestampNTZFormat=_MICROS, timestampFormat=_MICROS + "[XXX]").csv(path)
 
 
 def write_json(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").json(path)
+    df.write.mode("overwrite").options(timestampNTZFormat=_MICROS, timestampFormat=_MICROS + "[XXX]").json(path)
 
 
 def features(df: DataFrame, geometry: str, coordinates: Column, properties: Sequence[str]) -> DataFrame:

@@ -29,6 +29,32 @@ def test_road_files(spark, tmp_path):
     assert points == [(5, 0, 44000000, 11000000), (5, 1, 44000010, 11000010), (6, 0, 1, 2), (6, 1, 3, 4), (6, 2, 5, 6)]
 
 
+def test_points_over_many_splits(spark, tmp_path):
+    """Blocks that begin in one split and end some splits later keep their places."""
+    sizes = [3, 90, 1, 0, 40, 7]
+    text = "".join(f"{lid} 0 {n}\n" + "".join(f"{lid * 100 + i} {i}\n" for i in range(n)) for lid, n in enumerate(sizes))
+    path = put(tmp_path / "a.pnt", text)
+    put(tmp_path / "b.pnt", "77 0 1\n5 6\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64")
+    try:
+        assert spark.read.text(path).rdd.getNumPartitions() > 5
+        got = sorted(map(tuple, files.road_points(spark, str(tmp_path)).collect()))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == sorted([(lid, i, lid * 100 + i, i) for lid, n in enumerate(sizes) for i in range(n)] + [(77, 0, 5, 6)])
+
+
+def test_ranges_of_a_database(spark):
+    """A table of an embedded database read in chunks of hours: each row once, bounds of the range as [start, stop)."""
+    url, options = "jdbc:derby:memory:footfall;create=true", {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    rows = spark.sql("SELECT id AS ID, timestamp'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, 30 * CAST(id AS INT)) AS DATE_TIME FROM range(20)")
+    rows.write.jdbc(url, "detections", mode="overwrite", properties=options)
+    got = files.jdbc_range(spark, url, "detections", "date_time", "2024-01-01 01:00:00", "2024-01-01 08:00:00", 2, **options)
+    assert got.rdd.getNumPartitions() == 4
+    assert sorted(r["ID"] for r in got.collect()) == list(range(2, 16))
+
+
 def test_counts_turns_barriers(spark, tmp_path):
     counts = files.edge_counts(spark, put(tmp_path / "a.fluxes", "# lid cid FT TF\n0 10 0 5\n1 11 3 0\n"))
     assert sorted(map(tuple, counts.collect())) == [(0, 10, 1, 5), (1, 11, 3, 1)]
