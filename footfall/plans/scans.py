@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from footfall.scratch import shared_folder
 from footfall.sources import files
 from footfall.sources.tables import detections, table
-from footfall.streaming import ingest
+from footfall.streaming import ingest, progress
 
 #: The month of the events, in chunks of a day.
 _START, _STOP = "2024-01-01", "2024-02-01"
@@ -214,6 +214,18 @@ def stream_fan_out(spark, d):
     return low.unionByName(high).groupBy("store", "event_type").agg(F.count(F.lit(1)).alias("cnt"))
 
 
+#: Steps of an hour, runs that end after six quiet ones, ten minutes for late rows.
+_STEP, _IDLE, _LATE = 3_600_000, 6, 600_000
+
+
+def progress_snapshots(spark, d):
+    """Hourly progress of each type's events as the stream tells it by timers, up to its last watermark."""
+    at = shared_folder(spark, "stream")
+    stream = ingest.file_stream(spark, d, table(spark, d, "events").schema, pathGlobFilter="events.parquet")
+    progress.progress_stream(stream, "event_type", "ts", _STEP, _IDLE, f"{_LATE} milliseconds", f"{at}/told", f"{at}/state").awaitTermination()
+    return spark.read.schema("key STRING, step BIGINT, cnt BIGINT, fresh BIGINT").parquet(f"{at}/told")
+
+
 _ITEMS = "p AS (SELECT l_orderkey, l_linenumber, min(l_partkey) AS x, min(l_suppkey) AS y FROM lineitem GROUP BY ALL)"
 
 SQL = {
@@ -241,6 +253,11 @@ SELECT trip, 'r' AS route, seq, CAST(x AS VARCHAR) AS "from", CAST(nx AS VARCHAR
     "cell_shapes": "SELECT CAST(hour(ts) AS INTEGER) AS \"row\", CAST(user_id % 16 AS INTEGER) AS col, count(*) AS cnt, 10.5 + CAST(user_id % 16 AS INTEGER) * 0.5::DOUBLE AS x, 40.5 + CAST(hour(ts) AS INTEGER) * 0.5::DOUBLE AS y FROM events GROUP BY ALL",
     "barrier_files": "SELECT CAST(epoch(date_trunc('hour', ts)) AS BIGINT) AS timestamp, event_type || ':' || CASE WHEN value > 50 THEN 'out' ELSE 'in' END AS uid, CAST(count(*) AS INTEGER) AS counter FROM events GROUP BY 1, 2",
     "stream_fan_out": "SELECT CASE WHEN value < 50 THEN 'low' ELSE 'high' END AS store, event_type, count(*) AS cnt FROM events WHERE value IS NOT NULL GROUP BY 1, 2",
+    "progress_snapshots": f"""WITH s AS (SELECT event_type AS key, epoch_ms(ts) // {_STEP} AS step, count(*) AS n FROM events WHERE ts IS NOT NULL GROUP BY ALL),
+b AS (SELECT *, CASE WHEN step - lag(step) OVER w <= {_IDLE} THEN 0 ELSE 1 END AS begins, lead(step) OVER w AS nx FROM s WINDOW w AS (PARTITION BY key ORDER BY step)),
+r AS (SELECT *, sum(begins) OVER (PARTITION BY key ORDER BY step) AS run FROM b), c AS (SELECT *, sum(n) OVER (PARTITION BY key, run ORDER BY step) AS cnt FROM r),
+t AS (SELECT key, unnest(range(step, least(step + {_IDLE}, coalesce(nx - 1, step + {_IDLE})) + 1)) AS at, step, CAST(cnt AS BIGINT) AS cnt, n FROM c)
+SELECT key, at AS step, cnt, CASE WHEN at = step THEN n ELSE 0 END AS fresh FROM t WHERE (at + 1) * {_STEP} <= (SELECT epoch_ms(max(ts)) - {_LATE} FROM events)""",
 }
 
 QUERIES = {name: globals()[name] for name in SQL}
