@@ -56,22 +56,6 @@ def per_series(df: DataFrame, key: str, schema: str, function) -> DataFrame:
     return df.select(key, "t", "value").groupBy(key).applyInPandas(go, schema)
 
 
-def savitzky_golay(t, x, window: int = 9, order: int = 3) -> dict:
-    """Polynomial smoothing; the ends by the polynomial of the first and last window."""
-    import numpy as np
-
-    window = min(window, len(x) - (len(x) + 1) % 2)
-    if window <= order:
-        return {"t": t, "smooth": x}
-    half = window // 2
-    basis = np.vander(np.arange(-half, half + 1), order + 1, increasing=True)
-    fit = np.linalg.pinv(basis)
-    smooth = np.convolve(x, fit[0][::-1], mode="same")
-    smooth[:half] = basis[:half] @ (fit @ x[:window])
-    smooth[-half:] = basis[-half:] @ (fit @ x[-window:])
-    return {"t": t, "smooth": smooth}
-
-
 def cubic_spline(t, x, factor: int = 4) -> dict:
     """Not-a-knot cubic interpolation on a grid ``factor`` times as fine."""
     import numpy as np

@@ -145,6 +145,40 @@ def box_smooth(
     return long.withColumn(out, smooth).filter(F.col("_t.turn") == 0).drop("_i", "_n", "_t", "_at")
 
 
+def _fit_weights(window: int, order: int) -> list[list[float]]:
+    """For each place of a window the weights that give its value of the polynomial fitted to the window."""
+    import numpy as np
+
+    basis = np.vander(np.arange(window) - window // 2, order + 1, increasing=True)
+    return (basis @ np.linalg.pinv(basis)).tolist()
+
+
+def savitzky_golay(df: DataFrame, keys: Sequence[str], order: str, value: str, window: int = 9, degree: int = 3, out: str = "smooth") -> DataFrame:
+    """Polynomial smoothing of each ordered series; the ends by the polynomial of the first and last window.
+
+    A series shorter than ``window`` (odd) takes the greatest odd window that it has room for, and is left as it is where
+    that can't fit the polynomial. Each value is a weighted sum over at most 2 * window - 1 neighbours. A null within the
+    window makes its values null; order should have no ties.
+    """
+    by = Window.partitionBy(*keys).orderBy(order)
+    cell = F.collect_list(F.struct(F.col(value).cast("double").alias("v")))
+    near = df.withColumn("_before", cell.over(by.rowsBetween(1 - window, -1))).withColumn("_after", cell.over(by.rowsBetween(0, window - 1)))
+    before, after = F.size("_before"), F.size("_after") - 1
+    whole = (before < window - 1) & (after < window - 1) & (before + after + 1 < window)
+    room = before + after + 1
+    size = F.when(whole, room - (room + 1) % 2).otherwise(window)
+    half = F.floor(size / 2).cast("int")
+    place = F.when(before < half, before).when(after < half, size - 1 - after).otherwise(half)
+    smooth = F.col(value).cast("double")
+    for w in range(window - (window + 1) % 2, degree, -2):
+        rows = F.array(*(F.array(*map(F.lit, row)) for row in _fit_weights(w, degree)))
+        seen = F.slice("_all", before - F.col("_place") + 1, F.lit(w))
+        fitted = F.aggregate(F.zip_with(seen, F.element_at(rows, F.col("_place") + 1), lambda x, c: x["v"] * c), F.lit(0.0), lambda a, x: a + x)
+        smooth = F.when(F.col("_size") == w, fitted).otherwise(smooth)
+    placed = near.withColumn("_size", size).withColumn("_place", place).withColumn("_all", F.concat("_before", "_after"))
+    return placed.withColumn(out, smooth).drop("_before", "_after", "_all", "_size", "_place")
+
+
 def rolling_mean3(df: DataFrame, keys: Sequence[str], order: str, value: str) -> DataFrame:
     """Centred mean of three closed at both ends: two rows before to one after, over what is there."""
     frame = Window.partitionBy(*keys).orderBy(order).rowsBetween(-2, 1)

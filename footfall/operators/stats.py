@@ -7,12 +7,41 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from footfall.operators.graph import _cut
 
-def quantile_bins(df: DataFrame, keys: Sequence[str], value: str, quantiles: Sequence[float]) -> DataFrame:
+
+def quantiles(df: DataFrame, keys: Sequence[str], value: str, quantiles: Sequence[float]) -> DataFrame:
+    """keys and cuts, the interpolated quantiles of the values that aren't null; keys without any have no row.
+
+    Different values are counted, dealt to ranges of (keys, value) and numbered by running sums within a range and over
+    the ranges, so that no task holds a key's values; a quantile is read off the values that hold its two ranks.
+    """
+    counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    dealt = _cut(counted.repartitionByRange(*keys, "_v").withColumn("_range", F.spark_partition_id()))
+    upto = [Window.unboundedPreceding, -1]
+    # One row a range.
+    firsts = dealt.groupBy("_range").agg(F.sum("_n").alias("_all")).select(
+        "_range", F.coalesce(F.sum("_all").over(Window.orderBy("_range").rowsBetween(*upto)), F.lit(0)).alias("_first")
+    )
+    within = F.coalesce(F.sum("_n").over(Window.partitionBy("_range").orderBy(*keys, "_v").rowsBetween(*upto)), F.lit(0))
+    placed = dealt.withColumn("_within", within).join(firsts, "_range").withColumn("_at", F.col("_first") + F.col("_within"))
+    size = placed.groupBy(*keys).agg(F.min("_at").alias("_start"), F.sum("_n").alias("_size"))
+    ranks = F.transform(F.array(*map(F.lit, quantiles)), lambda q: F.col("_start") + q * (F.col("_size") - 1))
+    wanted = size.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), ranks.alias("_ranks"))
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    # The ranks' lower and upper neighbours that lie in a value's run.
+    ends = F.flatten(F.transform("_ranks", lambda r, i: F.array(F.struct(i.alias("i"), F.floor(r).alias("rank"), (1 - r + F.floor(r)).alias("w")), F.struct(i.alias("i"), (F.floor(r) + 1).alias("rank"), (r - F.floor(r)).alias("w")))))
+    here = F.filter(ends, lambda e: (e["w"] > 0) & (e["rank"] >= F.col("_at")) & (e["rank"] < F.col("_at") + F.col("_n")))
+    found = placed.join(wanted, same).withColumn("_here", here).filter(F.size("_here") > 0)
+    parts = found.select(*keys, "_v", F.explode("_here").alias("e")).groupBy(*keys, F.col("e.i").alias("i")).agg(F.sum(F.col("_v") * F.col("e.w")).alias("cut"))
+    return parts.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "cut"))), lambda c: c["cut"]).alias("cuts"))
+
+
+def quantile_bins(df: DataFrame, keys: Sequence[str], value: str, quantiles_: Sequence[float]) -> DataFrame:
     """The right-closed bin of each value between the keys' interpolated quantiles: 0 for the first; null below it."""
-    cuts = df.groupBy(*keys).agg(F.percentile(value, F.array(*map(F.lit, quantiles))).alias("_cuts"))
+    cuts = quantiles(df, keys, value, quantiles_).withColumnRenamed("cuts", "_cuts")
     level = F.size(F.filter("_cuts", lambda c: c < F.col(value))) - 1
-    return df.join(cuts, list(keys)).withColumn(
+    return df.join(cuts, list(keys), "left").withColumn(
         "level", F.when((level >= 0) & (F.col(value) <= F.element_at("_cuts", -1)), level)
     ).drop("_cuts")
 

@@ -256,8 +256,8 @@ SELECT trip, 'r' AS route, seq, CAST(x AS VARCHAR) AS "from", CAST(nx AS VARCHAR
     "progress_snapshots": f"""WITH s AS (SELECT event_type AS key, epoch_ms(ts) // {_STEP} AS step, count(*) AS n FROM events WHERE ts IS NOT NULL GROUP BY ALL),
 b AS (SELECT *, CASE WHEN step - lag(step) OVER w <= {_IDLE} THEN 0 ELSE 1 END AS begins, lead(step) OVER w AS nx FROM s WINDOW w AS (PARTITION BY key ORDER BY step)),
 r AS (SELECT *, sum(begins) OVER (PARTITION BY key ORDER BY step) AS run FROM b), c AS (SELECT *, sum(n) OVER (PARTITION BY key, run ORDER BY step) AS cnt FROM r),
-t AS (SELECT key, unnest(range(step, least(step + {_IDLE}, coalesce(nx - 1, step + {_IDLE})) + 1)) AS at, step, CAST(cnt AS BIGINT) AS cnt, n FROM c)
-SELECT key, at AS step, cnt, CASE WHEN at = step THEN n ELSE 0 END AS fresh FROM t WHERE (at + 1) * {_STEP} <= (SELECT epoch_ms(max(ts)) - {_LATE} FROM events)""",
+t AS (SELECT key, unnest(range(step, least(step + {_IDLE}, coalesce(nx - 1, step + {_IDLE})) + 1)) AS told, step, CAST(cnt AS BIGINT) AS cnt, n FROM c)
+SELECT key, told AS step, cnt, CASE WHEN told = step THEN n ELSE 0 END AS fresh FROM t WHERE (told + 1) * {_STEP} <= (SELECT epoch_ms(max(ts)) - {_LATE} FROM events)""",
 }
 
 QUERIES = {name: globals()[name] for name in SQL}

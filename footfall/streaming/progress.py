@@ -31,12 +31,16 @@ class _Progress(StatefulProcessor):
         self.run = handle.getValueState("run", "told bigint, busy bigint, cnt bigint")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator:
+        fresh: dict[int, int] = {}
         for batch in rows:
             for step, n in batch["step"].value_counts().items():
-                at = (int(step),)
-                before = self.open.getValue(at)[0] if self.open.containsKey(at) else 0
-                self.open.updateValue(at, (before + int(n),))
-                self.handle.registerTimer((int(step) + 1) * self.step_ms)
+                fresh[int(step)] = fresh.get(int(step), 0) + int(n)
+        if fresh:
+            known = {step[0]: n[0] for step, n in self.open.iterator()}
+            for step, n in fresh.items():
+                self.open.updateValue((step,), (known.get(step, 0) + n,))
+            # One timer tells all steps that are due, and sets the next.
+            self.handle.registerTimer((min(fresh) + 1) * self.step_ms)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator:
@@ -44,7 +48,8 @@ class _Progress(StatefulProcessor):
         import pandas as pd
 
         last = timerValues.getCurrentWatermarkInMs() // self.step_ms - 1
-        due = sorted((step[0], n[0]) for step, n in self.open.iterator() if step[0] <= last)
+        steps = sorted((step[0], n[0]) for step, n in self.open.iterator())
+        due, later = [x for x in steps if x[0] <= last], [x for x in steps if x[0] > last]
         told, busy, cnt = self.run.get() if self.run.exists() else (None, None, 0)
         out = []
 
@@ -67,6 +72,8 @@ class _Progress(StatefulProcessor):
             self.handle.registerTimer((told + 2) * self.step_ms)
         elif told is not None:
             self.run.clear()
+        if later:
+            self.handle.registerTimer((later[0][0] + 1) * self.step_ms)
         if out:
             frame = pd.DataFrame(out, columns=["step", "cnt", "fresh"])
             frame.insert(0, "key", key[0])

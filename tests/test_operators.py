@@ -151,7 +151,34 @@ def test_spline_and_smoothing_keep_cubics():
     x = 0.5 * t**3 - t
     fine = learning.cubic_spline(t, x.astype(float), 4)
     assert np.allclose(fine["value"], 0.5 * fine["place"] ** 3 - fine["place"])
-    assert np.allclose(learning.savitzky_golay(t, x.astype(float), 7, 3)["smooth"], x)
+
+
+def test_smoothing_is_a_fit_to_each_window(spark):
+    """Series of every length against polynomials fitted window by window; cubics stay as they are."""
+    rng = np.random.default_rng(4)
+    data = {n: rng.normal(size=n).round(3) for n in (1, 2, 3, 4, 5, 6, 7, 8, 12, 30)} | {40: np.arange(40) ** 3 / 100 - np.arange(40)}
+    rows = spark.createDataFrame([(n, i, float(v)) for n, x in data.items() for i, v in enumerate(x)], "k int, t int, v double")
+    got = {(r["k"], r["t"]): r["smooth"] for r in series.savitzky_golay(rows, ["k"], "t", "v", 7, 3).collect()}
+    assert len(got) == sum(data)
+    for n, x in data.items():
+        w = min(7, n - (n + 1) % 2)
+        for i, v in enumerate(x):
+            if w > 3:
+                low = min(max(i - w // 2, 0), n - w)
+                v = np.polyval(np.polyfit(np.arange(w), x[low : low + w], 3), i - low)
+            assert abs(got[n, i] - v) < 1e-8
+    assert all(abs(got[40, i] - v) < 1e-8 for i, v in enumerate(data[40]))
+
+
+def test_quantiles_without_a_group_in_one_task(spark):
+    """Cuts of repeated, null and single values equal those of the exact percentile."""
+    rng = np.random.default_rng(5)
+    rows = [("a", float(v)) for v in rng.integers(0, 9, 300)] + [("b", float(v)) for v in rng.normal(size=101)] + [("c", 7.0), ("c", None), ("d", None)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    qs = [0.0, 0.1, 0.5, 0.77, 1.0]
+    got = {r["k"]: r["cuts"] for r in stats.quantiles(df, ["k"], "v", qs).collect()}
+    by = {k: [v for name, v in rows if name == k and v is not None] for k in "abc"}
+    assert set(got) == set(by) and all(np.allclose(got[k], np.quantile(by[k], qs)) for k in by)
 
 
 def test_warping_ignores_pauses():
