@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from footfall.operators.joins import within_radius
+
 
 def without_sparse(counts: DataFrame, key: str, way: str, bins: int, most: float) -> DataFrame:
     """counts (key, way, bin, ...) without the keys of which a way lacks more than a share ``most`` of all ``bins``.
@@ -112,6 +114,24 @@ def cumulative_choice(places: DataFrame, keys: Sequence[str], score: str) -> Dat
     return places.withColumn("share", F.try_divide(F.col(score), whole)).withColumn("upto", F.try_divide(F.sum(score).over(run), whole))
 
 
+def choice_in_radius(places: DataFrame, radius: float) -> DataFrame:
+    """For each place (place, x, y, component, score) the others within the radius that its network reaches, drawn by score.
+
+    place, other, share of the scores in reach, and the running share from the least score on (ties by place). Where
+    all scores in reach are 0 the shares are null.
+    """
+    left = places.select(F.col("place").alias("id"), "x", "y")
+    right = places.select(F.col("place").alias("other"), F.col("x").alias("ox"), F.col("y").alias("oy"))
+    near = within_radius(left, right, radius).filter("id <> other").select(F.col("id").alias("place"), "other")
+    own = places.select("place", "component")
+    to = places.select(F.col("place").alias("other"), F.col("component").alias("_there"), "score")
+    reached = near.join(own, "place").join(to, "other").filter("component = _there")
+    per = Window.partitionBy("place")
+    run = per.orderBy("score", "other").rowsBetween(Window.unboundedPreceding, 0)
+    whole = F.sum("score").over(per)
+    return reached.select("place", "other", F.try_divide("score", whole).alias("share"), F.try_divide(F.sum("score").over(run), whole).alias("upto"))
+
+
 def decoded_way(code: Column, names: Mapping[str, str]) -> Column:
     """The letter of a direction code in its name (second character), A for a code without a name."""
     mapped = F.create_map(*(F.lit(x) for pair in names.items() for x in pair))

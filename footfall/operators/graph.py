@@ -434,6 +434,19 @@ def routes(places: DataFrame, distances: DataFrame, most: int) -> DataFrame:
     return every
 
 
+def rounds(sources: DataFrame, found: DataFrame, distances: DataFrame) -> DataFrame:
+    """Each of the ``routes`` as a round from and back to each source (place): place, route, length.
+
+    distances has the ways from sources to places and back; a round with a way that isn't there is left out.
+    """
+    there = distances.select(F.col("a").alias("place"), F.col("b").alias("first"), F.col("dist").alias("there"))
+    back = distances.select(F.col("a").alias("last"), F.col("b").alias("place"), F.col("dist").alias("back"))
+    ends = found.withColumn("first", F.element_at("route", 1)).withColumn("last", F.element_at("route", -1))
+    begun = ends.join(there.join(sources.select("place"), "place", "left_semi"), "first")
+    whole = begun.join(back, ["place", "last"])
+    return whole.select("place", "route", (F.col("length") + F.col("there") + F.col("back")).alias("length"))
+
+
 def route_weights(found: DataFrame, weights: DataFrame, width: float) -> DataFrame:
     """route, length, bin, weight (product of its places' weights) and the running share of weight in the length bin."""
     parts = found.withColumn("place", F.explode("route")).join(weights, "place")

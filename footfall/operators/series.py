@@ -145,6 +145,25 @@ def box_smooth(
     return long.withColumn(out, smooth).filter(F.col("_t.turn") == 0).drop("_i", "_n", "_t", "_at")
 
 
+def compared_days(counts: DataFrame, keys: Sequence[str], slots: int, back: Sequence[int], box: int) -> DataFrame:
+    """keys, day, slot, smooth and for each number of days back the smoothed difference to that day's smoothed counts.
+
+    counts: keys, day, slot (0 to slots - 1), cnt; slots without a row count 0 on days that have any. Both smoothings go
+    round the day. ``less_n`` is null where the day n days back has no row.
+    """
+    days = counts.select(*keys, "day").distinct().withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
+    full = days.join(counts.select(*keys, "day", "slot", "cnt"), [*keys, "day", "slot"], "left").na.fill(0, ["cnt"])
+    out = box_smooth(full, [*keys, "day"], "slot", "cnt", box)
+    # One shifted copy a number of days: all differences from one aggregate, without a join for each.
+    copies = F.array(*(F.struct(F.lit(n).alias("n"), F.date_add("day", n).alias("day")) for n in (0, *back)))
+    moved = out.withColumn("c", F.explode(copies)).select(*keys, "c.day", "slot", "c.n", "smooth")
+    wide = moved.groupBy(*keys, "day", "slot").agg(*(F.max(F.when(F.col("n") == n, F.col("smooth"))).alias(f"s{n}") for n in (0, *back))).filter("s0 IS NOT NULL")
+    wide = wide.withColumnRenamed("s0", "smooth")
+    for n in back:
+        wide = box_smooth(wide.withColumn(f"s{n}", F.col("smooth") - F.col(f"s{n}")), [*keys, "day"], "slot", f"s{n}", box, f"less_{n}").drop(f"s{n}")
+    return wide
+
+
 def _fit_weights(window: int, order: int) -> list[list[float]]:
     """For each place of a window the weights that give its value of the polynomial fitted to the window."""
     import numpy as np

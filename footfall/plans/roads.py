@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from footfall.operators import agents, graph, hubs, spatial
+from footfall.operators import agents, demand, graph, hubs, spatial
 from footfall.sources.tables import table
 
 #: lid of part p and supplier s: p * PART + s * 4; the two bits left are for edges made from others.
@@ -193,6 +193,39 @@ def order_rounds(spark, d):
     return costs.select("trip", F.round("dist", 6).alias("dist"))
 
 
+#: Attractions of the rounds, and the places they begin at; the number of routes grows with the fourth power of the first.
+ATTRACTIONS, STARTS = 7, 3
+
+
+def attraction_rounds(spark, d):
+    """Rounds from the parts of least number over up to four of the suppliers with the most edges, by best paths, with their length bin."""
+    e = road_edges(spark, d)
+    n = graph.nodes(e)
+    # Top-k by definition of the report.
+    sights = n.filter("node < 0").orderBy(F.desc("degree"), F.desc("node")).limit(ATTRACTIONS).select(F.col("node").alias("place"))
+    starts = n.filter("node >= 0").orderBy("node").limit(STARTS).select(F.col("node").alias("place"))
+    ends = sights.unionByName(starts)
+    pairs = ends.toDF("source").join(ends.toDF("target"), F.col("source") != F.col("target"))
+    dist = hubs.costs(hubs.build(graph.directed_weights(e)), pairs).toDF("a", "b", "dist")
+    inner = dist.join(sights.toDF("a"), "a", "left_semi").join(sights.toDF("b"), "b", "left_semi").select("a", "b", "dist")
+    out = graph.rounds(starts, graph.routes(sights, inner, 4), dist)
+    return out.select("place", F.array_join(F.transform("route", lambda p: p.cast("string")), ">").alias("route"), F.round("length", 6).alias("length"), F.floor(F.col("length") / 100).alias("bin"))
+
+
+#: The first corner beyond the river, which no street crosses.
+RIVER = 2 * ROW
+
+
+def radius_choice(spark, d):
+    """Where a customer at the corner of its number goes: the others within 45 that streets reach on this side of the river."""
+    dry = streets(spark, d).filter((F.col("nf") < RIVER) == (F.col("nt") < RIVER))
+    c = F.col("c_custkey").cast("bigint")
+    x, y = _corner(c)
+    at = table(spark, d, "customer").select(c.alias("place"), x.alias("x"), y.alias("y"), F.greatest("c_acctbal", F.lit(0.0)).alias("score"))
+    out = demand.choice_in_radius(at.join(graph.components(dry).withColumnRenamed("node", "place"), "place"), 45.0)
+    return out.select("place", "other", F.round("share", 9).alias("share"), F.round("upto", 9).alias("upto"))
+
+
 def network_checks(spark, d):
     e = road_edges(spark, d).select("lid", "nf", "nt", "length")
     extra = e.filter("lid % 3 = 0").select((F.col("lid") + 1).alias("lid"), F.col("nt").alias("nf"), F.col("nf").alias("nt"), "length")
@@ -255,11 +288,11 @@ _LABELS = (
 )
 
 
-def _costs(there: str, back: str) -> str:
-    """d12: the least costs from every node that 100 divides, over at most 12 arcs."""
+def _costs(there: str, back: str, start: str = "node % 100 = 0") -> str:
+    """d12: the least costs from every starting node, over at most 12 arcs."""
     return (
         f"arcs AS MATERIALIZED (SELECT a, b, min(w) AS w FROM (SELECT nf AS a, nt AS b, {there} AS w FROM w UNION ALL SELECT nt, nf, {back} FROM w) WHERE w < 1e8 GROUP BY ALL)"
-        ", d0 AS MATERIALIZED (SELECT DISTINCT node AS s, node AS b, 0.0::DOUBLE AS w FROM ends WHERE node % 100 = 0)"
+        f", d0 AS MATERIALIZED (SELECT DISTINCT node AS s, node AS b, 0.0::DOUBLE AS w FROM ends WHERE {start})"
         + "".join(f", d{i} AS MATERIALIZED (SELECT s, b, min(w) AS w FROM (SELECT s, b, w FROM d{i - 1} UNION ALL SELECT s, arcs.b, d.w + arcs.w FROM d{i - 1} d JOIN arcs ON arcs.a = d.b) GROUP BY ALL)" for i in range(1, 13))
     )
 
@@ -301,6 +334,17 @@ u AS (SELECT node, lid, dx / sqrt(dx * dx + dy * dy) AS ux, dy / sqrt(dx * dx +
 SELECT a.node, a.lid, b.lid AS opposite FROM u a JOIN u b ON a.node = b.node AND a.lid <> b.lid QUALIFY row_number() OVER (PARTITION BY a.node, a.lid ORDER BY round(a.ux * b.ux + a.uy * b.uy, 9), b.lid) = 1""",
     "edge_density_speed": f"""WITH {_E}, s AS (SELECT CAST(l_partkey AS BIGINT) * {PART} + CAST(l_suppkey AS BIGINT) * 4 AS lid, count(*) AS c FROM events JOIN lineitem ON event_id = l_orderkey GROUP BY 1)
 SELECT e.lid, coalesce(c, 0) AS cnt, round(greatest(0.15, (1 - coalesce(c, 0) / (length / 100) / 4) * speed), 6) AS speed_t FROM e LEFT JOIN s USING (lid)""",
+    "attraction_rounds": f"""WITH {_E}, {_ENDS}, {_w(1.0, 0.0)}, n AS (SELECT node, count(*) AS k FROM ends GROUP BY 1),
+g AS MATERIALIZED (SELECT node FROM n WHERE node < 0 ORDER BY k DESC, node DESC LIMIT {ATTRACTIONS}), st AS MATERIALIZED (SELECT node FROM n WHERE node >= 0 ORDER BY node LIMIT {STARTS}),
+{_costs('w_ft', 'w_tf', 'node IN (SELECT node FROM g UNION ALL SELECT node FROM st)')},
+i AS MATERIALIZED (SELECT s, b, w FROM d12 WHERE s <> b AND s IN (SELECT node FROM g) AND b IN (SELECT node FROM g)),
+r1 AS (SELECT [node] AS p, 0.0::DOUBLE AS w FROM g){"".join(f", r{k} AS (SELECT list_append(p, b) AS p, r.w + i.w AS w FROM r{k - 1} r JOIN i ON i.s = p[-1] AND NOT list_contains(p, b))" for k in (2, 3, 4))},
+r AS (FROM r1 UNION ALL FROM r2 UNION ALL FROM r3 UNION ALL FROM r4),
+l AS (SELECT st.node AS place, p, a.w + r.w + z.w AS w FROM st JOIN d12 a ON a.s = st.node JOIN r ON r.p[1] = a.b JOIN d12 z ON z.s = r.p[-1] AND z.b = st.node)
+SELECT place, array_to_string(p, '>') AS route, round(w, 6) AS length, CAST(floor(w / 100) AS BIGINT) AS bin FROM l""",
+    "radius_choice": f"""WITH c AS (SELECT c_custkey AS p, CAST(c_custkey % {ROW} * 20 + c_custkey * 37 % 7 AS DOUBLE) AS x, CAST(c_custkey // {ROW} * 20 + c_custkey * 53 % 9 AS DOUBLE) AS y, greatest(c_acctbal, 0) AS score FROM customer),
+j AS (SELECT a.p AS place, b.p AS other, b.score FROM c a JOIN c b ON a.p <> b.p AND b.x BETWEEN a.x - 45 AND a.x + 45 AND b.y BETWEEN a.y - 45 AND a.y + 45 WHERE sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) <= 45 AND (a.p < {RIVER}) = (b.p < {RIVER}))
+SELECT place, other, round(score / nullif(sum(score) OVER (PARTITION BY place), 0), 9) AS share, round(sum(score) OVER (PARTITION BY place ORDER BY score, other ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / nullif(sum(score) OVER (PARTITION BY place), 0), 9) AS upto FROM j""",
 }
 
 QUERIES = {name: globals()[name] for name in (*SQL, "best_paths", "path_usage", "turn_costs", "snapped_trips", "trip_streets", "order_rounds")}

@@ -67,6 +67,13 @@ def box_smooth(spark, d):
     return out.select("station_name", "bin", F.round("smooth", R).alias("smooth"), F.round("trail", R).alias("trail"))
 
 
+def day_comparison(spark, d):
+    """Each day's smoothed quarter hours less those of the day before and of a week before, smoothed again."""
+    rows = detections(spark, d).select("station_name", F.to_date("date_time").alias("day"), (F.hour("date_time") * 4 + F.floor(F.minute("date_time") / 15)).cast("int").alias("slot"))
+    out = series.compared_days(rows.groupBy("station_name", "day", "slot").agg(F.count(F.lit(1)).alias("cnt")), ["station_name"], 96, (1, 7), 5)
+    return out.select("station_name", "day", "slot", *(F.round(c, R).alias(c) for c in ("smooth", "less_1", "less_7")))
+
+
 def rolling_mean3(spark, d):
     out = series.rolling_mean3(_hourly(spark, d), ["station_name"], "bin", "cnt")
     return out.select("station_name", "bin", F.round("mean", R).alias("mean"))
@@ -245,6 +252,12 @@ FROM d JOIN m ON CAST(date_trunc('month', d.day) AS DATE) = m.month""",
     "week_deviation": f"""WITH {_GRID}, r AS (SELECT *, weekofyear(bin) AS week, {_TOD.format('bin')} AS tod FROM dense),
 c AS (SELECT station_name, week, tod, avg(cnt) AS curve FROM r GROUP BY ALL), l AS (SELECT station_name, week, avg(curve) AS level FROM c GROUP BY ALL)
 SELECT r.station_name, r.bin, round((r.cnt - c.curve) * 100 / nullif(l.level, 0), 4) AS pct FROM r JOIN c USING (station_name, week, tod) JOIN l USING (station_name, week)""",
+    "day_comparison": """WITH c AS (SELECT event_type AS station_name, CAST(ts AS DATE) AS day, hour(ts) * 4 + minute(ts) // 15 AS slot, count(*) AS cnt FROM events GROUP BY ALL),
+g AS (SELECT k.station_name, k.day, s AS slot, coalesce(cnt, 0) AS cnt FROM (SELECT DISTINCT station_name, day, s FROM c, range(96) r(s)) k LEFT JOIN c ON c.station_name = k.station_name AND c.day = k.day AND c.slot = k.s),
+m AS (SELECT station_name, day, (slot - o + 96) % 96 AS slot, sum(cnt) / 5.0::DOUBLE AS v FROM g, range(-1, 4) r(o) GROUP BY ALL),
+f AS (SELECT m.station_name, m.day, m.slot, m.v, m.v - a.v AS a, m.v - b.v AS b FROM m LEFT JOIN m a ON a.station_name = m.station_name AND a.slot = m.slot AND a.day = m.day - 1 LEFT JOIN m b ON b.station_name = m.station_name AND b.slot = m.slot AND b.day = m.day - 7),
+t AS (SELECT station_name, day, (slot - o + 96) % 96 AS slot, sum(a) / 5.0::DOUBLE AS a, sum(b) / 5.0::DOUBLE AS b FROM f, range(-1, 4) r(o) GROUP BY ALL)
+SELECT f.station_name, f.day, CAST(f.slot AS INTEGER) AS slot, round(f.v, 6) AS smooth, round(t.a, 6) AS less_1, round(t.b, 6) AS less_7 FROM f JOIN t USING (station_name, day, slot)""",
 }
 
 QUERIES = {name: globals()[name] for name in SQL}
