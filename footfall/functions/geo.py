@@ -122,3 +122,36 @@ def to_dms(degrees: Column) -> Column:
 def from_dms(degrees: Column, minutes: Column, seconds: Column) -> Column:
     sign = F.when(degrees < 0, -1).otherwise(1)
     return sign * (F.abs(degrees) + minutes / 60 + seconds / 3600)
+
+
+def to_iso6709(lat: Column, lon: Column) -> Column:
+    """Signed degrees of a point as one text, ``+44.500000+011.250000/``; six places, widths as the norm has them."""
+
+    def part(x: Column, width: int) -> Column:
+        digits = F.lpad(F.format_string("%.6f", F.abs(x).cast("double")), width, "0")
+        return F.concat(F.when(x < 0, "-").otherwise("+"), digits)
+
+    return F.concat(part(lat, 9), part(lon, 10), F.lit("/"))
+
+
+def from_iso6709(text: Column) -> Column:
+    """lat and lon in degrees of a point's text whose parts are degrees, degrees and minutes, or with seconds as well.
+
+    How many digits stand before a part's dot says which; what doesn't fit the form is null.
+    """
+
+    def part(sign_and_digits: Column, degrees: int) -> Column:
+        size = F.regexp_replace(sign_and_digits, "^[+-]", "")
+        whole = F.length(F.substring_index(size, ".", 1))
+        rest = lambda at: F.substr(size, F.lit(at), F.length(size)).try_cast("double")
+        two = lambda at: F.substr(size, F.lit(at), F.lit(2)).try_cast("double")
+        head = F.substr(size, F.lit(1), F.lit(degrees)).try_cast("double")
+        value = (
+            F.when(whole == degrees, size.try_cast("double"))
+            .when(whole == degrees + 2, head + rest(degrees + 1) / 60)
+            .when(whole == degrees + 4, head + two(degrees + 1) / 60 + rest(degrees + 3) / 3600)
+        )
+        return F.when(sign_and_digits.startswith("-"), -value).otherwise(value)
+
+    form = r"^([+-][0-9]+(?:[.][0-9]+)?)([+-][0-9]+(?:[.][0-9]+)?)"
+    return F.struct(part(F.regexp_extract(text, form, 1), 2).alias("lat"), part(F.regexp_extract(text, form, 2), 3).alias("lon"))

@@ -79,3 +79,13 @@ def inverted(mapping: str | Column) -> Column:
             F.transform(F.map_entries(mapping), lambda e: F.transform(e["value"], lambda v: F.struct(v, e["key"])))
         )
     )
+
+
+def permutations(items: str | Column, most: int) -> Column:
+    """All orders of 1 to ``most`` of an array's items, each a text joined by blanks; for short arrays."""
+    items = F.col(items) if isinstance(items, str) else items
+    every = last = F.transform(items, lambda x: F.array(x))
+    for _ in range(most - 1):
+        last = F.flatten(F.transform(last, lambda done: F.transform(F.filter(items, lambda x: ~F.array_contains(done, x)), lambda x: F.array_append(done, x))))
+        every = F.concat(every, last)
+    return F.transform(every, lambda x: F.array_join(x, " "))

@@ -51,13 +51,31 @@ def unique_on_edges(states: DataFrame, freq: str) -> DataFrame:
     return states.groupBy("lid", "forward", F.window("t", freq)["start"].alias("bin")).agg(F.countDistinct("id").alias("ids"))
 
 
+#: Slices of [0, 1) that draws and running shares are dealt to.
+SLICES = 64
+
+
+def running_shares(weights: DataFrame, keys: Sequence[str], item: str, weight: str) -> DataFrame:
+    """keys, item, low and share: each item's part of [0, 1) within its key, heaviest first, ties by item; weights of 0 or less have none."""
+    some = weights.filter(F.col(weight) > 0)
+    run = Window.partitionBy(*keys).orderBy(F.desc(weight), item).rowsBetween(Window.unboundedPreceding, 0)
+    upto = F.sum(weight).over(run)
+    whole = some.groupBy(*keys).agg(F.sum(weight).alias("_whole"))
+    shares = some.withColumn("_upto", upto).join(whole, list(keys)) if keys else some.withColumn("_upto", upto).join(F.broadcast(whole))
+    return shares.select(*keys, item, ((F.col("_upto") - F.col(weight)) / F.col("_whole")).alias("low"), (F.col("_upto") / F.col("_whole")).alias("share"))
+
+
 def created_from_weights(draws: DataFrame, shares: DataFrame) -> DataFrame:
     """The route of each draw u in [0, 1): the first whose running share is u or more; shares: bin, share, route.
 
-    Both sides go through one window by bin, so no pair of draw and route is built.
+    A route stands in the slices of [0, 1) that its part of its bin touches, and a draw meets the routes of its own bin and
+    slice alone, so draws of one bin don't meet in one task. Draws of bins without routes have a null one.
     """
-    a = draws.select("id", "bin", F.col("u").alias("at"), F.lit(1).alias("side"), F.lit(None).cast("array<string>").alias("route"))
-    b = shares.select(F.lit(None).cast("bigint").alias("id"), "bin", F.col("share").alias("at"), F.lit(2).alias("side"), "route")
-    ahead = Window.partitionBy("bin").orderBy(F.desc("at"), F.desc("side")).rowsBetween(Window.unboundedPreceding, 0)
-    found = a.unionByName(b).withColumn("route", F.last(F.when(F.col("side") == 2, F.col("route")), ignorenulls=True).over(ahead))
-    return found.filter("side = 1").select("id", "bin", "route")
+    below = F.lag("share", 1, -1.0).over(Window.partitionBy("bin").orderBy("share", "route"))
+    place = lambda x: F.least(F.floor(x * SLICES), F.lit(SLICES - 1)).cast("int")
+    parts = shares.select("bin", "route", "share", below.alias("low")).filter("share > low")
+    parts = parts.withColumn("slice", F.explode(F.sequence(F.greatest(place(F.col("low")), F.lit(0)), place(F.col("share")))))
+    inside = (F.col("u") <= F.col("share")) & (F.col("u") > F.col("low"))
+    d = draws.withColumn("slice", place(F.col("u"))).alias("d")
+    met = d.join(parts.alias("p"), (F.col("d.bin") == F.col("p.bin")) & (F.col("d.slice") == F.col("p.slice")) & inside, "left")
+    return met.select("id", "d.bin", "route")

@@ -34,15 +34,18 @@ def by_time(tables: Mapping[str, DataFrame]) -> DataFrame:
     return long.groupBy("bin").pivot("name", list(tables)).agg(F.sum("cnt")).na.fill(0)
 
 
-def ordered_pairs(places: DataFrame) -> DataFrame:
+def ordered_pairs(places: DataFrame, blocks: int = 16) -> DataFrame:
     """origin, destination, cnt 0 for all ordered pairs of different places: the empty form of an origin-destination matrix.
 
-    Its size is the square of the number of places, which is the number of stations and not of detections.
+    Its size is the square of the number of places, which is the number of stations and not of detections. Places are
+    dealt to blocks, and each pair of blocks is a task's work of its own.
     """
-    every = F.array_sort(F.collect_set("place"))
-    one = places.agg(every.alias("places"))
-    pairs = one.withColumn("origin", F.explode("places")).withColumn("destination", F.explode("places"))
-    return pairs.filter("origin <> destination").select("origin", "destination", F.lit(0).alias("cnt"))
+    block = F.pmod(F.xxhash64("place"), F.lit(blocks)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    each = places.select("place").filter("place IS NOT NULL").distinct().withColumn("own", block)
+    rows = each.select(F.col("place").alias("origin"), F.col("own").alias("i"), every.alias("j"))
+    columns = each.select(F.col("place").alias("destination"), every.alias("i"), F.col("own").alias("j"))
+    return rows.join(columns, ["i", "j"]).filter("origin <> destination").select("origin", "destination", F.lit(0).alias("cnt"))
 
 
 def merged_columns(long: DataFrame, groups: DataFrame) -> DataFrame:

@@ -100,6 +100,12 @@ def top_ids(df: DataFrame, k: int) -> DataFrame:
     return id_statistics(df).filter("stations > 1").orderBy(F.desc("n"), "mac_address").limit(k)
 
 
+def extremes(totals: DataFrame, value: str, ident: str, k: int) -> DataFrame:
+    """The k rows of most and the k of least value, a report: side (top or bottom) first; ties go to the least ident."""
+    top = totals.orderBy(F.desc(value), ident).limit(k).select(F.lit("top").alias("side"), "*")
+    return top.unionByName(totals.orderBy(value, ident).limit(k).select(F.lit("bottom").alias("side"), "*"))
+
+
 def visitors(df: DataFrame, freq: str) -> DataFrame:
     """Running arrivals less running departures; df: place, date_time, kind (IN or OUT)."""
     per = df.groupBy("place", F.window("date_time", freq)["start"].alias("bin")).agg(

@@ -89,6 +89,18 @@ def cumulative_unique(df: DataFrame, station: str, time: str, ident: str, minute
     )
 
 
+def aligned_bounds(start: str, stop: str, minutes: int) -> tuple[str, str]:
+    """A closed range of whole bins: the start of start's bin, and a second before that of stop's; bins count from midnight."""
+    from datetime import datetime, timedelta
+
+    def floor(at: str) -> datetime:
+        t = datetime.fromisoformat(at)
+        midnight = t.replace(hour=0, minute=0, second=0, microsecond=0)
+        return midnight + (t - midnight) // timedelta(minutes=minutes) * timedelta(minutes=minutes)
+
+    return floor(start).isoformat(" "), (floor(stop) - timedelta(seconds=1)).isoformat(" ")
+
+
 def weekday_name(time: str | Column) -> Column:
     return F.date_format(time, "E")
 

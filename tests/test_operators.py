@@ -290,3 +290,54 @@ def test_nearest_features_in_blocks(spark):
     for block in (7, 4096):
         got = learning.nearest_features(rows, rows.filter("id % 2 = 0"), block).collect()
         assert {r["id"]: r["best"] for r in got} == {i: int(like[i].argmax()) for i in range(0, 40, 2)}
+
+
+def test_notation_of_places(spark):
+    rows = [("+44.5+011.25/", 44.5, 11.25), ("+4430-01115/", 44.5, -11.25), ("-443018.0+0111506.0/", -44.505, 11.251667), ("none", None, None), ("", None, None), (None, None, None)]
+    got = spark.createDataFrame([(r[0],) for r in rows], "t string").select(geo.from_iso6709(F.col("t")).alias("p")).select("p.lat", "p.lon").collect()
+    for (_, lat, lon), r in zip(rows, got, strict=True):
+        assert (r["lat"] is None) == (lat is None) and (lat is None or abs(r["lat"] - lat) < 1e-6 and abs(r["lon"] - lon) < 1e-6)
+    there = spark.range(1).select(geo.to_iso6709(F.lit(-5.25), F.lit(0.5)).alias("t")).first()["t"]
+    assert there == "-05.250000+000.500000/"
+
+
+def test_orders_of_items(spark):
+    one = lambda items, n: spark.createDataFrame([(items,)], "x array<string>").select(text.permutations("x", n).alias("p")).first()["p"]
+    assert sorted(one(["a", "b", "c"], 2)) == ["a", "a b", "a c", "b", "b a", "b c", "c", "c a", "c b"]
+    assert one([], 2) == [] and one(None, 2) is None
+
+
+def test_bounds_are_whole_bins():
+    assert series.aligned_bounds("2024-01-03 07:13:20", "2024-01-05 00:05:00", 15) == ("2024-01-03 07:00:00", "2024-01-04 23:59:59")
+
+
+def test_pairs_of_places(spark):
+    from footfall.operators import demand
+
+    got = sorted(tuple(r) for r in demand.ordered_pairs(spark.createDataFrame([("a",), ("b",), ("b",), ("c",), (None,)], "place string")).collect())
+    assert got == [(a, b, 0) for a in "abc" for b in "abc" if a != b]
+
+
+def test_rounds_need_all_their_ways(spark):
+    dist = spark.createDataFrame([("s", "a", 1.0), ("a", "s", 2.0), ("a", "b", 4.0), ("b", "s", 8.0), ("b", "a", 16.0)], "a string, b string, dist double")
+    places = spark.createDataFrame([("a",), ("b",)], "place string")
+    found = graph.routes(places, dist.filter("a <> 's' AND b <> 's'"), 2)
+    got = {tuple(r["route"]): r["length"] for r in graph.rounds(spark.createDataFrame([("s",)], "place string"), found, dist).collect()}
+    assert got == {("a",): 3.0, ("a", "b"): 13.0}
+
+
+def test_choice_in_reach(spark):
+    from footfall.operators import demand
+
+    rows = [(1, 0.0, 0.0, 0, 2.0), (2, 3.0, 0.0, 0, 1.0), (3, 0.0, 4.0, 0, 3.0), (4, 1.0, 1.0, 9, 5.0), (5, 50.0, 0.0, 0, 5.0)]
+    got = demand.choice_in_radius(spark.createDataFrame(rows, "place int, x double, y double, component int, score double"), 4.5).collect()
+    assert {(r["place"], r["other"]): (r["share"], r["upto"]) for r in got} == {(1, 2): (0.25, 0.25), (1, 3): (0.75, 1.0), (2, 1): (1.0, 1.0), (3, 1): (1.0, 1.0)}
+
+
+def test_compared_days(spark):
+    """Differences to days that have no rows are null; a constant difference stays what it is."""
+    rows = [("a", f"2024-01-0{day}", slot, 10 * day) for day in (1, 2, 4) for slot in range(8)]
+    df = spark.createDataFrame(rows, "k string, day string, slot int, cnt int").withColumn("day", F.to_date("day"))
+    got = {(r["day"].day, r["slot"]): (r["smooth"], r["less_1"], r["less_3"]) for r in series.compared_days(df, ["k"], 8, (1, 3), 5).collect()}
+    assert len(got) == 24
+    assert all(got[1, s] == (10.0, None, None) and got[2, s] == (20.0, 10.0, None) and got[4, s] == (40.0, None, 30.0) for s in range(8))
