@@ -134,9 +134,7 @@ def two_clock(spark, d):
 def stream_unique_devices(spark, d):
     """The file stream of events through the idempotent store equals the batch count."""
     at = shared_folder(spark, "stream")
-    source = table(spark, d, "events")
-    stream = ingest.file_stream(spark, d, source.schema, pathGlobFilter="events.parquet")
-    return ingest.unique_devices_stream(stream, "15 minutes", f"{at}/store", f"{at}/state")
+    return ingest.unique_devices_stream(ingest.table_stream(spark, d, "events"), "15 minutes", f"{at}/store", f"{at}/state")
 
 
 def _hourly(spark, d):

@@ -209,7 +209,7 @@ def stream_fan_out(spark, d):
     at = shared_folder(spark, "stream")
     stores = {f"{at}/low": "value < 50", f"{at}/high": "value >= 50"}
     schema = table(spark, d, "events").schema
-    ingest.fan_out(ingest.file_stream(spark, d, schema, pathGlobFilter="events.parquet"), stores, f"{at}/state").awaitTermination()
+    ingest.fan_out(ingest.table_stream(spark, d, "events"), stores, f"{at}/state").awaitTermination()
     low, high = (spark.read.schema(schema).parquet(p).withColumn("store", F.lit(p.rsplit("/", 1)[1])) for p in stores)
     return low.unionByName(high).groupBy("store", "event_type").agg(F.count(F.lit(1)).alias("cnt"))
 
@@ -221,7 +221,7 @@ _STEP, _IDLE, _LATE = 3_600_000, 6, 600_000
 def progress_snapshots(spark, d):
     """Hourly progress of each type's events as the stream tells it by timers, up to its last watermark."""
     at = shared_folder(spark, "stream")
-    stream = ingest.file_stream(spark, d, table(spark, d, "events").schema, pathGlobFilter="events.parquet")
+    stream = ingest.table_stream(spark, d, "events")
     progress.progress_stream(stream, "event_type", "ts", _STEP, _IDLE, f"{_LATE} milliseconds", f"{at}/told", f"{at}/state").awaitTermination()
     return spark.read.schema("key STRING, step BIGINT, cnt BIGINT, fresh BIGINT").parquet(f"{at}/told")
 

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, LongType, StructField, StructType
 
+from footfall.sources.tables import table
+
 
 def file_stream(spark: SparkSession, path: str, schema: StructType | str, form: str = "parquet", archive: str | None = None, **options) -> DataFrame:
     """Files as they come; read ones go to ``archive``, if given."""
@@ -16,6 +18,12 @@ def file_stream(spark: SparkSession, path: str, schema: StructType | str, form:
     return spark.readStream.format(form).schema(schema).options(**options).load(path)
 
 
+def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of ``sources.tables`` as a stream, be it one file or a folder of files."""
+    # A stream takes a plain path for a folder; a pattern may name either.
+    return file_stream(spark, f"{sf_dir}/{name}.parque[t]", table(spark, sf_dir, name).schema)
+
+
 def store_once(stream: DataFrame, keys: Sequence[str], store: str, checkpoint: str, order: str, time: str | None = None):
     """Run the stream through what is there now into a Parquet store that holds each key once; the query.
 

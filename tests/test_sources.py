@@ -2,10 +2,14 @@
 
 import json
 
+import duckdb
+import pytest
 from pyspark.sql import functions as F
 
+from footfall.plans import catalogue
 from footfall.sources import files
 from footfall.streaming import ingest
+from tests.oracle import same
 
 
 def put(path, text):
@@ -172,3 +176,13 @@ def test_progress_goes_on_after_a_restart(spark, tmp_path):
     got = sorted(map(key, spark.read.parquet(str(tmp_path / "out")).select("key", "step", "cnt", "fresh").collect()))
     want = sorted(map(key, progress.progress_batch(frame(rows), "key", "at", 600_000, 3, 300_000).select("key", "step", "cnt", "fresh").collect()))
     assert got == want and len(got) > 20 and any(r[3] == 0 for r in got)
+
+
+@pytest.mark.parametrize("name", ["progress_snapshots", "stream_fan_out", "stream_unique_devices"])
+def test_streams_of_a_table_in_several_files(spark, sf, tmp_path, name):
+    """A table may be a folder of files; the stream of it was empty then."""
+    path = f"{tmp_path}/events.parquet"
+    spark.read.parquet(f"{sf}/events.parquet").repartition(3).write.parquet(path)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{path}/*.parquet'")
+    same(catalogue.QUERIES[name](spark, str(tmp_path)), con, catalogue.SQL[name])
