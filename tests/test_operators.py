@@ -341,3 +341,21 @@ def test_compared_days(spark):
     got = {(r["day"].day, r["slot"]): (r["smooth"], r["less_1"], r["less_3"]) for r in series.compared_days(df, ["k"], 8, (1, 3), 5).collect()}
     assert len(got) == 24
     assert all(got[1, s] == (10.0, None, None) and got[2, s] == (20.0, 10.0, None) and got[4, s] == (40.0, None, 30.0) for s in range(8))
+
+
+def test_nearest_in_cells_meets_few_points(spark):
+    """The levels of cells give what one level gives, ties and points without a neighbour included, on dense and bare ground."""
+    from footfall.operators import joins
+
+    left = [(i, (i * 37 % 101) / 4, (i * 61 % 89) / 4) for i in range(300)] + [(900, 95.0, 95.0), (901, None, 1.0), (902, 60.0, 3.0)]
+    right = [(i, (i * 7 % 40) / 2, (i * 11 % 40) / 2) for i in range(400)] + [(1000, 55.0, 3.0), (1001, 65.0, 3.0), (2000, 71.0, 3.0)]
+    cell = lambda v: int(v // 10)
+    want = {}
+    for i, x, y in left:
+        near = [(math.sqrt((x - u) ** 2 + (y - v) ** 2), o) for o, u, v in right if x is not None and abs(cell(x) - cell(u)) <= 1 and abs(cell(y) - cell(v)) <= 1]
+        want[i] = min(near)[::-1] if near else (None, None)
+    a = spark.createDataFrame(left, "id bigint, x double, y double")
+    b = spark.createDataFrame(right, "other bigint, ox double, oy double")
+    rows = joins.nearest_in_cells(a, b, 10.0).collect()
+    assert {r["id"]: (r["other"], r["dist"]) for r in rows} == want and len(rows) == len(left)
+    assert want[902][1] == 5.0 and want[902][0] == 1000 and want[900] == (None, None)
