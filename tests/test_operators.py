@@ -380,3 +380,11 @@ def test_equal_places_meet_once(spark, monkeypatch):
     ends = {r["node"]: r["to"] for r in spatial.joined_ends(p.withColumnRenamed("id", "node"), 4.2).collect()}
     near = {i: min(j for j, u, v in points if (x - u) ** 2 + (y - v) ** 2 <= 4.2**2) for i, x, y in points}
     assert ends == {i: j for i, j in near.items() if j < i}
+
+
+def test_radius_join_sends_no_side_to_the_driver(spark):
+    """Small files may hold many points, so pairs in a radius are found without a broadcast."""
+    p = spark.range(50).selectExpr("id", "CAST(id % 7 AS DOUBLE) AS x", "CAST(id % 5 AS DOUBLE) AS y")
+    out = joins.within_radius(p, p.toDF("other", "ox", "oy"), 2.0)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
