@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,23 +14,66 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def nearest_features(features: DataFrame, queries: DataFrame, block: int = 4096) -> DataFrame:
+def nearest_features(features: DataFrame, queries: DataFrame, block: int = 32768, rows: int = 65536) -> DataFrame:
     """id, best, likeness: for each query the other row of highest cosine; a stated set of queries against all rows.
 
-    Queries are dealt to blocks of about ``block`` rows by a hash of their id, and each block is broadcast to all rows.
+    Queries are dealt to blocks of about ``block`` and all rows to parts of about ``rows`` by a hash of their id. Each block
+    meets each part in one task, as matrices, and leaves one row a query there. A query that has no cosine with any other
+    row, as a null or zero vector has none, gets the least other id and a null likeness. Ties go to the least id.
     """
-    q = queries.select(F.col("id").alias("qid"), F.col("feature").alias("qf"))
-    blocks = max(1, -(-q.count() // block))
-    like = F.round(cosine(F.col("feature"), F.col("qf")), 9)
-
-    def best(number: int) -> DataFrame:
-        some = q.filter(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == number)
-        pairs = features.join(F.broadcast(some), F.col("id") != F.col("qid"))
-        return pairs.groupBy("qid").agg(F.max(F.struct(like.alias("like"), (-F.col("id")).alias("neg"))).alias("b")).select(
-            F.col("qid").alias("id"), (-F.col("b.neg")).alias("best"), F.col("b.like").alias("likeness")
-        )
-
-    return reduce(DataFrame.unionByName, map(best, range(blocks)))
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    kind, sent = dict(features.dtypes)["id"], dict(features.dtypes)["feature"]
+    sent = sent if sent == "array<float>" else "array<double>"
+    known = features.select("id", F.col("feature").cast(sent).alias("x")).filter("id IS NOT NULL")
+    asked = queries.select("id", F.col("feature").cast(sent).alias("x")).filter("id IS NOT NULL")
+    exact = F.col("x").cast("array<double>")
+    whole = lambda df: df.filter((F.size("x") > 0) & ~F.exists("x", lambda v: v.isNull()) & (dot(exact, exact) != 0))
+    parts, blocks = max(1, -(-known.count() // rows)), max(1, -(-asked.count() // block))
+    dealt = lambda df, own, mine, other, others: whole(df).select(
+        F.size("x").alias("width"), F.pmod(F.xxhash64("id"), F.lit(mine)).alias(own), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(others - 1).cast("bigint"))).alias(other), "id", "x"
+    )
+    key = ["width", "part", "block"]
+
+    def matrix(table: pa.Table):
+        order = pc.sort_indices(table, sort_keys=[("id", "ascending")])
+        table = table.take(order)
+        x = table.column("x").combine_chunks()
+        x = x.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(x), -1)
+        return table.column("id").combine_chunks(), x / np.sqrt((x * x).sum(axis=1))[:, None]
+
+    def go(mine: pa.Table, theirs: pa.Table) -> pa.Table:
+        out = []
+        if mine.num_rows and theirs.num_rows:
+            (q, a), (f, b) = matrix(mine), matrix(theirs)
+            names, wanted = f.to_numpy(zero_copy_only=False), q.to_numpy(zero_copy_only=False)
+            first, last = np.searchsorted(names, wanted, "left"), np.searchsorted(names, wanted, "right")
+            # Some queries and rows at a time, so that their cosines fit.
+            for i in range(0, len(q), 2048):
+                for j in range(0, len(f), 4096):
+                    like = a[i : i + 2048] @ b[j : j + 4096].T
+                    for k in np.flatnonzero((first[i : i + 2048] < j + 4096) & (last[i : i + 2048] > np.maximum(first[i : i + 2048], j))):
+                        like[k, max(0, first[i + k] - j) : last[i + k] - j] = -np.inf
+                    most = np.round(like.max(axis=1), 9)
+                    # The least id of those that round to the same.
+                    at = np.where(np.isnan(most), like.argmax(axis=1), (like >= (most - 5e-10)[:, None]).argmax(axis=1))
+                    some = ~np.isneginf(most)
+                    out.append(pa.table({"id": q.slice(i, 2048).filter(pa.array(some)), "best": f.take(pa.array(j + at[some])), "like": most[some]}))
+        return pa.concat_tables(out) if out else pa.table({"id": mine.column("id").slice(0, 0), "best": mine.column("id").slice(0, 0), "like": pa.array([], pa.float64())})
+
+    left, right = dealt(asked, "block", blocks, "part", parts), dealt(known, "part", parts, "block", blocks)
+    # A task for each cell, however few bytes it has.
+    left, right = left.repartition(parts * blocks, *key), right.repartition(parts * blocks, *key)
+    found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(go, f"id {kind}, best {kind}, like double")
+    best = found.groupBy("id").agg(F.max(F.struct("like", (-F.col("best")).alias("neg"))).alias("b")).select("id", (-F.col("b.neg")).alias("best"), "b.like")
+    # One row on the sides that are broadcast: the two least ids.
+    least = known.agg(F.min("id").alias("least"))
+    two = known.join(F.broadcast(least)).filter("id > least").agg(F.min("least").alias("least"), F.min("id").alias("second")).filter("second IS NOT NULL")
+    other = F.when(F.col("id") == F.col("least"), F.col("second")).otherwise(F.col("least"))
+    every = asked.select("id").distinct().join(best, "id", "left").join(F.broadcast(two))
+    return every.select("id", F.coalesce("best", other).alias("best"), F.col("like").alias("likeness"))
 
 
 def pair_distances(series: DataFrame) -> DataFrame:

@@ -292,6 +292,13 @@ def test_nearest_features_in_blocks(spark):
         assert {r["id"]: r["best"] for r in got} == {i: int(like[i].argmax()) for i in range(0, 40, 2)}
 
 
+def test_nearest_features_in_parts_with_ties_and_rows_without_a_cosine(spark):
+    x = {1: [1.0, 0.0], 2: [2.0, 0.0], 3: [3.0, 0.0], 4: [0.0, 0.0], 5: None, 6: [1.0, 1.0], 7: [1.0, 0.0, 0.0], 8: [0.0, None]}
+    rows = spark.createDataFrame(list(x.items()), "id bigint, feature array<float>")
+    got = {r["id"]: (r["best"], r["likeness"]) for r in learning.nearest_features(rows, rows, block=3, rows=2).collect()}
+    assert got == {1: (2, 1.0), 2: (1, 1.0), 3: (1, 1.0), 6: (1, round(0.5**0.5, 9)), 4: (1, None), 5: (1, None), 7: (1, None), 8: (1, None)}
+
+
 def test_notation_of_places(spark):
     rows = [("+44.5+011.25/", 44.5, 11.25), ("+4430-01115/", 44.5, -11.25), ("-443018.0+0111506.0/", -44.505, 11.251667), ("none", None, None), ("", None, None), (None, None, None)]
     got = spark.createDataFrame([(r[0],) for r in rows], "t string").select(geo.from_iso6709(F.col("t")).alias("p")).select("p.lat", "p.lon").collect()
