@@ -168,6 +168,17 @@ def test_forbidden_turns_equal_brute_force(spark, small, edges):
     assert got == want
 
 
+def test_forbidden_turns_go_without_a_round_for_each_hop(spark, monkeypatch):
+    monkeypatch.setattr(graph, "_spread", None)
+    n = 40
+    # A road of n edges with a way round at node 20, where the straight turn is forbidden.
+    rows = [(i, i, i + 1) for i in range(n)] + [(100, 20, 99), (101, 99, 20)]
+    weights = spark.createDataFrame([(*r, 1.0, 1e8) for r in rows], "lid bigint, nf bigint, nt bigint, w_ft double, w_tf double")
+    turns = spark.createDataFrame([(19, 20)], "lid bigint, next_lid bigint")
+    got = graph.shortest_with_turns(weights, turns, spark.createDataFrame([(0,)], "node bigint")).collect()
+    assert {r["node"]: r["dist"] for r in got} == {i: float(i if i <= 20 else i + 2) for i in range(n + 1)} | {99: 21.0}
+
+
 #: A chain of four edges, a direct edge beside a chain of two, a ring without an end, a loop, and loose ends.
 CHAINED = [
     (1, 10, 11), (2, 11, 12), (3, 13, 12), (4, 13, 14), (5, 14, 20), (6, 14, 21), (7, 10, 20), (8, 10, 22),
