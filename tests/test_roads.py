@@ -7,6 +7,7 @@ import pytest
 
 from footfall.operators import graph
 from footfall.plans import catalogue, roads
+from footfall.sources.tables import table
 
 #: part, supplier, line rows: a component around the parts 0 and 100, a chain, a pair apart, and repeated pairs.
 PAIRS = [(p, s) for p, s in ((0, 0), (1, 0), (1, 1), (2, 1), (2, 2), (100, 2), (3, 2), (3, 0), (7, 5), (8, 5), (8, 6), (300, 99), (301, 99), (12, 40)) for _ in range(1 + (p + s) % 3)]
@@ -212,3 +213,9 @@ def test_long_chain_takes_few_rounds_and_keeps_order(spark):
 
 def test_no_edges_no_chains(spark):
     assert graph.contracted(chained(spark).filter("lid < 0")).count() == 0
+
+
+def test_edges_are_counted_in_tasks_of_bounded_rows(spark, sf, monkeypatch):
+    n = table(spark, sf, "lineitem").count()
+    monkeypatch.setattr(roads, "LINES", 500)
+    assert roads.road_edges(spark, sf).rdd.getNumPartitions() == -(-n // 500)
