@@ -101,7 +101,9 @@ def road_scan(spark, d):
 
 def road_points(spark, d):
     """Each order's lines as the points of an edge, in blocks of a heading and its points."""
-    p = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("x"), F.min("l_suppkey").alias("y"))
+    # Dealt by order once, for both steps.
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").repartition("l_orderkey")
+    p = lines.groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("x"), F.min("l_suppkey").alias("y"))
     blocks = p.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "x", "y"))).alias("p"))
     points = F.array_join(F.transform("p", lambda q: F.concat_ws(" ", q["x"].cast("string"), q["y"].cast("string"))), "\n")
     return files.road_points(spark, _lines(blocks, _joined(" ", "l_orderkey", F.lit(0), F.size("p")), points))
