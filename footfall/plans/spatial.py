@@ -79,9 +79,10 @@ def close_ends(spark, d):
 def merged_subgraphs(spark, d):
     """Each order is a street of its own, its lines' points are the nodes; all that come near are tied to the greatest."""
     node = (F.col("lid") * 8 + F.col("seq")).alias("node")
-    points = _polylines(spark, d).select("lid", "seq", node, "x", "y")
+    # Nodes and edges are read several times: neither is to be made from the lines each time.
+    points = graph._cut(_polylines(spark, d).select("lid", "seq", node, "x", "y"))
     ahead = points.withColumn("nt", F.lead("node").over(Window.partitionBy("lid").orderBy("seq"))).filter("nt IS NOT NULL")
-    edges = ahead.select(F.col("node").alias("lid"), F.col("node").alias("nf"), "nt")
+    edges = graph._cut(ahead.select(F.col("node").alias("lid"), F.col("node").alias("nf"), "nt"))
     return spatial.attached_subgraphs(edges, points.select("node", "x", "y"), 1.5)
 
 
