@@ -121,6 +121,69 @@ def test_ward_labels(spark):
     assert clusters.ward_labels(frame.limit(0), 3).count() == 0
 
 
+def checked_tree(spark, points, block):
+    """(members of the merged cluster, cost) of each merge of ``ward_tree``, the cheapest first, and how many tables it wrote."""
+    written = []
+    before = clusters._cut
+    clusters._cut = lambda df: written.append(1) or before(df)
+    try:
+        tree = clusters.ward_tree(spark.createDataFrame(points, "id bigint, feature array<double>"), block).collect()
+    finally:
+        clusters._cut = before
+    held, got = {i: [i] for i, _ in points}, []
+    for r in sorted(tree, key=lambda r: (round(r["cost"], 9), r["n"], r["b"])):
+        held[r["a"]] = held[r["a"]] + held[r["b"]]
+        got.append((frozenset(held[r["a"]]), round(r["cost"], 6)))
+        assert r["n"] == len(held[r["a"]]) and r["a"] == min(held[r["a"]])
+    return got, len(written)
+
+
+def test_near_rows_merge_in_one_round(spark):
+    rnd = np.random.default_rng(4)
+    middles = rnd.normal(0, 50, (12, 5))
+    points = [(i * 3, (middles[i % 12] + rnd.normal(0, 1, 5)).tolist()) for i in range(96)]
+    got, tables = checked_tree(spark, points, 32)
+    assert got == plain_ward(points)
+    assert tables <= 8
+
+
+def test_equal_rows_merge_at_once(spark):
+    points = [(i, [1.0, 2.0, 0.0]) for i in range(50)] + [(100 + i, [float(i) ** 2, 0.5, float(i)]) for i in range(9)]
+    got, tables = checked_tree(spark, points, 12)
+    assert sorted(c for _, c in got) == sorted(c for _, c in plain_ward(points))
+    assert got[:49] == [(frozenset(range(k)), 0.0) for k in range(2, 51)]
+    assert tables <= 8
+
+
+@pytest.mark.parametrize("size", [5, 25])
+def test_cells_merge_only_what_the_whole_tree_has(size):
+    rnd = np.random.default_rng(size)
+    x, cell = rnd.normal(0, 1, (120, 3)), rnd.integers(0, 120 // size, 120)
+    tree = set(plain_ward(list(enumerate(x.tolist()))))
+    apart = ((x[:, None] - x[None]) ** 2).sum(-1) / 2
+    apart[cell[:, None] == cell[None, :]] = np.inf
+    found = 0
+    for c in range(120 // size):
+        own = np.flatnonzero(cell == c)
+        merges, name, n, centre, _ = clusters._merged(own, np.ones(len(own)), x[own], apart[own].min(axis=1))
+        held = {i: [i] for i in own.tolist()}
+        for a, b, cost, both in merges:
+            held[a] = held[a] + held.pop(b)
+            assert (frozenset(held[a]), round(cost, 6)) in tree and both == len(held[a])
+        for k, m, y in zip(name.tolist(), n, centre, strict=True):
+            assert m == len(held[k]) and np.allclose(y, x[held[k]].mean(axis=0))
+        found += len(merges)
+    assert found > 0
+
+
+def test_ward_tree_of_equal_distances_ends(spark):
+    points = [(i, [float(i % 7), float(i // 7)]) for i in range(70)]
+    for block in (16, 1024):
+        tree = clusters.ward_tree(spark.createDataFrame(points, "id bigint, feature array<double>"), block).collect()
+        assert len({r["b"] for r in tree}) == len(tree) == 69
+        assert sum(r["cost"] for r in tree) == pytest.approx(((np.array([x for _, x in points]) - [3, 4.5]) ** 2).sum())
+
+
 def numeric_p(t, freedom, steps=200_001):
     """2 P(T > t) by Simpson's rule over the angle, t = sqrt(freedom) tan(angle)."""
     angle = np.linspace(math.atan(abs(t) / math.sqrt(freedom)), math.pi / 2, steps)
