@@ -267,12 +267,13 @@ def ward_tree(features: DataFrame, block: int = BLOCK) -> DataFrame:
     rows = _cut(features.select(F.col("id").cast("bigint").alias("name"), F.col("feature").cast("array<double>").alias("centre")))
     now, equal = _equal_merged(rows)
     merges = [] if equal is None else [_cut(equal)]
-    turn = 0
+    turn, tables = 0, [rows, *merges]
     while (count := now.count()) > block:
         placed = _in_cells(now, count, block, turn)
         bounds = _outside(placed, count)
         bounded = placed.join(bounds, "name", "left").withColumn("bound", F.coalesce("bound", F.lit(float("inf"))))
         done = _cut(_paired(_within(bounded)))
+        tables.append(done)
         merges.append(done.filter("b IS NOT NULL").select("a", "b", "cost", "n"))
         now = done.filter("centre IS NOT NULL").select(F.col("a").alias("name"), "n", "centre")
         _drop(placed)
@@ -281,7 +282,9 @@ def ward_tree(features: DataFrame, block: int = BLOCK) -> DataFrame:
     whole = _within(rest).filter("b IS NOT NULL").select("a", "b", "cost", "n")
     for part in merges:
         whole = whole.unionByName(part)
-    return _cut(whole)
+    out = _cut(whole)
+    _drop(*tables)
+    return out
 
 
 def ward_labels(features: DataFrame, clusters: int, block: int = BLOCK) -> DataFrame:
