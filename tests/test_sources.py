@@ -186,3 +186,13 @@ def test_streams_of_a_table_in_several_files(spark, sf, tmp_path, name):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW events AS SELECT * FROM '{path}/*.parquet'")
     same(catalogue.QUERIES[name](spark, str(tmp_path)), con, catalogue.SQL[name])
+
+
+def test_progress_at_the_end_of_a_step(spark, sf, tmp_path):
+    """A row in the last half millisecond of an hour counts in the next one, as in the SQL; it was told an hour early."""
+    path = f"{tmp_path}/events.parquet"
+    con = duckdb.connect()
+    rows = ", ".join(f"({900000 + k}, TIMESTAMP '2024-02-01 0{k}:59:59.{part}', 1, '{kind}', 1.0, NULL)" for k, (part, kind) in enumerate([("999499", "a"), ("9995", "a"), ("9999", "b"), ("000001", "b"), ("9996", "a")]))
+    con.execute(f"COPY (SELECT * FROM '{sf}/events.parquet' UNION ALL VALUES {rows}, (900009, TIMESTAMP '2024-02-01 06:09:59.9996', 1, 'a', 1.0, NULL)) TO '{path}'")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{path}'")
+    same(catalogue.QUERIES["progress_snapshots"](spark, str(tmp_path)), con, catalogue.SQL["progress_snapshots"])
